@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import interpolated_lm, ngram_join
 from ._common import table
 
 QUERIES: dict = {}
@@ -20,3 +20,8 @@ def query(name: str):
 @query("op6_ngram_jaccard_join")
 def op6(spark, sf_dir):
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query("op5_interpolated_lm")
+def op5(spark, sf_dir):
+    return interpolated_lm.score(table(spark, sf_dir, "documents"))
