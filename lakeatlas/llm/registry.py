@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import interpolated_lm, ngram_join
+from pyspark.sql import functions as F
+
+from . import decontamination, interpolated_lm, ngram_join, secret_scan
 from ._common import table
 
 QUERIES: dict = {}
@@ -25,3 +27,16 @@ def op6(spark, sf_dir):
 @query("op5_interpolated_lm")
 def op5(spark, sf_dir):
     return interpolated_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf_dir):
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["no"] < len(secret_scan.BASE))
+    counts = {f"n_{r.kind}": secret_scan.of_kind(r.kind) for r in secret_scan.BASE}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
