@@ -7,10 +7,11 @@ Which texts link: the Jaccard likeness of their sets of word shingles is at leas
    one more. Linked sets therefore agree in at least one whole part (pigeonhole). Parts that two sets have in common are
    the tokens of the matrix: a rare and selective token even where texts share passages.
 2. Inside each token's postings every set is compared with the least of them only (first inside a task, then over all),
-   so a token of a third of all texts costs one comparison a text. The components of the links found are the *groups*
-   of similar texts, cut into pieces of at most ``group_size`` members; each piece stores the union of its shingles.
-3. What this leaves open are tokens that sets of different components share. Those (set, group) pairs are bounded by the
-   overlap of the set with the group's union; only groups that can reach the threshold are opened and compared.
+   so a token of a third of all texts costs one comparison a text. The links found give components. Sets that share
+   tokens are put into *groups* of about ``group_size``; each group has the union of its members' shingles.
+3. What this leaves open are tokens that sets of different components share. The groups with such a token are matched:
+   each set of one is a query on the other, bounded by its overlap with the group's union; only groups in which the
+   query can reach the threshold are opened, and compared with the members of other components.
 4. The components of all links are the result.
 """
 
@@ -171,53 +172,68 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _shared_tokens(sets: DataFrame, labels: DataFrame, cut: Parts, group_size: int) -> DataFrame:
-    """(token, node, component, grp) of those tokens that sets of different components have."""
+def _open_pairs(sets: DataFrame, labels: DataFrame, cut: Parts) -> DataFrame:
+    """(g, h) with g <= h of groups that share a token which sets of different components have."""
 
     def run(batches):
         for b in batches:
             found = [cut.tokens(np.frombuffer(x, U)).view(np.int64) for x in b["shingles"]]
             n = [len(x) for x in found]
             if n:
-                yield pd.DataFrame({"token": np.concatenate(found), "node": np.repeat(b["node"].to_numpy(), n), "component": np.repeat(b["component"].to_numpy(), n), "grp": np.repeat(b["grp"].to_numpy(), n)})
+                yield pd.DataFrame({"token": np.concatenate(found), "component": np.repeat(b["component"].to_numpy(), n), "grp": np.repeat(b["grp"].to_numpy(), n)}).drop_duplicates()
 
-    rows = labels.join(sets, "node").select("node", "component", "grp", "shingles").mapInPandas(run, "token long, node long, component long, grp long")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return rows.join(mixed, "token", "left_semi")
+    rows = labels.join(sets, "node").select("component", "grp", "shingles").mapInPandas(run, "token long, component long, grp long")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_set("grp").alias("grps")).where("lo <> hi")
+    pairs = mixed.select(F.array_sort("grps").alias("grps")).distinct().select("grps", F.explode("grps").alias("g"))
+    return pairs.select("g", F.explode("grps").alias("h")).where("g <= h").distinct()
 
 
-def _bounded(candidates: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The (q, grp) whose overlap of query and token union allows a link."""
+def _linked(members: pd.DataFrame, percent: int) -> tuple[list, list]:
+    """Links of sets of side 0, as queries, to those of side 1 with other components.
 
-    def run(batches):
-        for c in batches:
-            good = []
-            for x, union, lo, hi in zip(c["x"], c["tokens"], c["lo"], c["hi"]):
-                n = len(x) // 8
-                if 100 * n < percent * lo or 100 * hi < percent * n:
-                    good.append(False)
-                    continue
-                q, u = np.frombuffer(x, U), np.frombuffer(union, U)
-                at = np.minimum(np.searchsorted(u, q), len(u) - 1)
-                good.append(100 * int((u[at] == q).sum()) >= percent * n)
-            yield c.loc[np.array(good, bool), ["q", "grp"]]
-
-    queries = sets.select(F.col("node").alias("q"), F.col("shingles").alias("x"))
-    return candidates.join(queries, "q").join(groups, "grp").select("q", "grp", "x", "tokens", "lo", "hi").mapInPandas(run, "q long, grp long")
-
-
-def _unions(labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(grp, tokens, lo, hi): the union of the shingles of a group's members, and their least and greatest size."""
-
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = [np.frombuffer(x, U) for x in pdf["shingles"]]
-        sizes = [len(m) for m in members]
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "tokens": [np.unique(np.concatenate(members)).tobytes()], "lo": [min(sizes)], "hi": [max(sizes)]})
-
-    return labels.select("node", "grp").join(sets, "node").select("grp", "shingles").groupBy("grp").applyInPandas(union, "grp long, tokens binary, lo long, hi long")
-
-
-def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group_size: int = 64, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    The token union of side 1 is its matrix row: a query opens the group only if enough of its shingles are in it.
+    """
+    group = members[members["side"] == 1]
+    sets = [np.frombuffer(x, U) for x in group["shingles"]]
+    sizes, nodes, components_ = np.array([len(x) for x in sets]), group["node"].to_numpy(), group["component"].to_numpy()
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order]
+    union, first = np.unique(flat[order], return_index=True)
+    ends = np.append(first[1:], len(flat))
+    a, b = [], []
+    for node, component, x in members.loc[members["side"] == 0, ["node", "component", "shingles"]].itertuples(index=False):
+        q = np.frombuffer(x, U)
+        fits = (100 * np.minimum(sizes, len(q)) >= percent * np.maximum(sizes, len(q))) & (components_ != component)
+        if not fits.any():
+            continue
+        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+        at = at[union[at] == q]
+        if 100 * len(at) < percent * len(q):
+            continue
+        n = ends[at] - first[at]
+        where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[where], minlength=len(sets))
+        good = fits & (100 * both >= percent * (sizes + len(q) - both))
+        a += [node] * int(good.sum())
+        b += nodes[good].tolist()
+    return a, b
+
+
+def _opened(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of different components in the given pairs of groups."""
+    held = labels.join(sets, "node").select("grp", "node", "component", "shingles")
+    left = pairs.join(held, F.col("g") == F.col("grp")).select("g", "h", F.lit(0).alias("side"), "node", "component", "shingles")
+    right = pairs.join(held, F.col("h") == F.col("grp")).select("g", "h", F.lit(1).alias("side"), "node", "component", "shingles")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = _linked(pdf, percent)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return left.union(right).groupBy("g", "h").applyInPandas(run, "a long, b long")
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group_size: int = 256, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Link near duplicates among ``docs(doc_id, text, ...)``.
 
     Returns per row: ``keys``, n_shingles (size of its set) and component_id, the smallest doc_id that links reach from
@@ -238,21 +254,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     links = kept(verified(pairs, sets, percent), "links")
     first = components(links)
     labels = sets.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    labels = kept(_groups(labels, group_size), "groups")
-
-    shared = kept(_shared_tokens(sets, labels, cut, group_size), "shared")
-    if not shared.isEmpty():
-        per = shared.groupBy("token", "component").agg(F.count("*").alias("n"), F.collect_set("grp").alias("grps"))
-        # of two components that share a token, the one with fewer sets asks, the groups of the other answer
-        asks = shared.select("token", F.col("node").alias("q"), F.col("component").alias("c")).join(per.select("token", F.col("component").alias("c"), F.col("n").alias("m")), ["token", "c"])
-        pairs = asks.join(per, "token").where("c <> component AND (m < n OR m = n AND c < component)")
-        candidates = pairs.select("q", F.explode("grps").alias("grp")).distinct()
-        opened = kept(_bounded(candidates, sets, kept(_unions(labels, sets), "unions"), percent), "opened")
-        inside = opened.join(labels.select("grp", F.col("node").alias("b")), "grp").select(F.col("q").alias("a"), "b")
-        more = verified(inside, sets, percent)
-        final = components(links.union(more))
-    else:
+    labels = kept(_groups(labels, components(pairs), group_size), "groups")
+
+    openings = kept(_open_pairs(sets, labels, cut), "openings")
+    if openings.isEmpty():
         final = first
+    else:
+        final = components(links.union(_opened(openings, sets, labels, percent)))
 
     of = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     of = kept(of, "of")
@@ -261,11 +269,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     return rows.join(named, "node", "left").select(*keys, "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
 
 
-def _groups(labels: DataFrame, group_size: int) -> DataFrame:
-    """Cut components into groups by a hash of the member, so that about ``group_size`` members meet in each."""
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    pieces = F.ceil(F.col("size") / group_size)
-    return labels.join(sizes, "component").select("node", "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), pieces)).alias("grp"))
+def _groups(labels: DataFrame, near: DataFrame, group_size: int) -> DataFrame:
+    """Groups of about ``group_size`` similar sets: large clusters of what shares tokens are cut, small ones put together."""
+    clustered = labels.join(near.select("node", F.col("component").alias("cluster")), "node")
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
+    few = max(1, labels.count() // group_size)
+    grp = F.when(F.col("size") > group_size, F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / group_size)))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
+    return clustered.join(sizes, "cluster").select("node", "component", grp.alias("grp"))
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
