@@ -57,8 +57,11 @@ def _segments(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def _hash_joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the pieces, and the number of words of each piece."""
+def _hash_joined(pieces: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the pieces, and the number of words of each piece.
+
+    With ``prefixes``, a row for the words and one for their first bytes of each given number (shorter words: whole).
+    """
     joined = b" ".join(pieces) + b" "
     data = np.frombuffer(joined, np.uint8)
     gap = _SPACE[data]
@@ -69,30 +72,32 @@ def _hash_joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    if prefixes:
+        hashes = np.stack([hashes, *(mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * inverse[starts]) for k in prefixes)])
     begins = np.cumsum([0] + [len(p) + 1 for p in pieces])
     counts = np.diff(np.searchsorted(starts, begins))
     return hashes, counts
 
 
-def word_hashes(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+def word_hashes(texts: Iterable[bytes], prefixes: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
     """The word hashes of each (lower-cased) text, in order; small texts are worked on together."""
     pieces: list[bytes] = []
     owners: list[int] = []
     size = count = 0
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, counts = _hash_joined(pieces)
+        hashes, counts = _hash_joined(pieces, prefixes)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         for k in range(count):
             lo, hi = np.searchsorted(owners, [k, k + 1])
-            yield hashes[bounds[lo] : bounds[hi]]
+            yield hashes[..., bounds[lo] : bounds[hi]]
 
     for text in texts:
         if len(text) > SEGMENT:
             if count:
                 yield from flush()
             pieces, owners, size, count = [], [], 0, 0
-            yield np.concatenate([_hash_joined([s])[0] for s in _segments(text)])
+            yield np.concatenate([_hash_joined([s], prefixes)[0] for s in _segments(text)], axis=-1)
             continue
         if count and size + len(text) > SEGMENT:
             yield from flush()

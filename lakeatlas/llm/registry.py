@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, ngram_join, secret_scan
+from . import decontamination, interpolated_lm, ngram_join, quality, secret_scan, temperature_mixing
 from ._common import table
 
 QUERIES: dict = {}
@@ -40,3 +40,15 @@ def op10(spark, sf_dir):
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+@query("op3_temperature_mixing")
+def op3(spark, sf_dir):
+    mixed = temperature_mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("weight", F.round("weight", 6))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    """The documents that it keeps; the others are those it rejects."""
+    return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
