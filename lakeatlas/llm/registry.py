@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, ngram_join, quality, secret_scan, temperature_mixing
+from . import decontamination, interpolated_lm, ngram_join, quality, secret_scan, temperature_mixing, warc
 from ._common import table
 
 QUERIES: dict = {}
@@ -52,3 +52,18 @@ def op3(spark, sf_dir):
 def op2(spark, sf_dir):
     """The documents that it keeps; the others are those it rejects."""
     return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
+@query("op1_warc_zstd")
+def op1(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op1_warc_zstd"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to
+FROM q
+"""
