@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, ngram_join, quality, secret_scan, temperature_mixing, warc
+from . import decontamination, interpolated_lm, ngram_join, piecewise_hash, quality, secret_scan, temperature_mixing, warc
 from ._common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,8 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to
 FROM q
 """
+
+
+@query("op7_piecewise_hash")
+def op7(spark, sf_dir):
+    return piecewise_hash.fingerprint_with_edits(table(spark, sf_dir, "documents"))
