@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, ngram_join, piecewise_hash, quality, secret_scan, temperature_mixing, warc
+from . import decontamination, interpolated_lm, license_scan, ngram_join, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc
 from ._common import table
 
 QUERIES: dict = {}
@@ -72,3 +72,13 @@ FROM q
 @query("op7_piecewise_hash")
 def op7(spark, sf_dir):
     return piecewise_hash.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pii_surrogates")
+def op8(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_license_scan")
+def op9(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
