@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import kept, parts, text_or_empty
@@ -237,7 +237,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     """Link near duplicates among ``docs(doc_id, text, ...)``.
 
     Returns per row: ``keys``, n_shingles (size of its set) and component_id, the smallest doc_id that links reach from
-    it, itself included; also node, the hash of its set. Repeated rows, and different doc_ids with equal sets, link as
+    it, itself included; also node, the hash of its set, and component, a hash that names the component. Repeated rows, and different doc_ids with equal sets, link as
     any others do. A null or empty text and one without words has no shingles and links with nothing: its component_id
     is its own doc_id. A null doc_id is never the smallest one: component_id is null only where all of a component are.
     Further columns of ``docs`` are not looked at.
@@ -265,8 +265,26 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     of = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     of = kept(of, "of")
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select(*keys, "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    named = of.join(least, "component").select("node", "component_id", "component")
+    return rows.join(named, "node", "left").select(*keys, "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "component")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: of the least doc_id, and of the least hash of text where that is shared.
+
+    Of equal rows one stays. Texts without words are components of their own, and so stay, each text once for a doc_id.
+    All columns are kept; of rows that differ in other columns only, one is taken.
+    """
+    named = docs.withColumn("_la_text", F.xxhash64(text_or_empty()))
+    found = ngram_jaccard_join(named.select("doc_id", "text", "_la_text"), width, percent, keys=("doc_id", "_la_text"))
+    lone = F.col("node").isNull()
+    group = F.when(lone, F.xxhash64("doc_id", "_la_text")).otherwise(F.col("component"))
+    best = F.min_by(F.struct("doc_id", "_la_text"), F.struct(F.col("doc_id").isNull(), "doc_id", "_la_text"))
+    chosen = kept(found.groupBy(lone.alias("lone"), group.alias("group")).agg(best.alias("best")).select(F.col("best.doc_id").alias("_la_id"), F.col("best._la_text").alias("_la_hash")).distinct(), "chosen")
+    same = F.col("doc_id").eqNullSafe(F.col("_la_id")) & (F.col("_la_text") == F.col("_la_hash"))
+    left = named.join(chosen, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_la_text").orderBy(F.lit(0)))
+    return left.withColumn("_la_first", first).where("_la_first = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _groups(labels: DataFrame, near: DataFrame, group_size: int) -> DataFrame:

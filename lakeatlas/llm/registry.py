@@ -21,7 +21,7 @@ def query(name: str):
 
 @query("op6_ngram_jaccard_join")
 def op6(spark, sf_dir):
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90).drop("component")
 
 
 @query("op5_interpolated_lm")
