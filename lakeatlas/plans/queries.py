@@ -1,4 +1,8 @@
 """The registered queries of the library and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import catalogue, checks, documents
+
+QUERIES: dict = {**catalogue.QUERIES, **documents.QUERIES, **checks.QUERIES}
+ORACLES: dict[str, str] = {**catalogue.ORACLES, **documents.ORACLES, **checks.ORACLES}
