@@ -3,9 +3,12 @@
 Which texts link: the Jaccard likeness of their sets of word shingles is at least ``percent`` / 100. The join is exact
 (on 64-bit hashes of shingles and of sets), and yields the connected components rather than all pairs:
 
-1. Every set is cut, by the range of its shingle hashes, into as many parts as a linked pair can differ in shingles, and
-   one more. Linked sets therefore agree in at least one whole part (pigeonhole). Parts that two sets have in common are
-   the tokens of the matrix: a rare and selective token even where texts share passages.
+1. Every set is cut, by the range of its shingle hashes, into more parts than the number d of shingles in which a linked
+   pair can differ. Linked sets therefore agree in all parts but d (pigeonhole), and in one that is not empty if either
+   has more than d such parts; a set that has not also counts its empty ones. The parts that sets agree in are the tokens
+   of the matrix: rare and selective even where texts share passages. For the same end, shingles that are very common
+   are left out before cutting, where enough others remain: sets without them differ in no more shingles than before. Any
+   choice of common shingles gives the same links, so it need not be exact.
 2. Inside each token's postings every set is compared with the least of them only (first inside a task, then over all),
    so a token of a third of all texts costs one comparison a text. The links found give components. Sets that share
    tokens are put into *groups* of about ``group_size``; each group has the union of its members' shingles.
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,29 +46,72 @@ class Parts:
         self.starts = [1, 2]
         self.bounds: dict[int, np.ndarray] = {}
 
-    def count(self, k: int) -> int:
-        """Parts for pairs whose smaller set lies in class k: the most shingles in which they differ, and one."""
+    def most(self, k: int) -> int:
+        """In how many shingles sets can differ that link, the smaller one of class k."""
         least = self.starts[k + 1] - 1
-        return (100 - self.percent) * (least + least * 100 // self.percent) // (100 + self.percent) + 1
+        return (100 - self.percent) * (least + least * 100 // self.percent) // (100 + self.percent)
 
-    def tokens(self, shingles: np.ndarray) -> np.ndarray:
-        """A set's tokens: as the smaller one of a pair under its own class, as the larger under that below."""
+    def _cut(self, shingles: np.ndarray, most: int, tag: int) -> np.ndarray:
+        n = most + 1 + (3 * most + 19) // 20 + 2
+        if n not in self.bounds:
+            self.bounds[n] = (np.arange(1, n, dtype=U) * U(((1 << 64) - 1) // n)).astype(U)
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(shingles ^ U(0xD1B54A32D192ED03)))])
+        at = np.concatenate([[0], np.searchsorted(shingles, self.bounds[n]), [len(shingles)]])
+        found = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(n, dtype=U) + U(tag << 40)))
+        full = at[1:] > at[:-1]
+        return found[full] if full.sum() > most else found
+
+    def tokens(self, shingles: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """A set's tokens: as the smaller one of a pair under its own class, as the larger under that below.
+
+        ``common`` is sorted. A set with few other shingles is cut whole; so is one that could link with such a set.
+        """
         while self.starts[-1] <= len(shingles):
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         k = bisect_right(self.starts, len(shingles)) - 1
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(shingles ^ U(0xD1B54A32D192ED03)))])
+        rest = shingles
+        if common is not None and len(common):
+            rest = shingles[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles]
         found = []
         for c in (k, k - 1):
             if c >= 0:
-                n = self.count(c)
-                if n not in self.bounds:
-                    self.bounds[n] = (np.arange(1, n, dtype=U) * U(((1 << 64) - 1) // n)).astype(U)
-                at = np.concatenate([[0], np.searchsorted(shingles, self.bounds[n]), [len(shingles)]])
-                inside = sums[at[1:]] - sums[at[:-1]]
-                found.append(mix(inside + mix(np.arange(n, dtype=U) + U(c << 40))))
+                most = self.most(c)
+                enough = (13 * (most + 1) + 4) // 5
+                if len(rest) >= enough:
+                    found.append(self._cut(rest, most, 2 * c))
+                if len(rest) < enough + most:
+                    found.append(self._cut(shingles, most, 2 * c + 1))
         return np.concatenate(found)
 
 
+def common_shingles(docs: DataFrame, width: int, least: int = 8, keep: int = 1_000_000) -> np.ndarray:
+    """Shingles that ``least`` texts of one stretch of the table have, at most the ``keep`` commonest, sorted.
+
+    Every text is looked at. The bound holds what is sent to the tasks; it changes the work to do, not the links.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"shingle": found[n >= least].view(np.int64), "n": n[n >= least]})
+
+        for b in batches:
+            for s in _sets(b["text"], width):
+                held.append(s)
+                size += len(s)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    found = docs.select(text_or_empty().alias("text")).mapInPandas(run, "shingle long, n long")
+    top = found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(keep)
+    return np.sort(top.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(U))
+
+
 def _sets(texts, width: int) -> Iterator[np.ndarray]:
     for words in word_hashes(map(as_bytes, texts)):
         yield shingle_set(words, width)
@@ -106,7 +153,7 @@ def _packs(bucket, kind, x, y) -> pd.DataFrame:
     return pd.DataFrame({"bucket": bucket, "kind": kind, "x": x, "y": y})
 
 
-def star_pairs(docs: DataFrame, width: int, cut: Parts) -> DataFrame:
+def star_pairs(docs: DataFrame, width: int, cut: Parts, common: Broadcast) -> DataFrame:
     """Distinct (a, b) of sets which share a token: each set with the least one of the token."""
     buckets = 2 * parts(docs)
 
@@ -128,7 +175,7 @@ def star_pairs(docs: DataFrame, width: int, cut: Parts) -> DataFrame:
             for s in _sets(batch["text"], width):
                 if not len(s):
                     continue
-                t = cut.tokens(s)
+                t = cut.tokens(s, common.value)
                 tokens.append(t)
                 nodes.append(np.full(len(t), set_hash(s), np.int64))
                 size += len(t)
@@ -172,12 +219,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _open_pairs(sets: DataFrame, labels: DataFrame, cut: Parts) -> DataFrame:
+def _open_pairs(sets: DataFrame, labels: DataFrame, cut: Parts, common: Broadcast) -> DataFrame:
     """(g, h) with g <= h of groups that share a token which sets of different components have."""
 
     def run(batches):
         for b in batches:
-            found = [cut.tokens(np.frombuffer(x, U)).view(np.int64) for x in b["shingles"]]
+            found = [cut.tokens(np.frombuffer(x, U), common.value).view(np.int64) for x in b["shingles"]]
             n = [len(x) for x in found]
             if n:
                 yield pd.DataFrame({"token": np.concatenate(found), "component": np.repeat(b["component"].to_numpy(), n), "grp": np.repeat(b["grp"].to_numpy(), n)}).drop_duplicates()
@@ -245,7 +292,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     cut = Parts(percent)
     rows = kept(document_sets(docs, width, list(dict.fromkeys(["doc_id", *keys]))), "sets")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    pairs = kept(star_pairs(docs, width, cut), "pairs")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    pairs = kept(star_pairs(docs, width, cut, common), "pairs")
 
     # the sets of what has a token in common with something else, one text for each
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -256,7 +304,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     labels = sets.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labels = kept(_groups(labels, components(pairs), group_size), "groups")
 
-    openings = kept(_open_pairs(sets, labels, cut), "openings")
+    openings = kept(_open_pairs(sets, labels, cut, common), "openings")
     if openings.isEmpty():
         final = first
     else:

@@ -98,7 +98,9 @@ def test_every_linked_pair_has_a_token_in_common():
                 if rnd.random() < 0.02:
                     break
             y = np.array(sorted(y), np.uint64)
-            assert set(cut.tokens(x).tolist()) & set(cut.tokens(y).tolist())
+            for share in (0, 0.1, 0.3, 0.5, 0.8, 1):
+                common = np.sort(np.array([v for v in x.tolist() if rnd.random() < share], np.uint64))
+                assert set(cut.tokens(x, common).tolist()) & set(cut.tokens(y, common).tolist())
 
 
 def test_word_hashes_are_those_of_the_words():
