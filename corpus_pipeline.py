@@ -9,32 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeatlas.llm import decontamination, ngram_join, quality, secret_scan, temperature_mixing
-from lakeatlas.llm._common import kept, table
+from lakeatlas.llm._common import new_folder, stage, table
+
+#: Intermediate tables of the stage that ran last in this process; the next one deletes them.
+_WRITTEN: list[str] = []
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents which the classifier, fitted on ``labels``, does not reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    with stage(spark, _WRITTEN):
+        return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the least doc_id."""
-    return ngram_join.keep_one(docs, width=5, percent=80)
+    with stage(spark, _WRITTEN):
+        return ngram_join.keep_one(docs, width=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ``benchmark`` item is found."""
-    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    with stage(spark, _WRITTEN):
+        return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
-    return secret_scan.redact_secrets(docs)
+    with stage(spark, _WRITTEN):
+        return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture takes them: doc_id, source, tokens, block, place, weight."""
-    return temperature_mixing.mix_sources(docs)
+    with stage(spark, _WRITTEN):
+        return temperature_mixing.mix_sources(docs)
 
 
 STAGES = [
@@ -51,8 +59,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = kept(docs, name)
+            docs.write.parquet(path := new_folder(spark, name))
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs

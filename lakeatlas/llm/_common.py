@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,10 +27,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakeatlas/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def stage(spark: SparkSession, before: list[str]):
+    """Remember what ``kept`` writes inside, in ``before``; what is remembered from earlier stages is deleted first.
+
+    For pipelines: a stage reads the written result of the one before, and nothing else of it.
+    """
+    for path in before:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    before.clear()
+    spark._lakeatlas_written = before
+    try:
+        yield
+    finally:
+        spark._lakeatlas_written = None
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of an executor."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    written = getattr(spark, "_lakeatlas_written", None)
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

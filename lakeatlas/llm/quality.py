@@ -259,5 +259,6 @@ def rate_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pat
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = 2000) -> DataFrame:
     """``docs`` without the rows that ``rate_documents`` would not keep; all columns stay."""
-    scored = kept(add_evidence(docs, fit_on_labels(docs, labels, per_class)), "evidence")
+    # the texts are scored twice, for the sites' rates and here, rather than kept with their evidence
+    scored = add_evidence(docs, fit_on_labels(docs, labels, per_class))
     return classify(scored, host, path).where("_la_posterior >= 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
