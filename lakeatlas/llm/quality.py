@@ -172,7 +172,7 @@ def fit(sample: pd.DataFrame, nats: float = NATS) -> Model:
     return model
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     """Fit on at most ``per_class`` labelled texts of each (quality, toxic) pair, and three times as many good ones; a
     hash of the doc_id chooses them."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -242,7 +242,7 @@ def classify(scored: DataFrame, host: str, path: str, toxic_prior: float = 0.1,
     return out.withColumn("_la_posterior", _sigmoid(_logit(F.col("_la_rate")) + _logit(F.col("_la_own")) - F.lit(base)))
 
 
-def rate_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = 2000) -> DataFrame:
+def rate_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = 1000) -> DataFrame:
     """``(doc_id, host, path, quality_evidence, toxic_evidence, site_rate, posterior, keep)`` for each row of ``docs``.
 
     keep: the posterior of being good is at least 0.5. A text without words (null, empty) has posterior 0. Repeated rows
@@ -257,7 +257,7 @@ def rate_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     return done.select("doc_id", "host", "path", F.col("_la_quality").alias("quality_evidence"), F.col("_la_toxic").alias("toxic_evidence"), F.col("_la_rate").alias("site_rate"), F.col("_la_posterior").alias("posterior"), (F.col("_la_posterior") >= 0.5).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = 2000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = 1000) -> DataFrame:
     """``docs`` without the rows that ``rate_documents`` would not keep; all columns stay."""
     # the texts are scored twice, for the sites' rates and here, rather than kept with their evidence
     scored = add_evidence(docs, fit_on_labels(docs, labels, per_class))
