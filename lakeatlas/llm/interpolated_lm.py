@@ -199,7 +199,7 @@ def fit_weights(histogram: pd.DataFrame, v: int) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, pack_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, pack_bytes: int = 4 << 20) -> DataFrame:
     """Train on ``docs(doc_id, text, ...)`` without fold 0 of crc32(doc_id) mod 10, and score all.
 
     Returns per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, as the module says; base
