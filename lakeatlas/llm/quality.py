@@ -112,7 +112,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _cover(toxic: list[np.ndarray], clean: list[np.ndarray], least: int) -> np.ndarray:
-    """Terms of ``least`` toxic texts and (nearly) no clean ones, until they cover the toxic ones but for single texts."""
+    """Terms of ``least`` toxic texts and (nearly) no clean ones: all of the clearest, and others until the toxic texts are
+    covered but for single ones."""
     if not toxic:
         return np.zeros(0, U)
     terms, df = np.unique(np.concatenate(toxic), return_counts=True)
@@ -123,7 +124,9 @@ def _cover(toxic: list[np.ndarray], clean: list[np.ndarray], least: int) -> np.n
     inside = np.bincount(np.concatenate([at(x) for x in clean]), minlength=len(terms)) if clean else np.zeros(len(terms))
     pure = inside * 100 <= df * len(clean) / max(1, len(toxic))
     rows = [x[pure[x]] for x in map(at, toxic)]
-    found, open_rows = [], rows
+    # what is in no clean text and in many toxic ones stands for itself; the rest by what is left to cover
+    found = np.flatnonzero((inside == 0) & (df >= 3 * least)).tolist()
+    open_rows = [r for r in rows if not np.isin(r, found).any()]
     while True:
         gain = np.bincount(np.concatenate(open_rows), minlength=len(terms)) if open_rows else np.zeros(1, int)
         if gain.max(initial=0) < 2:
