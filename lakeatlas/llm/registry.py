@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from . import decontamination, interpolated_lm, license_scan, ngram_join, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc
 from ._common import table
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str):
@@ -21,7 +21,7 @@ def query(name: str):
 
 @query("op6_ngram_jaccard_join")
 def op6(spark, sf_dir):
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90).drop("component")
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90).drop("node", "component")
 
 
 @query("op5_interpolated_lm")
@@ -59,16 +59,6 @@ def op1(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
-ORACLES["op1_warc_zstd"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-q AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS first FROM p)
-SELECT page_id, n AS payload_bytes, d AS payload_digest,
-  CASE WHEN n >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND page_id < first THEN first END AS refers_to
-FROM q
-"""
-
-
 @query("op7_piecewise_hash")
 def op7(spark, sf_dir):
     return piecewise_hash.fingerprint_with_edits(table(spark, sf_dir, "documents"))
