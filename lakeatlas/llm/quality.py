@@ -111,29 +111,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _cover(toxic: list[np.ndarray], clean: list[np.ndarray], least: int) -> np.ndarray:
-    """Terms of ``least`` toxic texts and (nearly) no clean ones: all of the clearest, and others until the toxic texts are
-    covered but for single ones."""
-    if not toxic:
-        return np.zeros(0, U)
-    terms, df = np.unique(np.concatenate(toxic), return_counts=True)
+def _cover(toxic: list[np.ndarray], copies: np.ndarray, clean, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, hits in toxic, hits in clean): terms of ``least`` toxic texts and (nearly) no clean ones.
+
+    These are all of the clearest, and others until the toxic texts are covered but for single ones. ``clean`` is gone
+    through once, and only its candidates are held.
+    """
+    terms, df = np.unique(np.concatenate([t for t, c in zip(toxic, copies) if not c]), return_counts=True)
     terms, df = terms[df >= least], df[df >= least]
+
+    def at(x: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(terms, x), len(terms) - 1)
+        return k[terms[k] == x].astype(np.int32)
+
     if not len(terms):
-        return terms
-    at = lambda x: (k := np.minimum(np.searchsorted(terms, x), len(terms) - 1))[terms[k] == x]
-    inside = np.bincount(np.concatenate([at(x) for x in clean]), minlength=len(terms)) if clean else np.zeros(len(terms))
-    pure = inside * 100 <= df * len(clean) / max(1, len(toxic))
+        return terms, np.zeros(len(toxic), bool), np.zeros(0, bool)
+    others = [at(x) for x in clean]
+    inside = np.bincount(np.concatenate(others), minlength=len(terms)) if others else np.zeros(len(terms), int)
+    pure = inside * 100 <= df * len(others) / max(1, len(toxic))
     rows = [x[pure[x]] for x in map(at, toxic)]
     # what is in no clean text and in many toxic ones stands for itself; the rest by what is left to cover
     found = np.flatnonzero((inside == 0) & (df >= 3 * least)).tolist()
-    open_rows = [r for r in rows if not np.isin(r, found).any()]
-    while True:
-        gain = np.bincount(np.concatenate(open_rows), minlength=len(terms)) if open_rows else np.zeros(1, int)
+    open_rows = [r for r, c in zip(rows, copies) if not c and not np.isin(r, found).any()]
+    while open_rows:
+        gain = np.bincount(np.concatenate(open_rows), minlength=len(terms))
         if gain.max(initial=0) < 2:
-            return np.sort(terms[found])
+            break
         best = int(gain.argmax())
         found.append(best)
         open_rows = [r for r in open_rows if best not in r]
+    hit = lambda rs: np.array([np.isin(r, found).any() for r in rs], bool)
+    return np.sort(terms[found]), hit(rows), hit(others)
 
 
 def _copies(words: list[np.ndarray]) -> np.ndarray:
@@ -164,13 +172,13 @@ def fit(sample: pd.DataFrame, nats: float = NATS) -> Model:
         model.weights = _logistic(_design(forms, model.centre, model.scale), good.astype(float))
         model.prior = float(np.log(good.sum() / (~good).sum()))
     if 0 < toxic.sum() < len(toxic):
-        terms = [np.unique(_terms(h)) for h in word_hashes((d.lower().translate(_TO_SPACE) for d in data), PREFIXES)]
-        first = ~_copies([h[0] for h in word_hashes((d.lower().translate(_TO_SPACE) for d in data), PREFIXES[:1])])
+        hashes = lambda of: word_hashes((d.lower().translate(_TO_SPACE) for d, x in zip(data, toxic) if x == of), PREFIXES)
+        own = list(hashes(True))
+        copies = _copies([h[0] for h in own])
         least = max(3, int(np.ceil(nats / -np.log(toxic.mean()))))
-        model.lexicon = _cover([t for t, x in zip(terms, toxic & first) if x], [t for t, x in zip(terms, toxic) if not x], least)
-        hits = np.array([np.isin(t, model.lexicon).any() for t in terms])
-        rate = lambda h, of: (h[of].sum() + 0.5) / (of.sum() + 1)
-        t, c = rate(hits, toxic), rate(hits, ~toxic)
+        model.lexicon, hit, wrong = _cover([np.unique(_terms(h)) for h in own], copies, (np.unique(_terms(h)) for h in hashes(False)), least)
+        rate = lambda h, n: (h.sum() + 0.5) / (n + 1)
+        t, c = rate(hit, toxic.sum()), rate(wrong, (~toxic).sum())
         model.hit, model.miss = float(np.log(t / c)), float(np.log((1 - t) / (1 - c)))
     return model
 
