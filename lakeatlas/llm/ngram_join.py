@@ -84,7 +84,7 @@ class Parts:
         return np.concatenate(found)
 
 
-def common_shingles(docs: DataFrame, width: int, least: int = 8, keep: int = 1_000_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, width: int, least: int = 8, keep: int = 200_000) -> np.ndarray:
     """Shingles that ``least`` texts of one stretch of the table have, at most the ``keep`` commonest, sorted.
 
     Every text is looked at. The bound holds what is sent to the tasks; it changes the work to do, not the links.
@@ -109,7 +109,8 @@ def common_shingles(docs: DataFrame, width: int, least: int = 8, keep: int = 1_0
 
     found = docs.select(text_or_empty().alias("text")).mapInPandas(run, "shingle long, n long")
     top = found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(keep)
-    return np.sort(top.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(U))
+    packed = top.select("shingle").mapInPandas(lambda batches: (pd.DataFrame({"all": [b["shingle"].to_numpy(np.int64).tobytes()]}) for b in batches), "all binary")
+    return np.sort(np.frombuffer(b"".join(bytes(r["all"]) for r in packed.collect()), U))
 
 
 def _sets(texts, width: int) -> Iterator[np.ndarray]:
