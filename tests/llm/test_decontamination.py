@@ -48,3 +48,18 @@ def test_against_brute_force(spark):
     left = drop_leaks(docs, bench)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - {d for d, _ in want}
+
+
+def test_edited_items(spark):
+    changed = ITEM.replace("train", "coach")
+    two = changed.replace("apples", "pears")
+    docs = [(1, "x y z. " + changed), (2, two), (3, ITEM.replace("and then gave", "and gave")), (4, ITEM.replace("long train", "very long train")), (5, " ".join(ITEM.split()[:13]))]
+    assert leaks(spark, docs) == [(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, True)]
+    swapped = "We went on. gave 5 of them to Anna before the long train ride home to London. Yesterday Tom Baker bought 12 red apples for 3 dollars each and then"
+    assert leaks(spark, [(1, swapped)]) == [(1, 1, True)]
+
+
+def test_items_without_plain_words(spark):
+    items = [(5, "1 2 3 4 5 6 7 8"), (6, "12 kg")]
+    docs = [(1, "See 0 1 2 3 4 5 6 7 8 here."), (2, "1 2 3 4 5 6 7 9"), (3, "12 kg"), (4, "12 kg of it")]
+    assert leaks(spark, docs, items) == [(1, 5, True), (3, 6, True)]
