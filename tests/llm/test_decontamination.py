@@ -63,3 +63,11 @@ def test_items_without_plain_words(spark):
     items = [(5, "1 2 3 4 5 6 7 8"), (6, "12 kg")]
     docs = [(1, "See 0 1 2 3 4 5 6 7 8 here."), (2, "1 2 3 4 5 6 7 9"), (3, "12 kg"), (4, "12 kg of it")]
     assert leaks(spark, docs, items) == [(1, 5, True), (3, 6, True)]
+
+
+def test_every_shift(spark):
+    twice = "We saw that Tom had 12 books and later Tom sold 12 of those same books at the market near the river."
+    bad = twice.replace("later Tom", "later Jim").replace("sold 12", "sold 13")
+    longer = twice.replace("and later", "and then much later").replace("Tom", "Jim")
+    docs = [(1, f"{bad} And so on. {twice}"), (2, f"{bad} And so on. {twice.replace('Tom', 'Jim')}"), (3, f"{bad} Then. {bad}"), (4, longer)]
+    assert leaks(spark, docs, [(2, twice)]) == [(1, 2, True), (2, 2, False), (4, 2, False)]
