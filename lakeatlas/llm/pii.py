@@ -3,13 +3,16 @@
 E-mail addresses, phone numbers, card numbers, IBANs, social security numbers and IPv4 addresses are permuted by a keyed
 Feistel network over the numbers of their own format: digits stay digits, letters stay letters of their case, check digits
 are set anew. A permutation never maps two entities to one, and maps the same entity to the same surrogate everywhere.
-Names (found by their title, which also tells the gender) are drawn by key from lists for gender and script, with an added
-surname of keyed syllables; a check over all distinct entities looks for collisions, and the draw is lengthened until
-there are none.
+Phone numbers are groups of digits that are judged by their shape and count. Names are found by their title, which also
+tells the gender, and from then on a text's further mentions of them (whole, given or family name) without it. Given names
+are drawn by key from lists for gender and script, family names from keyed syllables, each from its own word, so that
+mentions of a person keep what they share; a check over all distinct words looks for collisions, and the draw is
+lengthened until there are none.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -25,7 +28,7 @@ PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
-    "phone": r"(?<![\w.+-])(?<!\d{4} )(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d| \d{4}(?!\d))",
+    "phone": r"(?<![\w.+-])(?:\+?\d+|\+?\(\+?\d{1,5}\))(?:[ ./-]?\(\d{1,5}\)|[ ./-]\d+|(?<=\))\d+)*(?![\w-]|\.\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)",
     "ip": r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)",
     "name": r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Г-н|Г-жа|Господин|Госпожа|Κύριος|Κυρία)\.? +(?:[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+)(?: [^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+)?",
@@ -101,6 +104,85 @@ def script_of(text: str) -> str:
     return "latin"
 
 
+_DATE = re.compile(r"(?:^| )(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d{2})|\d{4}([./-])\d{1,2}\2\d{1,2})(?= |$)")
+_GROUP = re.compile(r"\d+")
+_LOCAL = re.compile(r"1?[2-9]\d\d[2-9]\d{6}")
+#: Country numbers of two digits; those of one are 1 and 7, and others have three.
+TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def is_phone(text: str) -> bool:
+    """Whether groups of digits are a phone number as a whole, by their number of digits and the shape of the groups."""
+    groups = _GROUP.findall(text)
+    sizes, digits = [len(g) for g in groups], "".join(groups)
+    if not 7 <= len(digits) <= 15 or len(sizes) >= 4 and set(sizes) == {4}:
+        return False
+    if "+" in text:
+        return all(n > 1 for n in sizes[1:] if n != 1 or "(0)" not in text)
+    if len(sizes) == 3 and 2 <= sizes[0] <= 4 and sizes[1] in (3, 4) and sizes[2] in (3, 4):
+        return True
+    if _DATE.search(text) or sizes == [3, 2, 4] or len(sizes) == 4 and set(re.sub(r"\d", "", text)) == {"."} and max(sizes) <= 3:
+        return False
+    if re.match(r"00?[1-9]", digits):
+        return 9 <= len(digits) and min(sizes) > 1
+    return _LOCAL.fullmatch(digits) is not None and sizes[len(digits) == 11 and sizes[0] == 1 :] in ([10], [3, 7], [3, 3, 4], [6, 4], [11])
+
+
+def phones_in(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the phone numbers in a run of digit groups, longest first from the left; runs part at spaces only."""
+    if len(text) < 7:
+        return []
+    if re.fullmatch(r"\d{4}(?:[ -]\d{4}){3,}", text):
+        return []
+    starts = [0, *(m.end() for m in re.finditer(" ", text))]
+    ends = [*(m.start() for m in re.finditer(" ", text)), len(text)]
+    out, i = [], 0
+    while i < len(starts):
+        near = [j for j in range(i, min(i + 8, len(ends))) if ends[j] - starts[i] <= 24]
+        j = next((j for j in reversed(near) if is_phone(text[starts[i] : ends[j]])), None)
+        if j is not None and j > i and re.fullmatch("(?:19|20)\\d\\d", text[starts[j] : ends[j]]):  # a year beside a number that is whole without it
+            rest = text[starts[i] : ends[j - 1]]
+            j -= len(re.sub(r"\D", "", rest)) >= 10 and is_phone(rest)
+        if j is None:
+            i += 1
+        else:
+            out.append((starts[i], ends[j]))
+            i = j + 1
+    return out
+
+
+def country_of(own: str) -> str:
+    """The country's number after a plus: the group of its own, or else by the numbers that are dealt out."""
+    if "+" not in own:
+        return ""
+    digits = re.sub(r"\D", "", own)
+    alone = re.match(r"\(?\+(\d{1,3})(?=[ ./()-])", own)
+    return alone[1] if alone else digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the names in ``found``; a given name alone has - for its family name."""
+    known: dict[str, str] = {}
+    for given in (False, True):
+        for _, _, kind, entity in found:
+            gender, _, name = entity.partition(":")
+            if kind == "name":
+                words = name.split()
+                for form, own in ([(words[0], f"{words[0]} -")] if len(words) > 1 else []) if given else [(name, name), (words[-1], words[-1])]:
+                    known.setdefault(form, f"{gender}:{own}")
+    if not known:
+        return []
+    forms = "|".join(r" +".join(map(re.escape, f.split())) for f in sorted(known, key=lambda f: (-len(f), f)))
+    taken = sorted((s, e) for s, e, _, _ in found)
+    starts = [s for s, _ in taken]
+    out = []
+    for m in re.finditer(rf"(?<!\w)(?:{forms})(?!\w)", text):
+        k = bisect.bisect_left(starts, m.end())
+        if not k or taken[k - 1][1] <= m.start():
+            out.append((m.start(), m.end(), "name", known[" ".join(m[0].split())]))
+    return out
+
+
 def _name_parts(text: str) -> tuple[str, str]:
     title, _, name = text.partition(" ")
     return title, name.strip()
@@ -115,8 +197,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _FOUND.items():
         if kind == "email" and "@" not in text or kind not in ("email", "name") and not digits:
             continue
-        for m in pattern.finditer(text):
-            s, e, own = m.start(), m.end(), m[0]
+        spans = ((m.start(), m.end()) for m in pattern.finditer(text))
+        if kind == "phone":
+            spans = ((a + b, a + c) for a, z in spans for b, c in phones_in(text[a:z]))
+        for s, e in spans:
+            own = text[s:e]
             if kind == "email":
                 entity = own.lower()
             elif kind == "name":
@@ -126,34 +211,55 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 entity = re.sub(r"[^A-Z0-9]", "", own)
                 if kind == "card" and not luhn(entity) or kind == "iban" and _iban_sum(entity) != 1:
                     continue
-                if kind == "phone" and not 7 <= len(entity) <= 15 or kind == "ip" and max(map(int, own.split("."))) > 255:
+                if kind == "ip" and max(map(int, own.split("."))) > 255:
                     continue
                 if kind == "phone":  # the country's number stays, and the rest is the same with and without it
-                    country = re.match(r"\+(\d{1,3}?)(?=[ .(-])", own)
-                    entity = f"{country[1] if country else ''}:{entity[len(country[1]) if country else 0:]}"
+                    country = country_of(own)
+                    entity = f"{country}:{entity[len(country):]}"
                 if kind == "ip":
                     entity = ".".join(str(int(x)) for x in own.split("."))
             if kind == "name":
                 entity = f"{'f' if _name_parts(own)[0].rstrip('.') in WOMEN else 'm'}:{entity}"
             if not any(s < b and a < e for a, b, _, _ in found):
                 found.append((s, e, kind, entity))
-    return sorted(found)
+    return sorted(found + _mentions(text, found))
+
+
+def _syllables(n: int, script: str, length: int) -> str:
+    out = ""
+    for _ in range(length):
+        n, k = divmod(n, len(SYLLABLES[script]))
+        out += SYLLABLES[script][k]
+    return out
+
+
+def _given(key: bytes, gender: str, word: str, length: int) -> str:
+    """A given name of the list, with a syllable more for each of ``length`` beyond two."""
+    script = script_of(word)
+    n, k = divmod(_number(key, "given", gender, word), len(GIVEN[script, gender]))
+    return GIVEN[script, gender][k] + _syllables(n, script, length - 2)
+
+
+def _family(key: bytes, word: str, length: int) -> str:
+    return _syllables(_number(key, "family", word), script_of(word), length).capitalize()
+
+
+def _parts(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What a surrogate is made of: a name's words, each by itself, and other entities as they are."""
+    if kind != "name":
+        return [(kind, entity)]
+    gender, _, name = entity.partition(":")
+    words = name.split()
+    return ([(f"given {gender}", words[0])] if len(words) > 1 else []) + ([] if words[-1] == "-" else [("family", words[-1])])
 
 
 def surrogate(key: bytes, kind: str, entity: str, length: int = 2) -> str:
     """The surrogate of an entity in its shared form. ``length``: syllables of a name's surname."""
     if kind == "name":
         gender, _, name = entity.partition(":")
-        script = script_of(name)
-        n = _number(key, "name", gender, name)
-        given = GIVEN[script, gender]
-        n, g = divmod(n, len(given))
-        surname = ""
-        for _ in range(length):
-            n, s = divmod(n, len(SYLLABLES[script]))
-            surname += SYLLABLES[script][s]
         words = name.split()
-        return surname.capitalize() if len(words) == 1 else f"{given[g]} {surname.capitalize()}"
+        out = [_given(key, gender, words[0], length)] if len(words) > 1 else []
+        return " ".join(out + ([] if words[-1] == "-" else [_family(key, words[-1], length)]))
     if kind == "email":
         return permute_text(key, "email", entity.partition("@")[0]) + "@" + _domain(key, entity.partition("@")[2])
     if kind == "card":
@@ -208,12 +314,24 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def name_length(found: DataFrame, key: bytes) -> int:
-    """The least number of syllables at which no two distinct entities of one type have one surrogate."""
+    """The least number of syllables at which no two distinct entities (of names: words) of one type have one surrogate."""
+
+    def split(batches):
+        for b in batches:
+            yield pd.DataFrame(sorted({x for k, e in zip(b["kind"], b["entity"]) for x in _parts(k, e)}), columns=["kind", "entity"])
+
+    found = kept(found.mapInPandas(split, "kind string, entity string").distinct(), "parts")
+
+    def of_part(kind: str, entity: str, length: int) -> str:
+        if kind == "family":
+            return _family(key, entity, length)
+        return _given(key, kind[-1], entity, length) if kind.startswith("given ") else surrogate(key, kind, entity)
+
     for length in range(2, 16):
 
         def run(batches, length=length):
             for b in batches:
-                yield pd.DataFrame({"kind": b["kind"], "surrogate": [surrogate(key, k, e, length) for k, e in zip(b["kind"], b["entity"])]})
+                yield pd.DataFrame({"kind": b["kind"], "surrogate": [of_part(k, e, length) for k, e in zip(b["kind"], b["entity"])]})
 
         made = found.mapInPandas(run, "kind string, surrogate string")
         if made.groupBy("kind", "surrogate").count().where("count > 1").isEmpty():

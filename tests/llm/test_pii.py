@@ -73,3 +73,34 @@ def test_edges(spark):
 @pytest.mark.parametrize("text", ["no entities here", "4111 1111 1111 1112", "call 555", "a@b", "Mr smith", "version 1.2.3"])
 def test_clean_texts_stay(text):
     assert pii.replace(text, KEY, 2) == (text, [])
+
+
+@pytest.mark.parametrize("phone", ["+13025558032", "0301234567", "+49 30 12345678", "01 42 68 53 00", "01.42.68.53.00", "302-555-8032", "(302) 555-8032", "3025558032", "1-302-555-8032", "+49 (0)30 123456"])
+@pytest.mark.parametrize("text", ["call {} now", "{}", "{} 2024", "In 2023 {} it was"])
+def test_phone_forms(phone, text):
+    assert [(k, text.format(phone)[s:e]) for s, e, k, _ in pii.detect(text.format(phone))] == [("phone", phone)]
+
+
+@pytest.mark.parametrize("text", ["1234 5678 9012 3456", "on 05.06.2024 12 of 15", "0.123456789", "2024-01-01 2024-01-02", "10 20 30 40 50 60", "id 1700000000"])
+def test_no_phone(text):
+    assert pii.detect(text) == []
+
+
+def test_country_with_and_without_space():
+    a, b, c = (pii.detect(t)[0][3] for t in ("+13025558032", "+1 302 555 8032", "+1 (302) 555-8032"))
+    assert a == b == c
+
+
+def test_mentions_without_title():
+    text = "Mr John Smith met Mrs Jane Doe. Smith said John Smith knows Mr Smith; John and Doe left Smithfield."
+    new, found = pii.replace(text, KEY, 3)
+    assert [text[s:e] for s, e, _, _ in found] == ["John Smith", "Jane Doe", "Smith", "John Smith", "Smith", "John", "Doe"]
+    john, smith = pii.surrogate(KEY, "name", "m:John Smith", 3).split()
+    jane, doe = pii.surrogate(KEY, "name", "f:Jane Doe", 3).split()
+    assert new == f"Mr {john} {smith} met Mrs {jane} {doe}. {smith} said {john} {smith} knows Mr {smith}; {john} and {doe} left Smithfield."
+
+
+def test_same_family_many_given_names(spark):
+    names = [("name", f"m:{chr(65 + i % 26)}{chr(97 + i // 26)}x Smith") for i in range(500)] + [("name", "f:Smith"), ("name", "m:Smith")]
+    n = pii.name_length(spark.createDataFrame(names, "kind string, entity string"), KEY)
+    assert len({pii.surrogate(KEY, k, e, n) for k, e in names[:500]}) == 500
