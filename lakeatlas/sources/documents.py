@@ -52,10 +52,14 @@ def config_fragments(docs: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(schema_id, d) of sound snapshot documents (schema_id, doc), and (schema_id, message) of the others."""
+    """Sound snapshot documents (schema_id, doc, ...) with d in place of doc, and the others as they are with a message."""
     parsed = docs.withColumn("d", F.from_json("doc", SNAPSHOT))
-    ok = (F.col("d.format") == 1) & F.col("d.schema.tables").isNotNull()
-    return parsed.where(ok).select("schema_id", "d"), parsed.where(~F.coalesce(ok, F.lit(False))).select("schema_id", F.lit("not a snapshot of format 1").alias("message"))
+    ok = is_snapshot(F.col("d"))
+    return parsed.where(ok).drop("doc"), parsed.where(~ok).drop("d").withColumn("message", F.lit("not a snapshot of format 1"))
+
+
+def is_snapshot(d):
+    return F.coalesce((d["format"] == 1) & d["schema"]["tables"].isNotNull(), F.lit(False))
 
 
 #: The order of the classes of layers.

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakeatlas.operators.canonical import exploded
 from lakeatlas.operators.diff import schema_diff
-from lakeatlas.sources.documents import read_snapshots
+from lakeatlas.sources.documents import SNAPSHOT, is_snapshot, read_snapshots
 
 EVENT = "schema_id STRING, snapshot_id STRING, ts TIMESTAMP, doc STRING"
 
@@ -33,13 +33,13 @@ def changes(events: DataFrame, last: DataFrame | None = None) -> DataFrame:
 
 
 def process(events: DataFrame, batch_id: int, folder: str) -> None:
-    """One micro-batch: quarantine what is malformed, write changes and their differences, and keep the last states.
+    """One micro-batch: quarantine the documents that are malformed, write changes and their differences, and keep the last states.
 
     Each batch writes folders of its own number, so that one that is run again replaces what it wrote.
     """
     spark = events.sparkSession
-    good, bad = read_snapshots(events)
-    sound = events.join(good.select("schema_id").distinct(), "schema_id", "left_semi").join(bad.select("schema_id").distinct(), "schema_id", "left_anti")
+    _, bad = read_snapshots(events)
+    sound = events.where(is_snapshot(F.from_json("doc", SNAPSHOT)))
     bad.write.mode("overwrite").parquet(f"{folder}/quarantine/batch={batch_id}")
     last = spark.read.parquet(f"{folder}/last/batch={batch_id - 1}") if batch_id > 0 else None
     moved = changes(sound, last)
