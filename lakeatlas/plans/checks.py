@@ -48,10 +48,47 @@ def inclusion_deps(spark, sf_dir):
 def fk_coverage(spark, sf_dir):
     declared = spark.createDataFrame([(f"{t}.{c}", f"{p}.{k}") for t, c, p, k in EDGES[:7]], "child string, parent string")
     names = spark.createDataFrame([(n, t, c) for n, (t, c) in CHILDREN.items()], "full string, t string, c string")
+    return profile.coverage(_by_name(names), inclusion_deps(spark, sf_dir), declared)
+
+
+def _by_name(names):
     stem = names.withColumn("stem", F.regexp_replace("c", "^[a-z]+_", ""))
     own = stem.where(F.concat("t", F.lit("key")) == F.expr("replace(stem, 'supp', 'supplier')")).select(F.col("full").alias("parent"), F.col("stem"), F.col("t").alias("pt"))
-    by_name = stem.join(own, "stem").where("t <> pt").select(F.col("full").alias("child"), "parent")
-    return profile.coverage(by_name, inclusion_deps(spark, sf_dir), declared)
+    return stem.join(own, "stem").where("t <> pt").select(F.col("full").alias("child"), "parent")
+
+
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+def _tables(spark, sf_dir) -> dict[str, DataFrame]:
+    return {t: read(spark, sf_dir, t) for t in TABLES}
+
+
+def column_profile_all(spark, sf_dir):
+    """column_profile over every column of every table."""
+    return reduce(DataFrame.union, (profile.column_profile(df, t) for t, df in _tables(spark, sf_dir).items()))
+
+
+def key_discovery_all(spark, sf_dir):
+    """key_discovery over every column of every table."""
+    return reduce(DataFrame.union, (profile.discover_keys(df, t, df.columns) for t, df in _tables(spark, sf_dir).items()))
+
+
+def inclusion_deps_all(spark, sf_dir):
+    """inclusion_deps over all columns of the same type; whole numbers of any width are of one type."""
+    groups: dict[str, dict[str, DataFrame]] = {}
+    for t, df in _tables(spark, sf_dir).items():
+        for c, kind in df.dtypes:
+            kind = "bigint" if kind in ("tinyint", "smallint", "int") else kind
+            groups.setdefault(kind, {})[f"{t}.{c}"] = df.select(c)
+    return reduce(DataFrame.union, (profile.inclusion_dependencies(g) for g in groups.values()))
+
+
+def fk_coverage_all(spark, sf_dir):
+    """fk_coverage with every declared edge, over every column."""
+    declared = spark.createDataFrame([(f"{t}.{c}", f"{p}.{k}") for t, c, p, k in EDGES], "child string, parent string")
+    names = spark.createDataFrame([(f"{t}.{c}", t, c) for t, df in _tables(spark, sf_dir).items() for c in df.columns], "full string, t string, c string")
+    return profile.coverage(_by_name(names), inclusion_deps_all(spark, sf_dir), declared)
 
 
 def _union(parts) -> str:
@@ -59,6 +96,7 @@ def _union(parts) -> str:
 
 
 QUERIES = {"column_profile": column_profile, "key_discovery": key_discovery, "key_violations": key_violations, "fk_integrity": fk_integrity, "fk_cardinality": fk_cardinality, "inclusion_deps": inclusion_deps, "fk_coverage": fk_coverage}
+QUERIES |= {"column_profile_all": column_profile_all, "key_discovery_all": key_discovery_all, "inclusion_deps_all": inclusion_deps_all, "fk_coverage_all": fk_coverage_all}
 _DEPS = _union(
     f"SELECT '{a}' AS child, '{b}' AS parent, count(*) AS n_values FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL) x HAVING count(*) > 0 AND count(*) = count_if(v IN (SELECT {d} FROM {u}))" for a, (t, c) in CHILDREN.items() for b, (u, d) in CHILDREN.items() if a != b
 )
