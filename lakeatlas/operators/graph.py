@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -61,11 +62,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(schema_id, src, dst, depth): every pair of which dst is reached from src, with the least number of steps."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(schema_id, src, dst, depth): every pair of which dst is reached from src, with the least number of steps.
+
+    It ends by itself, for a pair is found only once.
+    """
     found = edges.select("schema_id", "src", "dst", F.lit(1).alias("depth")).distinct()
     frontier = found
-    for d in range(2, max_depth + 1):
+    for d in itertools.count(2):
         longer = frontier.select("schema_id", "src", F.col("dst").alias("mid")).join(edges.select("schema_id", F.col("src").alias("mid"), "dst"), ["schema_id", "mid"]).select("schema_id", "src", "dst").distinct()
         frontier = written(longer.join(found.select("schema_id", "src", "dst"), ["schema_id", "src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
