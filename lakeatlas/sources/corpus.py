@@ -221,11 +221,14 @@ def _name(node) -> str:
 
 
 def class_facts(source: str) -> list[tuple]:
-    """(class, bases, table name, place, field, call, first argument, options) of each class and each field made by a call."""
+    """(class, bases, table name, place, field, call, first argument, options) of each class and each field made by a call.
+
+    A source that does not parse gives one row of place -1, with the reason as its call.
+    """
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [(None, [], None, -1, None, type(e).__name__, None, {})]
     out = []
     for node in ast.walk(tree):
         if not isinstance(node, ast.ClassDef):
@@ -288,7 +291,7 @@ def django(facts: DataFrame) -> dict[str, DataFrame]:
     refs = tables.select("schema_id", F.col("app").alias("ref_app"), F.col("cls").alias("ref"), F.col("table").alias("ref_table"))
     near = wanted.join(refs, ["schema_id", "ref"]).groupBy("schema_id", F.col("table").alias("table_name"), "call", "field", "app", F.col("options")["through"].alias("via")).agg(F.max(F.when(F.col("app") == F.col("ref_app"), F.col("ref_table"))).alias("same"), F.when(F.count_distinct("ref_table") == 1, F.max("ref_table")).alias("only"))
     edges = near.select("schema_id", "table_name", lookup(F.col("call"), _LINKS).alias("type"), F.col("field").alias("name"), F.coalesce("same", "only").alias("target"), F.when(F.col("call") != "ManyToManyField", F.concat("field", F.lit("_id"))).alias("foreign_key"), F.col("via").alias("through")).where("target IS NOT NULL")
-    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": columns, "edges": edges}
+    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": columns, "edges": edges, "warnings": python_warnings(facts)}
 
 
 def sqlalchemy(facts: DataFrame) -> dict[str, DataFrame]:
@@ -303,7 +306,11 @@ def sqlalchemy(facts: DataFrame) -> dict[str, DataFrame]:
     refs = tables.select("schema_id", F.col("cls").alias("target"), F.col("table").alias("ref"))
     rel = fields.where((F.col("call") == "relationship") & F.col("options")["remote_side"].isNull()).join(refs, ["schema_id", "target"]).select("schema_id", F.col("table").alias("table_name"), F.when(F.col("options")["secondary"].isNotNull(), "has_and_belongs_to_many").when(F.col("options")["uselist"] == "False", "has_one").otherwise("has_many").alias("type"), F.col("field").alias("name"), F.col("ref").alias("target"), F.lit(None).cast("string").alias("foreign_key"))
     there = keys.where("table_name <> target").select("schema_id", "table_name", "target").distinct()
-    return {"columns": columns, "edges": keys.unionByName(rel.join(there, ["schema_id", "table_name", "target"], "left_anti"))}
+    return {"columns": columns, "edges": keys.unionByName(rel.join(there, ["schema_id", "table_name", "target"], "left_anti")), "warnings": python_warnings(facts)}
+
+
+def python_warnings(facts: DataFrame) -> DataFrame:
+    return facts.where("pos = -1").select("schema_id", "path", F.concat(F.lit("does not parse: "), "call").alias("message"))
 
 
 Job = Callable[[DataFrame], dict[str, DataFrame]]

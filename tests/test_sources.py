@@ -221,3 +221,9 @@ def test_layers_and_projects(spark):
     assert rows(found, "project", "kind") == [("a", "prisma"), ("b", "rails")] and rows(documents.ambiguous(found), "project", "others") == [("a", ("django",))]
     paths = spark.createDataFrame([("a", "x/m.py"), ("a", "x/venv/m.py"), ("a", "m.rb")], "project string, path string")
     assert rows(documents.source_files(paths, ".py"), "path") == [("x/m.py",)]
+
+
+def test_python_that_does_not_parse_is_a_warning(spark):
+    facts = corpus.python_models(files(spark, "class A(Model):\n    pass\n", "not python (", path="blog/models.py"))
+    for job in (corpus.django, corpus.sqlalchemy):
+        assert rows(job(facts)["warnings"], "message") == [("does not parse: SyntaxError",)]
