@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,25 @@ def text_or_empty(column: str = "text"):
 def parts(df: DataFrame) -> int:
     """How many partitions the session gives to a shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def texts_of(batch: pa.RecordBatch, column: str, lower: bool = False) -> list[bytes]:
+    """The texts of a string column as UTF-8 bytes, null as empty; ``lower`` changes A-Z only."""
+    found = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    return [x.lower() for x in found] if lower else found
+
+
+def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], more: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without the columns ``drop`` and with those of ``more`` ("name type, ..."), which ``run`` makes of each batch.
+
+    Columns pass through as Arrow, so that numbers beyond 2 ** 53 keep their value beside nulls.
+    """
+    left = [c for c in df.columns if c not in drop]
+    names = [x.split()[0] for x in more.split(", ")]
+
+    def each(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in left), *run(b)], names=[*left, *names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(F.col(f"`{c}`") for c in left)).schema)
+    return df.mapInArrow(each, ", ".join(x for x in (kinds, more) if x))

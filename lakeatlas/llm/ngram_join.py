@@ -3,19 +3,22 @@
 Which texts link: the Jaccard likeness of their sets of word shingles is at least ``percent`` / 100. The join is exact
 (on 64-bit hashes of shingles and of sets), and yields the connected components rather than all pairs:
 
-1. Every set is cut, by the range of its shingle hashes, into more parts than the number d of shingles in which a linked
-   pair can differ. Linked sets therefore agree in all parts but d (pigeonhole), and in one that is not empty if either
-   has more than d such parts; a set that has not also counts its empty ones. The parts that sets agree in are the tokens
-   of the matrix: rare and selective even where texts share passages. For the same end, shingles that are very common
-   are left out before cutting, where enough others remain: sets without them differ in no more shingles than before. Any
-   choice of common shingles gives the same links, so it need not be exact.
-2. Inside each token's postings every set is compared with the least of them only (first inside a task, then over all),
+1. A set can link only if ``percent`` of its shingles occur in further texts. Shingles are counted over all texts: tasks
+   sort them into packs by hash range, a range's task marks those that come more than once, and the marks are summed up
+   by text. Shingles are cut to 48 bits for this, and copies count as further texts; both let sets through that link
+   with nothing, but hold none back that link.
+2. The sets that are left are cut, by the range of their shingle hashes, into more parts than the number d of shingles in
+   which a linked pair can differ. Linked sets therefore agree in all parts but d (pigeonhole), and in one that is not
+   empty if either has more than d such parts; a set that has not also counts its empty ones. The parts that sets agree in
+   are the tokens of the matrix: rare and selective even where texts share passages.
+3. Inside each token's postings every set is compared with the least of them only (first inside a task, then over all),
    so a token of a third of all texts costs one comparison a text. The links found give components. Sets that share
-   tokens are put into *groups* of about ``group_size``; each group has the union of its members' shingles.
-3. What this leaves open are tokens that sets of different components share. The groups with such a token are matched:
-   each set of one is a query on the other, bounded by its overlap with the group's union; only groups in which the
-   query can reach the threshold are opened, and compared with the members of other components.
-4. The components of all links are the result.
+   tokens are put into *groups* of about ``group_size``; each group has the union of its members' tokens.
+4. What this leaves open are tokens that sets of different components share. There each set is a query on the groups that
+   hold the token and a larger component. A linked pair has all of the query's tokens in common but d, so a group is
+   opened only if its union holds as many; the query is compared with the members of other components in it. A token
+   that m sets without links share costs m * m / group_size such bounds; no pairs of sets are made.
+5. The components of all links are the result.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import kept, parts, text_or_empty
-from ._words import U, as_bytes, mix, set_hash, shingle_set, word_hashes
+from ._common import kept, map_arrow, parts, text_or_empty, texts_of
+from ._words import U, mix, pack_planes, set_hash, shingle_set, unpack_planes, word_hashes
 from .components import components
 
+#: Entries that a task holds before it packs them, and about as many as one range of hashes gets.
 FLUSH = 1_500_000
+RANGE = 3_000_000
 
 
 class Parts:
@@ -51,7 +56,7 @@ class Parts:
         least = self.starts[k + 1] - 1
         return (100 - self.percent) * (least + least * 100 // self.percent) // (100 + self.percent)
 
-    def _cut(self, shingles: np.ndarray, most: int, tag: int) -> np.ndarray:
+    def _cut(self, shingles: np.ndarray, most: int, tag: int) -> tuple[np.ndarray, int]:
         n = most + 1 + (3 * most + 19) // 20 + 2
         if n not in self.bounds:
             self.bounds[n] = (np.arange(1, n, dtype=U) * U(((1 << 64) - 1) // n)).astype(U)
@@ -59,81 +64,116 @@ class Parts:
         at = np.concatenate([[0], np.searchsorted(shingles, self.bounds[n]), [len(shingles)]])
         found = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(n, dtype=U) + U(tag << 40)))
         full = at[1:] > at[:-1]
-        return found[full] if full.sum() > most else found
+        if full.sum() > most:  # all but ``most`` of them are the other set's too, which has them whether it leaves out any or not
+            return found[full], int(full.sum()) - most
+        return found, 1
 
-    def tokens(self, shingles: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-        """A set's tokens: as the smaller one of a pair under its own class, as the larger under that below.
-
-        ``common`` is sorted. A set with few other shingles is cut whole; so is one that could link with such a set.
-        """
+    def cuts(self, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """A set's tokens with how many of them a linked set has at least: as the smaller one of a pair under its own
+        class, then as the larger under that below."""
         while self.starts[-1] <= len(shingles):
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         k = bisect_right(self.starts, len(shingles)) - 1
-        rest = shingles
-        if common is not None and len(common):
-            rest = shingles[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles]
-        found = []
         for c in (k, k - 1):
             if c >= 0:
-                most = self.most(c)
-                enough = (13 * (most + 1) + 4) // 5
-                if len(rest) >= enough:
-                    found.append(self._cut(rest, most, 2 * c))
-                if len(rest) < enough + most:
-                    found.append(self._cut(shingles, most, 2 * c + 1))
-        return np.concatenate(found)
+                yield self._cut(shingles, self.most(c), c)
 
+    def tokens(self, shingles: np.ndarray) -> np.ndarray:
+        return np.concatenate([x for x, _ in self.cuts(shingles)])
 
-def common_shingles(docs: DataFrame, width: int, least: int = 8, keep: int = 200_000) -> np.ndarray:
-    """Shingles that ``least`` texts of one stretch of the table have, at most the ``keep`` commonest, sorted.
 
-    Every text is looked at. The bound holds what is sent to the tasks; it changes the work to do, not the links.
-    """
+def _sets(texts, width: int) -> Iterator[np.ndarray]:
+    """The sets of lower-cased texts."""
+    for words in word_hashes(texts):
+        yield shingle_set(words, width)
 
-    def run(batches):
-        held, size = [], 0
 
-        def flush():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"shingle": found[n >= least].view(np.int64), "n": n[n >= least]})
+def document_sets(docs: DataFrame, width: int, columns: list[str]) -> DataFrame:
+    """``columns`` of each row with n_shingles and node, the hash of its set; null and empty texts have no shingles and a
+    null node. Repeated rows stay, an empty table gives no rows; a column named n_shingles or node can't be taken along."""
 
-        for b in batches:
-            for s in _sets(b["text"], width):
-                held.append(s)
-                size += len(s)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [(len(s), set_hash(s) if len(s) else None) for s in _sets(texts_of(batch, "_la_text", lower=True), width)]
+        return [pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())]
 
-    found = docs.select(text_or_empty().alias("text")).mapInPandas(run, "shingle long, n long")
-    top = found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(keep)
-    packed = top.select("shingle").mapInPandas(lambda batches: (pd.DataFrame({"all": [b["shingle"].to_numpy(np.int64).tobytes()]}) for b in batches), "all binary")
-    return np.sort(np.frombuffer(b"".join(bytes(r["all"]) for r in packed.collect()), U))
+    return map_arrow(docs.select(*columns, text_or_empty().alias("_la_text")), run, "n_shingles long, node long", drop=("_la_text",))
 
 
-def _sets(texts, width: int) -> Iterator[np.ndarray]:
-    for words in word_hashes(map(as_bytes, texts)):
-        yield shingle_set(words, width)
+# -- sets with enough shingles in further texts
 
+_COUNT = "bucket long, pack long, kind long, entries long, x binary, y binary"
 
-def document_sets(docs: DataFrame, width: int, columns: list[str]) -> DataFrame:
-    """``columns`` of each row with n_shingles and node, the hash of its set (null for an empty set)."""
+
+def promising(docs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
+    """Distinct (node) of which ``percent`` of the shingles occur in more than one text; ``total`` shingles are expected.
+
+    A pack has at most one row for each range of hashes, and never more rows than shingles.
+    """
+    buckets = max(2 * parts(docs), -(-total // RANGE))
+    bounds = np.arange(1, buckets, dtype=U) * U((1 << 48) // buckets)
+
+    def emit(held: dict[int, np.ndarray]):
+        nodes = np.fromiter(held, np.int64, len(held))
+        sizes = np.array([len(s) for s in held.values()], np.int64)
+        pack = set_hash(nodes.view(U))
+        keys = np.sort(np.concatenate(list(held.values())) >> U(16) << U(16) | np.repeat(np.arange(len(held), dtype=U), sizes))
+        out = [(pack % buckets, pack, 0, len(keys), nodes.tobytes(), sizes.tobytes())]
+        at = np.concatenate([[0], np.searchsorted(keys, bounds << U(16)), [len(keys)]])
+        for p in np.flatnonzero(at[1:] > at[:-1]):
+            own = keys[at[p] : at[p + 1]]
+            out.append((int(p), pack, 1, len(own), pack_planes(np.diff(own >> U(16), prepend=U(0))), pack_planes(own.astype(np.uint16))))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNT.split(", ")])
 
     def run(batches):
+        held, size = {}, 0
         for b in batches:
-            ns, nodes = [], []
-            for s in _sets(b["text"], width):
-                ns.append(len(s))
-                nodes.append(set_hash(s) if len(s) else None)
-            out = b[columns].copy()
-            out["n_shingles"] = np.array(ns, np.int64)
-            out["node"] = pd.array(nodes, "Int64")
-            yield out
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns)
-    return docs.select(*columns, text_or_empty().alias("text")).mapInPandas(run, f"{kinds}, n_shingles long, node long")
+            for s in _sets(texts_of(b, "text", lower=True), width):
+                if len(s) and (h := set_hash(s)) not in held:
+                    held[h] = s
+                    size += len(s)
+                    if size >= FLUSH or len(held) == 1 << 16:
+                        yield pa.RecordBatch.from_pandas(emit(held))
+                        held, size = {}, 0
+        if held:
+            yield pa.RecordBatch.from_pandas(emit(held))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each pack, its texts (by number) that have shingles of this range in common with others, and how many."""
+        own = pdf[pdf["kind"] == 1]
+        done = pdf[pdf["kind"] == 0]
+        if len(own):
+            n = own["entries"].to_numpy()
+            values = np.concatenate([np.cumsum(unpack_planes(x, np.uint64), dtype=U) for x in own["x"]])
+            texts = np.concatenate([unpack_planes(x, np.uint16) for x in own["y"]]).astype(np.int64) | np.repeat(np.arange(len(n)), n) << 16
+            order = np.argsort(values)
+            same = values[order]
+            same = same[1:] == same[:-1]
+            shared = np.zeros(len(order), bool)
+            shared[order[1:]] = same
+            shared[order[:-1]] |= same
+            text, times = np.unique(texts[shared], return_counts=True)
+            at = np.searchsorted(text >> 16, np.arange(len(n) + 1))
+            marks = [((text[i:j] & 0xFFFF).astype(np.uint16).tobytes(), times[i:j].astype(np.uint32).tobytes()) for i, j in zip(at, at[1:])]
+            done = pd.concat([done, own.assign(x=[x for x, _ in marks], y=[y for _, y in marks])])
+        return done
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, marks = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
+        if known["entries"].sum() != marks["entries"].sum():
+            raise RuntimeError("the input's rows came in another order when a task was run again; write it to a table first")
+        nodes = np.frombuffer(known["x"].iloc[0], np.int64)
+        sizes = np.frombuffer(known["y"].iloc[0], np.int64)
+        shared = np.zeros(len(nodes), np.int64)
+        for x, y in zip(marks["x"], marks["y"]):
+            shared[np.frombuffer(x, np.uint16)] += np.frombuffer(y, np.uint32)
+        return pd.DataFrame({"node": nodes[100 * shared >= percent * sizes]})
+
+    packed = docs.select(text_or_empty().alias("text")).mapInArrow(run, _COUNT)
+    counted = packed.groupBy("bucket").applyInPandas(count, _COUNT)
+    return counted.groupBy("pack").applyInPandas(judge, "node long").distinct()
+
+
+# -- tokens
 
 
 def _stars(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,9 +194,9 @@ def _packs(bucket, kind, x, y) -> pd.DataFrame:
     return pd.DataFrame({"bucket": bucket, "kind": kind, "x": x, "y": y})
 
 
-def star_pairs(docs: DataFrame, width: int, cut: Parts, common: Broadcast) -> DataFrame:
-    """Distinct (a, b) of sets which share a token: each set with the least one of the token."""
-    buckets = 2 * parts(docs)
+def star_pairs(sets: DataFrame, cut: Parts) -> DataFrame:
+    """Distinct (query, grp) of ``sets(node, shingles)`` which share a token: each set with the least one of the token."""
+    buckets = 2 * parts(sets)
 
     def emit(tokens: list, nodes: list):
         a, b, token, hub = _stars(np.concatenate(tokens), np.concatenate(nodes))
@@ -173,12 +213,10 @@ def star_pairs(docs: DataFrame, width: int, cut: Parts, common: Broadcast) -> Da
     def run(batches):
         tokens, nodes, size = [], [], 0
         for batch in batches:
-            for s in _sets(batch["text"], width):
-                if not len(s):
-                    continue
-                t = cut.tokens(s, common.value)
+            for node, x in zip(batch["node"], batch["shingles"]):
+                t = cut.tokens(np.frombuffer(x, U))
                 tokens.append(t)
-                nodes.append(np.full(len(t), set_hash(s), np.int64))
+                nodes.append(np.full(len(t), node, np.int64))
                 size += len(t)
                 if size >= FLUSH:
                     yield from emit(tokens, nodes)
@@ -191,94 +229,163 @@ def star_pairs(docs: DataFrame, width: int, cut: Parts, common: Broadcast) -> Da
         a = [np.frombuffer(x, np.int64) for x in done["x"]]
         b = [np.frombuffer(x, np.int64) for x in done["y"]]
         if len(own):
-            pa, pb, _, _ = _stars(np.concatenate([np.frombuffer(x, U) for x in own["x"]]), np.concatenate([np.frombuffer(x, np.int64) for x in own["y"]]))
-            a.append(pa)
+            pa_, pb, _, _ = _stars(np.concatenate([np.frombuffer(x, U) for x in own["x"]]), np.concatenate([np.frombuffer(x, np.int64) for x in own["y"]]))
+            a.append(pa_)
             b.append(pb)
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return pd.DataFrame({"query": np.concatenate(a), "grp": np.concatenate(b)})
 
-    packed = docs.select(text_or_empty().alias("text")).mapInPandas(run, _PACK)
-    return packed.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    packed = sets.select("node", "shingles").mapInPandas(run, _PACK)
+    return packed.groupBy("bucket").applyInPandas(meet, "query long, grp long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the threshold."""
+_MEMBER = np.dtype([("node", np.int64), ("component", np.int64), ("size", np.int64), ("grp", np.int64), ("need", np.int64)])
 
-    def run(batches):
-        for p in batches:
-            good = []
-            for x, y in zip(p["x"], p["y"]):
-                m, n = len(x) // 8, len(y) // 8
-                if 100 * min(m, n) < percent * max(m, n):
-                    good.append(False)
-                    continue
-                both = m + n - len(np.unique(np.concatenate([np.frombuffer(x, U), np.frombuffer(y, U)])))
-                good.append(100 * both >= percent * (m + n - both))
-            yield p.loc[np.array(good, bool), ["a", "b"]]
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+def _bounded(tokens: np.ndarray, owner: np.ndarray, members: np.ndarray, step: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(member, grp, number of tokens): how many of a member's tokens here are in a group, in sets of a larger component.
 
+    ``owner``: each token's row in ``members``. Larger is by size, then by name. A row may come in several pieces.
+    """
+    rank = np.empty(len(members), np.int64)
+    order = np.lexsort((members["component"], members["size"]))
+    c = members["component"][order]
+    rank[order] = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]]))
+    names, group = np.unique(members["grp"], return_inverse=True)
+    order = np.lexsort((rank[owner], group[owner], tokens))
+    tokens, owner = tokens[order], owner[order]
+    new_token = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    new_group = new_token | np.concatenate([[True], group[owner][1:] != group[owner][:-1]])
+    first = np.flatnonzero(new_group)  # a token's groups, each with the largest component in it
+    most = rank[owner[np.append(first[1:], len(owner)) - 1]]
+    of_token = np.cumsum(new_token) - 1
+    begin = np.flatnonzero(new_token[first])
+    n_groups = np.diff(np.append(begin, len(first)))
+    top = np.maximum.reduceat(most, begin) if len(begin) else most
+    asks = np.flatnonzero(rank[owner] < top[of_token])
+    work = np.cumsum(n_groups[of_token[asks]])
+    at = 0
+    while at < len(asks):  # so many queries at a time that their groups are about ``step``
+        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + step)))
+        own = asks[at:end]
+        n = n_groups[of_token[own]]
+        where = np.repeat(begin[of_token[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        who = np.repeat(owner[own], n)
+        good = most[where] > rank[who]
+        pairs, count = np.unique(who[good] * len(names) + group[owner[first[where[good]]]], return_counts=True)
+        yield pairs // len(names), names[pairs % len(names)], count
+        at = end
+
+
+def open_groups(sets: DataFrame, labels: DataFrame, cut: Parts) -> DataFrame:
+    """Distinct (query, grp): groups whose union of tokens holds enough of a query's, in sets of a larger component.
+
+    ``labels(node, component, size, grp)``; a query reaches its bound under one of its two classes.
+    """
+    buckets = 2 * parts(sets)
 
-def _open_pairs(sets: DataFrame, labels: DataFrame, cut: Parts, common: Broadcast) -> DataFrame:
-    """(g, h) with g <= h of groups that share a token which sets of different components have."""
+    def emit(members: list, tokens: list):
+        owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        token = np.concatenate(tokens)
+        place = (token % U(buckets)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, all_ = place[order], np.array(members, _MEMBER)
+        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        rows = []
+        for i, j in zip(at, np.append(at[1:], len(place))):
+            some, own = np.unique(owner[order[i:j]], return_inverse=True)
+            rows.append((int(place[i]), all_[some].tobytes(), token[order[i:j]].tobytes(), own.astype(np.uint32).tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "members", "tokens", "owner"])
 
     def run(batches):
+        members, tokens, size = [], [], 0
         for b in batches:
-            found = [cut.tokens(np.frombuffer(x, U), common.value).view(np.int64) for x in b["shingles"]]
-            n = [len(x) for x in found]
-            if n:
-                yield pd.DataFrame({"token": np.concatenate(found), "component": np.repeat(b["component"].to_numpy(), n), "grp": np.repeat(b["grp"].to_numpy(), n)}).drop_duplicates()
-
-    rows = labels.join(sets, "node").select("component", "grp", "shingles").mapInPandas(run, "token long, component long, grp long")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_set("grp").alias("grps")).where("lo <> hi")
-    pairs = mixed.select(F.array_sort("grps").alias("grps")).distinct().select("grps", F.explode("grps").alias("g"))
-    return pairs.select("g", F.explode("grps").alias("h")).where("g <= h").distinct()
-
-
-def _linked(members: pd.DataFrame, percent: int) -> tuple[list, list]:
-    """Links of sets of side 0, as queries, to those of side 1 with other components.
+            for node, component, n, grp, x in zip(b["node"], b["component"], b["size"], b["grp"], b["shingles"]):
+                for t, need in cut.cuts(np.frombuffer(x, U)):
+                    members.append((node, component, n, grp, need))
+                    tokens.append(t)
+                    size += len(t)
+                if size >= FLUSH:
+                    yield emit(members, tokens)
+                    members, tokens, size = [], [], 0
+        if size:
+            yield emit(members, tokens)
 
-    The token union of side 1 is its matrix row: a query opens the group only if enough of its shingles are in it.
-    """
-    group = members[members["side"] == 1]
-    sets = [np.frombuffer(x, U) for x in group["shingles"]]
-    sizes, nodes, components_ = np.array([len(x) for x in sets]), group["node"].to_numpy(), group["component"].to_numpy()
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    owner = np.repeat(np.arange(len(sets)), sizes)[order]
-    union, first = np.unique(flat[order], return_index=True)
-    ends = np.append(first[1:], len(flat))
-    a, b = [], []
-    for node, component, x in members.loc[members["side"] == 0, ["node", "component", "shingles"]].itertuples(index=False):
-        q = np.frombuffer(x, U)
-        fits = (100 * np.minimum(sizes, len(q)) >= percent * np.maximum(sizes, len(q))) & (components_ != component)
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(x, _MEMBER) for x in pdf["members"]]
+        before = np.cumsum([0] + [len(x) for x in held])
+        owner = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + n for x, n in zip(pdf["owner"], before)])
+        members = np.concatenate(held)
+        found = list(_bounded(np.concatenate([np.frombuffer(x, U) for x in pdf["tokens"]]), owner, members))
+        who, grp, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        return pd.DataFrame({"query": members["node"][who], "grp": grp, "need": members["need"][who], "n": n})
+
+    labelled = labels.join(sets, "node").select("node", "component", "size", "grp", "shingles")
+    packed = labelled.mapInPandas(run, "bucket long, members binary, tokens binary, owner binary")
+    counts = packed.groupBy("bucket").applyInPandas(meet, "query long, grp long, need long, n long")
+    # the two classes of a set have tokens of their own; where they need as many, counting them together loses nothing
+    enough = counts.groupBy("query", "grp", "need").agg(F.sum("n").alias("n")).where("n >= need")
+    return enough.select("query", "grp").distinct()
+
+
+class _Group:
+    """An opened group: its members' sets, and their union with who has each shingle."""
+
+    def __init__(self, members: list[tuple[int, int, bytes]], percent: int):
+        self.percent = percent
+        sets = [np.frombuffer(x, U) for _, _, x in members]
+        self.nodes = np.array([n for n, _, _ in members], np.int64)
+        self.components = np.array([c for _, c, _ in members], np.int64)
+        self.sizes = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.union, self.first = np.unique(flat[order], return_index=True)
+        self.ends = np.append(self.first[1:], len(flat))
+
+    def links(self, component: int, q: np.ndarray) -> np.ndarray:
+        """The members of other components that the query links with."""
+        fits = (100 * np.minimum(self.sizes, len(q)) >= self.percent * np.maximum(self.sizes, len(q))) & (self.components != component)
         if not fits.any():
-            continue
-        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-        at = at[union[at] == q]
-        if 100 * len(at) < percent * len(q):
-            continue
-        n = ends[at] - first[at]
-        where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(owner[where], minlength=len(sets))
-        good = fits & (100 * both >= percent * (sizes + len(q) - both))
-        a += [node] * int(good.sum())
-        b += nodes[good].tolist()
-    return a, b
-
-
-def _opened(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different components in the given pairs of groups."""
-    held = labels.join(sets, "node").select("grp", "node", "component", "shingles")
-    left = pairs.join(held, F.col("g") == F.col("grp")).select("g", "h", F.lit(0).alias("side"), "node", "component", "shingles")
-    right = pairs.join(held, F.col("h") == F.col("grp")).select("g", "h", F.lit(1).alias("side"), "node", "component", "shingles")
+            return self.nodes[:0]
+        at = np.minimum(np.searchsorted(self.union, q), len(self.union) - 1)
+        at = at[self.union[at] == q]
+        if 100 * len(at) < self.percent * len(q):
+            return self.nodes[:0]
+        n = self.ends[at] - self.first[at]
+        where = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.owner[where], minlength=len(self.sizes))
+        return self.nodes[fits & (100 * both >= self.percent * (self.sizes + len(q) - both))]
+
+
+def opened(openings: DataFrame, members: DataFrame, sets: DataFrame, percent: int, share: int = 512) -> DataFrame:
+    """Links (a, b) of queries with members of other components, for ``openings(query, grp)`` and ``members(node,
+    component, grp)``. The queries of a group go to as many tasks as they are times ``share``, its members to each."""
+    asked = openings.groupBy("grp").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
+    of = members.select("node", "component").distinct()
+    queries = openings.join(of, F.col("query") == F.col("node")).join(sets, "node").join(asked, "grp")
+    queries = queries.select("grp", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), "node", "component", "shingles")
+    held = members.join(asked, "grp").join(sets, "node").select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "node", "component", "shingles")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _linked(pdf, percent)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    def run(batches):
+        key, waiting, group = None, [], None
+        for b in batches:
+            found_a, found_b = [], []
+            for grp, salt, side, node, component, x in zip(b["grp"], b["salt"], b["side"], b["node"], b["component"], b["shingles"]):
+                if (grp, salt) != key:
+                    key, waiting, group = (grp, salt), [], None
+                if side == 0:
+                    waiting.append((node, component, x))
+                    continue
+                if group is None:
+                    group = _Group(waiting, percent)
+                links = group.links(component, np.frombuffer(x, U))
+                found_a.append(np.full(len(links), node, np.int64))
+                found_b.append(links)
+            if found_a:
+                yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
-    return left.union(right).groupBy("g", "h").applyInPandas(run, "a long, b long")
+    rows = held.union(queries).repartition("grp", "salt").sortWithinPartitions("grp", "salt", "side")
+    return rows.mapInPandas(run, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group_size: int = 256, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -293,23 +400,23 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     cut = Parts(percent)
     rows = kept(document_sets(docs, width, list(dict.fromkeys(["doc_id", *keys]))), "sets")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
-    pairs = kept(star_pairs(docs, width, cut, common), "pairs")
-
-    # the sets of what has a token in common with something else, one text for each
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = kept(_texts_of(docs, rows, involved, width), "shingles")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    some = kept(promising(docs, width, percent, total), "promising")
+    sets = kept(_texts_of(docs, rows, some, width), "shingles")
 
-    links = kept(verified(pairs, sets, percent), "links")
+    pairs = kept(star_pairs(sets, cut), "pairs")
+    hubs = pairs.select(F.explode(F.array("query", "grp")).alias("node")).distinct().select("node", F.col("node").alias("component"), F.col("node").alias("grp"))
+    links = kept(opened(pairs, hubs, sets, percent), "links")
     first = components(links)
-    labels = sets.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    labels = kept(_groups(labels, components(pairs), group_size), "groups")
 
-    openings = kept(_open_pairs(sets, labels, cut, common), "openings")
+    near = components(pairs.select(F.col("query").alias("a"), F.col("grp").alias("b")))
+    labels = near.join(first.withColumnRenamed("component", "own"), "node", "left").select("node", F.coalesce("own", "node").alias("component"), F.col("component").alias("cluster"))
+    labels = kept(_groups(labels, group_size), "groups")
+    openings = kept(open_groups(sets, labels, cut), "openings")
     if openings.isEmpty():
         final = first
     else:
-        final = components(links.union(_opened(openings, sets, labels, percent)))
+        final = components(links.union(opened(openings, labels, sets, percent)))
 
     of = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     of = kept(of, "of")
@@ -336,13 +443,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return left.withColumn("_la_first", first).where("_la_first = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _groups(labels: DataFrame, near: DataFrame, group_size: int) -> DataFrame:
-    """Groups of about ``group_size`` similar sets: large clusters of what shares tokens are cut, small ones put together."""
-    clustered = labels.join(near.select("node", F.col("component").alias("cluster")), "node")
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
+def _groups(labels: DataFrame, group_size: int) -> DataFrame:
+    """(node, component, size, grp) of ``labels(node, component, cluster)``: groups of about ``group_size`` similar sets.
+    Large clusters of what shares tokens are cut, small ones put together; size is that of the component."""
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("in_cluster"))
+    of = labels.groupBy("component").agg(F.count("*").alias("size"))
     few = max(1, labels.count() // group_size)
-    grp = F.when(F.col("size") > group_size, F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / group_size)))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
-    return clustered.join(sizes, "cluster").select("node", "component", grp.alias("grp"))
+    grp = F.when(F.col("in_cluster") > group_size, F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cluster") / group_size)))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
+    return labels.join(sizes, "cluster").join(of, "component").select("node", "component", "size", grp.alias("grp"))
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -351,8 +459,9 @@ def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) ->
 
     def run(batches):
         for b in batches:
-            found = list(_sets(b["text"], width))
-            yield pd.DataFrame({"node": [set_hash(s) if len(s) else 0 for s in found], "wanted": b["node"].to_numpy(), "shingles": [s.tobytes() for s in found]}).query("node == wanted")[["node", "shingles"]]
+            found = [(set_hash(x) if len(x) else None, x) for x in _sets(texts_of(b, "text", lower=True), width)]
+            good = [(h, x.tobytes()) for (h, x), wanted in zip(found, b.column("node").to_pylist()) if h == wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in good], pa.int64()), pa.array([x for _, x in good], pa.binary())], names=["node", "shingles"])
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(holder, F.col("doc_id").eqNullSafe(F.col("holder")))
-    return texts.select("node", "text").mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])

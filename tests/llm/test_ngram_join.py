@@ -98,9 +98,33 @@ def test_every_linked_pair_has_a_token_in_common():
                 if rnd.random() < 0.02:
                     break
             y = np.array(sorted(y), np.uint64)
-            for share in (0, 0.1, 0.3, 0.5, 0.8, 1):
-                common = np.sort(np.array([v for v in x.tolist() if rnd.random() < share], np.uint64))
-                assert set(cut.tokens(x, common).tolist()) & set(cut.tokens(y, common).tolist())
+            common = set(cut.tokens(x).tolist()) & set(cut.tokens(y).tolist())
+            for own in (x, y):
+                assert any(len(common & set(found.tolist())) >= need for found, need in cut.cuts(own))
+
+
+def test_ids_beyond_doubles(spark):
+    big = 2**53 + 1
+    rows = [(big, "a b c d e"), (big + 2, "A b c d e"), (None, "q r s t"), (big + 4, "x y z w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(ngram_jaccard_join(df)) == brute(rows, 3, 90)
+
+
+def test_a_set_far_from_the_hub_of_its_tokens(spark):
+    # many versions which share tokens with one another and with the rest, but link with few of them
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for n in range(240):
+        w = list(base)
+        for i in rnd.sample(range(150), rnd.choice([1, 2, 3, 4])):
+            w[i] = f"e{n % 40}_{i}"
+        rows.append((n, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows, 3, 90)
+    assert 5 < len({c for _, _, c in want}) < 235
+    for size in (1, 16, 512):
+        assert got(ngram_jaccard_join(df, 3, 90, group_size=size)) == want
 
 
 def test_word_hashes_are_those_of_the_words():
