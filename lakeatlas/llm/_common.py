@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakeatlas/{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at ``path``."""
+    store, found = _hadoop(spark, f"{path}/_SUCCESS")
+    return store.exists(found)
+
+
 @contextlib.contextmanager
 def stage(spark: SparkSession, before: list[str]):
     """Remember what ``kept`` writes inside, in ``before``; what is remembered from earlier stages is deleted first.
@@ -46,10 +58,19 @@ def stage(spark: SparkSession, before: list[str]):
         spark._lakeatlas_written = None
 
 
+#: Spark's setting to remove an execution's shuffle files at its end; nothing reads those of a table that is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of an executor."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     written = getattr(spark, "_lakeatlas_written", None)
     if written is not None:
         written.append(path)
@@ -77,7 +98,7 @@ def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], mo
     Columns pass through as Arrow, so that numbers beyond 2 ** 53 keep their value beside nulls.
     """
     left = [c for c in df.columns if c not in drop]
-    names = [x.split()[0] for x in more.split(", ")]
+    names = [f.name for f in T.StructType.fromDDL(more).fields]
 
     def each(batches):
         for b in batches:

@@ -20,7 +20,6 @@ UNITS = "mm cm m km inch inches feet miles mile mg g kg lb lbs oz ml l litre lit
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: A word with the sentence end that may follow it.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*[.!?:|]?"
-BROADCAST_LIMIT = 2_000_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -124,9 +123,8 @@ def _exact(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
     lower = lambda words: F.transform(words, lambda w: F.lower(bare(w)))
     wanted = items.select("item", lower(F.col("item_words")).alias("wanted")).dropDuplicates(["item"])
     first = wanted.select("item", windows_of(F.col("wanted"), width)[0].alias("hash"))
-    small = F.broadcast if first.count() <= BROADCAST_LIMIT else (lambda df: df)
     own = texts.select("row", tokens_of(F.col("text")).alias("words")).withColumn("words", lower(F.col("words")))
-    met = kept(own.select("row", F.posexplode(windows_of(F.col("words"), width)).alias("at", "hash")).join(small(first), "hash").select("row", "item", "at").distinct(), "exact")
+    met = kept(own.select("row", F.posexplode(windows_of(F.col("words"), width)).alias("at", "hash")).join(first, "hash").select("row", "item", "at").distinct(), "exact")
     again = own.join(met.select("row").distinct(), "row").dropDuplicates(["row"]).join(met, "row").join(wanted, "item")
     return again.where(F.slice("words", F.col("at") + 1, F.size("wanted")) == F.col("wanted")).select("row", "item").distinct()
 
@@ -151,23 +149,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
     spare = F.floor(F.round(F.col("n_words") * (1 - share), 6)).cast("int")
     bar = F.least(F.greatest(F.col("n_windows") - width * spare, F.lit(1)), F.col("n_windows") * coverage)
     n_windows = windows.groupBy("item", "n_words").agg(F.countDistinct("item_at").alias("n_windows"), F.collect_set("item_at").alias("plain_at")).withColumn("spare", spare).withColumn("bar", bar).drop("n_words")
-    bounded = windows.count() <= BROADCAST_LIMIT
-    windows = windows.drop("n_words")
-    small = (lambda df: F.broadcast(df)) if bounded else (lambda df: df)
+    windows = windows.drop("n_words")  # a written table, so Spark knows its size and broadcasts it where that is small
 
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     key = _row()  # rows of equal id and text are one here; they part again below
     texts = texts.withColumn("row", key)
     hashes = with_templates(texts).select("row", F.explode(windows_of(F.col("template"), width)).alias("hash"))
-    met = hashes.join(small(windows), "hash").distinct()
+    met = hashes.join(windows, "hash").distinct()
     found = met.groupBy("row", "item").agg(F.countDistinct("item_at").alias("n"))
-    candidates = kept(found.join(small(n_windows.select("item", "n_windows", "bar")), "item").where("n >= bar").select("row", "item", (F.col("n") / F.col("n_windows")).alias("coverage")), "candidates")
+    candidates = kept(found.join(n_windows.select("item", "n_windows", "bar"), "item").where("n >= bar").select("row", "item", (F.col("n") / F.col("n_windows")).alias("coverage")), "candidates")
 
     # the texts that remain are aligned with their items, at each shift and at each group of shifts near one another
     again = with_templates(texts.join(candidates.select("row").distinct(), "row"))
     again = kept(again.select("row", "doc_id", "template", F.transform("words", bare).alias("words")), "aligned")
     once = again.drop("doc_id").dropDuplicates(["row"])
-    placed = once.select("row", F.posexplode(windows_of(F.col("template"), width)).alias("at", "hash")).join(small(windows), "hash").join(candidates, ["row", "item"])
+    placed = once.select("row", F.posexplode(windows_of(F.col("template"), width)).alias("at", "hash")).join(windows, "hash").join(candidates, ["row", "item"])
     shifts = placed.groupBy("row", "item", "coverage").agg(F.array_sort(F.collect_set(F.col("at") - F.col("item_at"))).alias("shifts"))
     shifts = shifts.join(n_windows.select("item", "n_windows", "plain_at", "spare"), "item")
     near = F.transform("shifts", lambda s, i: F.filter(F.slice("shifts", i + 1, F.col("spare") + 1), lambda x: x <= s + F.col("spare")))
@@ -200,6 +196,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.8) -> DataFrame:
-    """``docs`` without the texts in which a benchmark item is found; all columns and other rows stay."""
+    """``docs`` without the texts in which a benchmark item is found; all columns and other rows stay.
+
+    A text goes with all rows that repeat it under its doc_id. Null and empty texts, null ids and nulls in other columns
+    stay as they are; an empty table gives no rows, and without items nothing goes.
+    """
     leaked = kept(find_leaks(docs, benchmark, width, coverage).select(F.col("row").alias("_la_row")).distinct(), "leaks")
     return docs.join(leaked, _row() == F.col("_la_row"), "left_anti")

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ._common import text_or_empty
 
 WIDTH = 3
+#: Bytes of template words, for each band once, up to which templates are broadcast.
+SIDE_BYTES = 16 << 20
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
-#: Notices by which texts state their license.
+#: Notices by which texts state their license, and the wording of short licenses.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
@@ -31,8 +33,26 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "BSL-1.0": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
@@ -99,14 +119,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     containment: the greatest share of a template's shingles in one window. Rows of one doc_id count together; a null
     doc_id is one of its own. Null and empty texts hold nothing. An empty table gives no rows. Other columns are not
-    looked at. ``templates`` is a small dictionary of the caller; it is broadcast.
+    looked at. ``templates`` is a dictionary of the caller, which is part of the plan; beyond ``SIDE_BYTES`` of words it is
+    joined by shuffle instead of broadcast.
     """
     spark: SparkSession = docs.sparkSession
     known = [(i, name, w) for i, (name, t) in enumerate((n, t) for n, ts in (templates or TEMPLATES).items() for t in ts) if (w := words_of(t))]
     lengths = sorted({len(w) for _, _, w in known})
     bands = n_bands(lengths, containment, probability)
     side = spark.createDataFrame(known, "template int, license string, words array<string>").withColumn("own", _hashes(F.col("words"))).withColumn("length", F.size("words"))
-    side = F.broadcast(side.select("template", "license", "length", "own", F.explode(_bands(F.col("own"), bands)).alias("b")).select("template", "license", "length", "own", "b.band", "b.low"))
+    small = sum(len(x) for _, _, w in known for x in w) * bands <= SIDE_BYTES
+    side = (F.broadcast if small else lambda df: df)(side.select("template", "license", "length", "own", F.explode(_bands(F.col("own"), bands)).alias("b")).select("template", "license", "length", "own", "b.band", "b.low"))
 
     anchors = {n: sorted({a for _, _, w in known if len(w) == n for a in anchors_of(w, containment)}) for n in lengths}
     low = docs.select("doc_id", F.lower(text_or_empty()).alias("text"))

@@ -9,10 +9,10 @@ that of their letters by edit distance (insertions and deletions), and nothing w
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,9 +124,10 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     bounds = sorted({int(x) for x in src.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)})
     last = len(bounds) + 1
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series([last if pd.isna(i) else len(bounds) - bisect_left(bounds, int(i)) for i in ids], dtype="int32")
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        at = len(bounds) - np.searchsorted(np.array(bounds, np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pc.if_else(ids.is_null(), pa.scalar(last, pa.int32()), pa.array(at.astype(np.int32)))
 
     placed = src.withColumn("range", place("doc_id"))
     # a row for each range, of which there are at most four times the shuffle partitions
@@ -144,8 +145,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         previous = None  # (range, doc_id, text, fingerprint) that waits for its next
         out = []
         for b in batches:
-            ids = b["doc_id"].astype("Int64")
-            for i, text, r, peeked in zip(ids, b["text"], b["range"], b["peek"]):
+            for i, text, r, peeked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "range", "peek"))):
                 if previous is not None and previous[0] == r:
                     print_ = fingerprint(text)
                     out.append(_row(previous, text, print_))
@@ -158,7 +158,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         if out:
             yield _table(out)
 
-    return rows.mapInPandas(run, _RESULT)
+    return rows.mapInArrow(run, _RESULT)
 
 
 def _row(own, following: str, next_print: str) -> tuple:
@@ -169,5 +169,6 @@ def _row(own, following: str, next_print: str) -> tuple:
     return i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), print_, changed, likeness(print_, changed), likeness(print_, next_print)
 
 
-def _table(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in _RESULT.split(", ")]).astype({"doc_id": "Int64"})
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _RESULT.split(", ")])

@@ -14,23 +14,25 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import hmac
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, text_or_empty
+from ._common import kept, map_arrow, text_or_empty
 
 #: Patterns of the entity types, in the order in which they take a stretch of text.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
-    "phone": r"(?<![\w.+-])(?:\+?\d+|\+?\(\+?\d{1,5}\))(?:[ ./-]?\(\d{1,5}\)|[ ./-]\d+|(?<=\))\d+)*(?![\w-]|\.\d)",
-    "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)",
-    "ip": r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])",
+    "phone": r"(?<![\w.+-])(?:\+?[0-9]+|\+?\(\+?[0-9]{1,5}\))(?:[ ./-]?\([0-9]{1,5}\)|[ ./-][0-9]+|(?<=\))[0-9]+)*(?![\w-]|\.[0-9])",
+    "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]|\.[0-9])",
+    "ip": r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])",
     "name": r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Г-н|Г-жа|Господин|Госпожа|Κύριος|Κυρία)\.? +(?:[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+)(?: [^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+)?",
 }
 _FOUND = {k: re.compile(p) for k, p in PATTERNS.items()}
@@ -104,9 +106,9 @@ def script_of(text: str) -> str:
     return "latin"
 
 
-_DATE = re.compile(r"(?:^| )(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d{2})|\d{4}([./-])\d{1,2}\2\d{1,2})(?= |$)")
-_GROUP = re.compile(r"\d+")
-_LOCAL = re.compile(r"1?[2-9]\d\d[2-9]\d{6}")
+_DATE = re.compile(r"(?:^| )(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:[0-9]{4}|[0-9]{2})|[0-9]{4}([./-])[0-9]{1,2}\2[0-9]{1,2})(?= |$)")
+_GROUP = re.compile(r"[0-9]+")
+_LOCAL = re.compile(r"1?[2-9][0-9][0-9][2-9][0-9]{6}")
 #: Country numbers of two digits; those of one are 1 and 7, and others have three.
 TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
@@ -121,7 +123,7 @@ def is_phone(text: str) -> bool:
         return all(n > 1 for n in sizes[1:] if n != 1 or "(0)" not in text)
     if len(sizes) == 3 and 2 <= sizes[0] <= 4 and sizes[1] in (3, 4) and sizes[2] in (3, 4):
         return True
-    if _DATE.search(text) or sizes == [3, 2, 4] or len(sizes) == 4 and set(re.sub(r"\d", "", text)) == {"."} and max(sizes) <= 3:
+    if _DATE.search(text) or sizes == [3, 2, 4] or len(sizes) == 4 and set(re.sub("[0-9]", "", text)) == {"."} and max(sizes) <= 3:
         return False
     if re.match(r"00?[1-9]", digits):
         return 9 <= len(digits) and min(sizes) > 1
@@ -132,7 +134,7 @@ def phones_in(text: str) -> list[tuple[int, int]]:
     """(start, end) of the phone numbers in a run of digit groups, longest first from the left; runs part at spaces only."""
     if len(text) < 7:
         return []
-    if re.fullmatch(r"\d{4}(?:[ -]\d{4}){3,}", text):
+    if re.fullmatch("[0-9]{4}(?:[ -][0-9]{4}){3,}", text):
         return []
     starts = [0, *(m.end() for m in re.finditer(" ", text))]
     ends = [*(m.start() for m in re.finditer(" ", text)), len(text)]
@@ -140,9 +142,9 @@ def phones_in(text: str) -> list[tuple[int, int]]:
     while i < len(starts):
         near = [j for j in range(i, min(i + 8, len(ends))) if ends[j] - starts[i] <= 24]
         j = next((j for j in reversed(near) if is_phone(text[starts[i] : ends[j]])), None)
-        if j is not None and j > i and re.fullmatch("(?:19|20)\\d\\d", text[starts[j] : ends[j]]):  # a year beside a number that is whole without it
+        if j is not None and j > i and re.fullmatch("(?:19|20)[0-9][0-9]", text[starts[j] : ends[j]]):  # a year beside a number that is whole without it
             rest = text[starts[i] : ends[j - 1]]
-            j -= len(re.sub(r"\D", "", rest)) >= 10 and is_phone(rest)
+            j -= len(re.sub("[^0-9]", "", rest)) >= 10 and is_phone(rest)
         if j is None:
             i += 1
         else:
@@ -155,8 +157,8 @@ def country_of(own: str) -> str:
     """The country's number after a plus: the group of its own, or else by the numbers that are dealt out."""
     if "+" not in own:
         return ""
-    digits = re.sub(r"\D", "", own)
-    alone = re.match(r"\(?\+(\d{1,3})(?=[ ./()-])", own)
+    digits = re.sub("[^0-9]", "", own)
+    alone = re.match(r"\(?\+([0-9]{1,3})(?=[ ./()-])", own)
     return alone[1] if alone else digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3]
 
 
@@ -174,11 +176,9 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
         return []
     forms = "|".join(r" +".join(map(re.escape, f.split())) for f in sorted(known, key=lambda f: (-len(f), f)))
     taken = sorted((s, e) for s, e, _, _ in found)
-    starts = [s for s, _ in taken]
     out = []
     for m in re.finditer(rf"(?<!\w)(?:{forms})(?!\w)", text):
-        k = bisect.bisect_left(starts, m.end())
-        if not k or taken[k - 1][1] <= m.start():
+        if not _overlaps(taken, m.start(), m.end()):
             out.append((m.start(), m.end(), "name", known[" ".join(m[0].split())]))
     return out
 
@@ -188,18 +188,26 @@ def _name_parts(text: str) -> tuple[str, str]:
     return title, name.strip()
 
 
+def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """``taken``: sorted stretches, none in another."""
+    k = bisect.bisect_left(taken, (end,))
+    return k > 0 and taken[k - 1][1] > start
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, entity) by start, without overlap; entity is the form that all its mentions share."""
     found: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int]] = []
     if not text:
         return found
-    digits = re.search(r"\d", text) is not None
+    digits = re.search("[0-9]", text) is not None
     for kind, pattern in _FOUND.items():
         if kind == "email" and "@" not in text or kind not in ("email", "name") and not digits:
             continue
         spans = ((m.start(), m.end()) for m in pattern.finditer(text))
         if kind == "phone":
             spans = ((a + b, a + c) for a, z in spans for b, c in phones_in(text[a:z]))
+        new: list[tuple[int, int]] = []
         for s, e in spans:
             own = text[s:e]
             if kind == "email":
@@ -220,8 +228,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     entity = ".".join(str(int(x)) for x in own.split("."))
             if kind == "name":
                 entity = f"{'f' if _name_parts(own)[0].rstrip('.') in WOMEN else 'm'}:{entity}"
-            if not any(s < b and a < e for a, b, _, _ in found):
+            if entity and not _overlaps(taken, s, e):
+                new.append((s, e))
                 found.append((s, e, kind, entity))
+        # what one type takes is without overlap, so that types are merged one by one
+        taken = list(heapq.merge(taken, sorted(new)))
     return sorted(found + _mentions(text, found))
 
 
@@ -314,13 +325,16 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def name_length(found: DataFrame, key: bytes) -> int:
-    """The least number of syllables at which no two distinct entities (of names: words) of one type have one surrogate."""
+    """The least number of syllables at which no two distinct entities (of names: words) of one type have one surrogate, and
+    no surrogate of a name is a name of the texts."""
 
     def split(batches):
         for b in batches:
             yield pd.DataFrame(sorted({x for k, e in zip(b["kind"], b["entity"]) for x in _parts(k, e)}), columns=["kind", "entity"])
 
     found = kept(found.mapInPandas(split, "kind string, entity string").distinct(), "parts")
+    is_name = F.col("kind").startswith("given ") | (F.col("kind") == "family")
+    real = found.where(is_name).select(F.col("entity").alias("surrogate")).distinct()
 
     def of_part(kind: str, entity: str, length: int) -> str:
         if kind == "family":
@@ -333,8 +347,8 @@ def name_length(found: DataFrame, key: bytes) -> int:
             for b in batches:
                 yield pd.DataFrame({"kind": b["kind"], "surrogate": [of_part(k, e, length) for k, e in zip(b["kind"], b["entity"])]})
 
-        made = found.mapInPandas(run, "kind string, surrogate string")
-        if made.groupBy("kind", "surrogate").count().where("count > 1").isEmpty():
+        made = kept(found.mapInPandas(run, "kind string, surrogate string"), "surrogates")
+        if made.groupBy("kind", "surrogate").count().where("count > 1").isEmpty() and made.where(is_name).join(real, "surrogate", "left_semi").isEmpty():
             return length
     raise ValueError("no draw of names without collisions")
 
@@ -344,20 +358,17 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
 
     Rows without entities are unchanged. A null text stays null, with no pii; empty texts, repeated rows and other columns
     stay as they are (an existing column pii is replaced), and n_chars is not set anew: formats keep their length but for
-    names and IP addresses. An empty table gives no rows.
+    names and IP addresses. An empty table gives no rows. Digits are 0-9; those of other scripts are not looked at.
     """
     secret = key.encode()
     length = name_length(kept(entities(docs), "entities"), secret)
     columns = [c for c in docs.columns if c != "pii"]
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
-    def run(batches):
-        for b in batches:
-            done = [replace(t, secret, length) if isinstance(t, str) else (None, []) for t in b["text"]]
-            out = b[columns].copy()
-            out["text"] = [t for t, _ in done]
-            out["pii"] = [[{"start": s, "end": e, "kind": k} for s, e, k, _ in f] for _, f in done]
-            yield out
-
-    src = docs.select(*(F.col(f"`{c}`") for c in columns))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInPandas(run, f"{kinds}, pii array<struct<start:int,end:int,kind:string>>")
+    def run(b: pa.RecordBatch) -> list[pa.Array]:
+        done = [replace(t, secret, length) if t is not None else (None, []) for t in b.column("_la_old").to_pylist()]
+        return [pa.array([t for t, _ in done], pa.string()), pa.array([[{"start": s, "end": e, "kind": k} for s, e, k, _ in f] for _, f in done], span)]
+
+    src = docs.select(*(F.col(f"`{c}`") for c in columns if c != "text"), F.col("text").alias("_la_old"))
+    out = map_arrow(src, run, "text string, pii array<struct<start:int,end:int,kind:string>>", drop=("_la_old",))
+    return out.select(*(F.col(f"`{c}`") for c in columns), "pii")

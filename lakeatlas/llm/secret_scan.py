@@ -1,8 +1,8 @@
 """Secret scan over an incremental ledger of text blobs.
 
-Every version of a text is addressed by the SHA-256 of its content. The ledger holds one row for each (blob, rule version)
-pair that has been scanned; only unseen pairs are scanned, each once however many paths hold the blob, and the findings
-are joined back to every path. Positions are code points, ends exclusive.
+Every version of a text is addressed by the SHA-256 of its content. The ledger is a stored table with one row for each
+(blob, rule version) pair that has been scanned; only unseen pairs are scanned, each once however many paths hold the blob,
+and appended to it; the findings are joined back from the ledger to every path. Positions are code points, ends exclusive.
 
 A rule marks its matches with control characters by one regexp_replace, and the lengths of the pieces between the marks
 give the positions; all of it runs as built-in functions.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import new_folder, text_or_empty, written
 
 MARK, SPLIT = "\x01", "\x02"
 
@@ -78,39 +78,57 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.groupBy("blob").agg(F.array_sort(F.collect_list(item)).alias("spans"))
 
 
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """New ledger rows ``(blob, rule_version, spans)``: every blob of ``docs`` not yet in ``ledger`` under this version.
+LEDGER = "blob string, rule_version string, spans array<struct<start:bigint,no:int,end:bigint,kind:string>>"
+#: Over how many tasks the paths of one blob are dealt when they are joined with its findings.
+SALTS = 64
 
-    A blob without findings has a row with empty spans, so that it is not scanned again.
+
+def unseen_blobs(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """New ledger rows: every blob of ``docs(text, ...)`` that ``ledger`` has not under this version, scanned.
+
+    A blob without findings has a row with empty spans, so that it is not scanned again. Null texts are the empty blob.
     """
     texts = docs.select(text_or_empty().alias("text")).select(F.sha2("text", 256).alias("blob"), "text")
-    if ledger is not None:
-        texts = texts.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+    texts = texts.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
     found = scan_blobs(blobs, rules)
-    seen = texts.select("blob").distinct()
     empty = F.array().cast("array<struct<start:bigint,no:int,end:bigint,kind:string>>")
+    seen = texts.select("blob").distinct()
     return seen.join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """``(doc_id, blob, spans)`` for every row of ``docs(doc_id, text, ...)``, from the ledger and a scan of the rest.
+def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """Append ``unseen_blobs`` to the ledger stored at ``path`` (made where it is not there), and return the whole ledger.
+
+    One writer at a time; a job that fails leaves the ledger as it was.
+    """
+    spark = docs.sparkSession
+    if not written(spark, path):
+        spark.createDataFrame([], LEDGER).write.parquet(path)
+    old = spark.read.schema(LEDGER).parquet(path)
+    unseen_blobs(docs, old, rules, version).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _with_findings(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``keyed(doc_id, blob)`` left joined with ``found(blob, ...)``, a row for each blob with findings, by parts of each blob."""
+    dealt = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    return keyed.withColumn("salt", salt).join(dealt, ["blob", "salt"], "left").drop("salt")
+
+
+def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """``(doc_id, blob, spans)`` for every row of ``docs(doc_id, text, ...)``, from the ledger stored at the path ``ledger``
+    (default: a new one in the shared folder), which is brought up to date first.
 
     A null or empty text is the empty blob, without spans. Repeated rows give a row each; a null doc_id stays null. An
     empty table gives no rows. Other columns are not looked at. Spans are ordered by start, then rule, then end.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.sha2("text", 256).alias("blob"), "text")
-    unseen = texts.select("blob", "text")
-    known = None
-    if ledger is not None:
-        current = ledger.where(F.col("rule_version") == version)
-        unseen = unseen.join(current.select("blob"), "blob", "left_anti")
-        known = current.where("size(spans) > 0").select("blob", "spans")
-    found = scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text")), rules)
-    if known is not None:
-        found = known.unionByName(found)
+    known = update_ledger(docs, ledger or new_folder(docs.sparkSession, "ledger"), rules, version)
+    found = known.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    texts = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"))
     empty = F.array().cast("array<struct<start:bigint,no:int,end:bigint,kind:string>>")
-    return texts.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", empty).alias("spans"))
+    return _with_findings(texts, found).select("doc_id", "blob", F.coalesce("spans", empty).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -121,22 +139,32 @@ def of_kind(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def _gaps(found: DataFrame) -> DataFrame:
+    """(blob, gaps, tail): of ``found(blob, spans)`` the stretches before each secret, overlapping ones as one, and where
+    the last one ends."""
+    one = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end", "s.no")
+    before = F.coalesce(F.max("end").over(Window.partitionBy("blob").orderBy("start", "no", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    one = one.withColumn("before", before)
+    gap = F.when(F.col("start") >= F.col("before"), F.struct(F.col("before").alias("at"), (F.col("start") - F.col("before")).alias("n")))
+    return one.groupBy("blob").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("tail"))
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """``docs`` with every found secret (overlapping ones as one) replaced by ``mask``, and n_chars set anew where it
-    changes. No row goes; rows without findings are untouched. Nulls stay; all columns are kept."""
+    changes; findings come from the ledger as in ``scan_secrets``. No row goes; rows without findings are untouched. Nulls
+    stay, empty and repeated rows too; an empty table gives no rows; all columns are kept, whatever their names."""
     columns = docs.columns
-    keyed = docs.withColumn("_la_blob", F.sha2(text_or_empty(), 256))
-    blobs = docs.select(text_or_empty().alias("text")).select(F.sha2("text", 256).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
-    found = scan_blobs(blobs, rules).select(F.col("blob").alias("_la_blob"), F.col("spans").alias("_la_spans"))
+    known = update_ledger(docs, ledger or new_folder(docs.sparkSession, "ledger"), rules, version)
+    found = _gaps(known.where((F.col("rule_version") == version) & (F.size("spans") > 0)))
+    found = found.select(F.struct("gaps", "tail").alias("_la_found"), F.col("blob").alias("_la_blob"))
+    dealt = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_la_salt"))
+    keyed = docs.withColumn("_la_blob", F.sha2(text_or_empty(), 256)).withColumn("_la_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = keyed.join(dealt, ["_la_blob", "_la_salt"], "left")
     text = F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def add(acc, s):
-        gap = text.substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    masked = F.aggregate("_la_spans", start, add, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.char_length(text))))
-    out = keyed.join(found, "_la_blob", "left").withColumn("text", F.when(F.col("_la_spans").isNull(), text).otherwise(masked))
+    pieces = F.transform("_la_found.gaps", lambda g: text.substr((g["at"] + 1).cast("int"), g["n"].cast("int")))
+    masked = F.array_join(F.concat(pieces, F.array(text.substr((F.col("_la_found.tail") + 1).cast("int"), F.char_length(text)))), mask)
+    changed = F.col("_la_found").isNotNull()
+    out = out.withColumn("text", F.when(changed, masked).otherwise(text))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_la_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in columns))

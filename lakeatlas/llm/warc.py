@@ -13,7 +13,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ ARCHIVE_BYTES = 32 << 20
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
+_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+#: Over how many tasks the records of one payload are dealt.
+SALTS = 64
+
+
 class WarcError(ValueError):
     """An archive or record that breaks the format."""
 
@@ -222,25 +227,20 @@ def _rows(content: bytes) -> Iterator[dict]:
             if row := decode_record(record):
                 yield row
         except (WarcError, UnicodeDecodeError) as e:
-            yield dict.fromkeys(x.split()[0] for x in RECORD.split(", ")) | {"error": str(e)}
+            yield {"error": str(e)}
 
 
-def _frames(contents: Iterator[bytes]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in RECORD.split(", ")]
+def _frames(contents: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     for content in contents:
         rows, size = [], 0
         for row in _rows(content):
             rows.append(row)
-            size += len(row["payload"] or b"")
+            size += len(row.get("payload") or b"")
             if size > 8 << 20:
-                yield _frame(rows, names)
+                yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
                 rows, size = [], 0
         if rows:
-            yield _frame(rows, names)
-
-
-def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("page_id", "refers_to", "payload_bytes"), "Int64"))
+            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
 
 # -- tables
@@ -254,10 +254,14 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
-    firsts = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"))
-    joined = rows.join(firsts, "digest", "left")
-    again = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    columns = ["page_id", "url", "payload", "digest"]
+    # only payloads that come again meet in a join, by parts of each; of them one row is known, whatever their number
+    firsts = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = rows.where(large).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(firsts, ["digest", "salt"], "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    small = rows.where(~large).select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return small.union(joined.select(*columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")))
 
 
 def write_archives(records: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -273,49 +277,53 @@ def write_archives(records: DataFrame, folder: str | None = None, archive_bytes:
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        null = lambda x: None if pd.isna(x) else int(x)
 
         def encoded():
             for b in batches:
-                ids, refers = b["page_id"].astype("Int64"), b["refers_to"].astype("Int64")
-                for i, url, payload, digest, kind, ref in zip(ids, b["url"], b["payload"], b["digest"], b["record_type"], refers):
-                    yield encode_record(null(i), url, payload, digest, kind, null(ref))
+                for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to"))):
+                    yield encode_record(*row)
 
         for archive, n in encode_archives(encoded(), archive_bytes):
             name = f"{uuid.uuid4().hex}.warc.zst"
             with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(archive)
-            yield pd.DataFrame({"path": [f"{folder}/{name}"], "n_records": [n], "n_bytes": [len(archive)]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n], "n_bytes": [len(archive)]})
 
-    return kept(records.mapInPandas(run, "path string, n_records long, n_bytes long"), "archives")
+    return kept(records.mapInArrow(run, "path string, n_records long, n_bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records (see RECORD) of the archives at ``archives.path``, each read by one task."""
+    """The records (see RECORD) of the archives at ``archives(path, ...)``, each read by one task; a path listed twice is
+    read twice. A broken record or archive is a row with an error and nulls. No archives: no rows. The path is not null."""
 
     def run(batches):
         from pyarrow import fs
 
         def contents():
             for b in batches:
-                for path in b["path"]:
+                for path in b.column("path").to_pylist():
                     store, inside = fs.FileSystem.from_uri(path)
                     with store.open_input_stream(inside, compression=None) as f:
                         yield f.read()
 
         yield from _frames(contents())
 
-    return archives.select("path").repartition(max(1, archives.count()), F.col("path")).mapInPandas(run, RECORD)
+    return archives.select("path").repartition(max(1, archives.count()), F.col("path")).mapInArrow(run, RECORD)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The records of all *.warc.zst files at ``path``, by Spark's own reader. What is not valid is a row with an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", True).load(path)
-    return files.select("content").mapInPandas(lambda batches: _frames(c for b in batches for c in b["content"]), RECORD)
+    return files.select("content").mapInArrow(lambda batches: _frames(c for b in batches for c in b.column("content").to_pylist()), RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write all of ``pages(page_id, url, html, ...)`` and read it back; a broken record fails the query."""
+    """Write all of ``pages(page_id, url, html, ...)`` and read it back; a broken record fails the query.
+
+    One row for each row of pages, repeated ones too; a null html is the empty payload, null ids and urls stay null, texts
+    of any length are whole, ties of equal payloads go by page_id (see plan_records). An empty table gives no rows. Other
+    columns are not looked at.
+    """
     got = read_archives(write_archives(plan_records(pages)))
     sound = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("payload_bytes"))
     return got.select("page_id", "url", sound.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from lakeatlas.llm._words import _BYTE, _P
 from lakeatlas.llm.piecewise_hash import _common, _rolling, fingerprint, fingerprint_with_edits, likeness
 
 import numpy as np
@@ -36,6 +37,57 @@ def test_edges(spark):
     assert fingerprint_with_edits(nulls).count() == 1
 
 
+def test_ids_beyond_doubles(spark):
+    rows = [(2**53 + i, f"text number {i}") for i in range(1, 40)] + [(None, "none")]
+    for n in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted(map(tuple, fingerprint_with_edits(df).collect()), key=str) == expected(rows)
+
+
+def slow_fingerprint(text):
+    """The same format byte by byte, by the definition of each part."""
+    data = text.encode()
+    if not data:
+        return "3::"
+    place = []
+    for i in range(len(data)):
+        total = shifted = 0
+        for j in range(min(7, i + 1)):
+            total += data[i - j] * (8 - j)
+            shifted ^= data[i - j] << 5 * j & 0xFFFFFFFF
+        place.append((total + shifted) & 0xFFFFFFFF)
+
+    def letter(piece):
+        value, power = 0, 1
+        for c in piece:
+            value, power = (value + int(_BYTE[c]) * power) % 2**64, power * _P % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            value = (value ^ value >> shift) * factor % 2**64
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[value >> 58]
+
+    def pieces(block, most):
+        out, begin = "", 0
+        for i, h in enumerate(place):
+            if h % block == block - 1 and len(out) < most - 1:
+                out, begin = out + letter(data[begin : i + 1]), i + 1
+        return out + (letter(data[begin:]) if begin < len(data) else "")
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and sum(h % block == block - 1 for h in place) < 32:
+        block //= 2
+    return f"{block}:{pieces(block, 64)}:{pieces(2 * block, 32)}"
+
+
+def test_fingerprints_by_their_definition():
+    rnd = random.Random(4)
+    for n in (0, 1, 2, 5, 8, 60, 191, 193, 1000, 5000):
+        for letters in ("ab", "abcdefghij klmno é", "x"):
+            text = "".join(rnd.choice(letters) for _ in range(n))
+            assert fingerprint(text) == slow_fingerprint(text)
+
+
 def test_rolling_hash_sees_seven_bytes():
     rnd = random.Random(1)
     data = bytes(rnd.randrange(256) for _ in range(300))

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import pytest
@@ -104,3 +105,36 @@ def test_same_family_many_given_names(spark):
     names = [("name", f"m:{chr(65 + i % 26)}{chr(97 + i // 26)}x Smith") for i in range(500)] + [("name", "f:Smith"), ("name", "m:Smith")]
     n = pii.name_length(spark.createDataFrame(names, "kind string, entity string"), KEY)
     assert len({pii.surrogate(KEY, k, e, n) for k, e in names[:500]}) == 500
+
+
+@pytest.mark.parametrize("zero", [0x660, 0x966, 0xFF10])
+@pytest.mark.parametrize("text", ["card 4111111111111111", "ssn 123-45-6789", "call +49 170 123 4567", "10.0.0.1", "GB82 WEST 1234 5698 7654 32"])
+def test_digits_of_other_scripts_stay(zero, text):
+    other = "".join(chr(zero + int(c)) if c.isdecimal() else c for c in text)
+    assert pii.replace(other, KEY, 2) == (other, [])
+    half = other + " and " + text
+    assert pii.replace(half, KEY, 2)[0].startswith(other + " and ")
+
+
+def test_long_lists_of_addresses():
+    text = ", ".join(f"a{i}@x{i}.example.com, 302-555-{i % 10000:04d}" for i in range(20_000))
+    began = time.process_time()
+    assert len(pii.detect(text)) == 40_000
+    assert time.process_time() - began < 20
+
+
+def test_ids_beyond_doubles(spark):
+    rows = [(2**53 + 1, "a@b.example.com", None), (None, "x", 2**53 + 5), (2**53 + 3, None, 2**53 + 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other long").coalesce(1)
+    got = pii.pseudonymise(df)
+    assert got.columns == ["doc_id", "text", "other", "pii"]
+    assert {(r.doc_id, r.other) for r in got.collect()} == {(d, o) for d, _, o in rows}
+
+
+def test_surrogates_are_no_names_of_the_texts(spark):
+    names = [("name", f"m:{chr(65 + i % 26)}{chr(97 + i // 26)}x Smith") for i in range(200)]
+    first = {pii.surrogate(KEY, k, e, 2).split()[0] for k, e in names}
+    clash = [("name", f"m:Qq {n}") for n in sorted(first)]
+    df = spark.createDataFrame(names + clash, "kind string, entity string")
+    n = pii.name_length(df, KEY)
+    assert not {w for k, e in names + clash for w in pii.surrogate(KEY, k, e, n).split()} & first

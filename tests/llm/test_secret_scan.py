@@ -53,17 +53,30 @@ def test_edges(spark):
     assert [s.kind for s in secret_scan.scan_secrets(more).first().spans] == ["github", "pem"]
 
 
-def test_ledger_scans_only_what_it_has_not_seen(spark):
+def test_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
     old = spark.createDataFrame([(1, "token=abcdef"), (2, "nothing")], "doc_id long, text string")
-    ledger = secret_scan.update_ledger(old)
-    assert ledger.count() == 2
+    ledger = secret_scan.update_ledger(old, path)
+    assert ledger.count() == 2 == secret_scan.update_ledger(old, path).count()
     # a forged entry shows that the stored findings are used and the blob isn't scanned again
     forged = ledger.withColumn("spans", F.expr("transform(spans, s -> named_struct('start', s.start + 100, 'no', s.no, 'end', s.end, 'kind', s.kind))"))
+    forged.write.parquet(f"{path}-forged")
     new = spark.createDataFrame([(3, "token=abcdef"), (4, "nothing"), (5, "AKIA" + "A" * 16)], "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(new, forged).collect()}
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(new, f"{path}-forged").collect()}
     assert got[3][0].start == 100 and got[4] == [] and got[5][0].kind == "access"
-    assert [r.blob for r in secret_scan.update_ledger(new, ledger).collect()] == [hashlib.sha256(("AKIA" + "A" * 16).encode()).hexdigest()]
-    assert secret_scan.update_ledger(old, ledger, version="next").count() == 2
+    assert spark.read.parquet(f"{path}-forged").count() == 3
+    assert [r.blob for r in secret_scan.unseen_blobs(new, ledger).collect()] == [hashlib.sha256(("AKIA" + "A" * 16).encode()).hexdigest()]
+    assert secret_scan.update_ledger(old, path, version="next").count() == 4
+    assert len(secret_scan.scan_secrets(old, path, version="next").collect()) == 2
+
+
+def test_many_paths_and_many_secrets(spark):
+    text = "x token=abcdef " * 2000
+    df = spark.createDataFrame([(i, text) for i in range(300)] + [(2**53 + 1, None), (None, "y")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: len(r.spans) for r in secret_scan.scan_secrets(df).collect()}
+    assert len(got) == 302 and got[2**53 + 1] == 0 and {got[i] for i in range(300)} == {2000}
+    masked = {r.text for r in secret_scan.redact_secrets(df).collect()}
+    assert masked == {"x [SECRET] " * 2000, None, "y"}
 
 
 def test_redaction(spark):

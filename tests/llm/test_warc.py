@@ -25,6 +25,14 @@ def test_edges(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_ids_beyond_doubles(spark):
+    big = 2**53
+    rows = [(big + 1, "u", "x" * 1000), (big + 3, "u", "x" * 1000), (None, "u", "x" * 1000), (big + 5, "u", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {(big + 1, "revisit", big + 3), (big + 3, "response", None), (None, "revisit", big + 3), (big + 5, "response", None)}
+
+
 def test_files_hold_payloads_and_a_dictionary(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     archives = warc.write_archives(warc.plan_records(pages.coalesce(1)), f"file://{tmp_path}/w", archive_bytes=200_000)
