@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is made and set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one is made and set in local mode (tests), and
+    it is an error on a cluster, whose executors don't see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lakeatlas_shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-lakeatlas-")
         spark._lakeatlas_shared = found
     return found.rstrip("/")
@@ -42,14 +45,16 @@ def written(spark: SparkSession, path: str) -> bool:
 
 
 @contextlib.contextmanager
-def stage(spark: SparkSession, before: list[str]):
-    """Remember what ``kept`` writes inside, in ``before``; what is remembered from earlier stages is deleted first.
+def stage(spark: SparkSession, before: list[str], first: bool = False):
+    """Remember what ``kept`` writes inside, in ``before``; what is remembered from the stage before is deleted first.
 
-    For pipelines: a stage reads the written result of the one before, and nothing else of it.
+    For pipelines: a stage reads the written result of the one before, and nothing else of it. The ``first`` stage of a
+    chain deletes nothing, for the tables remembered may be those of another chain's result.
     """
-    for path in before:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if not first:
+        for path in before:
+            store, found = _hadoop(spark, path)
+            store.delete(found, True)
     before.clear()
     spark._lakeatlas_written = before
     try:

@@ -93,10 +93,10 @@ def document_sets(docs: DataFrame, width: int, columns: list[str]) -> DataFrame:
     null node. Repeated rows stay, an empty table gives no rows; a column named n_shingles or node can't be taken along."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [(len(s), set_hash(s) if len(s) else None) for s in _sets(texts_of(batch, "_la_text", lower=True), width)]
+        found = [(len(s), set_hash(s) if len(s) else None) for s in _sets(texts_of(batch, "_la_whole", lower=True), width)]
         return [pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())]
 
-    return map_arrow(docs.select(*columns, text_or_empty().alias("_la_text")), run, "n_shingles long, node long", drop=("_la_text",))
+    return map_arrow(docs.select(*columns, text_or_empty().alias("_la_whole")), run, "n_shingles long, node long", drop=("_la_whole",))
 
 
 # -- sets with enough shingles in further texts

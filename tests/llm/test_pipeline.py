@@ -41,5 +41,21 @@ def test_keep_one_with_clashing_ids_and_nulls(spark):
     assert ngram_join.keep_one(df).columns == df.columns
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+def test_two_results_at_once(spark):
+    first = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    second = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert 50 < first.count() == second.count()
+
+
+def test_edges_end_to_end(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = "these plain words say something about the weather of last week and of this"
+    rows = [(None, plain, "en", None, 5), (2**53 + 1, plain + " and more", None, "a", None), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, "token=abcdef1234 stands in the middle of other words here", "en", "b", 55), (5, "token=abcdef1234 stands in the middle of other words here", "en", "b", 55), (6, "long " * 200_000 + "text", "en", "a", 1_000_004)]
+    more = [(*r, 1, "x", None) for r in rows]
+    df = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, node int, spans string, component long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {None, 2**53 + 1, 5, 6} and len(got) > 0
+    df.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
