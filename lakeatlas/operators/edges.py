@@ -46,23 +46,22 @@ def reconcile(edges: DataFrame) -> DataFrame:
     """Drop database and schema-file keys which an explicit edge covers: same pair, and no or the same foreign key.
 
     Where a dropped key is has_one and no covering edge tells a cardinality, the covering belongs_to edges of its own table
-    become has_one. All upgrades are seen from the state before any (SURVEY 2.13, note 4).
+    become has_one. All upgrades are seen from the state before any (SURVEY 2.13, note 4). One shuffle by table pair; the
+    edges of a pair are those between two tables of one schema.
     """
-    edges = ends(edges)
-    explicit = edges.where(F.col("provenance").isin("declared", "manual"))
-    cover = explicit.select(*PAIR, F.col("foreign_key").alias("_fk"), F.col("type").alias("_type")).distinct()
-    fks = edges.where(F.col("provenance").isin("db_fk", "schema_fk"))
-    covers = F.col("_fk").isNull() | F.col("_fk").eqNullSafe(F.col("foreign_key"))
-    kept = fks.alias("f").join(cover.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in PAIR] + [covers], "left_anti")
-    covered = fks.where("type = 'has_one'").alias("f").join(cover.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in PAIR] + [covers])
-    plain = covered.groupBy(*(F.col(f"f.{c}") for c in (*PAIR, "table_name", "foreign_key"))).agg(F.bool_or(F.col("_type").isin("has_one", "has_many")).alias("told")).where("NOT told")
-    upgrades = plain.select(*PAIR, "table_name", F.col("foreign_key").alias("_dropped")).distinct()
-    cond = [F.col(f"e.{k}") == F.col(f"u.{k}") for k in (*PAIR, "table_name")] + [F.col("e.foreign_key").isNull() | (F.col("e.foreign_key") == F.col("u._dropped"))]
-    up = explicit.where("type = 'belongs_to'").alias("e").join(upgrades.alias("u"), cond, "left_semi").withColumn("type", F.lit("has_one"))
-    stay = explicit.where("type = 'belongs_to'").alias("e").join(upgrades.alias("u"), cond, "left_anti")
-    others = explicit.where("type <> 'belongs_to' OR type IS NULL")
-    inferred = edges.where("provenance = 'inferred'")
-    return kept.unionByName(up).unionByName(stay).unionByName(others).unionByName(inferred).drop("a", "b")
+    pair = Window.partitionBy(*PAIR)
+    explicit = F.col("provenance").isin("declared", "manual")
+    both = ends(edges).withColumn("_covers", F.collect_set(F.when(explicit, F.struct(F.col("foreign_key").alias("fk"), F.col("type").alias("type")))).over(pair))
+    covering = F.filter("_covers", lambda c: c["fk"].isNull() | c["fk"].eqNullSafe(F.col("foreign_key")))
+    is_fk = F.col("provenance").isin("db_fk", "schema_fk")
+    dropped = is_fk & (F.size(covering) > 0)
+    told = F.exists(covering, lambda c: F.coalesce(c["type"].isin("has_one", "has_many"), F.lit(False)))
+    marked = both.withColumn("_dropped", dropped).withColumn("_up", F.when(dropped & (F.col("type") == "has_one") & ~told, F.struct("table_name", "foreign_key")))
+    marked = marked.withColumn("_ups", F.collect_set("_up").over(pair))
+    upgraded = F.exists("_ups", lambda u: (u["table_name"] == F.col("table_name")) & (F.col("foreign_key").isNull() | F.coalesce(F.col("foreign_key") == u["foreign_key"], F.lit(False))))
+    kind = F.when(explicit & (F.col("type") == "belongs_to") & upgraded, "has_one").otherwise(F.col("type"))
+    kept = marked.where(~F.col("_dropped") & (is_fk | explicit | (F.col("provenance") == "inferred")))
+    return kept.withColumn("type", kind).select(*edges.columns)
 
 
 def infer_fks(tables: DataFrame, columns: DataFrame, indexes: DataFrame, edges: DataFrame) -> DataFrame:

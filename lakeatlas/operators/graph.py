@@ -3,22 +3,11 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """Write a step of an iteration to the folder of ``spark.checkpoint.dir`` (a temporary one if unset) and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lakeatlas_graph", None)
-    if not base:
-        base = spark._lakeatlas_graph = "file://" + tempfile.mkdtemp(prefix="spark-lakeatlas-")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lakeatlas.operators.store import written
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "both") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeatlas.functions.names import coarse_type
 from lakeatlas.operators import edges, graph, merge
+from lakeatlas.operators.store import Relations, written
 
 from .derived import LOGICAL, PHYSICAL, PLURALS, STEMS, fragments, rank_sql, with_ctes
 
@@ -59,9 +60,10 @@ def merged_columns(f: dict[str, DataFrame]) -> DataFrame:
     return merge.place_columns(merge.merge_columns(own))
 
 
-def merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    f = fragments(spark, sf_dir)
-    return {"fragments": f, "columns": merged_columns(f), "tables": merge.merge_tables(f["tables"]), "indexes": merge.merge_indexes(f["indexes"]), "edges": merge.merge_associations(f["associations"])}
+def merged(spark: SparkSession, sf_dir: str) -> Relations:
+    """The merged relations; each is made when it is asked for, from fragments that are derived once, and written."""
+    f = fragments(spark, sf_dir, keep=True)
+    return Relations({"columns": lambda: merged_columns(f), "tables": lambda: merge.merge_tables(f["tables"]), "indexes": lambda: merge.merge_indexes(f["indexes"]), "edges": lambda: merge.merge_associations(f["associations"])})
 
 
 @query("column_merge", merged_sql(f"SELECT {KEY}, name, pos, type, nullable, is_primary, default_value, comment FROM columns_"))
@@ -170,7 +172,7 @@ def display_edges(spark, sf_dir):
 
 def graph_edges(spark, sf_dir):
     m = merged(spark, sf_dir)
-    return m, edges.prune_dangling(m["edges"], m["tables"]).select("schema_id", F.col("table_name").alias("src"), F.col("target").alias("dst")).distinct()
+    return m, written(edges.prune_dangling(m["edges"], m["tables"]).select("schema_id", F.col("table_name").alias("src"), F.col("target").alias("dst")).distinct(), "graph")
 
 
 GRAPH_SQL = "SELECT DISTINCT e.schema_id, e.table_name AS src, e.target AS dst FROM edges_ e JOIN tables_ t ON t.schema_id = e.schema_id AND t.table_name = e.target"

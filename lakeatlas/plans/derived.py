@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeatlas.operators.store import written
+
 STEMS = ["user", "order", "category", "box", "address", "product", "tag", "day"]
 PLURALS = ["users", "orders", "categories", "boxes", "addresses", "products", "tags", "days"]
 KINDS = ["config", "db", "schema", "framework", "sketch"]
@@ -63,8 +65,8 @@ def with_ctes(body: str, **more: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in {**CTES, **more}.items()) + "\n" + body
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four fragment relations as DataFrames."""
+def frames(spark: SparkSession, sf_dir: str, keep: bool = False) -> dict[str, DataFrame]:
+    """The four fragment relations as DataFrames; with ``keep`` those of columns, from which others follow, are written once."""
     # backslashes are doubled in Spark's string literals
     read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
     made: dict[str, DataFrame] = {}
@@ -75,14 +77,16 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         for k in used:
             text = text.replace(f"FROM {k}", f"FROM {{{k}}}").replace(f"JOIN {k}", f"JOIN {{{k}}}")
         made[name] = spark.sql(text, **{k: source[k] for k in used})
+        if keep and name == "column_frag":
+            made[name] = written(made[name], name)
     return made
 
 
-def fragments(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def fragments(spark: SparkSession, sf_dir: str, keep: bool = False) -> dict[str, DataFrame]:
     """The same in the operators' form: ``present`` arrays say which facts a fragment has an opinion on."""
     from pyspark.sql import functions as F
 
-    f = frames(spark, sf_dir)
+    f = frames(spark, sf_dir, keep)
     has = lambda cond, name: F.when(cond, F.lit(name))
     always = [F.lit(x) for x in ("type", "nullable", "primary")]
     columns = f["column_frag"].select("schema_id", "layer_seq", "kind", "table_name", "pos", "name", F.array_compact(F.array(*always, has(F.col("has_default"), "default"), has(F.col("has_comment"), "comment"))).alias("present"), "type", "nullable", F.col("is_primary").alias("primary"), F.col("default_value").alias("default"), "comment", "seen_on")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeatlas.operators import canonical, diff, edges, merge, reports
+from lakeatlas.operators.store import Relations, written
 
 from .catalogue import COLUMNS_SQL, KEY, RECONCILED_SQL, TABLES_SQL, merged, merged_columns, merged_sql
 from .derived import CTES, fragments
@@ -24,10 +25,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def final(spark, sf_dir) -> dict[str, DataFrame]:
+def final(spark, sf_dir) -> Relations:
     """Merged, reconciled and pruned: what reports and texts show."""
     m = merged(spark, sf_dir)
-    m["edges"] = edges.prune_dangling(edges.reconcile(m["edges"]), m["tables"])
+    m["edges"] = written(edges.prune_dangling(edges.reconcile(m["edges"]), m["tables"]), "final")
     return m
 
 
@@ -185,11 +186,11 @@ def fingerprint(spark, sf_dir):
 
 def halves(spark, sf_dir) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Two overlapping states of the fleet: the layers seen since 1997, and those before 2000 as the base."""
-    f = fragments(spark, sf_dir)
+    f = fragments(spark, sf_dir, keep=True)
 
     def state(cond: str) -> dict[str, DataFrame]:
         part = {k: f[k].where(cond) for k in ("tables", "columns")}
-        return {"tables": merge.merge_tables(part["tables"]), "columns": merged_columns(part)}
+        return {"tables": written(merge.merge_tables(part["tables"]), "tables"), "columns": merged_columns(part)}
 
     return state("seen_on >= DATE '1997-01-01'"), state("seen_on < DATE '2000-01-01'")
 
