@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +97,13 @@ def texts_of(batch: pa.RecordBatch, column: str, lower: bool = False) -> list[by
     return [x.lower() for x in found] if lower else found
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows``, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], more: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without the columns ``drop`` and with those of ``more`` ("name type, ..."), which ``run`` makes of each batch.
 
@@ -106,7 +113,7 @@ def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], mo
     names = [f.name for f in T.StructType.fromDDL(more).fields]
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in left), *run(b)], names=[*left, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(F.col(f"`{c}`") for c in left)).schema)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, parts, text_or_empty, texts_of
+from ._common import kept, parts, slices, text_or_empty, texts_of
 from ._words import U, mix, pack_planes, unpack_planes, word_hashes
 
 END = np.array([0x1F83D9ABFB41BD6B], U)
@@ -65,7 +65,7 @@ def _packs(docs: DataFrame, pack_bytes: int) -> DataFrame:
             row = {"pack": uuid.uuid4().hex, "fold": fold, "ids": np.array(ids, np.int64).tobytes(), "nulls": np.array(nulls, bool).tobytes(), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "body": body, "tokens": tokens}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("pack", pa.string()), ("fold", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary()), ("tokens", pa.int64())]))
 
-        for b in batches:
+        for b in slices(batches):
             ids, nulls = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), b.column("doc_id").is_null().to_pylist()
             for i, null, fold, text in zip(ids.tolist(), nulls, b.column("fold").to_pylist(), texts_of(b, "text", lower=True)):
                 held.setdefault(fold, []).append((i, null, text))

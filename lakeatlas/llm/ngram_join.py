@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import kept, map_arrow, parts, text_or_empty, texts_of
+from ._common import kept, map_arrow, parts, slices, text_or_empty, texts_of
 from ._words import U, mix, pack_planes, set_hash, shingle_set, unpack_planes, word_hashes
 from .components import components
 
 #: Entries that a task holds before it packs them, and about as many as one range of hashes gets.
-FLUSH = 1_500_000
-RANGE = 3_000_000
+FLUSH = 600_000
+RANGE = 2_000_000
 
 
 class Parts:
@@ -126,7 +126,7 @@ def promising(docs: DataFrame, width: int, percent: int, total: int) -> DataFram
 
     def run(batches):
         held, size = {}, 0
-        for b in batches:
+        for b in slices(batches):
             for s in _sets(texts_of(b, "text", lower=True), width):
                 if len(s) and (h := set_hash(s)) not in held:
                     held[h] = s
@@ -458,7 +458,7 @@ def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) ->
     holder = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id"), F.xxhash64("doc_id")).alias("h")).select("node", F.col("h.doc_id").alias("holder"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [(set_hash(x) if len(x) else None, x) for x in _sets(texts_of(b, "text", lower=True), width)]
             good = [(h, x.tobytes()) for (h, x), wanted in zip(found, b.column("node").to_pylist()) if h == wanted]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in good], pa.int64()), pa.array([x for _, x in good], pa.binary())], names=["node", "shingles"])

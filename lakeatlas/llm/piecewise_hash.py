@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, text_or_empty
+from ._common import parts, slices, text_or_empty
 from ._words import _BYTE, U, _power_tables, mix
 
 WINDOW, LEAST_BLOCK, LETTERS = 7, 3, 64
@@ -144,7 +144,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     def run(batches):
         previous = None  # (range, doc_id, text, fingerprint) that waits for its next
         out = []
-        for b in batches:
+        for b in slices(batches):
             for i, text, r, peeked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "range", "peek"))):
                 if previous is not None and previous[0] == r:
                     print_ = fingerprint(text)

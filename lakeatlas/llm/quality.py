@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, map_arrow, text_or_empty, texts_of
+from ._common import kept, map_arrow, slices, text_or_empty, texts_of
 from ._words import U, mix, shingle_set, word_hashes
 
 PREFIXES = (4, 5, 6)
@@ -169,7 +169,7 @@ def _counted(texts: DataFrame, among: np.ndarray | None = None) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             for x in features_of(texts_of(b, "text")):
                 if among is not None:
                     x = x[among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x]
