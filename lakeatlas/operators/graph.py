@@ -77,10 +77,25 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, ["schema_id", "node"], "left_anti")
 
 
+def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(schema_id, node): what reaches one of ``starts(schema_id, node)`` by ``edges(schema_id, src, dst)``, starts included.
+
+    Walks from the starts; each step joins the frontier only, and ends when nothing new is found.
+    """
+    up = edges.select("schema_id", F.col("dst").alias("node"), "src").distinct()
+    found = frontier = written(starts.select("schema_id", "node").distinct())
+    while True:
+        nearer = frontier.join(up, ["schema_id", "node"]).select("schema_id", F.col("src").alias("node")).distinct()
+        frontier = written(nearer.join(found, ["schema_id", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = written(found.union(frontier))
+
+
 def models(bases: DataFrame, roots: list[str]) -> DataFrame:
     """Classes (schema_id, src) which have one of ``roots`` among their bases (schema_id, src, dst), at any distance."""
-    reach = closure(bases)
-    return reach.where(F.col("dst").isin(roots)).select("schema_id", "src").distinct()
+    first = bases.where(F.col("dst").isin(roots)).select("schema_id", F.col("src").alias("node"))
+    return descendants(bases, first).select("schema_id", F.col("node").alias("src"))
 
 
 def inheritance_roots(bases: DataFrame, concrete: DataFrame) -> DataFrame:
@@ -90,18 +105,34 @@ def inheritance_roots(bases: DataFrame, concrete: DataFrame) -> DataFrame:
     return up.where("src <> dst").groupBy("schema_id", "src").agg(F.max_by("dst", F.struct("depth", "dst")).alias("root"))
 
 
+def inheritance_order(bases: DataFrame, classes: DataFrame) -> DataFrame:
+    """(schema_id, cls, owner, place): the bases of each of ``classes(schema_id, cls)`` and the class itself, by place in the
+    order in which fields are taken: depth first along ``bases(schema_id, src, dst, pos)``, a class after its own bases,
+    each once (where it is met first). Cycles end where they come back.
+    """
+    down = bases.select("schema_id", F.col("src").alias("owner"), F.col("dst").alias("_next"), F.col("pos").cast("int").alias("_pos"))
+    one = classes.select("schema_id", "cls").distinct()
+    found = frontier = one.select("schema_id", "cls", F.col("cls").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("cls").alias("chain"))
+    while True:
+        step = frontier.join(down, ["schema_id", "owner"]).where(~F.array_contains("chain", F.col("_next")))
+        frontier = written(step.select("schema_id", "cls", F.col("_next").alias("owner"), F.concat("path", F.array("_pos")).alias("path"), F.concat("chain", F.array("_next")).alias("chain")))
+        if frontier.isEmpty():
+            break
+        found = found.union(frontier)
+    first = found.groupBy("schema_id", "cls", "owner").agg(F.min("path").alias("path"))
+    last = F.lit(2**31 - 1)
+    return first.select("schema_id", "cls", "owner", F.concat("path", F.array(last)).alias("place"))
+
+
 def inherited_fields(bases: DataFrame, fields: DataFrame) -> DataFrame:
-    """(schema_id, cls, owner, field, pos): fields of all bases before the own ones, farthest first, each class once.
+    """(schema_id, cls, owner, field, pos): fields of all bases before the own ones, in the order of ``inheritance_order``.
 
     ``bases(schema_id, src, dst, pos)``: pos orders the bases of a class; ``fields(schema_id, cls, field, pos)``.
     """
-    reach = closure(bases.select("schema_id", "src", "dst"))
-    own = fields.select("schema_id", F.col("cls").alias("src"), F.col("cls").alias("dst"), F.lit(0).alias("depth")).distinct()
-    every = reach.where("src <> dst").unionByName(own)
-    order = bases.groupBy("schema_id", "dst").agg(F.min("pos").alias("base_pos"))
-    named = every.join(order, ["schema_id", "dst"], "left").join(fields.select("schema_id", F.col("cls").alias("dst"), "field", "pos"), ["schema_id", "dst"])
-    ranked = F.row_number().over(Window.partitionBy("schema_id", "src").orderBy(F.desc("depth"), F.coalesce("base_pos", F.lit(0)), "dst", "pos"))
-    return named.select("schema_id", F.col("src").alias("cls"), F.col("dst").alias("owner"), "field", ranked.alias("pos"))
+    classes = fields.select("schema_id", "cls").union(bases.select("schema_id", F.col("src").alias("cls")))
+    named = inheritance_order(bases, classes).join(fields.select("schema_id", F.col("cls").alias("owner"), "field", F.col("pos").alias("_own")), ["schema_id", "owner"])
+    ranked = F.row_number().over(Window.partitionBy("schema_id", "cls").orderBy("place", "_own"))
+    return named.select("schema_id", "cls", "owner", "field", ranked.alias("pos"))
 
 
 def hubs(edges: DataFrame, k: int) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeatlas.functions.names import SQL_TYPES, class_to_table, fk_stem, index_name, lookup, pluralize, sized_type, token_type
+from lakeatlas.functions.names import SQL_TYPES, class_to_table, fk_stem, index_name, lookup, pluralize, sized_type, to_snake, token_type
 
 FILE = ["project", "path"]
 
@@ -100,6 +100,7 @@ def mermaid(corpus: DataFrame) -> dict[str, DataFrame]:
 # -- schema.rb
 
 _STRING = r"""["':]([\w.]+)["']?"""
+#: Column types of schema files.
 _TYPES = "string text integer bigint float decimal boolean datetime timestamp date time json jsonb uuid inet binary".split()
 
 
@@ -125,21 +126,26 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
     names = lambda c: F.transform(F.split(c, r"\s*,\s*"), lambda x: F.regexp_replace(x, "[\"':]", ""))
     cols = F.coalesce(names(group(listed)), F.array(group(rf"(?:t\.index|add_index\s+\S+,)\s+{_STRING}")))
     t_index = inside.where(F.col("text").rlike(r"^\s*t\.index\b")).select(*FILE, "table_name", cols.alias("columns"), F.col("text").contains("unique: true").alias("unique"), group(rf"name:\s*{_STRING}").alias("name"))
-    a_index = b.where(F.col("text").rlike(r"^\s*add_index\b")).select(*FILE, group(rf"add_index\s+{_STRING}").alias("table_name"), cols.alias("columns"), F.col("text").contains("unique: true").alias("unique"), group(rf"name:\s*{_STRING}").alias("name"))
+    a_index = b.where(F.col("text").rlike(r"^\s*add_index\b")).select(*FILE, "line", group(rf"add_index\s+{_STRING}").alias("table_name"), cols.alias("columns"), F.col("text").contains("unique: true").alias("unique"), group(rf"name:\s*{_STRING}").alias("name"))
     r_index = refs.where(~F.col("text").contains("index: false")).select(*FILE, "table_name", F.when(poly, F.array(F.concat("ref", F.lit("_type")), F.concat("ref", F.lit("_id")))).otherwise(F.array(F.concat("ref", F.lit("_id")))).alias("columns"), F.lit(False).alias("unique"), F.lit(None).cast("string").alias("name"))
-    indexes = t_index.unionByName(a_index).unionByName(r_index).withColumn("name", F.coalesce("name", index_name(F.col("table_name"), F.col("columns"))))
+    indexes = t_index.unionByName(a_index.drop("line").join(heads.select(*FILE, "table_name").distinct(), [*FILE, "table_name"], "left_semi")).unionByName(r_index).withColumn("name", F.coalesce("name", index_name(F.col("table_name"), F.col("columns"))))
     fk = rf"^\s*add_foreign_key\s+{_STRING},\s*{_STRING}"
     from lakeatlas.functions.names import singularize
 
     added = b.where(F.col("text").rlike(fk)).select(*FILE, group(fk, 1).alias("table_name"), F.coalesce(group(rf"column:\s*{_STRING}"), F.concat(singularize(group(fk, 2)), F.lit("_id"))).alias("column_name"), group(fk, 2).alias("ref_table"))
     inline = refs.where(F.col("text").contains("foreign_key: true")).select(*FILE, "table_name", F.concat("ref", F.lit("_id")).alias("column_name"), pluralize(F.col("ref")).alias("ref_table"))
     known = rf"^\s*(t\.({'|'.join(_TYPES)}|references|belongs_to|timestamps|index)\b|end\b|#|$)"
-    warnings = inside.where(~F.col("text").rlike(known)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
+    unknown = inside.where(~F.col("text").rlike(known)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
+    outside = r"^\s*(create_table|add_index|add_foreign_key|ActiveRecord::Schema\S*|end|enable_extension)\b|^\s*(#|$)"
+    stray = b.where(F.col("head").isNull() & ~F.col("text").rlike(outside)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
+    lost = a_index.join(heads.select(*FILE, "table_name").distinct(), [*FILE, "table_name"], "left_anti").select(*FILE, "line", F.concat(F.lit("index on unknown table: "), "table_name").alias("message"))
+    warnings = unknown.union(stray).union(lost)
     return {"columns": columns, "indexes": indexes, "fks": added.union(inline), "warnings": warnings}
 
 
 # -- Prisma
 
+#: Display types of Prisma types.
 _PRISMA = {"String": "string", "Int": "integer", "BigInt": "bigint", "Float": "float", "Decimal": "decimal", "Boolean": "boolean", "DateTime": "datetime", "Json": "json", "Bytes": "binary"}
 
 
@@ -168,24 +174,58 @@ def prisma(corpus: DataFrame) -> dict[str, DataFrame]:
 # -- Ruby and PHP models
 
 
-def rails_models(corpus: DataFrame) -> dict[str, DataFrame]:
-    """bases(schema_id, src, dst), tables (class to table name) and edges of Rails models; comments are cut off."""
-    clean = corpus.withColumn("content", F.regexp_replace("content", r"#[^\n{]*", ""))
-    header = r"^\s*class\s+([\w:]+)\s*(?:<\s*([\w:]+))?"
+_CLASS = r"^\s*class\s+([\w:]+)\s*(?:<\s*([\w:]+))?"
+RAILS_ROOTS = ["ApplicationRecord", "ActiveRecord::Base"]
+
+
+def _carried(numbered: DataFrame, pattern: str, name: str) -> DataFrame:
+    """Add the first group of the last line so far that fits ``pattern``."""
     w = Window.partitionBy(*FILE).orderBy("line")
-    b = lines(clean).withColumn("head", F.last(F.when(F.col("text").rlike(header), F.col("text")), ignorenulls=True).over(w))
-    cls = b.where("head IS NOT NULL").withColumn("cls", F.regexp_extract("head", header, 1))
-    bases = cls.where(F.col("text").rlike(header)).select(F.col("project").alias("schema_id"), F.col("cls").alias("src"), group(header, 2).alias("dst"))
-    explicit = cls.where(F.col("text").rlike(r"self\.table_name\s*=")).select(F.col("project").alias("schema_id"), "cls", group(r"""table_name\s*=\s*["']([^"']+)""").alias("real"))
-    tables = bases.select("schema_id", F.col("src").alias("cls")).distinct().join(explicit, ["schema_id", "cls"], "left").select("schema_id", "cls", class_to_table(F.col("cls")).alias("naive"), F.coalesce("real", class_to_table(F.col("cls"))).alias("real"))
+    return numbered.withColumn(name, F.last(group(pattern), ignorenulls=True).over(w))
+
+
+def rails_models(corpus: DataFrame, table_map: DataFrame | None = None) -> dict[str, DataFrame]:
+    """bases(schema_id, src, dst), tables (class to table name, of concrete models) and edges of Rails models.
+
+    A model reaches one of RAILS_ROOTS. Its table is what ``table_map(schema_id, cls, table_name)`` says, else that of its
+    STI root (the farthest ancestor through concrete classes): by its own table_name, else by that of the first module it
+    includes which sets one, else by its name. Targets named after a model that has another table are sent there.
+    """
+    from lakeatlas.operators.edges import redirect_targets
+    from lakeatlas.operators.graph import descendants, inheritance_roots
+
+    clean = corpus.withColumn("content", F.regexp_replace("content", r"#[^\n{]*", ""))
+    named = r"""self\.table_name\s*=\s*["']([^"']+)"""
+    own = _carried(_carried(lines(clean), _CLASS, "cls"), r"^\s*module\s+(\w+)", "module").withColumn("schema_id", F.col("project"))
+    modules = own.where("module IS NOT NULL").groupBy("schema_id", F.element_at(F.split("module", "::"), -1).alias("module")).agg(F.min_by(group(named), F.when(group(named).isNotNull(), F.struct("path", "line"))).alias("by_module")).where("by_module IS NOT NULL")
+    cls = own.where(F.col("cls").isNotNull() & ~F.col("path").rlike("(^|/)concerns/"))
+    by = cls.groupBy("schema_id", "cls").agg(
+        F.min_by(group(_CLASS, 2), F.when(group(_CLASS, 2).isNotNull(), F.struct("path", "line"))).alias("base"),
+        F.coalesce(F.bool_or(F.col("text").rlike(r"self\.abstract_class\s*=\s*true")), F.lit(False)).alias("abstract"),
+        F.min_by(group(named), F.when(group(named).isNotNull(), F.struct("path", "line"))).alias("by_name"),
+    ).withColumn("abstract", F.col("abstract") | F.col("cls").isin(RAILS_ROOTS))
+    included = cls.where(group(r"^\s*include\s+([\w:]+)").isNotNull()).select("schema_id", "cls", F.struct("path", "line").alias("at"), F.element_at(F.split(group(r"^\s*include\s+([\w:]+)"), "::"), -1).alias("module"))
+    mixed = included.join(modules, ["schema_id", "module"]).groupBy("schema_id", "cls").agg(F.min_by("by_module", "at").alias("by_module"))
+    bases = by.where("base IS NOT NULL").select("schema_id", F.col("cls").alias("src"), F.col("base").alias("dst"))
+    roots = bases.where(F.col("dst").isin(RAILS_ROOTS)).select("schema_id", F.col("src").alias("node"))
+    concrete = by.where("NOT abstract").join(descendants(bases, roots).withColumnRenamed("node", "cls"), ["schema_id", "cls"], "left_semi")
+    if table_map is None:
+        table_map = concrete.select("schema_id", "cls", F.lit(None).cast("string").alias("table_name")).limit(0)
+    mapped = table_map.select("schema_id", "cls", F.col("table_name").alias("by_map"))
+    resolved = concrete.join(mixed, ["schema_id", "cls"], "left").join(mapped, ["schema_id", "cls"], "left")
+    resolved = resolved.select("schema_id", "cls", "by_map", class_to_table(F.col("cls")).alias("naive"), F.coalesce("by_map", "by_name", "by_module", class_to_table(F.col("cls"))).alias("own"))
+    sti = inheritance_roots(bases, concrete.select("schema_id", "cls")).select("schema_id", F.col("src").alias("cls"), "root")
+    of_root = resolved.select("schema_id", F.col("cls").alias("root"), F.col("own").alias("of_root"))
+    tables = resolved.join(sti, ["schema_id", "cls"], "left").join(of_root, ["schema_id", "root"], "left").select("schema_id", "cls", "naive", F.coalesce("by_map", "of_root", "own").alias("real"))
     macro = r"^\s*(has_many|has_one|belongs_to|has_and_belongs_to_many)\s+:(\w+)(.*)$"
-    rows = cls.where(F.col("text").rlike(macro)).select(F.col("project").alias("schema_id"), "cls", group(macro, 1).alias("type"), group(macro, 2).alias("name"), F.regexp_extract("text", macro, 3).alias("text"))
+    rows = cls.where(F.col("text").rlike(macro)).select("schema_id", "cls", group(macro, 1).alias("type"), group(macro, 2).alias("name"), F.regexp_extract("text", macro, 3).alias("text"))
     option = lambda n: group(rf"""\b{n}:\s*["':]([\w:]+)""")
     poly = F.col("text").contains("polymorphic: true")
     target = F.when(poly, F.col("name")).when(option("class_name").isNotNull(), class_to_table(option("class_name"))).when(F.col("type").isin("has_many", "has_and_belongs_to_many"), F.col("name")).otherwise(pluralize(F.col("name")))
     fk = F.coalesce(option("foreign_key"), F.when(F.col("type") == "belongs_to", F.concat("name", F.lit("_id"))))
     edges = rows.join(tables, ["schema_id", "cls"]).select("schema_id", F.col("real").alias("table_name"), "type", "name", target.alias("target"), fk.alias("foreign_key"), option("through").alias("through"), poly.alias("polymorphic"))
-    return {"bases": bases.where("dst IS NOT NULL"), "tables": tables, "edges": edges}
+    moved = tables.where("naive <> real").groupBy("schema_id", "naive").agg(F.min("real").alias("real"))
+    return {"bases": bases, "tables": tables, "edges": redirect_targets(edges, moved)}
 
 
 def laravel_models(corpus: DataFrame) -> dict[str, DataFrame]:
@@ -220,8 +260,34 @@ def _name(node) -> str:
     return node.id if isinstance(node, ast.Name) else str(node.value) if isinstance(node, ast.Constant) else ""
 
 
+def _assigned(node) -> tuple[str | None, ast.expr | None]:
+    """Name and value of an assignment to one name."""
+    target = node.targets[0] if isinstance(node, ast.Assign) and len(node.targets) == 1 else node.target if isinstance(node, ast.AnnAssign) else None
+    return (target.id, node.value) if isinstance(target, ast.Name) and node.value is not None else (None, None)
+
+
+def _call_facts(value: ast.Call, annotation: ast.expr | None) -> tuple[str, str, dict[str, str]]:
+    """Name of the call, of its first argument, and its options: keywords, the calls inside it with their first argument,
+    second (name of the second argument), literal (the first one is a string) and annotation."""
+    options = {k.arg: ast.unparse(k.value).strip("'\"") for k in value.keywords if k.arg}
+    first = next(iter(value.args), None)
+    if first is None and "to" in options:
+        first = next(k.value for k in value.keywords if k.arg == "to")
+    for inner in value.args:
+        if isinstance(inner, ast.Call) and inner.args:
+            options.setdefault(_name(inner), _name(inner.args[0]))
+    if isinstance(first, ast.Constant) and isinstance(first.value, str):
+        options["literal"] = "True"
+    if len(value.args) > 1:
+        options["second"] = _name(value.args[1])
+    if annotation is not None:
+        options["annotation"] = ast.unparse(annotation)
+    return _name(value), _name(first) if first is not None else "", options
+
+
 def class_facts(source: str) -> list[tuple]:
-    """(class, bases, table name, place, field, call, first argument, options) of each class and each field made by a call.
+    """(class, bases, table name, place, field, call, first argument, options) of each class of a module (place 0, options
+    abstract, proxy and line) and each field made by a call; without a class, those of the module's own variables.
 
     A source that does not parse gives one row of place -1, with the reason as its call.
     """
@@ -230,26 +296,26 @@ def class_facts(source: str) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError) as e:
         return [(None, [], None, -1, None, type(e).__name__, None, {})]
     out = []
-    for node in ast.walk(tree):
+    for node in tree.body:
+        name, value = _assigned(node)
+        if name and isinstance(value, ast.Call):
+            out.append((None, [], None, -2, name, *_call_facts(value, None)))
         if not isinstance(node, ast.ClassDef):
             continue
-        bases, table = [_name(b) for b in node.bases], None
+        said = {}
         for item in node.body:
-            inner = item.body if isinstance(item, ast.ClassDef) and item.name == "Meta" else [item]
-            for x in inner:
-                if isinstance(x, ast.Assign) and isinstance(x.value, ast.Constant) and _name(x.targets[0]) in ("db_table", "__tablename__"):
-                    table = str(x.value.value)
-        out.append((node.name, bases, table, 0, None, None, None, {}))
+            for x in item.body if isinstance(item, ast.ClassDef) and item.name == "Meta" else [item]:
+                name, value = _assigned(x)
+                if name and isinstance(value, ast.Constant):
+                    said[name] = str(value.value)
+        table = said.get("db_table") or said.get("__tablename__")
+        bases = [_name(b) for b in node.bases]
+        marks = {"abstract": said.get("abstract") or said.get("__abstract__") or "False", "proxy": said.get("proxy", "False"), "line": str(node.lineno)}
+        out.append((node.name, bases, table, 0, None, None, None, marks))
         for i, item in enumerate(node.body, 1):
-            target = item.targets[0] if isinstance(item, ast.Assign) else item.target if isinstance(item, ast.AnnAssign) else None
-            value = getattr(item, "value", None)
-            if isinstance(target, ast.Name) and isinstance(value, ast.Call):
-                first = next((_name(a) for a in value.args), "")
-                inner = next((a for a in value.args if isinstance(a, ast.Call)), None)
-                options = {k.arg: ast.unparse(k.value).strip("'\"") for k in value.keywords if k.arg}
-                if inner is not None and inner.args:
-                    options[_name(inner)] = _name(inner.args[0])
-                out.append((node.name, bases, table, i, target.id, _name(value), first, options))
+            name, value = _assigned(item)
+            if name and isinstance(value, ast.Call):
+                out.append((node.name, bases, table, i, name, *_call_facts(value, getattr(item, "annotation", None))))
     return out
 
 
@@ -264,49 +330,129 @@ def python_models(corpus: DataFrame) -> DataFrame:
     return corpus.select("project", "path", "content").mapInPandas(run, _FACTS)
 
 
+#: Display types of Django fields, and the association types of its relations.
 _DJANGO = {"CharField": "string", "TextField": "text", "SlugField": "string", "EmailField": "string", "URLField": "string", "IntegerField": "integer", "PositiveIntegerField": "integer", "BigIntegerField": "bigint", "BigAutoField": "bigint", "AutoField": "integer", "FloatField": "float", "DecimalField": "decimal", "BooleanField": "boolean", "DateTimeField": "datetime", "DateField": "date", "TimeField": "time", "DurationField": "interval", "JSONField": "json", "UUIDField": "uuid", "BinaryField": "binary"}
 _LINKS = {"ForeignKey": "belongs_to", "OneToOneField": "has_one", "ManyToManyField": "has_and_belongs_to_many"}
 
 
+def _class_heads(facts: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each class: (schema_id, *key, bases, table_name, abstract, proxy, path, line); the last file's where several define it."""
+    own = facts.where("pos = 0").groupBy("schema_id", *key).agg(F.max_by(F.struct("bases", "table_name", "options", "path"), "path").alias("h"))
+    flag = lambda n: (F.col("h.options")[n] == "True").alias(n)
+    return own.select("schema_id", *key, "h.bases", "h.table_name", flag("abstract"), flag("proxy"), "h.path", F.col("h.options")["line"].alias("line"))
+
+
 def django(facts: DataFrame) -> dict[str, DataFrame]:
-    """tables, columns and edges: models are classes that reach Model; targets are classes of the same app first."""
-    from lakeatlas.operators.graph import models
-
-    app = F.element_at(F.split("path", "/"), -2)
-    own = facts.withColumn("app", F.coalesce(app, F.lit("")))
-    bases = own.where("pos = 0").select("schema_id", F.col("cls").alias("src"), F.explode("bases").alias("dst"))
-    real = models(bases, ["Model"]).select("schema_id", F.col("src").alias("cls"))
-    heads = own.where("pos = 0").join(real, ["schema_id", "cls"], "left_semi")
-    tables = heads.select("schema_id", "app", "cls", F.coalesce("table_name", F.concat_ws("_", "app", F.lower("cls"))).alias("table"))
-    fields = own.where("pos > 0").join(tables, ["schema_id", "app", "cls"])
-    link = F.col("call").isin(*_LINKS)
-    nullable = F.coalesce(F.col("options")["null"] == "True", F.lit(False))
-    pk = F.coalesce(F.col("options")["primary_key"] == "True", F.lit(False))
-    plain = fields.where(~link & F.col("call").endswith("Field")).select("schema_id", F.col("table").alias("table_name"), "pos", F.coalesce(F.col("options")["db_column"], F.col("field")).alias("name"), F.coalesce(lookup(F.col("call"), _DJANGO), F.col("call")).alias("type"), nullable.alias("nullable"), pk.alias("primary"))
-    keys = fields.where(F.col("call").isin("ForeignKey", "OneToOneField")).select("schema_id", F.col("table").alias("table_name"), "pos", F.concat("field", F.lit("_id")).alias("name"), F.lit("bigint").alias("type"), nullable.alias("nullable"), F.lit(False).alias("primary"))
+    """tables, columns and edges. Models are classes that reach Model; a class is known by its app and name.
+
+    A base is a class of the same app first, else of the first other app. Models that are neither abstract nor proxies
+    have tables, with the fields of all their bases before their own. A target is a class of the same app first, else of
+    the only other app that has one; a foreign key keeps its column where its target is not known.
+    """
+    from lakeatlas.operators.graph import descendants, inheritance_order
+
+    own = facts.withColumn("app", F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)), F.lit("")))
+    key = F.concat_ws(".", "app", "cls")
+    heads = _class_heads(own, ["app", "cls"]).withColumn("key", key)
+    wanted = heads.select("schema_id", F.col("key").alias("src"), "app", F.posexplode("bases").alias("pos", "base"))
+    there = heads.select("schema_id", F.col("cls").alias("base"), F.col("app").alias("base_app"), F.col("key").alias("dst"))
+    bases = wanted.join(there, ["schema_id", "base"]).groupBy("schema_id", "src", "pos").agg(F.min_by("dst", F.struct(F.col("app") != F.col("base_app"), "base_app")).alias("dst"))
+    model = descendants(bases, heads.where(F.array_contains("bases", "Model")).select("schema_id", F.col("key").alias("node")))
+    bases = bases.join(model.withColumnRenamed("node", "dst"), ["schema_id", "dst"], "left_semi")
+    concrete = heads.where("NOT abstract AND NOT proxy").join(model.withColumnRenamed("node", "key"), ["schema_id", "key"], "left_semi")
+    tables = concrete.select("schema_id", "app", "cls", "key", F.coalesce("table_name", F.concat_ws("_", "app", F.lower("cls"))).alias("table"))
+
+    mine = own.where("pos > 0").select("schema_id", key.alias("owner"), F.col("pos").alias("own_pos"), "field", "call", "target", "options", "path")
+    last = heads.select("schema_id", F.col("key").alias("owner"), "path")  # fields of the definition that counts
+    order = inheritance_order(bases, tables.select("schema_id", F.col("key").alias("cls"))).withColumnRenamed("cls", "key")
+    fields = order.join(mine.join(last, ["schema_id", "owner", "path"], "left_semi"), ["schema_id", "owner"]).join(tables, ["schema_id", "key"])
+    fields = fields.where(F.col("call").isin(*_DJANGO, *_LINKS, "GenericForeignKey") | F.col("call").endswith("Field"))
+    fields = fields.withColumn("pos", F.row_number().over(Window.partitionBy("schema_id", "key").orderBy("place", "own_pos"))).withColumnRenamed("table", "of_table")
+    opt = F.col("options")
+    pk = F.coalesce(opt["primary_key"] == "True", F.lit(False))
+    null = F.coalesce(opt["null"] == "True", F.lit(False))
+    head = ["schema_id", F.col("of_table").alias("table_name"), "pos"]
+    is_key = F.col("call").isin("ForeignKey", "OneToOneField")
+    column = F.coalesce(opt["db_column"], F.when(is_key, F.concat("field", F.lit("_id"))).otherwise(F.col("field")))
+    plain = fields.where(~F.col("call").isin(*_LINKS, "GenericForeignKey")).select(*head, column.alias("name"), F.coalesce(lookup(F.col("call"), _DJANGO), F.col("call")).alias("type"), (null & ~pk).alias("nullable"), pk.alias("primary"))
+    keys = fields.where(is_key).select(*head, column.alias("name"), F.lit("bigint").alias("type"), null.alias("nullable"), F.lit(False).alias("primary"))
     with_pk = plain.where("primary").select("schema_id", "table_name").distinct()
     ids = tables.select("schema_id", F.col("table").alias("table_name")).join(with_pk, ["schema_id", "table_name"], "left_anti").select("*", F.lit(0).alias("pos"), F.lit("id").alias("name"), F.lit("bigint").alias("type"), F.lit(False).alias("nullable"), F.lit(True).alias("primary"))
-    columns = ids.unionByName(plain).unionByName(keys)
-    wanted = fields.where(link).withColumn("ref", F.when(F.col("target") == "self", F.col("cls")).otherwise(F.element_at(F.split("target", r"\."), -1)))
-    refs = tables.select("schema_id", F.col("app").alias("ref_app"), F.col("cls").alias("ref"), F.col("table").alias("ref_table"))
-    near = wanted.join(refs, ["schema_id", "ref"]).groupBy("schema_id", F.col("table").alias("table_name"), "call", "field", "app", F.col("options")["through"].alias("via")).agg(F.max(F.when(F.col("app") == F.col("ref_app"), F.col("ref_table"))).alias("same"), F.when(F.count_distinct("ref_table") == 1, F.max("ref_table")).alias("only"))
-    edges = near.select("schema_id", "table_name", lookup(F.col("call"), _LINKS).alias("type"), F.col("field").alias("name"), F.coalesce("same", "only").alias("target"), F.when(F.col("call") != "ManyToManyField", F.concat("field", F.lit("_id"))).alias("foreign_key"), F.col("via").alias("through")).where("target IS NOT NULL")
-    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": columns, "edges": edges, "warnings": python_warnings(facts)}
+
+    links = fields.where(F.col("call").isin(*_LINKS)).select("schema_id", "key", "app", "of_table", "pos", "field", "call", column.alias("column"), F.array(F.struct(F.col("target").alias("ref"), F.coalesce(opt["literal"] == "True", F.lit(False)).alias("literal")), F.struct(opt["through"].alias("ref"), F.lit(True).alias("literal"))).alias("refs"))
+    refs = links.select("*", F.posexplode("refs").alias("which", "r")).where("r.ref IS NOT NULL").select("schema_id", "key", "app", "of_table", "pos", "which", "r.ref", "r.literal")
+    parts = F.split("ref", r"\.")
+    refs = refs.withColumn("ref_cls", F.element_at(parts, -1)).withColumn("ref_app", F.when(F.col("literal") & (F.size(parts) > 1), parts[0]))
+    targets = tables.select("schema_id", F.col("cls").alias("ref_cls"), F.col("app").alias("to_app"), F.col("table").alias("to_table"))
+    found = refs.join(targets, ["schema_id", "ref_cls"], "left").groupBy("schema_id", "key", "app", "of_table", "pos", "which", "ref", "literal", "ref_cls", "ref_app").agg(
+        F.max(F.when(F.col("to_app") == F.coalesce("ref_app", "app"), F.col("to_table"))).alias("same"), F.when(F.count_distinct("to_app") == 1, F.max("to_table")).alias("only")
+    )
+    guess = F.when(F.col("literal"), F.concat(F.lower(F.coalesce("ref_app", "app")), F.lit("_"), F.lower("ref_cls")))
+    table = F.when(F.col("literal") & (F.col("ref") == "self"), F.col("of_table")).otherwise(F.coalesce("same", F.when(F.col("ref_app").isNull(), F.col("only")), guess))
+    found = found.groupBy("schema_id", "key", "pos").agg(F.max(F.when(F.col("which") == 0, table)).alias("target"), F.max(F.when(F.col("which") == 1, table)).alias("through"))
+    edges = links.drop("refs").join(found, ["schema_id", "key", "pos"]).where("target IS NOT NULL")
+    edges = edges.select("schema_id", F.col("of_table").alias("table_name"), lookup(F.col("call"), _LINKS).alias("type"), F.col("field").alias("name"), "target", F.when(F.col("call") != "ManyToManyField", F.col("column")).alias("foreign_key"), F.when(F.col("call") == "ManyToManyField", F.col("through")).alias("through"), F.lit(False).alias("polymorphic"))
+    generic = fields.where("call = 'GenericForeignKey'").select("schema_id", F.col("of_table").alias("table_name"), F.lit("belongs_to").alias("type"), F.col("field").alias("name"), pluralize(to_snake(F.col("field"))).alias("target"), F.lit(None).cast("string").alias("foreign_key"), F.lit(None).cast("string").alias("through"), F.lit(True).alias("polymorphic"))
+    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": ids.unionByName(plain).unionByName(keys), "edges": edges.unionByName(generic), "warnings": python_warnings(facts)}
+
+
+#: Display types of Python annotations in mapped classes.
+_ANNOTATED = {"int": "integer", "str": "string", "float": "float", "bool": "boolean", "datetime": "datetime", "date": "date", "time": "time", "bytes": "binary", "Decimal": "decimal", "UUID": "uuid", "dict": "json"}
 
 
 def sqlalchemy(facts: DataFrame) -> dict[str, DataFrame]:
-    """columns and edges of declarative models: ForeignKey columns, and relationships to tables without one already."""
-    tables = facts.where("pos = 0 AND table_name IS NOT NULL").select("schema_id", "cls", F.col("table_name").alias("table"))
-    fields = facts.where("pos > 0").join(tables, ["schema_id", "cls"])
-    cols = fields.where(F.col("call").isin("Column", "mapped_column"))
-    fk = F.col("options")["ForeignKey"]
-    columns = cols.select("schema_id", F.col("table").alias("table_name"), "pos", F.col("field").alias("name"), F.lower(F.when(F.col("target") == "ForeignKey", "Integer").otherwise(F.col("target"))).alias("type"), (F.coalesce(F.col("options")["nullable"], F.lit("True")) != "False").alias("nullable"), F.coalesce(F.col("options")["primary_key"] == "True", F.lit(False)).alias("primary"))
-    unique = F.coalesce(F.col("options")["unique"] == "True", F.lit(False))
-    keys = cols.where(fk.isNotNull()).select("schema_id", F.col("table").alias("table_name"), F.when(unique, "has_one").otherwise("belongs_to").alias("type"), fk_stem(F.col("field")).alias("name"), F.split(fk, r"\.")[0].alias("target"), F.col("field").alias("foreign_key"))
-    refs = tables.select("schema_id", F.col("cls").alias("target"), F.col("table").alias("ref"))
-    rel = fields.where((F.col("call") == "relationship") & F.col("options")["remote_side"].isNull()).join(refs, ["schema_id", "target"]).select("schema_id", F.col("table").alias("table_name"), F.when(F.col("options")["secondary"].isNotNull(), "has_and_belongs_to_many").when(F.col("options")["uselist"] == "False", "has_one").otherwise("has_many").alias("type"), F.col("field").alias("name"), F.col("ref").alias("target"), F.lit(None).cast("string").alias("foreign_key"))
+    """tables, columns, edges and warnings of declarative models.
+
+    Bases are DeclarativeBase, what declarative_base() gives, and classes of theirs without table and fields. What reaches
+    one is a model; it has the fields of all its bases, mixins too, before its own. A model without ``__tablename__`` goes by
+    its name, with a warning; abstract ones have no table. A relationship to a table that a foreign key leads to already
+    is no edge of its own.
+    """
+    from lakeatlas.operators.graph import descendants, inheritance_order
+
+    heads = _class_heads(facts, ["cls"])
+    own = facts.where("pos > 0 AND call IN ('Column', 'mapped_column', 'relationship')").select("schema_id", "path", F.col("cls").alias("owner"), F.col("pos").alias("own_pos"), "field", "call", "target", "options")
+    own = own.join(heads.select("schema_id", F.col("cls").alias("owner"), "path"), ["schema_id", "owner", "path"], "left_semi")
+    bases = heads.select("schema_id", F.col("cls").alias("src"), F.posexplode("bases").alias("pos", "dst"))
+    roots = facts.where("pos = -2 AND call = 'declarative_base'").select("schema_id", F.col("field").alias("node")).union(facts.select("schema_id").distinct().withColumn("node", F.lit("DeclarativeBase")))
+    bare = heads.where("table_name IS NULL").select("schema_id", F.col("cls").alias("src")).join(own.select("schema_id", F.col("owner").alias("src")).distinct(), ["schema_id", "src"], "left_anti")
+    roots = descendants(bases.join(bare, ["schema_id", "src"], "left_semi"), roots)
+    model = descendants(bases, roots).join(roots, ["schema_id", "node"], "left_anti").select("schema_id", F.col("node").alias("cls"), F.lit(True).alias("model"))
+    known = heads.where("NOT abstract").join(model, ["schema_id", "cls"], "left").where("table_name IS NOT NULL OR model")
+    tables = known.select("schema_id", "cls", F.coalesce("table_name", to_snake(F.col("cls"))).alias("table"), "path", "line", F.col("table_name").isNull().alias("guessed"))
+    guessed = tables.where("guessed").select("schema_id", "path", F.concat(F.lit("line "), "line", F.lit(": no __tablename__, taken as "), "table").alias("message"))
+
+    inside = bases.join(heads.select("schema_id", F.col("cls").alias("dst")), ["schema_id", "dst"], "left_semi")
+    order = inheritance_order(inside, tables.select("schema_id", "cls"))
+    fields = order.join(own, ["schema_id", "owner"]).join(tables.select("schema_id", "cls", "table"), ["schema_id", "cls"])
+    fields = fields.withColumn("pos", F.row_number().over(Window.partitionBy("schema_id", "cls").orderBy("place", "own_pos"))).withColumnRenamed("table", "table_name")
+    opt, note = F.col("options"), F.coalesce(F.col("options")["annotation"], F.lit(""))
+    inner = F.nullif(F.regexp_extract(note, r"""(\w+)["']?(?:\s*\|\s*None)?\]*$""", 1), F.lit(""))
+    many = note.rlike(r"(?i)\b(list|set|sequence|collection|iterable)\[")
+    optional = note.rlike(r"\bOptional\[|\|\s*None")
+    cols = fields.where("call <> 'relationship'")
+    named = F.coalesce(opt["literal"] == "True", F.lit(False))
+    kind = F.when(named, opt["second"]).otherwise(F.nullif(F.col("target"), F.lit("")))
+    kind = F.when(kind != "ForeignKey", kind)
+    primary, fk = F.coalesce(opt["primary_key"] == "True", F.lit(False)), opt["ForeignKey"]
+    type_ = F.when(kind.isNotNull(), F.lower(kind)).when((note != "") & ~many, F.coalesce(lookup(inner, _ANNOTATED), F.lower(inner))).when(fk.isNotNull(), "bigint").otherwise("")
+    nullable = F.when(opt["nullable"].isNotNull(), opt["nullable"] == "True").when(note != "", optional).otherwise(~primary)
+    cols = cols.select("schema_id", "cls", "table_name", "pos", F.when(named, F.col("target")).otherwise(F.col("field")).alias("name"), "field", type_.alias("type"), nullable.alias("nullable"), primary.alias("primary"), F.split(fk, r"\.").alias("fk"), F.coalesce(opt["unique"] == "True", F.lit(False)).alias("unique"))
+    with_pk = cols.where("primary").select("schema_id", "table_name").distinct()
+    ids = tables.select("schema_id", F.col("table").alias("table_name")).join(with_pk, ["schema_id", "table_name"], "left_anti").select("*", F.lit(0).alias("pos"), F.lit("id").alias("name"), F.lit("bigint").alias("type"), F.lit(False).alias("nullable"), F.lit(True).alias("primary"))
+    columns = ids.unionByName(cols.select(*ids.columns))
+    none = F.lit(None).cast("string")
+    keys = cols.where("fk IS NOT NULL").select("schema_id", "table_name", F.when(F.col("unique"), "has_one").otherwise("belongs_to").alias("type"), fk_stem(F.col("field")).alias("name"), F.when(F.size("fk") > 1, F.element_at("fk", -2)).otherwise(F.col("fk")[0]).alias("target"), F.col("name").alias("foreign_key"), none.alias("through"))
+    rel = fields.where((F.col("call") == "relationship") & opt["remote_side"].isNull())
+    rel = rel.withColumn("ref", F.coalesce(F.nullif(F.col("target"), F.lit("")), inner)).join(tables.select("schema_id", F.col("cls").alias("ref"), F.col("table").alias("ref_table")), ["schema_id", "ref"])
+    vars_ = facts.where("pos = -2 AND call = 'Table'").select("schema_id", F.col("field").alias("_var"), F.col("target").alias("_table"))
+    rel = rel.withColumn("_var", opt["secondary"]).join(vars_, ["schema_id", "_var"], "left")
+    single = F.when(opt["uselist"].isNotNull(), opt["uselist"] == "False").otherwise((note != "") & ~many)
+    rel = rel.select("schema_id", "table_name", F.when(F.col("_var").isNotNull(), "has_and_belongs_to_many").when(single, "has_one").otherwise("has_many").alias("type"), F.col("field").alias("name"), F.col("ref_table").alias("target"), none.alias("foreign_key"), F.when(F.col("_var").isNotNull(), F.coalesce("_table", "_var")).alias("through"))
     there = keys.where("table_name <> target").select("schema_id", "table_name", "target").distinct()
-    return {"columns": columns, "edges": keys.unionByName(rel.join(there, ["schema_id", "table_name", "target"], "left_anti")), "warnings": python_warnings(facts)}
+    side = rel.where("type <> 'has_and_belongs_to_many'").join(there, ["schema_id", "table_name", "target"], "left_anti")
+    edges = keys.unionByName(side).unionByName(rel.where("type = 'has_and_belongs_to_many'"))
+    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": columns, "edges": edges, "warnings": python_warnings(facts).unionByName(guessed)}
 
 
 def python_warnings(facts: DataFrame) -> DataFrame:

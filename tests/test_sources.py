@@ -122,108 +122,143 @@ end
     got = corpus.rails_models(files(spark, text, path="app/models/user.rb"))
     assert rows(got["edges"], "table_name", "type", "name", "target") == [("people", "belongs_to", "company", "companies"), ("people", "belongs_to", "owner", "owner"), ("people", "has_many", "posts", "posts"), ("people", "has_many", "tags", "tags")]
     assert rows(graph.models(got["bases"], ["ActiveRecord::Base"]), "src") == [("Admin",), ("ApplicationRecord",), ("User",)]
-    concrete = got["tables"].where("cls <> 'ApplicationRecord'").select("schema_id", "cls")
-    assert rows(graph.inheritance_roots(got["bases"], concrete), "src", "root") == [("Admin", "User")]
-
-
-def test_laravel_models(spark):
-    text = """<?php
-class User extends Model {
-    protected $table = 'people';
-    public function posts() { return $this->hasMany(Post::class); }
-    public function team() { return $this->belongsTo(Team::class, 'group_id'); }
-    public function roles() { return $this->belongsToMany(Role::class, 'role_user'); }
-    public function owner() { return $this->morphTo(); }
-    public function odd() { return $this->hasOne($x); }
-}
-class Post extends Model {
-}
+    assert rows(got["tables"], "cls", "real") == [("Admin", "people"), ("User", "people")]
+    assert rows(graph.inheritance_roots(got["bases"], got["tables"].select("schema_id", "cls")), "src", "root") == [("Admin", "User")]
+
+
+def test_rails_inheritance_and_names(spark):
+    one = """module Named
+  extend ActiveSupport::Concern
+  included { self.table_name = "aaa_projects" }
+end
+"""
+    two = """class BaseRecord < ApplicationRecord
+  self.abstract_class = true
+end
+class Project < BaseRecord
+  include Named
+  has_many :tasks
+end
+class Task < BaseRecord
+  belongs_to :project
+  # self.table_name = "old"
+end
+class Chore < Task
+  belongs_to :worker, class_name: "Person"
+end
+class Person < ActiveRecord::Base
+end
+class Widget
+  has_many :parts
+end
 """
-    got = corpus.laravel_models(files(spark, text, path="app/Models/User.php"))
-    assert rows(got["edges"].na.fill(""), "type", "name", "target", "foreign_key", "through") == [("belongs_to", "owner", "owner", "", ""), ("belongs_to", "team", "teams", "group_id", ""), ("has_and_belongs_to_many", "roles", "roles", "", "role_user"), ("has_many", "posts", "posts", "", "")]
-    assert got["warnings"].count() == 1
+    df = spark.createDataFrame([("p", "app/models/concerns/named.rb", one), ("p", "app/models/all.rb", two)], "project string, path string, content string")
+    got = corpus.rails_models(df)
+    assert rows(got["tables"], "cls", "real") == [("Chore", "tasks"), ("Person", "people"), ("Project", "aaa_projects"), ("Task", "tasks")]
+    assert rows(got["edges"], "table_name", "type", "target", "foreign_key")[:2] == [("aaa_projects", "has_many", "tasks", None), ("tasks", "belongs_to", "aaa_projects", "project_id")]
+    assert ("tasks", "belongs_to", "people") in rows(got["edges"], "table_name", "type", "target")
+    by_map = spark.createDataFrame([("p", "Person", "staff")], "schema_id string, cls string, table_name string")
+    mapped = corpus.rails_models(df, by_map)
+    assert ("Person", "staff") in rows(mapped["tables"], "cls", "real") and ("tasks", "staff") in rows(mapped["edges"], "table_name", "target")
 
 
-def test_django_and_sqlalchemy(spark):
-    text = """
-class Base(models.Model):
+def test_schema_rb_says_what_it_leaves_out(spark):
+    got = corpus.schema_rb(files(spark, 'create_table "a" do |t|\nend\nadd_index "b", ["x"]\nadd_index "a", ["y"]\nexecute "SELECT 1"\n'))
+    assert rows(got["indexes"], "table_name") == [("a",)]
+    assert sorted(r.message for r in got["warnings"].collect()) == ["index on unknown table: b", 'unknown statement: execute "SELECT 1"']
+
+
+def test_django_inheritance(spark):
+    blog = """
+class Stamped(models.Model):
     created = models.DateTimeField(null=True)
     class Meta:
         abstract = True
-class User(Base):
-    name = models.CharField(max_length=10)
-    friends = models.ManyToManyField("self", through="Friend")
-class Post(models.Model):
-    author = models.ForeignKey(User, on_delete=models.CASCADE)
+class Named(models.Model):
+    name = models.CharField(max_length=9)
+    created = None
     class Meta:
-        db_table = "posts"
+        abstract = True
+class Tag(Stamped):
+    pass
+class Post(Named, Stamped):
+    tag = models.ForeignKey("Tag", on_delete=models.CASCADE, null=True)
+    owner = models.ForeignKey(settings.AUTH_USER_MODEL, on_delete=models.CASCADE)
+    item = models.ForeignKey("shop.Item", on_delete=models.CASCADE, db_column="item_no")
+    thing = GenericForeignKey("kind", "object_id")
+class Shown(Post):
+    class Meta:
+        proxy = True
+class Plain:
+    x = models.CharField()
+"""
+    shop = """
+class Tag(Stamped):
+    code = models.CharField(primary_key=True)
+class Item(models.Model):
+    parent = models.ForeignKey("self", null=True, on_delete=models.CASCADE)
+    tags = models.ManyToManyField(Tag)
+    post = models.OneToOneField(Post, on_delete=models.CASCADE)
 """
-    got = corpus.django(corpus.python_models(files(spark, text, "not python (", path="blog/models.py")))
-    assert ("posts", "belongs_to", "author", "blog_user", "author_id") in rows(got["edges"].where("foreign_key is not null"), "table_name", "type", "name", "target", "foreign_key")
-    assert rows(got["edges"].where("foreign_key is null"), "type", "target", "through") == [("has_and_belongs_to_many", "blog_user", "Friend")]
-    assert ("posts", 0, "id", "bigint", True) in rows(got["columns"], "table_name", "pos", "name", "type", "primary")
+    df = spark.createDataFrame([("p", "blog/models.py", blog), ("p", "shop/models.py", shop)], "project string, path string, content string")
+    got = corpus.django(corpus.python_models(df))
+    assert rows(got["tables"], "table_name") == [("blog_post",), ("blog_tag",), ("shop_item",), ("shop_tag",)]
+    names = lambda t: [r.name for r in got["columns"].where(f"table_name = '{t}'").orderBy("pos").collect()]
+    assert names("blog_post") == ["id", "name", "created", "tag_id", "owner_id", "item_no"]
+    assert names("blog_tag") == ["id", "created"] and names("shop_tag") == ["created", "code"]
+    assert rows(got["edges"].na.fill(""), "table_name", "type", "name", "target", "foreign_key", "polymorphic") == [
+        ("blog_post", "belongs_to", "item", "shop_item", "item_no", False), ("blog_post", "belongs_to", "tag", "blog_tag", "tag_id", False), ("blog_post", "belongs_to", "thing", "things", "", True),
+        ("shop_item", "belongs_to", "parent", "shop_item", "parent_id", False), ("shop_item", "has_and_belongs_to_many", "tags", "shop_tag", "", False), ("shop_item", "has_one", "post", "blog_post", "post_id", False),
+    ]
+
+
+def test_sqlalchemy_inheritance(spark):
     text = """
-class User(Base):
+Model = declarative_base()
+links = Table("post_tags", Model.metadata)
+class Base(DeclarativeBase):
+    pass
+class Stamped:
+    created = Column(DateTime, nullable=False)
+class Common(Base):
+    __abstract__ = True
+    id: Mapped[int] = mapped_column(primary_key=True)
+class User(Stamped, Common):
     __tablename__ = "users"
-    id = Column(Integer, primary_key=True)
-    posts = relationship("Post")
-class Post(Base):
-    __tablename__ = "posts"
-    id = Column(Integer, primary_key=True)
-    user_id = Column(Integer, ForeignKey("users.id"), nullable=False)
-    user = relationship("User")
+    mail = Column("email", String(20))
+    posts: Mapped[list["Post"]] = relationship()
+class Post(Common):
+    user_id: Mapped[Optional[int]] = mapped_column(ForeignKey("public.users.id"))
+    user: Mapped["User"] = relationship()
+    tags = relationship("Tag", secondary=links)
+class Tag(Model):
+    __tablename__ = "tags"
+    label = Column(Text)
 """
     got = corpus.sqlalchemy(corpus.python_models(files(spark, text)))
-    assert sorted(map(str, rows(got["edges"], "table_name", "type", "name", "target", "foreign_key"))) == ["('posts', 'belongs_to', 'user', 'users', 'user_id')", "('users', 'has_many', 'posts', 'posts', None)"]
-    assert ("posts", "user_id", "integer", False) in rows(got["columns"], "table_name", "name", "type", "nullable")
-
-
-def test_catalogue_rows(spark):
-    made = lambda ddl, data: spark.createDataFrame([("s", *d) for d in data], ddl)
-    rows_ = {
-        "tables": made(catalogue.TABLE_ROWS, [("companies", ""), ("users", "who"), ("profiles", "")]),
-        "columns": made(catalogue.COLUMN_ROWS, [("users", 1, "id", "bigint", "bigint(20)", "NO", "PRI", "", "auto_increment", ""), ("users", 2, "company_id", "int", "int", "YES", "MUL", "", "", "firm"), ("view", 1, "x", "int", "int", "NO", "", "", "", "")]),
-        "fks": made(catalogue.FK_ROWS, [("users", "company_id", "companies"), ("profiles", "user_id", "users"), ("users", "x", "view")]),
-        "indexes": made(catalogue.INDEX_ROWS, [("profiles", "ix", 0, 1, "user_id"), ("users", "two", 1, 2, "company_id"), ("users", "two", 1, 1, "id")]),
-    }
-    got = catalogue.catalogue_from_rows(rows_)
-    assert rows(got["associations"], "table_name", "type", "name", "target") == [("profiles", "has_one", "user", "users"), ("users", "belongs_to", "company", "companies")]
-    assert rows(got["indexes"], "name", "columns", "unique") == [("ix", ("user_id",), True), ("two", ("id", "company_id"), False)]
-    assert rows(got["columns"], "name", "type", "nullable", "primary") == [("company_id", "integer", True, False), ("id", "bigint", False, True)]
-    assert got["tables"].where("primary_key IS NOT NULL").first().primary_key == ["id"]
-    lake = catalogue.lake_columns(spark, {"t": spark.range(1).selectExpr("id", "array(1) AS a", "cast(1 AS decimal(5,2)) AS d")}, "lake")
-    assert rows(lake, "pos", "name", "type") == [(1, "id", "bigint"), (2, "a", "array<int>"), (3, "d", "decimal")]
-    catalogue.register_adapter("demo", lambda s, url: got)
-    found, bad = catalogue.fetch(spark, "demo://x")
-    assert bad.count() == 0
-    with pytest.raises(ValueError):
-        catalogue.fetch(spark, "nothing://x")
-
-
-def test_config_documents(spark):
-    doc = {"tables": {"users": {"comment": None, "primary_key": ["a", "b"], "columns": [{"name": "a", "type": "int", "comment": None}], "associations": [{"type": "has_many", "name": "x", "target": "y", "foreign_key": None}], "columns_mode": "replace"}}, "groups": [{"id": "g", "tables": ["users"], "color": "#12"}], "notes": [{"id": "n", "scope": "global", "text": "t", "links": [{"url": "ftp://x"}]}]}
-    df = spark.createDataFrame([("s", 0, json.dumps(doc)), ("t", 0, "no json")], "schema_id string, layer_seq int, content string")
-    got = documents.config_fragments(df)
-    t = got["tables"].first()
-    assert t.present == ["comment", "primary_key"] and t.primary_key == ["a", "b"] and t.columns_mode == "replace"
-    assert got["columns"].first().present == ["type", "comment"]
-    assert got["associations"].first().present == ["type", "name", "target", "foreign_key"]
-    assert [r.schema_id for r in got["warnings"].collect()] == ["t"]
-    assert validate.colours(got["groups"]).count() == 1 and validate.links(got["notes"]).count() == 1
-    assert rows(validate.unknown_keys(df.withColumn("j", df.content), "j", ["tables", "notes"], "config"), "path") == [("config.groups",)]
-
-
-def test_layers_and_projects(spark):
-    specs = spark.createDataFrame([("s", "relations", 0, "config", "c.json", []), ("s", "sources", 1, "rails", "app", ["schema", "models"]), ("s", "db", 0, "mysql", "mysql://u:secret@h/d", []), ("s", "sources", 0, "dbml", "x", [])], "schema_id string, class string, declared int, provider string, location string, halves array<string>")
-    assert rows(documents.order_layers(specs), "layer_seq", "provider", "location") == [(0, "mysql", "mysql://u@h/d"), (1, "dbml", "x"), (2, "rails", "app/schema"), (3, "rails", "app/models"), (4, "config", "c.json")]
-    inv = spark.createDataFrame([("a", "manage.py"), ("a", "prisma/schema.prisma"), ("b", "x/app/models/u.rb"), ("c", "readme")], "project string, path string")
-    found = documents.detect_projects(inv)
-    assert rows(found, "project", "kind") == [("a", "prisma"), ("b", "rails")] and rows(documents.ambiguous(found), "project", "others") == [("a", ("django",))]
-    paths = spark.createDataFrame([("a", "x/m.py"), ("a", "x/venv/m.py"), ("a", "m.rb")], "project string, path string")
-    assert rows(documents.source_files(paths, ".py"), "path") == [("x/m.py",)]
-
-
-def test_python_that_does_not_parse_is_a_warning(spark):
-    facts = corpus.python_models(files(spark, "class A(Model):\n    pass\n", "not python (", path="blog/models.py"))
-    for job in (corpus.django, corpus.sqlalchemy):
-        assert rows(job(facts)["warnings"], "message") == [("does not parse: SyntaxError",)]
+    assert rows(got["tables"], "table_name") == [("post",), ("tags",), ("users",)]
+    assert [(r.name, r.type, r.nullable) for r in got["columns"].where("table_name = 'users'").orderBy("pos").collect()] == [("created", "datetime", False), ("id", "integer", False), ("email", "string", True)]
+    assert ("post", "user_id", "integer", True) in rows(got["columns"], "table_name", "name", "type", "nullable") and ("tags", "id", "bigint", True) in rows(got["columns"], "table_name", "name", "type", "primary")
+    assert rows(got["edges"].na.fill(""), "table_name", "type", "name", "target", "through") == [("post", "belongs_to", "user", "users", ""), ("post", "has_and_belongs_to_many", "tags", "tags", "post_tags"), ("users", "has_many", "posts", "post", "")]
+    assert [r.message for r in got["warnings"].collect()] == ["line 15: no __tablename__, taken as post"]
+
+
+def test_inheritance_order(spark):
+    bases = spark.createDataFrame([("s", "C", "A", 0), ("s", "C", "B", 1), ("s", "D", "B", 0), ("s", "D", "A", 1), ("s", "E", "C", 0), ("s", "E", "D", 1), ("s", "A", "E", 0)], "schema_id string, src string, dst string, pos int")
+    fields = spark.createDataFrame([("s", c, c.lower(), 1) for c in "ABCDE"], "schema_id string, cls string, field string, pos int")
+    got = {}
+    for r in graph.inherited_fields(bases, fields).orderBy("cls", "pos").collect():
+        got.setdefault(r.cls, []).append(r.field)
+
+    def walk(c, seen):
+        if c in seen:
+            return []
+        seen.add(c)
+        below = [x for _, src, dst, _ in sorted(tuple(r) for r in bases.orderBy("src", "pos").select("schema_id", "src", "dst", "pos").collect()) if src == c for x in [dst]]
+        order = [r.dst for r in bases.where(f"src = '{c}'").orderBy("pos").collect()]
+        assert set(order) == set(below)
+        return [f for b in order for f in walk(b, seen)] + [c.lower()]
+
+    assert got == {c: walk(c, set()) for c in "ABCDE"}
+    straight = graph.inherited_fields(bases.where("src <> 'A'"), fields).where("cls IN ('C', 'D')").orderBy("cls", "pos")
+    assert [(r.cls, r.field) for r in straight.collect()] == [("C", "a"), ("C", "b"), ("C", "c"), ("D", "b"), ("D", "a"), ("D", "d")]
