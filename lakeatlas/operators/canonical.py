@@ -70,6 +70,42 @@ def fingerprint(doc: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit('{"format":1,"schema":'), doc, F.lit("}")), 256))
 
 
+def _key_json(name: Column) -> Column:
+    """A string as JSON, by way of an object that holds it."""
+    whole = F.to_json(F.struct(name.alias("k")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def document_json(d: Column) -> Column:
+    """The canonical JSON of a parsed snapshot's schema (``d`` in the form SNAPSHOT), whatever way it was written."""
+    text = lambda x: F.nullif(x, F.lit(""))
+    none = lambda x: F.coalesce(x, F.lit(""))
+
+    def column(c: Column) -> Column:
+        return F.struct(*(text(c[k]).alias(k) for k in ("comment", "default", "extra")), c["name"].alias("name"), c["nullable"].alias("nullable"), F.when(c["primary"], True).alias("primary"), text(c["sql_type"]).alias("sql_type"), c["type"].alias("type"))
+
+    def edge(e: Column) -> Column:
+        own = F.struct(text(e["foreign_key"]).alias("foreign_key"), text(e["name"]).alias("name"), F.when(e["polymorphic"], True).alias("polymorphic"), *(e[k].alias(k) for k in ("provenance", "sources", "target")), text(e["through"]).alias("through"), e["type"].alias("type"))
+        order = F.struct(*(none(e[k]).alias(k) for k in ("type", "name", "foreign_key", "target", "through")), F.coalesce(e["polymorphic"], F.lit(False)).alias("polymorphic"), none(e["provenance"]).alias("provenance"), F.to_json(own).alias("json"))
+        return F.struct(order.alias("o"), own.alias("v"))
+
+    def index(i: Column) -> Column:
+        own = F.struct(i["columns"].alias("columns"), text(i["name"]).alias("name"), i["unique"].alias("unique"))
+        return F.struct(F.struct(none(i["name"]).alias("name"), i["columns"].alias("columns"), i["unique"].alias("unique")).alias("o"), own.alias("v"))
+
+    def listed(items: Column, f, ordered: bool) -> Column:
+        found = F.transform(F.coalesce(items, F.array()), f)
+        return F.transform(F.array_sort(found), lambda x: x["v"]) if ordered else found
+
+    def table(e: Column) -> Column:
+        t = e["value"]
+        doc = F.struct(listed(t["associations"], edge, True).alias("associations"), listed(t["columns"], column, False).alias("columns"), text(t["comment"]).alias("comment"), listed(t["indexes"], index, True).alias("indexes"))
+        return F.struct(e["key"].alias("k"), F.concat(_key_json(e["key"]), F.lit(":"), F.to_json(doc)).alias("json"))
+
+    entries = F.array_sort(F.transform(F.map_entries(d["schema"]["tables"]), table))
+    return lower_escapes(F.concat(F.lit('{"tables":{'), F.array_join(F.transform(entries, lambda e: e["json"]), ","), F.lit("}}")))
+
+
 def snapshot(doc: Column) -> Column:
     return F.concat(F.lit('{"fingerprint":"'), fingerprint(doc), F.lit('","format":1,"schema":'), doc, F.lit("}"))
 

@@ -78,6 +78,20 @@ def changed_schemas(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, "schema_id", "full_outer").where("NOT (_l <=> _r)").select("schema_id")
 
 
+def gate(left: dict[str, DataFrame], right: dict[str, DataFrame], left_docs: DataFrame, right_docs: DataFrame) -> DataFrame:
+    """(schema_id, changed, n_items) for every schema of either side: whether the gate stops it, and how many items differ.
+
+    Fingerprints are computed from the documents (schema_id, doc in canonical form); only schemas whose fingerprints differ
+    are compared. Where only what the comparison ignores differs (order of columns, index names) nothing has changed.
+    """
+    moved = changed_schemas(left_docs, right_docs)
+    own = lambda side: {k: df.join(moved, "schema_id", "left_semi") for k, df in side.items()}
+    counts = summary(schema_diff(own(left), own(right))).groupBy("schema_id").agg(F.sum("n").alias("n_items"))
+    every = left_docs.select("schema_id").union(right_docs.select("schema_id")).distinct()
+    out = every.join(counts, "schema_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    return out.select("schema_id", (F.col("n_items") > 0).alias("changed"), "n_items")
+
+
 def summary(diff: DataFrame) -> DataFrame:
     """(schema_id, level, change, n): counts of changed items, a changed item once."""
     return diff.select("schema_id", "level", "table_name", "item", "change").distinct().groupBy("schema_id", "level", "change").agg(F.count("*").alias("n"))

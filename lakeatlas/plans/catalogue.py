@@ -245,8 +245,14 @@ def layer_overrides(spark, sf_dir):
     return by.where("n_kinds > 1")
 
 
-@query("fleet_totals", with_ctes("SELECT kind, status, count(*) AS n_fragments, count(DISTINCT schema_id) AS n_schemas FROM table_frag GROUP BY ROLLUP (kind, status)"))
+@query(
+    "fleet_totals",
+    with_ctes("""SELECT kind, provider, schema_id, count(*) AS n_layers, count(DISTINCT table_name) AS n_tables FROM (
+      SELECT *, concat('p', CAST(layer_seq % 3 AS STRING)) AS provider FROM table_frag) x GROUP BY ROLLUP (kind, provider, schema_id)"""),
+)
 def fleet_totals(spark, sf_dir):
+    """Layers and table names by kind, provider and schema, with all subtotals."""
     from .derived import frames
 
-    return frames(spark, sf_dir)["table_frag"].rollup("kind", "status").agg(F.count("*").alias("n_fragments"), F.count_distinct("schema_id").alias("n_schemas"))
+    t = frames(spark, sf_dir)["table_frag"].withColumn("provider", F.concat(F.lit("p"), (F.col("layer_seq") % 3).cast("string")))
+    return t.rollup("kind", "provider", "schema_id").agg(F.count("*").alias("n_layers"), F.count_distinct("table_name").alias("n_tables"))

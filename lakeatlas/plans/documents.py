@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeatlas.operators import canonical, diff, edges, merge, reports
 from lakeatlas.operators.store import Relations, written
 
-from .catalogue import COLUMNS_SQL, KEY, RECONCILED_SQL, TABLES_SQL, merged, merged_columns, merged_sql
+from .catalogue import COLUMNS_SQL, KEY, PLACED_SQL, RECONCILED_SQL, TABLES_SQL, merged, merged_columns, merged_sql
 from .derived import CTES, fragments
 
 QUERIES: dict = {}
@@ -224,20 +224,46 @@ def drift_summary(spark, sf_dir):
     return diff.summary(drift(spark, sf_dir))
 
 
+def _plain_documents(m: dict[str, DataFrame]) -> DataFrame:
+    """Canonical documents of tables and columns alone."""
+    spark = m["tables"].sparkSession
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    key = f"schema_id {m['tables'].schema['schema_id'].dataType.simpleString()}, table_name string"
+    indexes = none(f"{key}, name string, columns array<string>, unique boolean")
+    edges_ = none(f"{key}, type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>")
+    return canonical.schema_json(canonical.table_json(m["tables"], m["columns"], indexes, edges_))
+
+
+@query("drift_gate", f"""WITH d AS (SELECT schema_id, count(DISTINCT (level, table_name, item, change)) AS n FROM ({DRIFT_SQL}) d GROUP BY 1),
+  t AS ({CTES["table_frag"]}) SELECT DISTINCT t.schema_id, d.n IS NOT NULL AS changed, coalesce(d.n, 0) AS n_items FROM t LEFT JOIN d ON d.schema_id = t.schema_id""")
+def drift_gate(spark, sf_dir):
+    """Which schemas the gate stops: fingerprints first, and the comparison for those that differ only."""
+    left, right = halves(spark, sf_dir)
+    return diff.gate(left, right, _plain_documents(left), _plain_documents(right))
+
+
+_BY_DAY = "concat(CAST(o_custkey AS STRING), '@', CAST(CAST(o_orderdate AS DATE) AS STRING))"
+_DAY_CTES = {"table_frag": CTES["table_frag"].replace("o_custkey AS schema_id", f"{_BY_DAY} AS schema_id"), "column_frag": CTES["column_frag"]}
+
+
 @query(
     "snapshot_history",
-    f"""WITH table_frag AS ({CTES["table_frag"]}), h AS (SELECT schema_id, seen_on, sha256(string_agg(concat(table_name, ':', coalesce(comment, '')), ',' ORDER BY layer_seq)) AS fp FROM table_frag GROUP BY 1, 2)
-    SELECT schema_id, seen_on, fp FROM (SELECT *, lag(fp) OVER (PARTITION BY schema_id ORDER BY seen_on) AS before FROM h) x WHERE before IS NULL OR before <> fp""",
+    f"""WITH {", ".join(f"{k} AS ({v})" for k, v in _DAY_CTES.items())}, tables_ AS ({TABLES_SQL}), columns_seen AS ({COLUMNS_SQL}), columns_ AS ({PLACED_SQL}),
+    h AS (SELECT schema_id, concat('sha256:', sha256(concat('{{"format":1,"schema":{{"tables":{{', string_agg(concat('"', table_name, '":', doc), ',' ORDER BY table_name), '}}}}}}'))) AS fingerprint FROM (
+      SELECT t.schema_id, t.table_name, concat('{{"associations":[],"columns":[', coalesce(c.js, ''), ']', CASE WHEN t.comment IS NOT NULL THEN concat(',"comment":', {_Q("t.comment")}) ELSE '' END, ',"indexes":[]}}') AS doc
+      FROM tables_ t LEFT JOIN (SELECT {KEY}, string_agg({_JSON_COLUMN}, ',' ORDER BY pos) AS js FROM columns_ GROUP BY {KEY}) c ON {_ON.format("c", "t")}) x GROUP BY schema_id),
+    d AS (SELECT CAST(split_part(schema_id, '@', 1) AS BIGINT) AS schema_id, split_part(schema_id, '@', 2) AS day, fingerprint FROM h)
+    SELECT schema_id, day, fingerprint FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY schema_id ORDER BY day) AS before FROM d) x WHERE before IS NULL OR before <> fingerprint""",
 )
 def snapshot_history(spark, sf_dir):
-    """States at which a schema's content differs from that before."""
+    """A snapshot for each day on which a schema was seen; those whose fingerprint differs from that of the day before."""
     from pyspark.sql import Window
 
-    from .derived import frames
-
-    t = frames(spark, sf_dir)["table_frag"]
-    item = F.struct("layer_seq", F.concat("table_name", F.lit(":"), F.coalesce("comment", F.lit(""))).alias("v"))
-    h = t.groupBy("schema_id", "seen_on").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]), ","), 256).alias("fp"))
-    before = F.lag("fp").over(Window.partitionBy("schema_id").orderBy("seen_on"))
-    return h.withColumn("before", before).where("before IS NULL OR before <> fp").drop("before")
-
+    f = fragments(spark, sf_dir, keep=True)
+    day = F.concat(F.col("schema_id").cast("string"), F.lit("@"), F.col("seen_on").cast("date").cast("string"))
+    part = {k: f[k].withColumn("schema_id", day) for k in ("tables", "columns")}
+    docs = _plain_documents({"tables": merge.merge_tables(part["tables"]), "columns": merged_columns(part)})
+    own = docs.select(F.split("schema_id", "@").alias("k"), canonical.fingerprint(F.col("doc")).alias("fingerprint"))
+    own = own.select(F.col("k")[0].cast("long").alias("schema_id"), F.col("k")[1].alias("day"), "fingerprint")
+    before = F.lag("fingerprint").over(Window.partitionBy("schema_id").orderBy("day"))
+    return own.withColumn("before", before).where("before IS NULL OR before <> fingerprint").drop("before")

@@ -6,21 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakeatlas.operators.canonical import exploded
+from lakeatlas.operators.canonical import document_json, exploded, fingerprint
 from lakeatlas.operators.diff import schema_diff
 from lakeatlas.sources.documents import SNAPSHOT, is_snapshot, read_snapshots
 
 EVENT = "schema_id STRING, snapshot_id STRING, ts TIMESTAMP, doc STRING"
 
 
-def schema_part(doc):
-    """The schema of a document; what its stored fingerprint says is not trusted."""
-    return F.regexp_extract(doc, r'(?s)"schema":(\{.*\})\}$', 1)
-
-
 def with_fingerprint(events: DataFrame) -> DataFrame:
-    body = F.concat(F.lit('{"format":1,"schema":'), schema_part(F.col("doc")), F.lit("}"))
-    return events.withColumn("fingerprint", F.concat(F.lit("sha256:"), F.sha2(body, 256)))
+    """Add the fingerprint of the canonical schema of each document (null where it is no snapshot); the stored one is not
+    trusted, and neither are the document's order of keys and its blanks."""
+    return events.withColumn("fingerprint", fingerprint(document_json(F.from_json("doc", SNAPSHOT))))
 
 
 def changes(events: DataFrame, last: DataFrame | None = None) -> DataFrame:
@@ -32,8 +28,26 @@ def changes(events: DataFrame, last: DataFrame | None = None) -> DataFrame:
     return before.where("is_new = 1 AND (before IS NULL OR before <> fingerprint)").drop("is_new")
 
 
+#: After how many batches the last states are written whole again.
+COMPACTION = 64
+
+
+def _last_states(spark: SparkSession, batch_id: int, folder: str) -> DataFrame | None:
+    """The newest state of each schema before a batch: from the last whole table, and what each batch since has added."""
+    if batch_id == 0:
+        return None
+    first = (batch_id - 1) // COMPACTION * COMPACTION
+    held = spark.read.parquet(*(f"{folder}/last/batch={b}" for b in range(first, batch_id)))
+    return _newest(held)
+
+
+def _newest(states: DataFrame) -> DataFrame:
+    return states.groupBy("schema_id").agg(F.max_by(F.struct("snapshot_id", "ts", "doc", "fingerprint"), F.struct("ts", "snapshot_id")).alias("x")).select("schema_id", "x.*")
+
+
 def process(events: DataFrame, batch_id: int, folder: str) -> None:
-    """One micro-batch: quarantine the documents that are malformed, write changes and their differences, and keep the last states.
+    """One micro-batch: quarantine the documents that are malformed, write changes and their differences, and add the states
+    that are newest now to the last ones (every COMPACTION-th batch writes them whole).
 
     Each batch writes folders of its own number, so that one that is run again replaces what it wrote.
     """
@@ -41,16 +55,17 @@ def process(events: DataFrame, batch_id: int, folder: str) -> None:
     _, bad = read_snapshots(events)
     sound = events.where(is_snapshot(F.from_json("doc", SNAPSHOT)))
     bad.write.mode("overwrite").parquet(f"{folder}/quarantine/batch={batch_id}")
-    last = spark.read.parquet(f"{folder}/last/batch={batch_id - 1}") if batch_id > 0 else None
+    last = _last_states(spark, batch_id, folder)
     moved = changes(sound, last)
     moved.select("schema_id", "snapshot_id", "ts", "before", "fingerprint").write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
     pairs = moved.where("before_doc IS NOT NULL").withColumn("schema_id", F.concat_ws("@", "schema_id", "snapshot_id"))
     sides = [exploded(read_snapshots(pairs.select("schema_id", F.col(c).alias("doc")))[0]) for c in ("doc", "before_doc")]
     schema_diff(*sides).write.mode("overwrite").parquet(f"{folder}/diff/batch={batch_id}")
     now = with_fingerprint(sound).select("schema_id", "snapshot_id", "ts", "doc", "fingerprint")
-    every = now if last is None else now.unionByName(last)
-    newest = every.groupBy("schema_id").agg(F.max_by(F.struct("snapshot_id", "ts", "doc", "fingerprint"), F.struct("ts", "snapshot_id")).alias("x")).select("schema_id", "x.*")
-    newest.write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
+    if last is not None:
+        own = now.select("schema_id").distinct()
+        now = now.unionByName(last if batch_id % COMPACTION == 0 else last.join(own, "schema_id", "left_semi"))
+    _newest(now).write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
 
 
 def watch(spark: SparkSession, source: str, folder: str, **trigger) -> StreamingQuery:
