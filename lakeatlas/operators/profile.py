@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,22 +23,29 @@ def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def discover_keys(df: DataFrame, table: str, columns: list[str], width: int = 2) -> DataFrame:
+def discover_keys(df: DataFrame, table: str, columns: list[str], width: int = 2, at_once: int = 64) -> DataFrame:
     """(table_name, key_columns): minimal sets of at most ``width`` columns that are unique and never null.
 
-    A sketch of distinct counts rules most sets out; the others are counted exactly. Only counts come to the driver.
+    Sketches of distinct counts, of ``at_once`` sets a pass, rule most sets out, and sets whose columns have too few distinct
+    values between them are not even sketched; the others are counted exactly, each by one aggregation that combines before
+    its shuffle. Only counts come to the driver.
     """
     found: list[tuple[str, ...]] = []
     usable = [c for c, n in df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first().asDict().items() if not n]
+    n_rows, sizes = None, {}
     for k in range(1, width + 1):
         sets = [s for s in combinations(usable, k) if not any(set(f) <= set(s) for f in found)]
-        if not sets:
-            continue
-        row = df.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.struct(*s), 0.02).alias(str(i)) for i, s in enumerate(sets))).first()
-        likely = [s for i, s in enumerate(sets) if row[str(i)] >= 0.9 * row["n"]]
-        if likely:
-            exact = df.agg(*(F.count_distinct(F.struct(*s)).alias(str(i)) for i, s in enumerate(likely))).first()
-            found += [s for i, s in enumerate(likely) if exact[str(i)] == row["n"]]
+        if k > 1:
+            sets = [s for s in sets if prod(1.1 * sizes[c] for c in s) >= 0.9 * n_rows]
+        likely = []
+        for i in range(0, len(sets), at_once):
+            some = sets[i : i + at_once]
+            row = df.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.struct(*s), 0.02).alias(str(j)) for j, s in enumerate(some))).first()
+            n_rows = row["n"]
+            if k == 1:
+                sizes |= {s[0]: row[str(j)] for j, s in enumerate(some)}
+            likely += [s for j, s in enumerate(some) if row[str(j)] >= 0.9 * n_rows]
+        found += [s for s in likely if key_violations(df, list(s)).isEmpty()]
     return df.sparkSession.createDataFrame([(table, ",".join(s)) for s in found], "table_name string, key_columns string")
 
 
@@ -59,27 +67,46 @@ def integrity(child: DataFrame, column: str, parent: DataFrame, key: str, edge:
 
 
 def cardinality(child: DataFrame, column: str, edge: str) -> DataFrame:
-    """(edge, type, min_fan, max_fan, n_parents, n_rows): has_one where no key value repeats."""
+    """(edge, type, min_fan, avg_fan, max_fan, n_parents, n_rows): has_one where no key value repeats."""
     fan = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     out = fan.agg(F.min("n").alias("min_fan"), F.max("n").alias("max_fan"), F.count("*").alias("n_parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
-    return out.select(F.lit(edge).alias("edge"), F.when(F.col("max_fan") == 1, "has_one").otherwise("belongs_to").alias("type"), "min_fan", "max_fan", "n_parents", "n_rows")
+    return out.select(F.lit(edge).alias("edge"), F.when(F.col("max_fan") == 1, "has_one").otherwise("belongs_to").alias("type"), "min_fan", (F.col("n_rows") / F.col("n_parents")).alias("avg_fan"), "max_fan", "n_parents", "n_rows")
 
 
-def inclusion_dependencies(columns: dict[str, DataFrame]) -> DataFrame:
-    """(child, parent, n_values): pairs of columns of which every value of the child is in the parent.
+def inclusion_scores(columns: dict[str, DataFrame]) -> DataFrame:
+    """(child, parent, n_values, n_both): for pairs of columns with values in common, the child's distinct values and those
+    of them that the parent has.
 
-    ``columns``: one-column DataFrames of comparable type by name. Each column is reduced to its distinct values; then one
-    shuffle by value brings together the names that have it, and pairs of names are counted per combination of names,
-    of which there are few, rather than per value.
+    ``columns``: one-column DataFrames by name; columns of different types have nothing in common, whole numbers of any
+    width are of one type. Each column is reduced to its distinct values; then one shuffle by type and value brings
+    together the names that have it, and pairs of names are counted per combination of names, of which there are few,
+    rather than per value.
     """
-    sets = [df.select(F.lit(name).alias("name"), df[df.columns[0]].cast("string").alias("value")).where("value IS NOT NULL").distinct() for name, df in columns.items()]
-    values = reduce(DataFrame.union, sets)
-    having = values.groupBy("value").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    sets = []
+    for name, df in columns.items():
+        kind = df.dtypes[0][1]
+        kind = "bigint" if kind in ("tinyint", "smallint", "int") else kind
+        sets.append(df.select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.col(f"`{df.columns[0]}`").cast("string").alias("value")).where("value IS NOT NULL").distinct())
+    having = reduce(DataFrame.union, sets).groupBy("kind", "value").agg(F.array_sort(F.collect_set("name")).alias("names"))
     combos = having.groupBy("names").agg(F.count("*").alias("n"))
     pairs = combos.select("n", "names", F.explode("names").alias("child")).select("n", "child", F.explode("names").alias("parent"))
     both = pairs.groupBy("child", "parent").agg(F.sum("n").alias("n_both"))
     sizes = both.where("child = parent").select("child", F.col("n_both").alias("n_values"))
-    return both.where("child <> parent").join(sizes, "child").where("n_both = n_values").select("child", "parent", "n_values")
+    return both.where("child <> parent").join(sizes, "child").select("child", "parent", "n_values", "n_both")
+
+
+def inclusion_dependencies(columns: dict[str, DataFrame]) -> DataFrame:
+    """(child, parent, n_values): pairs of columns of which every value of the child is in the parent."""
+    return inclusion_scores(columns).where("n_both = n_values").select("child", "parent", "n_values")
+
+
+def likely_parents(scores: DataFrame, least: float = 0.9) -> DataFrame:
+    """(child, parent, containment, same_name): the best parent of each column by the share of its values that it has, at
+    least ``least``; of equal shares one of the same name (without its table's prefix), then the first by name."""
+    bare = lambda c: F.regexp_replace(F.element_at(F.split(F.col(c), r"\."), -1), "^[a-z]_", "")
+    own = scores.withColumn("containment", F.col("n_both") / F.col("n_values")).where(F.col("containment") >= least).withColumn("same_name", bare("child") == bare("parent"))
+    first = F.row_number().over(Window.partitionBy("child").orderBy(F.desc("containment"), F.desc("same_name"), "parent"))
+    return own.withColumn("_n", first).where("_n = 1").select("child", "parent", "containment", "same_name")
 
 
 def coverage(by_name: DataFrame, by_data: DataFrame, declared: DataFrame) -> DataFrame:

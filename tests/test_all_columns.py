@@ -18,15 +18,15 @@ def test_all_columns(spark):
             if found:
                 values[f"{t}.{c}"] = (kind, found)
     want = {(a, b, len(x)) for a, (k, x) in values.items() for b, (m, y) in values.items() if a != b and k == m and x <= y}
-    assert {tuple(r) for r in QUERIES["inclusion_deps_all"](spark, SF).select("child", "parent", "n_values").collect()} == want
-    declared = {(r.child, r.parent) for r in QUERIES["fk_coverage_all"](spark, SF).where("declared").collect()}
+    assert {tuple(r) for r in QUERIES["inclusion_deps"](spark, SF).select("child", "parent", "n_values").collect()} == want
+    declared = {(r.child, r.parent) for r in QUERIES["fk_coverage"](spark, SF).where("declared").collect()}
     assert declared == {(f"{t}.{c}", f"{p}.{k}") for t, c, p, k in checks.EDGES}
-    profiled = {(r.table_name, r.column_name) for r in QUERIES["column_profile_all"](spark, SF).collect()}
+    profiled = {(r.table_name, r.column_name) for r in QUERIES["column_profile"](spark, SF).collect()}
     assert profiled == {(t, c) for t, df in tables.items() for c in df.columns}
 
 
 def test_all_keys(spark):
-    keys = {r.key_columns for r in QUERIES["key_discovery_all"](spark, SF).where("table_name = 'orders'").collect()}
+    keys = {r.key_columns for r in QUERIES["key_discovery"](spark, SF).where("table_name = 'orders'").collect()}
     df = checks.read(spark, SF, "orders")
     data = [r.asDict() for r in df.collect()]
     unique = lambda *cs: len({tuple(r[c] for c in cs) for r in data if None not in [r[c] for c in cs]}) == len(data)
