@@ -111,18 +111,21 @@ def merge_associations(frags: DataFrame) -> DataFrame:
 
 
 def override_warnings(frags: DataFrame) -> DataFrame:
-    """Edges on which a config layer, or a later framework layer, sets another type than a layer before it."""
+    """Edges on which the last config layer differs from some layer that is none, or the last framework layer from an earlier
+    one, in type, through or polymorphic: (identity, warning, n_differing, new)."""
     own = frags.withColumn("role", role(F.col("type"), F.col("foreign_key")))
+    named = F.col("role") != "owner_fk"
+    own = own.withColumn("_through", F.when(named, F.col("through"))).withColumn("_poly", F.when(named, F.coalesce("polymorphic", F.lit(False))))
+    content = F.struct("type", F.coalesce("through", F.lit("")).alias("through"), F.coalesce("polymorphic", F.lit(False)).alias("polymorphic"))
     is_config, is_framework = F.col("kind") == "config", F.col("kind") == "framework"
-    by = own.groupBy(*IDENTITY).agg(
-        F.max_by("type", F.when(is_config, F.col("layer_seq"))).alias("config_type"),
-        F.max_by("type", F.when(~is_config, F.col("layer_seq"))).alias("lower_type"),
-        F.max_by("type", F.when(is_framework, F.col("layer_seq"))).alias("last_framework"),
-        F.min_by("type", F.when(is_framework, F.col("layer_seq"))).alias("first_framework"),
+    by = own.groupBy(*IDENTITY, "_through", "_poly").agg(
+        F.max_by(content, F.when(is_config, F.col("layer_seq"))).alias("config"),
+        F.collect_set(F.when(~is_config, content)).alias("lower"),
+        F.max_by(content, F.when(is_framework, F.col("layer_seq"))).alias("framework"),
+        F.collect_set(F.when(is_framework, content)).alias("frameworks"),
     )
-    config = by.where("config_type <> lower_type").select(*IDENTITY, F.lit("config overrides").alias("warning"), F.col("lower_type").alias("old"), F.col("config_type").alias("new"))
-    later = by.where("last_framework <> first_framework").select(*IDENTITY, F.lit("later model overrides").alias("warning"), F.col("first_framework").alias("old"), F.col("last_framework").alias("new"))
-    return config.union(later)
+    warned = lambda last, others, text: by.withColumn("n_differing", F.size(F.filter(others, lambda x: x != F.col(last)))).where(F.col(last).isNotNull() & (F.col("n_differing") > 0)).select(*IDENTITY, F.lit(text).alias("warning"), "n_differing", F.col(f"{last}.type").alias("new"))
+    return warned("config", "lower", "config overrides").union(warned("framework", "frameworks", "later model overrides"))
 
 
 def normalize_primary_key(columns: DataFrame, tables: DataFrame) -> DataFrame:
@@ -157,6 +160,20 @@ def fk_columns(associations: DataFrame) -> DataFrame:
     return associations.where("foreign_key IS NOT NULL").groupBy(*TABLE).agg(F.array_sort(F.collect_set("foreign_key")).alias("fk_columns"))
 
 
+def schema_counts(tables: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
+    """(schema_id, n_tables, n_columns, n_indexes)."""
+    count = lambda df, c: df.groupBy("schema_id").agg(F.count("*").alias(c))
+    out = count(tables, "n_tables").join(count(columns, "n_columns"), "schema_id", "left").join(count(indexes, "n_indexes"), "schema_id", "left")
+    return out.na.fill(0, ["n_columns", "n_indexes"])
+
+
+def covered_fks(frags: DataFrame, merged: DataFrame) -> DataFrame:
+    """(schema_id, n_covered): database keys of the raw layers that are none in the merged edges, other edges covering them."""
+    raw = frags.where("provenance = 'db_fk'").select("schema_id", F.lit(1).alias("n"))
+    left = merged.where("provenance = 'db_fk'").select("schema_id", F.lit(-1).alias("n"))
+    return raw.union(left).groupBy("schema_id").agg(F.sum("n").alias("n_covered")).where("n_covered > 0")
+
+
 def schema_missing(tables: DataFrame, columns: DataFrame) -> DataFrame:
     counts = columns.groupBy(*TABLE).agg(F.count("*").alias("n_columns"))
     return tables.select(*TABLE).join(counts, TABLE, "left").select(*TABLE, F.coalesce("n_columns", F.lit(0)).alias("n_columns"), F.isnull("n_columns").alias("schema_missing"))

@@ -92,8 +92,33 @@ def edge_order(edges: DataFrame) -> Column:
     return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("type", "name", "foreign_key", "target", "through", "polymorphic", "provenance") if c in edges.columns))
 
 
-def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: bool = False, title: str | None = None) -> DataFrame:
-    """(schema_id, text): Markdown with a line for each column and one for the relations of each table."""
+def note_text(notes: DataFrame) -> Column:
+    """A note in one line, after its title where it has one."""
+    return F.concat(F.coalesce(F.concat(blank_to_null(F.col("title")), F.lit(": ")), F.lit("")), one_line(F.col("text")))
+
+
+RELATION = ["type", "name", "foreign_key", "through", "polymorphic"]
+
+
+def _with_relation_notes(edges: DataFrame, notes: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Edges with the notes that are on them, and what a digest adds to an edge's token."""
+    if notes is None:
+        return edges, F.lit("")
+    own = notes.where("scope = 'relation'").withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False)))
+    by = own.groupBy("schema_id", F.col("source_table").alias("table_name"), *RELATION).agg(F.array_sort(F.collect_list(F.struct("note_id", note_text(own).alias("t")))).alias("_notes"))
+    same = [F.col(f"e.{c}") == F.col(f"n.{c}") for c in TABLE] + [F.col(f"e.{c}").eqNullSafe(F.col(f"n.{c}")) for c in RELATION]
+    held = edges.withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False)))
+    out = held.alias("e").join(by.alias("n"), same, "left").select("e.*", "n._notes")
+    quoted = F.array_join(F.transform("_notes", lambda x: F.concat(F.lit('"'), x["t"], F.lit('"'))), "; ")
+    return out, F.coalesce(F.concat(F.lit(" — "), quoted), F.lit(""))
+
+
+def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: bool = False, title: str | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """(schema_id, text): Markdown with a line for each column and one for the relations of each table.
+
+    ``notes``: resolved ones (schema_id, note_id, scope, title, text, table_name, source_table and the edge's keys). Global
+    notes stand before the tables, a table's under its heading, a relation's after its edge.
+    """
     targets = edges.where("foreign_key IS NOT NULL").groupBy(*TABLE, F.col("foreign_key").alias("name")).agg(F.max_by("target", edge_order(edges)).alias("_fk"))
     c = columns.join(targets, [*TABLE, "name"], "left")
     more = []
@@ -103,11 +128,74 @@ def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: boo
     comment = F.when(F.coalesce(F.col("comment"), F.lit("")) != "", F.concat(F.lit('"'), one_line(F.col("comment")), F.lit('"')))
     line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.concat_ws(", ", "type", F.when(F.col("primary"), "pk"), F.concat(F.lit("fk→"), F.col("_fk")), *more, comment))
     cols = _lines(c, F.col("pos"), line, "cols")
-    rels = _lines(edges, edge_order(edges), edge_token(edges), "rels", ", ")
+    own, noted = _with_relation_notes(edges, notes)
+    rels = _lines(own, edge_order(own), F.concat(edge_token(own), noted), "rels", ", ")
     head = F.concat(F.lit("### "), F.col("table_name"), F.coalesce(F.concat(F.lit("  — "), one_line(blank_to_null(F.col("comment")))), F.lit("")))
-    blocks = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(rels, TABLE, "left").select(*TABLE, F.concat_ws("\n", head, "cols", F.concat(F.lit("Rel: "), F.col("rels"))).alias("block"))
+    joined = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(rels, TABLE, "left")
+    if notes is None:
+        joined = joined.withColumn("said", F.lit(None).cast("string"))
+    else:
+        of_table = notes.where("scope = 'table'")
+        joined = joined.join(_lines(of_table, F.col("note_id"), F.concat(F.lit("_"), note_text(of_table), F.lit("_")), "said"), TABLE, "left")
+    blocks = joined.select(*TABLE, F.concat_ws("\n", head, "said", "cols", F.concat(F.lit("Rel: "), F.col("rels"))).alias("block"))
+    by = blocks.groupBy("schema_id").agg(F.count("*").cast("string").alias("n"), _per_schema(blocks, "\n\n").alias("body"))
     top = F.lit(f"# {title} — schema digest" if title else "# Schema digest")
-    return blocks.groupBy("schema_id").agg(F.concat(top, F.lit("\n\n## Tables ("), F.count("*").cast("string"), F.lit(")\n\n"), _per_schema(blocks, "\n\n"), F.lit("\n")).alias("text"))
+    if notes is not None:
+        everywhere = notes.where("scope = 'global'")
+        by = by.join(everywhere.groupBy("schema_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_id", note_text(everywhere).alias("t")))), lambda x: x["t"]), "\n\n").alias("_global")), "schema_id", "left")
+        top = F.concat(top, F.coalesce(F.concat(F.lit("\n\n"), F.col("_global")), F.lit("")))
+    return by.select("schema_id", F.concat(top, F.lit("\n\n## Tables ("), F.col("n"), F.lit(")\n\n"), F.col("body"), F.lit("\n")).alias("text"))
+
+
+def config_notes(notes: DataFrame) -> DataFrame:
+    """(schema_id, note_id, json): resolved notes in the form of a config document. A relation's target has all keys that
+    narrow it, null where the edge has none, so that it means this edge only."""
+    kind = F.when(F.col("scope") == "relation", F.to_json(F.struct(F.col("type").alias("assoc_type"), "foreign_key", "name", F.coalesce("polymorphic", F.lit(False)).alias("polymorphic"), "source_table", F.col("target").alias("target_table"), "through", F.lit("relation").alias("type")), {"ignoreNullFields": "false"}))
+    target = kind.when(F.col("scope") == "table", F.to_json(F.struct(F.col("table_name").alias("table"), F.lit("table").alias("type")))).otherwise(F.lit('{"type":"global"}'))
+    part = lambda c: F.substr(F.to_json(F.struct(c)), F.lit(2), F.length(F.to_json(F.struct(c))) - 2)
+    links = F.when(F.size("links") > 0, part(F.col("links")))
+    fields = F.concat_ws(",", part(F.col("note_id").alias("id")), links, F.concat(F.lit('"target":'), target), part(F.col("text")), F.when(F.coalesce("title", F.lit("")) != "", part(F.col("title"))))
+    return notes.select("schema_id", "note_id", F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
+
+
+def config_document(tables: DataFrame, columns: DataFrame, indexes: DataFrame, edges: DataFrame, notes: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(schema_id, doc): merged schemas as config documents to author from, keys sorted at every level.
+
+    Provenance and sources are left out, for a config layer has none of its own; two or more primary columns, in column
+    order, become the table's primary_key. ``edges`` are pruned ones; ``groups(schema_id, group_id, tables, title, color)``.
+    """
+    from lakeatlas.operators import canonical as c
+    from lakeatlas.operators.merge import composite_keys
+
+    cols = c._listed(columns, c.column_struct(columns.columns), F.struct("pos"), "columns")
+    ixs = c._listed(indexes, c.index_struct(), F.struct(F.coalesce("name", F.lit("")), "columns", "unique"), "indexes")
+    edge = F.struct(c.blank("foreign_key").alias("foreign_key"), c.blank("name").alias("name"), F.when(F.col("polymorphic"), True).alias("polymorphic"), "target", c.blank("through").alias("through"), "type")
+    assocs = c._listed(edges, edge, c.association_order(), "associations")
+    joined = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(ixs, TABLE, "left").join(assocs, TABLE, "left").join(composite_keys(columns), TABLE, "left")
+    none = lambda df, n: F.coalesce(F.col(n), F.array().cast(df.schema[n].dataType)).alias(n)
+    doc = F.struct(none(assocs, "associations"), none(cols, "columns"), c.blank("comment").alias("comment"), none(ixs, "indexes"), "primary_key")
+    out = c.schema_json(joined.select(*TABLE, c.lower_escapes(F.to_json(doc)).alias("json")))
+    body = F.substr(F.col("doc"), F.lit(2), F.length("doc") - 2)
+    listed = lambda df, key, name: df.groupBy("schema_id").agg(F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "json"))), lambda x: x["json"]), ","), F.lit("]")).alias(f"_{name}"))
+    none_ = F.lit(None).cast("string")
+    if groups is None:
+        out = out.withColumn("_groups", none_)
+    else:
+        g = groups.select("schema_id", "group_id", F.to_json(F.struct(blank_to_null(F.col("color")).alias("color"), F.col("group_id").alias("id"), F.array_sort("tables").alias("tables"), blank_to_null(F.col("title")).alias("title"))).alias("json"))
+        out = out.join(listed(g, "group_id", "groups"), "schema_id", "left")
+    out = out.withColumn("_notes", none_) if notes is None else out.join(listed(config_notes(notes), "note_id", "notes"), "schema_id", "left")
+    return out.select("schema_id", F.concat(F.lit("{"), F.concat_ws(",", "_groups", "_notes", body, F.lit('"version":1')), F.lit("}")).alias("doc"))
+
+
+def write_dictionary(rows: DataFrame, path: str, sep: str = "\t") -> None:
+    """A data dictionary as files of separated values with a header; quotes are doubled, and blanks at the ends stay."""
+    rows.write.option("sep", sep).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_dictionary(spark, path: str, schema: str, sep: str = "\t") -> DataFrame:
+    """What ``write_dictionary`` wrote; line ends inside values too."""
+    found = spark.read.schema(schema).option("sep", sep).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\0").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return found.na.fill("")
 
 
 def dbml(tables: DataFrame, columns: DataFrame, indexes: DataFrame, refs: DataFrame) -> DataFrame:

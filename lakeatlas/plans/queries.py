@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, checks, documents, extraction
+from . import catalogue, checks, details, documents, extraction
 
-QUERIES: dict = {**catalogue.QUERIES, **documents.QUERIES, **checks.QUERIES, **extraction.QUERIES}
-ORACLES: dict[str, str] = {**catalogue.ORACLES, **documents.ORACLES, **checks.ORACLES, **extraction.ORACLES}
+QUERIES: dict = {**catalogue.QUERIES, **documents.QUERIES, **checks.QUERIES, **extraction.QUERIES, **details.QUERIES}
+ORACLES: dict[str, str] = {**catalogue.ORACLES, **documents.ORACLES, **checks.ORACLES, **extraction.ORACLES, **details.ORACLES}

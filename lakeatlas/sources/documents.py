@@ -94,11 +94,28 @@ def read_corpus(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+#: What in a source file marks its project's kind, by the suffix of its path.
+CONTENT = {
+    "laravel": (".php", r"extends\s+\\?(\w+\\)*(Model|Pivot|Authenticatable)\b|Illuminate\\Database\\Eloquent"),
+    "sqlalchemy": (".py", r"(?s)\bdeclarative_base\(|\(\s*(\w+\.)?DeclarativeBase\b|__tablename__\s*(:[^=]*)?=.*\b(Column|mapped_column)\(|\b(Column|mapped_column)\(.*__tablename__"),
+}
+
+
 def detect_projects(files: DataFrame) -> DataFrame:
-    """(project, kind, others): the winner by priority, and what else matches, of a path inventory (project, path)."""
-    marks = [F.bool_or(F.col("path").rlike(p)).alias(k) for k, p in MARKERS]
+    """(project, kind, others): the winner by priority, and what else matches, of a path inventory (project, path[, content]).
+
+    With contents, base classes and declarative bases mark a project too, wherever the file lies.
+    """
+
+    def mark(kind: str, pattern: str):
+        found = F.col("path").rlike(pattern)
+        if kind in CONTENT and "content" in files.columns:
+            suffix, text = CONTENT[kind]
+            found = found | (F.col("path").endswith(suffix) & F.coalesce(F.col("content").rlike(text), F.lit(False)))
+        return F.bool_or(found).alias(kind)
+
     found = F.array_compact(F.array(*(F.when(F.col(k), k) for k, _ in MARKERS)))
-    by = files.groupBy("project").agg(*marks).select("project", found.alias("kinds")).where("size(kinds) > 0")
+    by = files.groupBy("project").agg(*(mark(k, p) for k, p in MARKERS)).select("project", found.alias("kinds")).where("size(kinds) > 0")
     return by.select("project", F.col("kinds")[0].alias("kind"), F.slice("kinds", 2, len(MARKERS)).alias("others"))
 
 

@@ -253,3 +253,44 @@ def test_stream(spark, tmp_path):
     q = drift.drift_rate(stream).writeStream.format("memory").queryName("rate").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rate").columns == ["window", "schema_id", "n"]
+
+
+def test_config_syntax(spark):
+    import json
+
+    good = {"version": 1, "only": [], "infer_fk": True, "max_rows": 3, "models": ["a"], "tables": {"t": {"comment": None, "primary_key": ["a", "b"], "columns_mode": "merge", "columns": [{"name": "a", "type": None}], "indexes": [{"columns": ["a"]}, {"name": "x", "drop": True}], "associations": [{"type": "has_many", "name": "n", "target": "u", "foreign_key": None}, {"drop": True, "target": "u", "foreign_key": "k"}]}}}
+    bad = {"version": True, "infer_fk": 1, "max_rows": True, "only": "x", "wrong": 1, "tables": {"t": {"drop": "yes", "indexes_mode": "other", "columns": [{"type": "int"}], "indexes": [{"drop": True}, {"name": "y"}], "associations": [{"type": "odd", "name": "n", "target": "u", "foreign_key": ["a", "b"]}, {"type": "has_one"}, {"drop": True, "target": "u"}]}}}
+    df = spark.createDataFrame([("good", json.dumps(good)), ("bad", json.dumps(bad)), ("none", "[1")], "schema_id string, content string")
+    got = sorted((r.schema_id, r.path, r.rule) for r in validate.config_documents(df).collect())
+    assert [g[0] for g in got if g[0] != "bad"] == ["none"]
+    a = "tables.t.associations"
+    assert {g[1:] for g in got if g[0] == "bad"} == {
+        ("version", "is not bigint"), ("version", "is not 1"), ("infer_fk", "is not boolean"), ("max_rows", "is not bigint"), ("only", "is not array"), ("wrong", "unknown key"), ("tables.t.drop", "is not boolean"), ("tables.t.indexes_mode", "is not merge or replace"),
+        ("tables.t.columns[0]", "lacks name"), ("tables.t.indexes[0]", "lacks name"), ("tables.t.indexes[1]", "lacks columns"), (f"{a}[0]", "foreign key of several columns"), (f"{a}[0].foreign_key", "is not string"), (f"{a}[0]", "unknown association type"),
+        (f"{a}[1]", "lacks name"), (f"{a}[1]", "lacks target"), (f"{a}[2]", "lacks type"), (f"{a}[2]", "lacks name"),
+    }
+
+
+def test_config_document_is_read_back(spark):
+    import json
+
+    from lakeatlas.operators import reports
+    from lakeatlas.sources import documents
+
+    tables = spark.createDataFrame([("s", "t", "c"), ("s", "u", "")], "schema_id string, table_name string, comment string")
+    columns = spark.createDataFrame([("s", "t", 1, "b", "int", False, True, "0"), ("s", "t", 2, "a", "int", False, True, None), ("s", "u", 1, "id", "int", False, True, None)], "schema_id string, table_name string, pos int, name string, type string, nullable boolean, primary boolean, default string")
+    indexes = spark.createDataFrame([("s", "t", None, ["a", "b"], True)], "schema_id string, table_name string, name string, columns array<string>, unique boolean")
+    edge_rows = spark.createDataFrame([("s", "t", "belongs_to", "u", "u", "a", None, False, "declared", [("db", "x")])], "schema_id string, table_name string, type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>")
+    notes = spark.createDataFrame([("s", "n2", "relation", None, "why", None, "t", "u", "belongs_to", "u", "a", None, False, [("l", "https://x")]), ("s", "n1", "global", "T", "all", None, None, None, None, None, None, None, None, None)], "schema_id string, note_id string, scope string, title string, text string, table_name string, source_table string, target string, type string, name string, foreign_key string, through string, polymorphic boolean, links array<struct<label:string,url:string>>")
+    groups = spark.createDataFrame([("s", "g", ["u", "t"], "", "#fff")], "schema_id string, group_id string, tables array<string>, title string, color string")
+    doc = reports.config_document(tables, columns, indexes, edge_rows, notes, groups).first().doc
+    d = json.loads(doc)
+    assert doc == json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert d["version"] == 1 and d["tables"]["t"]["primary_key"] == ["b", "a"] and "primary_key" not in d["tables"]["u"]
+    assert d["tables"]["t"]["associations"] == [{"foreign_key": "a", "name": "u", "target": "u", "type": "belongs_to"}]
+    assert d["notes"][1]["target"] == {"assoc_type": "belongs_to", "foreign_key": "a", "name": "u", "polymorphic": False, "source_table": "t", "target_table": "u", "through": None, "type": "relation"}
+    assert d["notes"][0] == {"id": "n1", "target": {"type": "global"}, "text": "all", "title": "T"} and d["groups"] == [{"color": "#fff", "id": "g", "tables": ["t", "u"]}]
+    back = documents.config_fragments(spark.createDataFrame([("s", 0, doc)], "schema_id string, layer_seq int, content string"))
+    assert back["columns"].count() == 3 and back["associations"].first().target == "u"
+    assert validate.config_documents(spark.createDataFrame([("s", doc)], "schema_id string, content string")).count() == 0
+    assert json.loads(reports.config_document(tables, columns, indexes, edge_rows).first().doc) == {"version": 1, "tables": d["tables"]}
