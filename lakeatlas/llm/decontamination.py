@@ -32,8 +32,6 @@ def bare(word: Column) -> Column:
 
 def template_of(words: Column) -> Column:
     """Template words: a capitalised word is a name unless it begins the text or follows a sentence end."""
-    fixed = F.create_map(*(F.lit(x) for w in NUMBER_WORDS for x in (w, NUMBER)), *(F.lit(x) for w in UNITS for x in (w, UNIT)))
-
     def one(word: Column, before: Column) -> Column:
         own = bare(word)
         low = F.lower(own)
@@ -42,7 +40,9 @@ def template_of(words: Column) -> Column:
         return (
             F.when(first.between("0", "9"), NUMBER)
             .when((first != F.lower(first)) & inside & (own != F.upper(own)), NAME)
-            .otherwise(F.coalesce(F.try_element_at(fixed, low), low))
+            .when(low.isin(NUMBER_WORDS), NUMBER)
+            .when(low.isin(UNITS), UNIT)
+            .otherwise(low)
         )
 
     before = F.concat(F.array(F.lit(".")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
@@ -57,8 +57,11 @@ def with_templates(texts: DataFrame) -> DataFrame:
 def windows_of(template: Column, width: int) -> Column:
     """Hashes of the runs of ``width`` template words by position; of fewer words, of the one run of all."""
     n = F.size(template)
-    last = F.greatest(n - width, F.lit(0))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(template, i + 1, F.lit(width))))).otherwise(F.array().cast("array<bigint>"))
+    starts = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
+    # each word is hashed once; words that a short text lacks are null, which a hash passes over
+    of_words = F.transform(template, lambda w: F.xxhash64(w))
+    runs = F.transform(F.array(of_words), lambda h: F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width)))))[0]
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _row() -> Column:
