@@ -355,7 +355,7 @@ def dictionary_export(spark, sf_dir):
 
 
 _WORD = "lower(word)"
-_PLURAL = f"CASE WHEN {_WORD} = 'leaf' THEN 'leaves' WHEN {_WORD} = 'goose' THEN 'geese' WHEN regexp_matches({_WORD}, '[^aeiou]y$') THEN concat(regexp_replace({_WORD}, 'y$', ''), 'ies') WHEN regexp_matches({_WORD}, '(s|x|z|ch|sh)$') THEN concat({_WORD}, 'es') ELSE concat({_WORD}, 's') END"
+_PLURAL = f"CASE WHEN {_WORD} = 'medium' THEN 'media' WHEN {_WORD} = 'leaf' THEN 'leaves' WHEN regexp_matches({_WORD}, '[^aeiou]y$') THEN concat(regexp_replace({_WORD}, 'y$', ''), 'ies') WHEN regexp_matches({_WORD}, '(s|x|z|ch|sh)$') THEN concat({_WORD}, 'es') ELSE concat({_WORD}, 's') END"
 _SINGULAR = f"CASE WHEN regexp_matches({_WORD}, 'ies$') THEN regexp_replace({_WORD}, 'ies$', 'y') WHEN regexp_matches({_WORD}, '(s|x|z|ch|sh)es$') THEN regexp_replace({_WORD}, 'es$', '') ELSE regexp_replace({_WORD}, 's$', '') END"
 
 
@@ -393,9 +393,9 @@ _HANGING = "SELECT n.*, e.type, e.name, e.foreign_key, e.through, e.polymorphic
     edge_sql(
         f"""SELECT b.schema_id, concat('# Schema digest', CASE WHEN g.t IS NOT NULL THEN concat(chr(10), chr(10), g.t) ELSE '' END, chr(10), chr(10), '## Tables (', n, ')', chr(10), chr(10), body, chr(10)) AS text FROM (
       SELECT schema_id, count(*) AS n, string_agg(block, concat(chr(10), chr(10)) ORDER BY table_name) AS body FROM (
-        SELECT t.schema_id, t.table_name, concat_ws(chr(10), concat('### ', t.table_name, CASE WHEN t.comment IS NOT NULL THEN concat('  — ', t.comment) ELSE '' END), s.said, concat('Rel: ', r.rels)) AS block FROM tables_ t
+        SELECT t.schema_id, t.table_name, concat_ws(chr(10), concat('### ', t.table_name, CASE WHEN t.comment IS NOT NULL THEN concat('  — ', t.comment) ELSE '' END), s.said, 'Rel: ' || r.rels) AS block FROM tables_ t
         LEFT JOIN (SELECT schema_id, table_name, string_agg(concat('_', {_NOTE.format("h")}, '_'), chr(10) ORDER BY note_id) AS said FROM hanging h WHERE scope = 'table' GROUP BY 1, 2) s ON s.schema_id = t.schema_id AND s.table_name = t.table_name
-        LEFT JOIN (SELECT e.schema_id, e.table_name, string_agg(concat({_TOKEN}, coalesce(concat(' — ', q.quoted), '')), ', ' ORDER BY type, coalesce(name, ''), coalesce(foreign_key, ''), target, coalesce(through, ''), polymorphic, provenance) AS rels FROM rich_edges e
+        LEFT JOIN (SELECT e.schema_id, e.table_name, string_agg(concat({_TOKEN}, coalesce(' — ' || q.quoted, '')), ', ' ORDER BY type, coalesce(name, ''), coalesce(foreign_key, ''), target, coalesce(through, ''), polymorphic, provenance) AS rels FROM rich_edges e
           LEFT JOIN (SELECT schema_id AS s_, source_table AS t_, type AS y_, name AS n_, foreign_key AS f_, through AS h_, polymorphic AS p_, string_agg(concat('"', {_NOTE.format("h")}, '"'), '; ' ORDER BY note_id) AS quoted FROM hanging h WHERE scope = 'relation' AND type IS NOT NULL GROUP BY ALL) q
             ON q.s_ = e.schema_id AND q.t_ = e.table_name AND q.y_ = e.type AND q.n_ IS NOT DISTINCT FROM e.name AND q.f_ IS NOT DISTINCT FROM e.foreign_key AND q.h_ IS NOT DISTINCT FROM e.through AND q.p_ = e.polymorphic GROUP BY 1, 2) r ON r.schema_id = t.schema_id AND r.table_name = t.table_name) x GROUP BY schema_id) b
       LEFT JOIN (SELECT schema_id, string_agg({_NOTE.format("h")}, concat(chr(10), chr(10)) ORDER BY note_id) AS t FROM hanging h WHERE scope = 'global' GROUP BY 1) g ON g.schema_id = b.schema_id""",

@@ -137,13 +137,45 @@ def mermaid_text(spark, sf_dir):
     return reports.mermaid(m["tables"], m["columns"], m["edges"], _display(m))
 
 
-@query("plantuml_text")
+_PLANT_ARROWS = _ARROWS.replace("concat('    ', CASE", "concat(CASE").replace("""' : "', n, '"')""", "CASE WHEN n <> '' THEN concat(' : ', n) ELSE '' END)")
+_KEYED = f"SELECT c.*, f.foreign_key IS NOT NULL AS is_fk FROM columns_ c LEFT JOIN fks f ON {_ON.format('f', 'c')} AND f.foreign_key = c.name"
+
+
+@query(
+    "plantuml_text",
+    final_sql(
+        f"""SELECT b.schema_id, concat('@startuml', chr(10), 'hide circle', chr(10), 'skinparam linetype ortho', chr(10), chr(10), blocks, chr(10), CASE WHEN arrows IS NOT NULL THEN concat(arrows, chr(10)) ELSE '' END, '@enduml', chr(10)) AS text FROM (
+      SELECT schema_id, string_agg(concat(concat_ws(chr(10), CASE WHEN comment IS NOT NULL THEN concat('entity "', table_name, '（', comment, '）" as ', table_name, ' {{') ELSE concat('entity ', table_name, ' {{') END, pk, CASE WHEN pk IS NOT NULL AND others IS NOT NULL THEN '  --' END, others), chr(10), '}}', chr(10)), chr(10) ORDER BY table_name) AS blocks FROM (
+        SELECT t.schema_id, t.table_name, t.comment, string_agg(concat('  * ', c.name, ' : ', c.type, ' <<PK>>'), chr(10) ORDER BY c.pos) FILTER (WHERE is_primary) AS pk,
+          string_agg(concat('  ', CASE WHEN nullable THEN '' ELSE '* ' END, c.name, ' : ', c.type, CASE WHEN is_fk THEN ' <<FK>>' ELSE '' END), chr(10) ORDER BY c.pos) FILTER (WHERE NOT is_primary) AS others
+        FROM tables_ t LEFT JOIN keyed c ON {_ON.format("c", "t")} GROUP BY 1, 2, 3) x GROUP BY schema_id) b LEFT JOIN arrows_ a ON a.schema_id = b.schema_id""",
+        arrows_=_PLANT_ARROWS,
+        keyed=_KEYED,
+    ),
+)
 def plantuml_text(spark, sf_dir):
     m = final(spark, sf_dir)
     return reports.plantuml(m["tables"], m["columns"], m["edges"], _display(m))
 
 
-@query("dbml_text")
+_DBML_REFS = f"SELECT DISTINCT e.schema_id, e.table_name, e.foreign_key, e.target, k.target_column FROM final_ e JOIN (SELECT {KEY}, min(name) AS target_column FROM columns_ WHERE is_primary GROUP BY {KEY} HAVING count(*) = 1) k ON k.schema_id = e.schema_id AND k.table_name = e.target"
+
+
+@query(
+    "dbml_text",
+    final_sql(
+        f"""SELECT b.schema_id, concat(concat_ws(concat(chr(10), chr(10)), t, refs), chr(10)) AS text FROM (
+      SELECT schema_id, string_agg(block, concat(chr(10), chr(10)) ORDER BY table_name) AS t FROM (
+        SELECT t.schema_id, t.table_name, concat(concat_ws(chr(10), concat('Table ', t.table_name, ' {{'), c.cols, CASE WHEN c.composite IS NOT NULL OR i.ixs IS NOT NULL THEN concat(chr(10), '  indexes {{', chr(10), concat_ws(chr(10), c.composite, i.ixs), chr(10), '  }}') END,
+          CASE WHEN t.comment IS NOT NULL THEN concat(chr(10), '  Note: ', chr(39), t.comment, chr(39)) END), chr(10), '}}') AS block
+        FROM tables_ t LEFT JOIN (SELECT {KEY}, string_agg(concat('  ', name, ' ', type, CASE WHEN attrs <> '' THEN concat(' [', attrs, ']') ELSE '' END), chr(10) ORDER BY pos) AS cols,
+            CASE WHEN max(n_keys) >= 2 THEN concat('    (', string_agg(name, ', ' ORDER BY pos) FILTER (WHERE is_primary), ') [pk]') END AS composite FROM (
+          SELECT c.*, concat_ws(', ', CASE WHEN is_primary AND n_keys = 1 THEN 'pk' END, CASE WHEN NOT nullable THEN 'not null' END, CASE WHEN i.column_name IS NOT NULL THEN 'unique' END, CASE WHEN coalesce(default_value, '') <> '' THEN concat('default: ', default_value) END) AS attrs
+          FROM (SELECT *, count_if(is_primary) OVER (PARTITION BY {KEY}) AS n_keys FROM columns_) c LEFT JOIN indexes_ i ON {_ON.format("i", "c")} AND i.column_name = c.name) x GROUP BY {KEY}) c ON {_ON.format("c", "t")}
+        LEFT JOIN (SELECT {KEY}, string_agg(concat('    (', column_name, ') [unique]'), chr(10) ORDER BY column_name) AS ixs FROM indexes_ GROUP BY {KEY}) i ON {_ON.format("i", "t")}) y GROUP BY schema_id) b
+      LEFT JOIN (SELECT schema_id, string_agg(concat('Ref: ', table_name, '.', foreign_key, ' > ', target, '.', target_column), chr(10) ORDER BY table_name, foreign_key, target, target_column) AS refs FROM ({_DBML_REFS}) r GROUP BY schema_id) r ON r.schema_id = b.schema_id"""
+    ),
+)
 def dbml_text(spark, sf_dir):
     m = final(spark, sf_dir)
     return reports.dbml(m["tables"], m["columns"], m["indexes"], edges.dbml_refs(m["edges"], m["columns"]))
