@@ -111,7 +111,10 @@ def _aligned(lines: Column) -> Column:
                 return F.struct((before["score"] + F.least(d, F.lit(0))).alias("score"), before["pairs"].alias("pairs"))
 
             best = F.array_max(F.filter(F.transform(lines, come), lambda x: x["score"].isNotNull()))
-            return F.transform(F.array(best), lambda x: F.struct((x["score"] + F.get(line["equal"], k).cast("int")).alias("score"), F.concat(x["pairs"], _pair(line, k)).alias("pairs")))[0]
+            return F.transform(
+                F.array(best),
+                lambda x: F.struct((x["score"] + F.get(line["equal"], k).cast("int")).alias("score"), F.concat(x["pairs"], _pair(line, k)).alias("pairs")),
+            )[0]
 
         return F.concat(done, F.array(F.transform(lines, one))).cast(kind)
 
@@ -127,7 +130,10 @@ def _exact(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
     wanted = items.select("item", lower(F.col("item_words")).alias("wanted")).dropDuplicates(["item"])
     first = wanted.select("item", windows_of(F.col("wanted"), width)[0].alias("hash"))
     own = texts.select("row", tokens_of(F.col("text")).alias("words")).withColumn("words", lower(F.col("words")))
-    met = kept(own.select("row", F.posexplode(windows_of(F.col("words"), width)).alias("at", "hash")).join(first, "hash").select("row", "item", "at").distinct(), "exact")
+    met = kept(
+        own.select("row", F.posexplode(windows_of(F.col("words"), width)).alias("at", "hash")).join(first, "hash").select("row", "item", "at").distinct(),
+        "exact",
+    )
     again = own.join(met.select("row").distinct(), "row").dropDuplicates(["row"]).join(met, "row").join(wanted, "item")
     return again.where(F.slice("words", F.col("at") + 1, F.size("wanted")) == F.col("wanted")).select("row", "item").distinct()
 
@@ -144,14 +150,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
     each, null ids stay null. Rows of one doc_id count as texts of their own. Other columns are not looked at.
     """
     items = with_templates(benchmark.select("item_id", text_or_empty().alias("text")))
-    items = kept(items.where("size(words) > 0").select("item_id", F.transform("words", bare).alias("item_words"), F.col("template").alias("item_template"), F.xxhash64("item_id", "words").alias("item")), "items")
+    items = kept(
+        items.where("size(words) > 0").select(
+            "item_id",
+            F.transform("words", bare).alias("item_words"),
+            F.col("template").alias("item_template"),
+            F.xxhash64("item_id", "words").alias("item"),
+        ),
+        "items",
+    )
     windows = items.select("item", "item_template", F.posexplode(windows_of(F.col("item_template"), width)).alias("item_at", "hash"))
     plain = F.size(F.filter(F.slice("item_template", F.col("item_at") + 1, F.lit(width)), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    windows = kept(windows.where((plain >= min_plain) | (plain == F.size("item_template"))).select("item", "item_at", "hash", F.size("item_template").alias("n_words")).distinct(), "windows")
+    windows = kept(
+        windows.where((plain >= min_plain) | (plain == F.size("item_template"))).select(
+            "item",
+            "item_at",
+            "hash",
+            F.size("item_template").alias("n_words"),
+        ).distinct(),
+        "windows",
+    )
     # a changed, added or left out word takes at most ``width`` windows
     spare = F.floor(F.round(F.col("n_words") * (1 - share), 6)).cast("int")
     bar = F.least(F.greatest(F.col("n_windows") - width * spare, F.lit(1)), F.col("n_windows") * coverage)
-    n_windows = windows.groupBy("item", "n_words").agg(F.countDistinct("item_at").alias("n_windows"), F.collect_set("item_at").alias("plain_at")).withColumn("spare", spare).withColumn("bar", bar).drop("n_words")
+    n_windows = windows.groupBy("item", "n_words").agg(
+        F.countDistinct("item_at").alias("n_windows"),
+        F.collect_set("item_at").alias("plain_at"),
+    ).withColumn("spare", spare).withColumn("bar", bar).drop("n_words")
     windows = windows.drop("n_words")  # a written table, so Spark knows its size and broadcasts it where that is small
 
     texts = docs.select("doc_id", text_or_empty().alias("text"))
@@ -160,7 +185,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
     hashes = with_templates(texts).select("row", F.explode(windows_of(F.col("template"), width)).alias("hash"))
     met = hashes.join(windows, "hash").distinct()
     found = met.groupBy("row", "item").agg(F.countDistinct("item_at").alias("n"))
-    candidates = kept(found.join(n_windows.select("item", "n_windows", "bar"), "item").where("n >= bar").select("row", "item", (F.col("n") / F.col("n_windows")).alias("coverage")), "candidates")
+    candidates = kept(
+        found.join(n_windows.select("item", "n_windows", "bar"), "item").where("n >= bar").select(
+            "row",
+            "item",
+            (F.col("n") / F.col("n_windows")).alias("coverage"),
+        ),
+        "candidates",
+    )
 
     # the texts that remain are aligned with their items, at each shift and at each group of shifts near one another
     again = with_templates(texts.join(candidates.select("row").distinct(), "row"))
@@ -170,7 +202,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
     shifts = placed.groupBy("row", "item", "coverage").agg(F.array_sort(F.collect_set(F.col("at") - F.col("item_at"))).alias("shifts"))
     shifts = shifts.join(n_windows.select("item", "n_windows", "plain_at", "spare"), "item")
     near = F.transform("shifts", lambda s, i: F.filter(F.slice("shifts", i + 1, F.col("spare") + 1), lambda x: x <= s + F.col("spare")))
-    bands = shifts.select("row", "item", "coverage", "n_windows", "plain_at", F.explode(F.array_distinct(F.concat(F.transform("shifts", lambda s: F.array(s)), near))).alias("band"))
+    bands = shifts.select(
+        "row",
+        "item",
+        "coverage",
+        "n_windows",
+        "plain_at",
+        F.explode(F.array_distinct(F.concat(F.transform("shifts", lambda s: F.array(s)), near))).alias("band"),
+    )
     laid = once.join(bands, "row").join(items.select("item", "item_words", "item_template").dropDuplicates(["item"]), "item")
     laid = laid.withColumn("lines", F.transform("band", lambda s: _line(s, width))).drop("words", "template")
     laid = laid.withColumn("lines", F.transform("lines", lambda x: _with_runs(x, width))).withColumn("way", _aligned(F.col("lines")))
@@ -179,7 +218,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
     n_pairs = distinct(lambda p: F.struct(p["t"], p["a"], p["b"]))
     consistent = (n_pairs == distinct(lambda p: F.struct(p["t"], p["a"]))) & (n_pairs == distinct(lambda p: F.struct(p["t"], p["b"])))
     verbatim = F.size(F.filter("way.pairs", lambda p: p["a"] != p["b"])) == 0
-    ways = kept(laid.select("row", "item", "coverage", "n_windows", F.size("item_template").alias("n_words"), F.size("band").alias("n_shifts"), held.alias("held"), F.col("way.score").alias("score"), consistent.alias("consistent"), verbatim.alias("verbatim"), F.size("way.pairs").cast("long").alias("slots")), "ways")
+    ways = kept(
+        laid.select(
+            "row",
+            "item",
+            "coverage",
+            "n_windows",
+            F.size("item_template").alias("n_words"),
+            F.size("band").alias("n_shifts"),
+            held.alias("held"),
+            F.col("way.score").alias("score"),
+            consistent.alias("consistent"),
+            verbatim.alias("verbatim"),
+            F.size("way.pairs").cast("long").alias("slots"),
+        ),
+        "ways",
+    )
     # windows of an item whose sentences are apart count together, at the shift that has most of them
     enough = F.col("consistent") & ((F.col("score") >= F.round(F.col("n_words") * F.lit(share), 6)) | (F.col("held") >= F.col("n_windows") * coverage))
     chosen = ways.groupBy("row", "item", "coverage").agg(
@@ -187,7 +241,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage:
         F.max(F.when(F.col("n_shifts") == 1, F.struct("held", "consistent", "verbatim", "slots"))).alias("most"),
     )
     chosen = chosen.where(F.col("sure").isNotNull() | ((F.col("coverage") >= coverage) & F.col("most.consistent")))
-    leaks = chosen.select("row", "item", "coverage", F.coalesce("sure.verbatim", "most.verbatim").alias("verbatim"), F.coalesce("sure.slots", "most.slots").alias("slots"))
+    leaks = chosen.select(
+        "row",
+        "item",
+        "coverage",
+        F.coalesce("sure.verbatim", "most.verbatim").alias("verbatim"),
+        F.coalesce("sure.slots", "most.slots").alias("slots"),
+    )
     out = again.select("row", "doc_id").join(leaks, "row").join(items.select("item", "item_id"), "item")
     bare_items = items.join(n_windows.select("item"), "item", "left_anti")
     if not bare_items.isEmpty():

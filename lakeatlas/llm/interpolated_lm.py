@@ -62,8 +62,29 @@ def _packs(docs: DataFrame, pack_bytes: int) -> DataFrame:
             size.pop(fold)
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
             tokens = sum(len(t) // 5 + 1 for t in texts)  # an estimate, for the number of ranges
-            row = {"pack": uuid.uuid4().hex, "fold": fold, "ids": np.array(ids, np.int64).tobytes(), "nulls": np.array(nulls, bool).tobytes(), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "body": body, "tokens": tokens}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("pack", pa.string()), ("fold", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary()), ("tokens", pa.int64())]))
+            row = {
+                "pack": uuid.uuid4().hex,
+                "fold": fold,
+                "ids": np.array(ids, np.int64).tobytes(),
+                "nulls": np.array(nulls, bool).tobytes(),
+                "sizes": np.array([len(t) for t in texts], np.int64).tobytes(),
+                "body": body,
+                "tokens": tokens,
+            }
+            return pa.RecordBatch.from_pylist(
+                [row],
+                schema=pa.schema(
+                    [
+                        ("pack", pa.string()),
+                        ("fold", pa.int32()),
+                        ("ids", pa.binary()),
+                        ("nulls", pa.binary()),
+                        ("sizes", pa.binary()),
+                        ("body", pa.binary()),
+                        ("tokens", pa.int64()),
+                    ]
+                ),
+            )
 
         for b in slices(batches):
             ids, nulls = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), b.column("doc_id").is_null().to_pylist()
@@ -136,7 +157,16 @@ def _request_rows(pack: str, fold: int, kind: int, grams: np.ndarray, buckets: i
     width = 64 if kind == 1 else 56
     bounds = np.arange(1, buckets, dtype=U) * U(((1 << width) - 1) // buckets)
     at = np.concatenate([[0], np.searchsorted(grams, bounds), [len(grams)]])
-    return [(int(p), pack, kind, pack_planes(np.diff(grams[at[p] : at[p + 1]], prepend=U(0))), _narrow(counts[at[p] : at[p + 1]]), fold) for p in np.flatnonzero(at[1:] > at[:-1])]
+    return [
+        (
+            int(p),
+            pack,
+            kind,
+            pack_planes(np.diff(grams[at[p] : at[p + 1]], prepend=U(0))),
+            _narrow(counts[at[p] : at[p + 1]]),
+            fold,
+        ) for p in np.flatnonzero(at[1:] > at[:-1])
+    ]
 
 
 def _requests(packs: DataFrame, buckets: int) -> DataFrame:
@@ -173,7 +203,9 @@ def _answers(requests: DataFrame) -> DataFrame:
             if kind == 1:
                 out.append((None, 0, bucket, None, None, -1, int(train.sum()), int((train > 0).sum()), int((train - first).sum()), int((train > first).sum())))
             for pack, f, where in zip(own["pack"], own["fold"], np.split(at, np.cumsum(n)[:-1])):
-                out.append((pack, kind, bucket, _narrow(2 * train[where] + held[where]), _narrow(first[where]) if f == 1 else b"", int(f), None, None, None, None))
+                out.append(
+                    (pack, kind, bucket, _narrow(2 * train[where] + held[where]), _narrow(first[where]) if f == 1 else b"", int(f), None, None, None, None)
+                )
         return pd.DataFrame(out, columns=_names(_ANSWER)).astype(dict.fromkeys(STATS, "Int64"))
 
     return requests.groupBy("bucket").applyInPandas(run, _ANSWER)
@@ -271,7 +303,12 @@ def fit_weights(histogram: DataFrame, v: int) -> np.ndarray:
         w = np.maximum(w, [0.0, 0.0, 1e-9, 1e-9])
         return pd.DataFrame([(b, *(w / w.sum()))], columns=["bucket", "l3", "l2", "l1", "l0"])
 
-    found = {r.bucket: [r.l3, r.l2, r.l1, r.l0] for r in histogram.groupBy("bucket").applyInPandas(run, "bucket long, l3 double, l2 double, l1 double, l0 double").collect()}
+    found = {
+        r.bucket: [r.l3, r.l2, r.l1, r.l0] for r in histogram.groupBy("bucket").applyInPandas(
+            run,
+            "bucket long, l3 double, l2 double, l1 double, l0 double",
+        ).collect()
+    }
     weights = np.tile([0.0, 0.0, 0.9, 0.1], (2 * BUCKETS, 1))
     for b in range(2 * BUCKETS):
         if b in found:
@@ -325,7 +362,15 @@ def score(docs: DataFrame, pack_bytes: int = 6 << 20) -> DataFrame:
         size = len(counts.text.n)
         ids = pa.array(np.frombuffer(own["ids"], np.int64), mask=np.frombuffer(own["nulls"], bool))
         return pa.table(
-            [ids, np.full(size, own["fold"] == 0), counts.text.n, by_text((c1 > 0).astype(np.int64)), np.full(size, n, np.int64), by_text(base), by_text(np.log10(p))],
+            [
+                ids,
+                np.full(size, own["fold"] == 0),
+                counts.text.n,
+                by_text((c1 > 0).astype(np.int64)),
+                np.full(size, n, np.int64),
+                by_text(base),
+                by_text(np.log10(p)),
+            ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

@@ -52,7 +52,9 @@ TEMPLATES = {
     "BSL-1.0": [
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
@@ -126,9 +128,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     known = [(i, name, w) for i, (name, t) in enumerate((n, t) for n, ts in (templates or TEMPLATES).items() for t in ts) if (w := words_of(t))]
     lengths = sorted({len(w) for _, _, w in known})
     bands = n_bands(lengths, containment, probability)
-    side = spark.createDataFrame(known, "template int, license string, words array<string>").withColumn("own", _hashes(F.col("words"))).withColumn("length", F.size("words"))
+    side = spark.createDataFrame(
+        known,
+        "template int, license string, words array<string>",
+    ).withColumn("own", _hashes(F.col("words"))).withColumn("length", F.size("words"))
     small = sum(len(x) for _, _, w in known for x in w) * bands <= SIDE_BYTES
-    side = (F.broadcast if small else lambda df: df)(side.select("template", "license", "length", "own", F.explode(_bands(F.col("own"), bands)).alias("b")).select("template", "license", "length", "own", "b.band", "b.low"))
+    side = (F.broadcast if small else lambda df: df)(
+        side.select(
+            "template",
+            "license",
+            "length",
+            "own",
+            F.explode(_bands(F.col("own"), bands)).alias("b"),
+        ).select("template", "license", "length", "own", "b.band", "b.low")
+    )
 
     anchors = {n: sorted({a for _, _, w in known if len(w) == n for a in anchors_of(w, containment)}) for n in lengths}
     low = docs.select("doc_id", F.lower(text_or_empty()).alias("text"))
@@ -137,9 +150,25 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         some = some | F.contains("text", F.lit(a))
     words = low.where(some).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     starts = F.array(*(F.struct(F.lit(n).alias("length"), F.lit(n + step(n)).alias("size"), _starts(n, anchors[n]).alias("starts")) for n in lengths))
-    cut = F.flatten(F.transform(starts, lambda c: F.transform(c["starts"], lambda s: F.struct(c["length"].alias("length"), F.slice("words", s + 1, c["size"]).alias("window")))))
-    windows = words.where("size(words) > 0").select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.length", F.col("w.window").alias("window")).withColumn("hashes", _hashes(F.col("window")))
-    banded = windows.select("doc_id", "length", "hashes", F.explode(_bands(F.col("hashes"), bands)).alias("b")).select("doc_id", "length", "hashes", "b.band", "b.low")
+    cut = F.flatten(
+        F.transform(
+            starts,
+            lambda c: F.transform(c["starts"], lambda s: F.struct(c["length"].alias("length"), F.slice("words", s + 1, c["size"]).alias("window"))),
+        )
+    )
+    windows = words.where("size(words) > 0").select("doc_id", F.explode(cut).alias("w")).select(
+        "doc_id",
+        "w.length",
+        F.col("w.window").alias("window"),
+    ).withColumn("hashes", _hashes(F.col("window")))
+    banded = windows.select(
+        "doc_id",
+        "length",
+        "hashes",
+        F.explode(_bands(F.col("hashes"), bands)).alias("b"),
+    ).select("doc_id", "length", "hashes", "b.band", "b.low")
     met = banded.join(side, ["length", "band", "low"])
     share = F.size(F.array_intersect("hashes", "own")) / F.size("own")
-    return met.withColumn("containment", share).where(F.col("containment") >= containment).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+    return met.withColumn("containment", share).where(F.col("containment") >= containment).groupBy("doc_id", "license").agg(
+        F.max("containment").alias("containment")
+    )

@@ -208,7 +208,12 @@ def star_pairs(sets: DataFrame, cut: Parts) -> DataFrame:
         yield _packs(place[at], 0, [token[i:j].tobytes() for i, j in zip(at, ends)], [hub[i:j].tobytes() for i, j in zip(at, ends)])
         if len(a):  # pairs found here pass through, by bucket only so as to be spread
             places = np.arange(0, len(a), 20_000)
-            yield _packs((places // 20_000 + int(token[0] % U(buckets))) % buckets, 1, [a[i : i + 20_000].tobytes() for i in places], [b[i : i + 20_000].tobytes() for i in places])
+            yield _packs(
+                (places // 20_000 + int(token[0] % U(buckets))) % buckets,
+                1,
+                [a[i : i + 20_000].tobytes() for i in places],
+                [b[i : i + 20_000].tobytes() for i in places],
+            )
 
     def run(batches):
         tokens, nodes, size = [], [], 0
@@ -364,7 +369,14 @@ def opened(openings: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     of = members.select("node", "component").distinct()
     queries = openings.join(of, F.col("query") == F.col("node")).join(sets, "node").join(asked, "grp")
     queries = queries.select("grp", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), "node", "component", "shingles")
-    held = members.join(asked, "grp").join(sets, "node").select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "node", "component", "shingles")
+    held = members.join(asked, "grp").join(sets, "node").select(
+        "grp",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(0).alias("side"),
+        "node",
+        "component",
+        "shingles",
+    )
 
     def run(batches):
         key, waiting, group = None, [], None
@@ -405,12 +417,20 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     sets = kept(_texts_of(docs, rows, some, width), "shingles")
 
     pairs = kept(star_pairs(sets, cut), "pairs")
-    hubs = pairs.select(F.explode(F.array("query", "grp")).alias("node")).distinct().select("node", F.col("node").alias("component"), F.col("node").alias("grp"))
+    hubs = pairs.select(F.explode(F.array("query", "grp")).alias("node")).distinct().select(
+        "node",
+        F.col("node").alias("component"),
+        F.col("node").alias("grp"),
+    )
     links = kept(opened(pairs, hubs, sets, percent), "links")
     first = components(links)
 
     near = components(pairs.select(F.col("query").alias("a"), F.col("grp").alias("b")))
-    labels = near.join(first.withColumnRenamed("component", "own"), "node", "left").select("node", F.coalesce("own", "node").alias("component"), F.col("component").alias("cluster"))
+    labels = near.join(first.withColumnRenamed("component", "own"), "node", "left").select(
+        "node",
+        F.coalesce("own", "node").alias("component"),
+        F.col("component").alias("cluster"),
+    )
     labels = kept(_groups(labels, group_size), "groups")
     openings = kept(open_groups(sets, labels, cut), "openings")
     if openings.isEmpty():
@@ -422,7 +442,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     of = kept(of, "of")
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = of.join(least, "component").select("node", "component_id", "component")
-    return rows.join(named, "node", "left").select(*keys, "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "component")
+    return rows.join(named, "node", "left").select(
+        *keys,
+        "n_shingles",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "node",
+        "component",
+    )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -436,7 +462,13 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     lone = F.col("node").isNull()
     group = F.when(lone, F.xxhash64("doc_id", "_la_text")).otherwise(F.col("component"))
     best = F.min_by(F.struct("doc_id", "_la_text"), F.struct(F.col("doc_id").isNull(), "doc_id", "_la_text"))
-    chosen = kept(found.groupBy(lone.alias("lone"), group.alias("group")).agg(best.alias("best")).select(F.col("best.doc_id").alias("_la_id"), F.col("best._la_text").alias("_la_hash")).distinct(), "chosen")
+    chosen = kept(
+        found.groupBy(lone.alias("lone"), group.alias("group")).agg(best.alias("best")).select(
+            F.col("best.doc_id").alias("_la_id"),
+            F.col("best._la_text").alias("_la_hash"),
+        ).distinct(),
+        "chosen",
+    )
     same = F.col("doc_id").eqNullSafe(F.col("_la_id")) & (F.col("_la_text") == F.col("_la_hash"))
     left = named.join(chosen, same, "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", "_la_text").orderBy(F.lit(0)))
@@ -449,19 +481,27 @@ def _groups(labels: DataFrame, group_size: int) -> DataFrame:
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("in_cluster"))
     of = labels.groupBy("component").agg(F.count("*").alias("size"))
     few = max(1, labels.count() // group_size)
-    grp = F.when(F.col("in_cluster") > group_size, F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cluster") / group_size)))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
+    grp = F.when(
+        F.col("in_cluster") > group_size,
+        F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cluster") / group_size))),
+    ).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
     return labels.join(sizes, "cluster").join(of, "component").select("node", "component", "size", grp.alias("grp"))
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles) for the given nodes, from one document of each."""
-    holder = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("doc_id"), F.xxhash64("doc_id")).alias("h")).select("node", F.col("h.doc_id").alias("holder"))
+    holder = rows.join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.min_by(F.struct("doc_id"), F.xxhash64("doc_id")).alias("h")
+    ).select("node", F.col("h.doc_id").alias("holder"))
 
     def run(batches):
         for b in slices(batches):
             found = [(set_hash(x) if len(x) else None, x) for x in _sets(texts_of(b, "text", lower=True), width)]
             good = [(h, x.tobytes()) for (h, x), wanted in zip(found, b.column("node").to_pylist()) if h == wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in good], pa.int64()), pa.array([x for _, x in good], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in good], pa.int64()), pa.array([x for _, x in good], pa.binary())],
+                names=["node", "shingles"],
+            )
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(holder, F.col("doc_id").eqNullSafe(F.col("holder")))
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])

@@ -137,7 +137,10 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     order = sorted(heads)
     before = [(r, heads[r], order[i - 1]) for i, r in enumerate(order)]  # the first range follows the last
     lookup = src.sparkSession.createDataFrame(before, "_r int, _h long, _to int")
-    extra = placed.join(F.broadcast(lookup), (F.col("range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_h"))).select("doc_id", "text", F.col("_to").alias("range"), F.lit(1).alias("peek"))
+    extra = placed.join(
+        F.broadcast(lookup),
+        (F.col("range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_h")),
+    ).select("doc_id", "text", F.col("_to").alias("range"), F.lit(1).alias("peek"))
     rows = placed.select("doc_id", "text", "range", F.lit(0).alias("peek")).union(extra)
     rows = rows.repartition(parts(docs), "range").sortWithinPartitions("range", "peek", F.col("doc_id").desc_nulls_last(), "text")
 
@@ -166,7 +169,9 @@ def _row(own, following: str, next_print: str) -> tuple:
     k = len(text) // 2
     edited = text[: len(text) - k] + following[:k]
     changed = print_ if edited == text else fingerprint(edited)
-    return i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), print_, changed, likeness(print_, changed), likeness(print_, next_print)
+    return i, len(text), hashlib.sha256(
+        edited.encode("utf-8", "surrogatepass")
+    ).hexdigest(), print_, changed, likeness(print_, changed), likeness(print_, next_print)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:

@@ -211,7 +211,12 @@ def fit(sample: DataFrame, nats: float = NATS) -> Model:
             texts = texts_of(batch, "text")
             return [pa.array([shape(d, w) for d, w in zip(texts, word_hashes(texts))], pa.list_(pa.float64()))]
 
-        found = map_arrow(rows.select((F.col("quality") > 0).alias("good"), "text"), forms, "form array<double>", drop=("text",)).orderBy("good", "form").collect()
+        found = map_arrow(
+            rows.select((F.col("quality") > 0).alias("good"), "text"),
+            forms,
+            "form array<double>",
+            drop=("text",),
+        ).orderBy("good", "form").collect()
         x, y = np.array([r.form for r in found]), np.array([r.good for r in found], float)
         model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
         model.weights = _logistic(_design(x, model.centre, model.scale), y)
@@ -269,11 +274,17 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = 2000) ->
     chosen = None
     for quality in (0, 1):
         for toxic in (0, 1):
-            some = marked.where((F.col("quality") == quality) & (F.col("toxic") == toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (1 + 2 * (quality > toxic)))
+            some = marked.where(
+                (F.col("quality") == quality) & (F.col("toxic") == toxic)
+            ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (1 + 2 * (quality > toxic)))
             chosen = some if chosen is None else chosen.union(some)
     chosen = kept(chosen, "chosen")  # at most 6 * per_class rows of three numbers, so it may be broadcast
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"),
+        F.first("quality").alias("quality"),
+        F.first("toxic").alias("toxic"),
+    )
     return fit(kept(rows.select("text", "quality", "toxic"), "sample")), inside(good, 0.85), inside(bad, 0.1)
 
 
@@ -314,8 +325,16 @@ def classify(scored: DataFrame, host: str, path: str, quality_prior: float = 0.8
 
     The rate of a document's site leaves the document itself out, so that its evidence counts once.
     """
-    own = scored.withColumn("_la_own", _sigmoid(F.lit(float(np.log(quality_prior / (1 - quality_prior)))) + F.col("_la_quality")) * _sigmoid(F.lit(-float(np.log(toxic_prior / (1 - toxic_prior)))) - F.col("_la_toxic")))
-    keyed = own.withColumn("_la_host", F.coalesce(F.col(host).cast("string"), F.lit("\0"))).withColumn("_la_path", F.coalesce(F.col(path).cast("string"), F.lit("\0")))
+    own = scored.withColumn(
+        "_la_own",
+        _sigmoid(
+            F.lit(float(np.log(quality_prior / (1 - quality_prior)))) + F.col("_la_quality")
+        ) * _sigmoid(F.lit(-float(np.log(toxic_prior / (1 - toxic_prior)))) - F.col("_la_toxic")),
+    )
+    keyed = own.withColumn(
+        "_la_host",
+        F.coalesce(F.col(host).cast("string"), F.lit("\0")),
+    ).withColumn("_la_path", F.coalesce(F.col(path).cast("string"), F.lit("\0")))
     paths = kept(keyed.groupBy("_la_host", "_la_path").agg(F.count("*").alias("n"), F.sum("_la_own").alias("s")), "paths")
     total, good = paths.agg(F.sum("n"), F.sum("s")).first()
     rate = min(max((good or 0.0) / total, 1e-6), 1 - 1e-6) if total else 0.5
@@ -346,7 +365,16 @@ def rate_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pat
 
     scored = kept(add_evidence(src, model, ["doc_id", "host", "path"]), "evidence")
     done = classify(scored, "host", "path", quality, toxic)
-    return done.select("doc_id", "host", "path", F.col("_la_quality").alias("quality_evidence"), F.col("_la_toxic").alias("toxic_evidence"), F.col("_la_rate").alias("site_rate"), F.col("_la_posterior").alias("posterior"), (F.col("_la_posterior") >= 0.5).alias("keep"))
+    return done.select(
+        "doc_id",
+        "host",
+        "path",
+        F.col("_la_quality").alias("quality_evidence"),
+        F.col("_la_toxic").alias("toxic_evidence"),
+        F.col("_la_rate").alias("site_rate"),
+        F.col("_la_posterior").alias("posterior"),
+        (F.col("_la_posterior") >= 0.5).alias("keep"),
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", per_class: int = 2000) -> DataFrame:

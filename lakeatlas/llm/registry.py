@@ -34,7 +34,12 @@ def op10(spark, sf_dir):
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["no"] < len(secret_scan.BASE))
     counts = {f"n_{r.kind}": secret_scan.of_kind(r.kind) for r in secret_scan.BASE}
-    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *(c.alias(n) for n, c in counts.items()),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
 
 
 @query("op4_decontamination")

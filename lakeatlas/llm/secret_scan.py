@@ -34,7 +34,13 @@ class Rule:
 
 #: The patterns of the base kinds, in the order in which they are listed at equal starts.
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?((?i:[A-Za-z0-9+/_.=-]+))""", 2, 6, ("password", "passwd", "secret", "token", "apikey", "api_key")),
+    Rule(
+        "assign",
+        r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?((?i:[A-Za-z0-9+/_.=-]+))""",
+        2,
+        6,
+        ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    ),
     Rule("access", r"AKIA[A-Z0-9]{16,}", needs=("akia",)),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
@@ -65,13 +71,29 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # no rule matches a control character, so another one in the mark's place changes no match and no position
     clean = blobs.select("blob", F.translate("text", MARK + SPLIT, "\x03\x03").alias("text")).withColumn("low", F.lower("text"))
     kinds = F.filter(
-        F.array(*(F.struct(F.lit(i).alias("no"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), _pieces(r, F.col("text"), F.col("low")).alias("pieces")) for i, r in enumerate(rules))),
+        F.array(
+            *(F.struct(F.lit(i).alias("no"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), _pieces(r, F.col("text"), F.col("low")).alias("pieces")) for i, r in enumerate(rules))
+        ),
         lambda k: F.size(k["pieces"]) > 1,
     )
     by_kind = clean.select("blob", F.explode(kinds).alias("k"))
-    pieces = by_kind.select("blob", F.col("k.no").alias("no"), F.col("k.kind").alias("kind"), F.col("k.least").alias("least"), F.posexplode("k.pieces").alias("at", "piece"))
+    pieces = by_kind.select(
+        "blob",
+        F.col("k.no").alias("no"),
+        F.col("k.kind").alias("kind"),
+        F.col("k.least").alias("least"),
+        F.posexplode("k.pieces").alias("at", "piece"),
+    )
     shown = F.substring_index("piece", SPLIT, 1)
-    sized = pieces.select("blob", "no", "kind", "least", "at", F.char_length(shown).alias("n"), (F.char_length("piece") - F.char_length(shown) - 1).alias("value"))
+    sized = pieces.select(
+        "blob",
+        "no",
+        "kind",
+        "least",
+        "at",
+        F.char_length(shown).alias("n"),
+        (F.char_length("piece") - F.char_length(shown) - 1).alias("value"),
+    )
     end = F.sum("n").over(Window.partitionBy("blob", "no").orderBy("at"))
     spans = sized.withColumn("end", end).where("at % 2 = 1 AND value >= least")
     item = F.struct((F.col("end") - F.col("n")).alias("start"), "no", "end", "kind")
@@ -149,7 +171,13 @@ def _gaps(found: DataFrame) -> DataFrame:
     return one.groupBy("blob").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("tail"))
 
 
-def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+def redact_secrets(
+    docs: DataFrame,
+    mask: str = "[SECRET]",
+    ledger: str | None = None,
+    rules: tuple[Rule, ...] = RULES,
+    version: str = RULE_VERSION,
+) -> DataFrame:
     """``docs`` with every found secret (overlapping ones as one) replaced by ``mask``, and n_chars set anew where it
     changes; findings come from the ledger as in ``scan_secrets``. No row goes; rows without findings are untouched. Nulls
     stay, empty and repeated rows too; an empty table gives no rows; all columns are kept, whatever their names."""

@@ -2,7 +2,8 @@
 
 The exponent alpha lies in 0 (all sources equal) to 1 (as they are). It is the least one that keeps to all given limits:
 entropy (in nats, as a share of the most possible, log of the number of sources) at most ``entropy``, and no source
-repeated more than ``max_repeats`` times within the budget. Each round of the search is one aggregation over the source
+repeated more than ``max_repeats`` times within the budget. Sources that break a limit as they are stay as they are, and are
+marked as not meeting it. Each round of the search is one aggregation over the source
 table, so the sources may be as many as hosts on the web; only a row of sums comes to the driver.
 
 The quota of a source is then filled with blocks: every whole block is a permutation of all the source's documents (keyed by
@@ -34,12 +35,13 @@ def source_shares(tokens: DataFrame) -> DataFrame:
     return by.select("source", "n_docs", "n_tokens", F.col("n_tokens").cast("double").alias("size"))
 
 
-def find_exponent(sources: DataFrame, budget: int, entropy: float | None, max_repeats: float | None) -> tuple[float, float]:
-    """(alpha, sum of size ** alpha). Both limits hold at alpha = 1 or else 1 is taken; they fail from some point downwards."""
+def find_exponent(sources: DataFrame, budget: int, entropy: float | None, max_repeats: float | None) -> tuple[float, float, bool]:
+    """(alpha, sum of size ** alpha, whether the limits hold there). They hold at alpha = 1 or else 1 is taken, and they fail
+    from some point downwards."""
     live = sources.where("size > 0")
     n, top = live.agg(F.count("*"), F.max("size")).first()
     if not n:
-        return 1.0, 1.0
+        return 1.0, 1.0, True
 
     def look(points: list[float]) -> list[tuple[float, float, float, float]]:
         power = [F.pow(F.col("size") / top, F.lit(p)) for p in points]
@@ -53,7 +55,7 @@ def find_exponent(sources: DataFrame, budget: int, entropy: float | None, max_re
         return (entropy is None or spread <= entropy + 1e-12) and (max_repeats is None or budget * most / z <= max_repeats + 1e-12)
 
     if entropy is None and max_repeats is None:
-        return 1.0, look([1.0])[0][1]
+        return 1.0, look([1.0])[0][1], True
     lo, hi = 0.0, 1.0
     if holds(look([0.0])[0]):
         hi = 0.0
@@ -64,25 +66,43 @@ def find_exponent(sources: DataFrame, budget: int, entropy: float | None, max_re
         good = [p for p, f in zip(points, look(points)) if holds(f)]
         first = min(good, default=hi)
         lo, hi = max([p for p in points if p < first], default=lo), first
-    return hi, look([hi])[0][1]
+    last = look([hi])[0]
+    return hi, last[1], holds(last)
 
 
 def source_weights(tokens: DataFrame, budget: int | None = None, entropy: float | None = 0.95, max_repeats: float | None = 4.0) -> DataFrame:
-    """(source, n_docs, n_tokens, weight, quota): weights sum to 1, quotas are whole tokens. See the module."""
+    """(source, n_docs, n_tokens, weight, quota, met): weights sum to 1, quotas are whole tokens; met: the limits hold. See
+    the module. A null source is a source of its own; no sources: no rows."""
     sources = kept(source_shares(tokens), "sources")
     if budget is None:
         budget = sources.agg(F.sum("n_tokens")).first()[0] or 0
-    alpha, z = find_exponent(sources, budget, entropy, max_repeats)
+    alpha, z, met = find_exponent(sources, budget, entropy, max_repeats)
     top = sources.agg(F.max("size")).first()[0] or 1.0
     weight = F.when(F.col("size") > 0, F.pow(F.col("size") / F.lit(top), F.lit(alpha)) / F.lit(z)).otherwise(0.0)
-    return sources.withColumn("weight", weight).select("source", "n_docs", "n_tokens", "weight", F.floor(F.col("weight") * budget + 1e-6).cast("long").alias("quota"))
+    return sources.withColumn("weight", weight).select(
+        "source",
+        "n_docs",
+        "n_tokens",
+        "weight",
+        F.floor(F.col("weight") * budget + 1e-6).cast("long").alias("quota"),
+        F.lit(met).alias("met"),
+    )
 
 
 def _order(block: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws("/", F.lit(str(seed)), block.cast("string"), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-
-
-def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 7, head_docs: int = 100_000) -> DataFrame:
+    return F.md5(
+        F.concat_ws("/", F.lit(str(seed)), block.cast("string"), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    )
+
+
+def mix_sources(
+    docs: DataFrame,
+    budget: int | None = None,
+    entropy: float | None = 0.95,
+    max_repeats: float | None = 4.0,
+    seed: int = 7,
+    head_docs: int = 8_192,
+) -> DataFrame:
     """``(doc_id, source, tokens, block, place, weight)``: one row for each time that a document of ``docs(doc_id, text,
     source, ...)`` is taken; block numbers a source's permutations from 0, place orders a block.
 
@@ -93,10 +113,22 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | Non
     """
     tokens = kept(docs.select("doc_id", "source", token_count(text_or_empty()).alias("tokens")), "tokens")
     weights = kept(source_weights(tokens, budget, entropy, max_repeats), "weights")
-    plan = weights.where("n_tokens > 0").select(F.col("source").alias("_source"), "weight", F.floor(F.col("quota") / F.col("n_tokens")).cast("long").alias("whole"), F.expr("quota % n_tokens").alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / head_docs)).cast("long").alias("ranges"))
+    plan = weights.where("n_tokens > 0").select(
+        F.col("source").alias("_source"),
+        "weight",
+        F.floor(F.col("quota") / F.col("n_tokens")).cast("long").alias("whole"),
+        F.expr("quota % n_tokens").alias("rest"),
+        F.greatest(F.lit(1), F.ceil(F.col("n_docs") / head_docs)).cast("long").alias("ranges"),
+    )
     taken = tokens.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
-    whole = taken.where("whole > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("block"), "weight")
+    whole = taken.where("whole > 0").select(
+        "doc_id",
+        "source",
+        "tokens",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("block"),
+        "weight",
+    )
     whole = whole.withColumn("place", _order(F.col("block"), seed))
 
     # the last block: the range of the hash in which the quota ends, then the row
@@ -104,7 +136,10 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float | Non
     share = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
     last = last.withColumn("part", F.floor(share * F.col("ranges") / F.lit(1 << 32)).cast("long"))
     sums = last.groupBy("source", "part").agg(F.sum("tokens").alias("in_part"))
-    before = sums.withColumn("before", F.sum("in_part").over(Window.partitionBy("source").orderBy("part")) - F.col("in_part")).select(F.col("source").alias("_source"), F.col("part").alias("_part"), "before", "in_part")
+    before = sums.withColumn(
+        "before",
+        F.sum("in_part").over(Window.partitionBy("source").orderBy("part")) - F.col("in_part"),
+    ).select(F.col("source").alias("_source"), F.col("part").alias("_part"), "before", "in_part")
     last = last.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
     full = last.where("before + in_part <= rest")
     ends = last.where("before <= rest AND before + in_part > rest")

@@ -31,7 +31,18 @@ ARCHIVE_BYTES = 32 << 20
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
-_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+_RECORD = pa.schema(
+    [
+        ("page_id", pa.int64()),
+        ("url", pa.string()),
+        ("record_type", pa.string()),
+        ("refers_to", pa.int64()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("payload", pa.binary()),
+        ("error", pa.string()),
+    ]
+)
 #: Over how many tasks the records of one payload are dealt.
 SALTS = 64
 
@@ -113,7 +124,16 @@ def decode_record(data: bytes) -> dict | None:
         digest = base64.b32decode(value).hex()
     except ValueError as e:
         raise WarcError("record: malformed digest") from e
-    row = {"page_id": _page(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": None, "payload_bytes": size, "payload_digest": digest, "payload": None, "error": None}
+    row = {
+        "page_id": _page(h["warc-record-id"]),
+        "url": h.get("warc-target-uri"),
+        "record_type": h["warc-type"],
+        "refers_to": None,
+        "payload_bytes": size,
+        "payload_digest": digest,
+        "payload": None,
+        "error": None,
+    }
     if row["url"] is not None:
         from urllib.parse import unquote
 
@@ -147,7 +167,11 @@ def _first(dictionary: bytes) -> tuple[bytes, zstandard.ZstdCompressor]:
     if not dictionary:
         return b"", zstandard.ZstdCompressor(level=3, write_checksum=True)
     body = zstandard.ZstdCompressor(level=9).compress(dictionary)
-    return struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body, zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+    return struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body, zstandard.ZstdCompressor(
+        level=3,
+        dict_data=zstandard.ZstdCompressionDict(dictionary),
+        write_checksum=True,
+    )
 
 
 def encode_archives(records: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES) -> Iterator[tuple[bytes, int]]:
@@ -261,7 +285,9 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     joined = rows.where(large).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(firsts, ["digest", "salt"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     small = rows.where(~large).select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return small.union(joined.select(*columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")))
+    return small.union(
+        joined.select(*columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    )
 
 
 def write_archives(records: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -25,6 +25,12 @@ def test_weights_meet_the_targets(spark):
     assert logs["b"] == pytest.approx(logs["c"]) == pytest.approx(logs["d"])
 
 
+def test_targets_that_cannot_be_met_are_told(spark):
+    even = spark.createDataFrame([(s, 100) for s in "abcd"], "source string, tokens long")
+    assert {r.met for r in source_weights(even, entropy=0.5, max_repeats=None).collect()} == {False}
+    assert {(r.met, r.weight) for r in source_weights(even, entropy=1.0, max_repeats=None).collect()} == {(True, 0.25)}
+
+
 def test_blocks_are_permutations_within_quota(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     tokens = docs.select("source", token_count(F.col("text")).alias("tokens"))
