@@ -23,7 +23,15 @@ def test_a_malformed_snapshot_leaves_alone(spark, tmp_path):
 
 
 def test_fingerprints_are_canonical(spark):
-    table = {"columns": [{"type": "int", "name": "a", "nullable": True, "comment": ""}], "comment": "x", "associations": [{"type": "has_many", "name": "b", "target": "b", "provenance": "declared", "sources": []}, {"type": "belongs_to", "name": "é\n\"", "target": "c", "provenance": "declared", "sources": [], "polymorphic": False}], "indexes": [{"columns": ["b"], "unique": True}, {"columns": ["a"], "unique": False, "name": ""}]}
+    table = {
+        "columns": [{"type": "int", "name": "a", "nullable": True, "comment": ""}],
+        "comment": "x",
+        "associations": [
+            {"type": "has_many", "name": "b", "target": "b", "provenance": "declared", "sources": []},
+            {"type": "belongs_to", "name": "é\n\"", "target": "c", "provenance": "declared", "sources": [], "polymorphic": False},
+        ],
+        "indexes": [{"columns": ["b"], "unique": True}, {"columns": ["a"], "unique": False, "name": ""}],
+    }
     whole = {"format": 1, "fingerprint": "sha256:x", "schema": {"tables": {"t\"1": table, "a": {"columns": []}}}}
     other = json.loads(json.dumps(whole))
     other["schema"]["tables"]["t\"1"]["associations"].reverse()
@@ -43,7 +51,12 @@ def test_fingerprints_are_canonical(spark):
 def test_batches_keep_the_newest_states(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(drift, "COMPACTION", 2)
     t = lambda d: datetime.datetime(2024, 1, d)
-    batches = [[("s", "1", t(1), snap("x")), ("r", "1", t(1), snap("x"))], [("s", "2", t(2), snap("y"))], [("q", "1", t(3), snap("x"))], [("r", "2", t(4), snap("x")), ("s", "3", t(4), snap("z"))]]
+    batches = [
+        [("s", "1", t(1), snap("x")), ("r", "1", t(1), snap("x"))],
+        [("s", "2", t(2), snap("y"))],
+        [("q", "1", t(3), snap("x"))],
+        [("r", "2", t(4), snap("x")), ("s", "3", t(4), snap("z"))],
+    ]
     for n, events in enumerate(batches):
         drift.process(spark.createDataFrame(events, drift.EVENT), n, str(tmp_path))
         drift.process(spark.createDataFrame(events, drift.EVENT), n, str(tmp_path))  # run again

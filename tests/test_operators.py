@@ -55,21 +55,45 @@ def test_merge_present_null_wins_and_order_does_not_matter(spark):
 
 def test_association_identity(spark):
     schema = "schema_id string, layer_seq int, kind string, pos int, " + EDGE.replace("schema_id string, ", "")
-    data = [("s", 0, "db", 0, *edge("posts", "belongs_to", "user", "users", "user_id", "db_fk")[1:]), ("s", 1, "framework", 0, *edge("posts", "has_one", "user", "users", "user_id")[1:]), ("s", 1, "framework", 1, *edge("posts", "belongs_to", "author", "users", "user_id")[1:]), ("s", 2, "config", 0, *edge("users", "has_many", "posts", "posts", None, "declared", "x")[1:])]
+    data = [
+        ("s", 0, "db", 0, *edge("posts", "belongs_to", "user", "users", "user_id", "db_fk")[1:]),
+        ("s", 1, "framework", 0, *edge("posts", "has_one", "user", "users", "user_id")[1:]),
+        ("s", 1, "framework", 1, *edge("posts", "belongs_to", "author", "users", "user_id")[1:]),
+        ("s", 2, "config", 0, *edge("users", "has_many", "posts", "posts", None, "declared", "x")[1:]),
+    ]
     got = merge.merge_associations(spark.createDataFrame(data, schema))
-    assert rows(got, "table_name", "name", "type", "provenance") == [("posts", "author", "belongs_to", "declared"), ("posts", "user", "has_one", "declared"), ("users", "posts", "has_many", "manual")]
+    assert rows(got, "table_name", "name", "type", "provenance") == [
+        ("posts", "author", "belongs_to", "declared"),
+        ("posts", "user", "has_one", "declared"),
+        ("users", "posts", "has_many", "manual"),
+    ]
 
 
 def test_primary_keys(spark):
-    cols = spark.createDataFrame([("s", "t", "a", True), ("s", "t", "b", False), ("s", "u", "a", True)], "schema_id string, table_name string, name string, primary boolean")
-    tabs = spark.createDataFrame([("s", "t", ["b", "z"], True), ("s", "u", None, False)], "schema_id string, table_name string, primary_key array<string>, config_pk boolean")
+    cols = spark.createDataFrame(
+        [("s", "t", "a", True), ("s", "t", "b", False), ("s", "u", "a", True)],
+        "schema_id string, table_name string, name string, primary boolean",
+    )
+    tabs = spark.createDataFrame(
+        [("s", "t", ["b", "z"], True), ("s", "u", None, False)],
+        "schema_id string, table_name string, primary_key array<string>, config_pk boolean",
+    )
     assert rows(merge.normalize_primary_key(cols, tabs).where("primary"), "table_name", "name") == [("t", "b"), ("u", "a")]
     assert rows(merge.missing_key_columns(cols, tabs), "table_name", "missing") == [("t", "z")]
 
 
 def test_composites(spark):
     schema = "schema_id string, table_name string, kind string, name string, columns_mode string, drop boolean"
-    df = spark.createDataFrame([("s", "t", "db", "a", None, None), ("s", "t", "db", "b", None, None), ("s", "u", "db", "a", None, None), ("s", "t", "config", "a", None, True), ("s", "u", "config", "z", "replace", False)], schema)
+    df = spark.createDataFrame(
+        [
+            ("s", "t", "db", "a", None, None),
+            ("s", "t", "db", "b", None, None),
+            ("s", "u", "db", "a", None, None),
+            ("s", "t", "config", "a", None, True),
+            ("s", "u", "config", "z", "replace", False),
+        ],
+        schema,
+    )
     assert rows(merge.apply_composites(df, ["name"], "columns_mode"), "table_name", "name") == [("t", "b"), ("u", "z")]
 
 
@@ -82,57 +106,122 @@ def test_reconcile(spark):
         edge("x", "belongs_to", "y", "y", "y_id", "inferred"),
     ]
     got = edges.reconcile(spark.createDataFrame(data, EDGE))
-    assert rows(got, "table_name", "type", "name", "provenance") == sorted([("users", "has_many", "posts", "declared"), ("posts", "belongs_to", "editor", "db_fk"), ("posts", "belongs_to", "writer", "declared"), ("profiles", "has_one", "owner", "declared"), ("a", "belongs_to", "b", "manual"), ("b", "has_many", "a", "declared"), ("x", "belongs_to", "y", "inferred")], key=str)
+    assert rows(got, "table_name", "type", "name", "provenance") == sorted(
+        [
+            ("users", "has_many", "posts", "declared"),
+            ("posts", "belongs_to", "editor", "db_fk"),
+            ("posts", "belongs_to", "writer", "declared"),
+            ("profiles", "has_one", "owner", "declared"),
+            ("a", "belongs_to", "b", "manual"),
+            ("b", "has_many", "a", "declared"),
+            ("x", "belongs_to", "y", "inferred"),
+        ],
+        key=str,
+    )
 
 
 def test_infer(spark):
     tables = spark.createDataFrame([("s", t) for t in ("users", "logs", "staff", "orders")], "schema_id string, table_name string")
-    cols = [("logs", 1, "user_id", False), ("logs", 2, "staff_id", False), ("logs", 3, "log_id", False), ("logs", 4, "order_id", True), ("orders", 1, "user_id", False), ("users", 1, "order_id", False), ("logs", 5, "nothing_id", False)]
+    cols = [
+        ("logs", 1, "user_id", False),
+        ("logs", 2, "staff_id", False),
+        ("logs", 3, "log_id", False),
+        ("logs", 4, "order_id", True),
+        ("orders", 1, "user_id", False),
+        ("users", 1, "order_id", False),
+        ("logs", 5, "nothing_id", False),
+    ]
     columns = spark.createDataFrame([("s", *c) for c in cols], "schema_id string, table_name string, pos int, name string, primary boolean")
     indexes = spark.createDataFrame([("s", "logs", ["staff_id"], True)], "schema_id string, table_name string, columns array<string>, unique boolean")
     none = spark.createDataFrame([], EDGE)
     got = edges.infer_fks(tables, columns, indexes, none)
-    assert rows(got, "table_name", "target", "type", "foreign_key") == [("logs", "staff", "has_one", "staff_id"), ("logs", "users", "belongs_to", "user_id"), ("orders", "users", "belongs_to", "user_id"), ("users", "orders", "belongs_to", "order_id")]
+    assert rows(got, "table_name", "target", "type", "foreign_key") == [
+        ("logs", "staff", "has_one", "staff_id"),
+        ("logs", "users", "belongs_to", "user_id"),
+        ("orders", "users", "belongs_to", "user_id"),
+        ("users", "orders", "belongs_to", "order_id"),
+    ]
     there = spark.createDataFrame([edge("users", "has_many", "logs", "logs")], EDGE)
     assert ("logs", "users") not in rows(edges.infer_fks(tables, columns, indexes, there), "table_name", "target")
 
 
 def test_display_edges(spark):
     tables = spark.createDataFrame([("s", t) for t in ("a", "b", "c", "a_c")], "schema_id string, table_name string")
-    data = [edge("a", "has_many", "bs", "b"), edge("b", "belongs_to", "a", "a", "a_id"), edge("a", "has_and_belongs_to_many", "cs", "c"), edge("b", "has_one", "c", "c"), edge("b", "belongs_to", "any", "any", "any_id", poly=True), edge("c", "has_many", "x", "a", through="b"), edge("b", "has_and_belongs_to_many", "bb", "b")]
+    data = [
+        edge("a", "has_many", "bs", "b"),
+        edge("b", "belongs_to", "a", "a", "a_id"),
+        edge("a", "has_and_belongs_to_many", "cs", "c"),
+        edge("b", "has_one", "c", "c"),
+        edge("b", "belongs_to", "any", "any", "any_id", poly=True),
+        edge("c", "has_many", "x", "a", through="b"),
+        edge("b", "has_and_belongs_to_many", "bb", "b"),
+    ]
     got = edges.display_edges(tables, spark.createDataFrame(data, EDGE).withColumn("pos", F.lit(0)))
     assert rows(got, "a", "b", "kind", "many", "label") == [("a", "b", "1n", "b", "bs"), ("b", "b", "nn", None, "bb"), ("b", "c", "11", None, "c")]
 
 
 def test_notes(spark):
-    es = spark.createDataFrame([edge("p", "belongs_to", "user", "u", "user_id"), edge("p", "belongs_to", "author", "u", "user_id"), edge("p", "has_many", "us", "u")], EDGE)
+    es = spark.createDataFrame(
+        [edge("p", "belongs_to", "user", "u", "user_id"), edge("p", "belongs_to", "author", "u", "user_id"), edge("p", "has_many", "us", "u")],
+        EDGE,
+    )
     schema = "schema_id string, note_id string, table_name string, target string, present array<string>, foreign_key string, name string, through string, type string, polymorphic boolean"
-    notes = spark.createDataFrame([("s", "many", "p", "u", [], None, None, None, None, None), ("s", "named", "p", "u", ["name"], None, "author", None, None, None), ("s", "without", "p", "u", ["foreign_key"], None, None, None, None, None), ("s", "none", "p", "u", ["name"], None, "z", None, None, None)], schema)
+    notes = spark.createDataFrame(
+        [
+            ("s", "many", "p", "u", [], None, None, None, None, None),
+            ("s", "named", "p", "u", ["name"], None, "author", None, None, None),
+            ("s", "without", "p", "u", ["foreign_key"], None, None, None, None, None),
+            ("s", "none", "p", "u", ["name"], None, "z", None, None, None),
+        ],
+        schema,
+    )
     good, bad = edges.resolve_notes(notes, es)
     assert rows(good, "note_id", "name") == [("named", "author"), ("without", "us")] and rows(bad, "note_id", "n") == [("many", 3), ("none", 0)]
 
 
 def test_drop_matches_and_pending(spark):
-    es = spark.createDataFrame([edge("p", "belongs_to", "user", "u", "user_id"), edge("p", "belongs_to", "author", "u", "user_id"), edge("p", "has_many", "us", "u")], EDGE)
+    es = spark.createDataFrame(
+        [edge("p", "belongs_to", "user", "u", "user_id"), edge("p", "belongs_to", "author", "u", "user_id"), edge("p", "has_many", "us", "u")],
+        EDGE,
+    )
     drop = spark.createDataFrame([edge("p", "belongs_to", None, "u", "user_id", poly=None)], EDGE)
     assert rows(edges.drop_matches(es, drop), "name") == [("us",)]
     tables = spark.createDataFrame([("s", "p"), ("s", "u")], "schema_id string, table_name string")
     cols = spark.createDataFrame([("s", "p", "u_id")], "schema_id string, table_name string, name string")
     ix = spark.createDataFrame([("s", "p", ["u_id"], True)], "schema_id string, table_name string, columns array<string>, unique boolean")
-    pending = spark.createDataFrame([("s", "p", "u_id", "u"), ("s", "p", "u_id", "u"), ("s", "p", "x_id", "u"), ("s", "z", "u_id", "u"), ("s", "p", "u_id", "q")], "schema_id string, table_name string, column_name string, ref_table string")
+    pending = spark.createDataFrame(
+        [("s", "p", "u_id", "u"), ("s", "p", "u_id", "u"), ("s", "p", "x_id", "u"), ("s", "z", "u_id", "u"), ("s", "p", "u_id", "q")],
+        "schema_id string, table_name string, column_name string, ref_table string",
+    )
     good, bad = edges.pending_fks(pending, tables, cols, ix)
-    assert rows(good, "type", "target", "provenance") == [("has_one", "u", "schema_fk")] and rows(bad, "reason") == [("unknown column",), ("unknown table",), ("unknown target",)]
+    assert rows(good, "type", "target", "provenance") == [("has_one", "u", "schema_fk")] and rows(bad, "reason") == [
+        ("unknown column",),
+        ("unknown table",),
+        ("unknown target",),
+    ]
 
 
 def test_graph(spark):
-    g = spark.createDataFrame([("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a"), ("s", "d", "a"), ("s", "x", "y"), ("s", "z", "z")], "schema_id string, src string, dst string")
+    g = spark.createDataFrame(
+        [("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a"), ("s", "d", "a"), ("s", "x", "y"), ("s", "z", "z")],
+        "schema_id string, src string, dst string",
+    )
     start = spark.createDataFrame([("s", "d")], "schema_id string, start string")
     assert rows(graph.neighbourhood(g, start, 2, "out"), "node", "depth") == [("a", 1), ("b", 2), ("d", 0)]
     assert rows(graph.neighbourhood(g, start, 5, "both"), "node", "depth") == [("a", 1), ("b", 2), ("c", 2), ("d", 0)]
     assert rows(graph.neighbourhood(g, start, 1, "in"), "node") == [("d",)]
     assert rows(graph.cycles(g), "node", "length") == [("a", 3), ("b", 3), ("c", 3), ("z", 1)]
     nodes = spark.createDataFrame([("s", n) for n in "abcdxyzo"], "schema_id string, node string")
-    assert rows(graph.components(nodes, g), "node", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("o", "o"), ("x", "x"), ("y", "x"), ("z", "z")]
+    assert rows(graph.components(nodes, g), "node", "component") == [
+        ("a", "a"),
+        ("b", "a"),
+        ("c", "a"),
+        ("d", "a"),
+        ("o", "o"),
+        ("x", "x"),
+        ("y", "x"),
+        ("z", "z"),
+    ]
     assert rows(graph.orphans(nodes, g), "node") == [("o",)]
     fields = spark.createDataFrame([("s", "Base", "id", 1), ("s", "User", "name", 1)], "schema_id string, cls string, field string, pos int")
     bases = spark.createDataFrame([("s", "User", "Base", 0)], "schema_id string, src string, dst string, pos int")
@@ -141,9 +230,22 @@ def test_graph(spark):
 
 def schema_frames(spark):
     tables = spark.createDataFrame([("s", "users", 'who "is"'), ("s", "odd-name", None)], "schema_id string, table_name string, comment string")
-    columns = spark.createDataFrame([("s", "users", 1, "id", "bigint", False, True, None, None), ("s", "users", 2, "org_id", "integer", True, False, "1", "see\norg"), ("s", "odd-name", 1, "id", "bigint", False, True, None, None)], "schema_id string, table_name string, pos int, name string, type string, nullable boolean, primary boolean, default string, comment string")
-    indexes = spark.createDataFrame([("s", "users", "ix", ["org_id"], True)], "schema_id string, table_name string, name string, columns array<string>, unique boolean")
-    es = spark.createDataFrame([edge("users", "belongs_to", "org", "odd-name", "org_id")], EDGE).withColumn("sources", F.array(F.struct(F.lit("db").alias("kind"), F.lit("mysql").alias("provider")))).withColumn("pos", F.lit(0))
+    columns = spark.createDataFrame(
+        [
+            ("s", "users", 1, "id", "bigint", False, True, None, None),
+            ("s", "users", 2, "org_id", "integer", True, False, "1", "see\norg"),
+            ("s", "odd-name", 1, "id", "bigint", False, True, None, None),
+        ],
+        "schema_id string, table_name string, pos int, name string, type string, nullable boolean, primary boolean, default string, comment string",
+    )
+    indexes = spark.createDataFrame(
+        [("s", "users", "ix", ["org_id"], True)],
+        "schema_id string, table_name string, name string, columns array<string>, unique boolean",
+    )
+    es = spark.createDataFrame([edge("users", "belongs_to", "org", "odd-name", "org_id")], EDGE).withColumn(
+        "sources",
+        F.array(F.struct(F.lit("db").alias("kind"), F.lit("mysql").alias("provider"))),
+    ).withColumn("pos", F.lit(0))
     return {"tables": tables, "columns": columns, "indexes": indexes, "associations": es}
 
 
@@ -154,8 +256,20 @@ def test_canonical_json_is_python_json(spark):
         "tables": {
             "odd-name": {"associations": [], "columns": [{"name": "id", "nullable": False, "primary": True, "type": "bigint"}], "indexes": []},
             "users": {
-                "associations": [{"foreign_key": "org_id", "name": "org", "provenance": "declared", "sources": [{"kind": "db", "provider": "mysql"}], "target": "odd-name", "type": "belongs_to"}],
-                "columns": [{"name": "id", "nullable": False, "primary": True, "type": "bigint"}, {"comment": "see\norg", "default": "1", "name": "org_id", "nullable": True, "type": "integer"}],
+                "associations": [
+                    {
+                        "foreign_key": "org_id",
+                        "name": "org",
+                        "provenance": "declared",
+                        "sources": [{"kind": "db", "provider": "mysql"}],
+                        "target": "odd-name",
+                        "type": "belongs_to",
+                    }
+                ],
+                "columns": [
+                    {"name": "id", "nullable": False, "primary": True, "type": "bigint"},
+                    {"comment": "see\norg", "default": "1", "name": "org_id", "nullable": True, "type": "integer"},
+                ],
                 "comment": 'who "is"', "indexes": [{"columns": ["org_id"], "name": "ix", "unique": True}],
             },
         }
@@ -194,7 +308,17 @@ def test_diff(spark):
     right["tables"] = right["tables"].where("table_name = 'users'").withColumn("comment", F.lit(None).cast("string"))
     right["associations"] = right["associations"].withColumn("name", F.lit("firm"))
     got = diff.schema_diff(left, right)
-    assert rows(got, "level", "table_name", "change", "field", "old", "new") == sorted([("table", "odd-name", "added", None, None, None), ("table", "users", "changed", "comment", "", 'who "is"'), ("column", "users", "added", None, None, None), ("column", "users", "changed", "default", "", "1"), ("association", "users", "added", None, None, None), ("association", "users", "removed", None, None, None)], key=str)
+    assert rows(got, "level", "table_name", "change", "field", "old", "new") == sorted(
+        [
+            ("table", "odd-name", "added", None, None, None),
+            ("table", "users", "changed", "comment", "", 'who "is"'),
+            ("column", "users", "added", None, None, None),
+            ("column", "users", "changed", "default", "", "1"),
+            ("association", "users", "added", None, None, None),
+            ("association", "users", "removed", None, None, None),
+        ],
+        key=str,
+    )
     assert diff.as_text(got).first().text.splitlines()[0].startswith("+ association users.belongs_to")
     assert len(json.loads(diff.as_json(got).first().json)) == 6
 
@@ -203,7 +327,15 @@ def test_filters(spark):
     t = spark.createDataFrame([("s", n) for n in ("users", "user_logs", "tmp")], "schema_id string, table_name string")
     left = filters.keep_tables(t, ["user*,x*"], ["*_logs"])
     assert rows(left, "table_name") == [("users",)] and filters.emptied_schemas(t, filters.keep_tables(t, ["q"])).count() == 1
-    notes = spark.createDataFrame([("s", 1, "global", None, None, None, None), ("s", 2, "table", "tmp", None, None, None), ("s", 3, "relation", None, "users", "tmp", False), ("s", 4, "relation", None, "users", "any", True)], "schema_id string, note_id int, scope string, table_name string, source_table string, target string, polymorphic boolean")
+    notes = spark.createDataFrame(
+        [
+            ("s", 1, "global", None, None, None, None),
+            ("s", 2, "table", "tmp", None, None, None),
+            ("s", 3, "relation", None, "users", "tmp", False),
+            ("s", 4, "relation", None, "users", "any", True),
+        ],
+        "schema_id string, note_id int, scope string, table_name string, source_table string, target string, polymorphic boolean",
+    )
     assert rows(filters.keep_notes(notes, left), "note_id") == [(1,), (4,)]
     groups = spark.createDataFrame([("s", "g", "", "#fff"), ("s", "h", "H", None)], "schema_id string, group_id string, title string, color string")
     members = spark.createDataFrame([("s", "g", "users"), ("s", "g", "tmp"), ("s", "h", "tmp")], "schema_id string, group_id string, table_name string")
@@ -215,11 +347,28 @@ def test_filters(spark):
 
 def test_validation(spark):
     tables = spark.createDataFrame([("s", 0, ""), ("s", 0, "t")], "schema_id string, layer_seq int, table_name string")
-    columns = spark.createDataFrame([("s", 0, "t", "", "int", True), ("s", 0, "t", "a", None, None)], "schema_id string, layer_seq int, table_name string, name string, type string, nullable boolean")
+    columns = spark.createDataFrame(
+        [("s", 0, "t", "", "int", True), ("s", 0, "t", "a", None, None)],
+        "schema_id string, layer_seq int, table_name string, name string, type string, nullable boolean",
+    )
     indexes = spark.createDataFrame([("s", 0, "t", [], True)], "schema_id string, layer_seq int, table_name string, columns array<string>, unique boolean")
-    es = spark.createDataFrame([("s", 0, "t", "owns", "x", None)], "schema_id string, layer_seq int, table_name string, type string, name string, target string")
-    assert {r.rule for r in validate.fragments(tables, columns, indexes, es, True).collect()} == {"table without a name", "column without a name", "index without columns", "unknown association type", "association without a target", "column without a type", "column without nullable"}
-    layers = spark.createDataFrame([("s", 0, "db", "x", False), ("s", 1, "odd", "", True)], "schema_id string, layer_seq int, kind string, provider string, allow_empty boolean")
+    es = spark.createDataFrame(
+        [("s", 0, "t", "owns", "x", None)],
+        "schema_id string, layer_seq int, table_name string, type string, name string, target string",
+    )
+    assert {r.rule for r in validate.fragments(tables, columns, indexes, es, True).collect()} == {
+        "table without a name",
+        "column without a name",
+        "index without columns",
+        "unknown association type",
+        "association without a target",
+        "column without a type",
+        "column without nullable",
+    }
+    layers = spark.createDataFrame(
+        [("s", 0, "db", "x", False), ("s", 1, "odd", "", True)],
+        "schema_id string, layer_seq int, kind string, provider string, allow_empty boolean",
+    )
     assert validate.layers(layers).count() == 2 and validate.empty_layers(layers, tables.where("table_name = 'none'")).count() == 1
 
 
@@ -244,7 +393,10 @@ def test_stream(spark, tmp_path):
     first = [("s", "1", t(1), snap(spark, "x")), ("s", "2", t(2), snap(spark, "x")), ("s", "3", t(3), snap(spark, "y")), ("bad", "1", t(1), "{")]
     spark.createDataFrame(first, drift.EVENT).coalesce(1).write.parquet(src)
     drift.watch(spark, src, out).awaitTermination()
-    spark.createDataFrame([("s", "4", t(4), snap(spark, "y")), ("s", "5", t(5), snap(spark, "y", "eger"))], drift.EVENT).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame(
+        [("s", "4", t(4), snap(spark, "y")), ("s", "5", t(5), snap(spark, "y", "eger"))],
+        drift.EVENT,
+    ).coalesce(1).write.mode("append").parquet(src)
     drift.watch(spark, src, out).awaitTermination()
     assert rows(spark.read.parquet(f"{out}/changes"), "snapshot_id") == [("1",), ("3",), ("5",)]
     assert rows(spark.read.parquet(f"{out}/diff"), "schema_id", "field", "old", "new") == [("s@3", "comment", "x", "y"), ("s@5", "type", "int", "integer")]
@@ -258,15 +410,52 @@ def test_stream(spark, tmp_path):
 def test_config_syntax(spark):
     import json
 
-    good = {"version": 1, "only": [], "infer_fk": True, "max_rows": 3, "models": ["a"], "tables": {"t": {"comment": None, "primary_key": ["a", "b"], "columns_mode": "merge", "columns": [{"name": "a", "type": None}], "indexes": [{"columns": ["a"]}, {"name": "x", "drop": True}], "associations": [{"type": "has_many", "name": "n", "target": "u", "foreign_key": None}, {"drop": True, "target": "u", "foreign_key": "k"}]}}}
-    bad = {"version": True, "infer_fk": 1, "max_rows": True, "only": "x", "wrong": 1, "tables": {"t": {"drop": "yes", "indexes_mode": "other", "columns": [{"type": "int"}], "indexes": [{"drop": True}, {"name": "y"}], "associations": [{"type": "odd", "name": "n", "target": "u", "foreign_key": ["a", "b"]}, {"type": "has_one"}, {"drop": True, "target": "u"}]}}}
+    good = {
+        "version": 1,
+        "only": [],
+        "infer_fk": True,
+        "max_rows": 3,
+        "models": ["a"],
+        "tables": {
+            "t": {
+                "comment": None,
+                "primary_key": ["a", "b"],
+                "columns_mode": "merge",
+                "columns": [{"name": "a", "type": None}],
+                "indexes": [{"columns": ["a"]}, {"name": "x", "drop": True}],
+                "associations": [{"type": "has_many", "name": "n", "target": "u", "foreign_key": None}, {"drop": True, "target": "u", "foreign_key": "k"}],
+            }
+        },
+    }
+    bad = {
+        "version": True,
+        "infer_fk": 1,
+        "max_rows": True,
+        "only": "x",
+        "wrong": 1,
+        "tables": {
+            "t": {
+                "drop": "yes",
+                "indexes_mode": "other",
+                "columns": [{"type": "int"}],
+                "indexes": [{"drop": True}, {"name": "y"}],
+                "associations": [{"type": "odd", "name": "n", "target": "u", "foreign_key": ["a", "b"]}, {"type": "has_one"}, {"drop": True, "target": "u"}],
+            }
+        },
+    }
     df = spark.createDataFrame([("good", json.dumps(good)), ("bad", json.dumps(bad)), ("none", "[1")], "schema_id string, content string")
     got = sorted((r.schema_id, r.path, r.rule) for r in validate.config_documents(df).collect())
     assert [g[0] for g in got if g[0] != "bad"] == ["none"]
     a = "tables.t.associations"
     assert {g[1:] for g in got if g[0] == "bad"} == {
-        ("version", "is not bigint"), ("version", "is not 1"), ("infer_fk", "is not boolean"), ("max_rows", "is not bigint"), ("only", "is not array"), ("wrong", "unknown key"), ("tables.t.drop", "is not boolean"), ("tables.t.indexes_mode", "is not merge or replace"),
-        ("tables.t.columns[0]", "lacks name"), ("tables.t.indexes[0]", "lacks name"), ("tables.t.indexes[1]", "lacks columns"), (f"{a}[0]", "foreign key of several columns"), (f"{a}[0].foreign_key", "is not string"), (f"{a}[0]", "unknown association type"),
+        ("version", "is not bigint"), ("version", "is not 1"), ("infer_fk", "is not boolean"), ("max_rows", "is not bigint"), ("only", "is not array"), ("wrong", "unknown key"), ("tables.t.drop", "is not boolean"), (
+            "tables.t.indexes_mode",
+            "is not merge or replace",
+        ),
+        ("tables.t.columns[0]", "lacks name"), ("tables.t.indexes[0]", "lacks name"), ("tables.t.indexes[1]", "lacks columns"), (
+            f"{a}[0]",
+            "foreign key of several columns",
+        ), (f"{a}[0].foreign_key", "is not string"), (f"{a}[0]", "unknown association type"),
         (f"{a}[1]", "lacks name"), (f"{a}[1]", "lacks target"), (f"{a}[2]", "lacks type"), (f"{a}[2]", "lacks name"),
     }
 
@@ -278,18 +467,47 @@ def test_config_document_is_read_back(spark):
     from lakeatlas.sources import documents
 
     tables = spark.createDataFrame([("s", "t", "c"), ("s", "u", "")], "schema_id string, table_name string, comment string")
-    columns = spark.createDataFrame([("s", "t", 1, "b", "int", False, True, "0"), ("s", "t", 2, "a", "int", False, True, None), ("s", "u", 1, "id", "int", False, True, None)], "schema_id string, table_name string, pos int, name string, type string, nullable boolean, primary boolean, default string")
-    indexes = spark.createDataFrame([("s", "t", None, ["a", "b"], True)], "schema_id string, table_name string, name string, columns array<string>, unique boolean")
-    edge_rows = spark.createDataFrame([("s", "t", "belongs_to", "u", "u", "a", None, False, "declared", [("db", "x")])], "schema_id string, table_name string, type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>")
-    notes = spark.createDataFrame([("s", "n2", "relation", None, "why", None, "t", "u", "belongs_to", "u", "a", None, False, [("l", "https://x")]), ("s", "n1", "global", "T", "all", None, None, None, None, None, None, None, None, None)], "schema_id string, note_id string, scope string, title string, text string, table_name string, source_table string, target string, type string, name string, foreign_key string, through string, polymorphic boolean, links array<struct<label:string,url:string>>")
+    columns = spark.createDataFrame(
+        [("s", "t", 1, "b", "int", False, True, "0"), ("s", "t", 2, "a", "int", False, True, None), ("s", "u", 1, "id", "int", False, True, None)],
+        "schema_id string, table_name string, pos int, name string, type string, nullable boolean, primary boolean, default string",
+    )
+    indexes = spark.createDataFrame(
+        [("s", "t", None, ["a", "b"], True)],
+        "schema_id string, table_name string, name string, columns array<string>, unique boolean",
+    )
+    edge_rows = spark.createDataFrame(
+        [("s", "t", "belongs_to", "u", "u", "a", None, False, "declared", [("db", "x")])],
+        "schema_id string, table_name string, type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>",
+    )
+    notes = spark.createDataFrame(
+        [
+            ("s", "n2", "relation", None, "why", None, "t", "u", "belongs_to", "u", "a", None, False, [("l", "https://x")]),
+            ("s", "n1", "global", "T", "all", None, None, None, None, None, None, None, None, None),
+        ],
+        "schema_id string, note_id string, scope string, title string, text string, table_name string, source_table string, target string, type string, name string, foreign_key string, through string, polymorphic boolean, links array<struct<label:string,url:string>>",
+    )
     groups = spark.createDataFrame([("s", "g", ["u", "t"], "", "#fff")], "schema_id string, group_id string, tables array<string>, title string, color string")
     doc = reports.config_document(tables, columns, indexes, edge_rows, notes, groups).first().doc
     d = json.loads(doc)
     assert doc == json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert d["version"] == 1 and d["tables"]["t"]["primary_key"] == ["b", "a"] and "primary_key" not in d["tables"]["u"]
     assert d["tables"]["t"]["associations"] == [{"foreign_key": "a", "name": "u", "target": "u", "type": "belongs_to"}]
-    assert d["notes"][1]["target"] == {"assoc_type": "belongs_to", "foreign_key": "a", "name": "u", "polymorphic": False, "source_table": "t", "target_table": "u", "through": None, "type": "relation"}
-    assert d["notes"][0] == {"id": "n1", "target": {"type": "global"}, "text": "all", "title": "T"} and d["groups"] == [{"color": "#fff", "id": "g", "tables": ["t", "u"]}]
+    assert d["notes"][1]["target"] == {
+        "assoc_type": "belongs_to",
+        "foreign_key": "a",
+        "name": "u",
+        "polymorphic": False,
+        "source_table": "t",
+        "target_table": "u",
+        "through": None,
+        "type": "relation",
+    }
+    assert d["notes"][0] == {
+        "id": "n1",
+        "target": {"type": "global"},
+        "text": "all",
+        "title": "T",
+    } and d["groups"] == [{"color": "#fff", "id": "g", "tables": ["t", "u"]}]
     back = documents.config_fragments(spark.createDataFrame([("s", 0, doc)], "schema_id string, layer_seq int, content string"))
     assert back["columns"].count() == 3 and back["associations"].first().target == "u"
     assert validate.config_documents(spark.createDataFrame([("s", doc)], "schema_id string, content string")).count() == 0

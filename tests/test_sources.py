@@ -38,7 +38,12 @@ end
     assert [c[1] for c in cols] == ["id", "email", "score", "company_id", "owner_id", "owner_type", "created_at", "updated_at"]
     assert cols[0] == (1, "id", "bigint", False, True) and cols[1][2:4] == ("string(100)", False) and cols[2][2] == "decimal(8,2)"
     assert rows(got["columns"].where("table_name = 'tags'"), "name") == [("n",)]
-    assert set(rows(got["indexes"], "table_name", "name", "unique")) == {("users", "by_email", True), ("users", "index_users_on_company_id", False), ("users", "index_users_on_owner_type_owner_id", False), ("tags", "index_tags_on_n", False)}
+    assert set(rows(got["indexes"], "table_name", "name", "unique")) == {
+        ("users", "by_email", True),
+        ("users", "index_users_on_company_id", False),
+        ("users", "index_users_on_owner_type_owner_id", False),
+        ("tags", "index_tags_on_n", False),
+    }
     assert rows(got["fks"], "table_name", "column_name", "ref_table") == [("posts", "user_id", "users"), ("users", "company_id", "companies")]
     assert [r.message for r in got["warnings"].collect()] == ['unknown statement: t.magic "what"']
 
@@ -63,7 +68,11 @@ TableGroup g {
 }
 """
     got = corpus.dbml(files(spark, text))
-    assert rows(got["columns"].where("table_name = 'users'"), "pos", "name", "type", "nullable", "primary", "unique", "increment") == [(1, "id", "integer", False, True, False, True), (2, "full name", "string", False, False, True, False), (3, "n", "decimal", True, False, False, False)]
+    assert rows(got["columns"].where("table_name = 'users'"), "pos", "name", "type", "nullable", "primary", "unique", "increment") == [
+        (1, "id", "integer", False, True, False, True),
+        (2, "full name", "string", False, False, True, False),
+        (3, "n", "decimal", True, False, False, False),
+    ]
     assert rows(got["columns"].where("default is not null"), "default") == [("a b",)]
     assert rows(got["refs"], "table_name", "column_name", "ref_table") == [("posts", "user_id", "users")] * 2
     assert rows(got["indexes"], "columns", "unique", "name") == [(("id", "n"), True, "two")]
@@ -73,7 +82,11 @@ TableGroup g {
 def test_mermaid(spark):
     text = 'erDiagram\n    users ||--o{ posts : "author"\n    users ||--|| profiles : has\n    posts }o--o{ tags : ""\n    users {\n        bigint id PK\n        string name\n    }\n'
     got = corpus.mermaid(files(spark, text))
-    assert rows(got["edges"], "table_name", "type", "name", "target") == [("posts", "belongs_to", "author", "users"), ("posts", "has_and_belongs_to_many", "tags", "tags"), ("users", "has_one", "has", "profiles")]
+    assert rows(got["edges"], "table_name", "type", "name", "target") == [
+        ("posts", "belongs_to", "author", "users"),
+        ("posts", "has_and_belongs_to_many", "tags", "tags"),
+        ("users", "has_one", "has", "profiles"),
+    ]
     assert rows(got["columns"], "pos", "name", "type", "primary") == [(1, "id", "bigint", True), (2, "name", "string", False)]
     assert rows(got["tables"], "table_name") == [("posts",), ("profiles",), ("tags",), ("users",)]
 
@@ -120,7 +133,12 @@ class Helper
 end
 """
     got = corpus.rails_models(files(spark, text, path="app/models/user.rb"))
-    assert rows(got["edges"], "table_name", "type", "name", "target") == [("people", "belongs_to", "company", "companies"), ("people", "belongs_to", "owner", "owner"), ("people", "has_many", "posts", "posts"), ("people", "has_many", "tags", "tags")]
+    assert rows(got["edges"], "table_name", "type", "name", "target") == [
+        ("people", "belongs_to", "company", "companies"),
+        ("people", "belongs_to", "owner", "owner"),
+        ("people", "has_many", "posts", "posts"),
+        ("people", "has_many", "tags", "tags"),
+    ]
     assert rows(graph.models(got["bases"], ["ActiveRecord::Base"]), "src") == [("Admin",), ("ApplicationRecord",), ("User",)]
     assert rows(got["tables"], "cls", "real") == [("Admin", "people"), ("User", "people")]
     assert rows(graph.inheritance_roots(got["bases"], got["tables"].select("schema_id", "cls")), "src", "root") == [("Admin", "User")]
@@ -155,7 +173,10 @@ end
     df = spark.createDataFrame([("p", "app/models/concerns/named.rb", one), ("p", "app/models/all.rb", two)], "project string, path string, content string")
     got = corpus.rails_models(df)
     assert rows(got["tables"], "cls", "real") == [("Chore", "tasks"), ("Person", "people"), ("Project", "aaa_projects"), ("Task", "tasks")]
-    assert rows(got["edges"], "table_name", "type", "target", "foreign_key")[:2] == [("aaa_projects", "has_many", "tasks", None), ("tasks", "belongs_to", "aaa_projects", "project_id")]
+    assert rows(got["edges"], "table_name", "type", "target", "foreign_key")[:2] == [
+        ("aaa_projects", "has_many", "tasks", None),
+        ("tasks", "belongs_to", "aaa_projects", "project_id"),
+    ]
     assert ("tasks", "belongs_to", "people") in rows(got["edges"], "table_name", "type", "target")
     by_map = spark.createDataFrame([("p", "Person", "staff")], "schema_id string, cls string, table_name string")
     mapped = corpus.rails_models(df, by_map)
@@ -207,8 +228,22 @@ class Item(models.Model):
     assert names("blog_post") == ["id", "name", "created", "tag_id", "owner_id", "item_no"]
     assert names("blog_tag") == ["id", "created"] and names("shop_tag") == ["created", "code"]
     assert rows(got["edges"].na.fill(""), "table_name", "type", "name", "target", "foreign_key", "polymorphic") == [
-        ("blog_post", "belongs_to", "item", "shop_item", "item_no", False), ("blog_post", "belongs_to", "tag", "blog_tag", "tag_id", False), ("blog_post", "belongs_to", "thing", "things", "", True),
-        ("shop_item", "belongs_to", "parent", "shop_item", "parent_id", False), ("shop_item", "has_and_belongs_to_many", "tags", "shop_tag", "", False), ("shop_item", "has_one", "post", "blog_post", "post_id", False),
+        (
+            "blog_post",
+            "belongs_to",
+            "item",
+            "shop_item",
+            "item_no",
+            False,
+        ), ("blog_post", "belongs_to", "tag", "blog_tag", "tag_id", False), ("blog_post", "belongs_to", "thing", "things", "", True),
+        ("shop_item", "belongs_to", "parent", "shop_item", "parent_id", False), (
+            "shop_item",
+            "has_and_belongs_to_many",
+            "tags",
+            "shop_tag",
+            "",
+            False,
+        ), ("shop_item", "has_one", "post", "blog_post", "post_id", False),
     ]
 
 
@@ -237,14 +272,29 @@ class Tag(Model):
 """
     got = corpus.sqlalchemy(corpus.python_models(files(spark, text)))
     assert rows(got["tables"], "table_name") == [("post",), ("tags",), ("users",)]
-    assert [(r.name, r.type, r.nullable) for r in got["columns"].where("table_name = 'users'").orderBy("pos").collect()] == [("created", "datetime", False), ("id", "integer", False), ("email", "string", True)]
-    assert ("post", "user_id", "integer", True) in rows(got["columns"], "table_name", "name", "type", "nullable") and ("tags", "id", "bigint", True) in rows(got["columns"], "table_name", "name", "type", "primary")
-    assert rows(got["edges"].na.fill(""), "table_name", "type", "name", "target", "through") == [("post", "belongs_to", "user", "users", ""), ("post", "has_and_belongs_to_many", "tags", "tags", "post_tags"), ("users", "has_many", "posts", "post", "")]
+    assert [
+        (r.name, r.type, r.nullable) for r in got["columns"].where("table_name = 'users'").orderBy("pos").collect()
+    ] == [("created", "datetime", False), ("id", "integer", False), ("email", "string", True)]
+    assert ("post", "user_id", "integer", True) in rows(
+        got["columns"],
+        "table_name",
+        "name",
+        "type",
+        "nullable",
+    ) and ("tags", "id", "bigint", True) in rows(got["columns"], "table_name", "name", "type", "primary")
+    assert rows(got["edges"].na.fill(""), "table_name", "type", "name", "target", "through") == [
+        ("post", "belongs_to", "user", "users", ""),
+        ("post", "has_and_belongs_to_many", "tags", "tags", "post_tags"),
+        ("users", "has_many", "posts", "post", ""),
+    ]
     assert [r.message for r in got["warnings"].collect()] == ["line 15: no __tablename__, taken as post"]
 
 
 def test_inheritance_order(spark):
-    bases = spark.createDataFrame([("s", "C", "A", 0), ("s", "C", "B", 1), ("s", "D", "B", 0), ("s", "D", "A", 1), ("s", "E", "C", 0), ("s", "E", "D", 1), ("s", "A", "E", 0)], "schema_id string, src string, dst string, pos int")
+    bases = spark.createDataFrame(
+        [("s", "C", "A", 0), ("s", "C", "B", 1), ("s", "D", "B", 0), ("s", "D", "A", 1), ("s", "E", "C", 0), ("s", "E", "D", 1), ("s", "A", "E", 0)],
+        "schema_id string, src string, dst string, pos int",
+    )
     fields = spark.createDataFrame([("s", c, c.lower(), 1) for c in "ABCDE"], "schema_id string, cls string, field string, pos int")
     got = {}
     for r in graph.inherited_fields(bases, fields).orderBy("cls", "pos").collect():
