@@ -28,12 +28,30 @@ def index_struct() -> Column:
 
 
 def association_struct() -> Column:
-    return F.struct(blank("foreign_key").alias("foreign_key"), blank("name").alias("name"), F.when(F.col("polymorphic"), True).alias("polymorphic"), "provenance", "sources", "target", blank("through").alias("through"), "type")
+    return F.struct(
+        blank("foreign_key").alias("foreign_key"),
+        blank("name").alias("name"),
+        F.when(F.col("polymorphic"), True).alias("polymorphic"),
+        "provenance",
+        "sources",
+        "target",
+        blank("through").alias("through"),
+        "type",
+    )
 
 
 def association_order() -> Column:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return F.struct(text("type"), text("name"), text("foreign_key"), text("target"), text("through"), F.coalesce("polymorphic", F.lit(False)), text("provenance"), F.to_json(association_struct()))
+    return F.struct(
+        text("type"),
+        text("name"),
+        text("foreign_key"),
+        text("target"),
+        text("through"),
+        F.coalesce("polymorphic", F.lit(False)),
+        text("provenance"),
+        F.to_json(association_struct()),
+    )
 
 
 def _listed(df: DataFrame, item: Column, order: Column, name: str) -> DataFrame:
@@ -63,7 +81,9 @@ def schema_json(tables: DataFrame) -> DataFrame:
     """(schema_id, doc): ``{"tables":{...}}`` from the tables' JSON in name order."""
     pair = F.concat(F.expr("substring(to_json(struct(table_name as k)), 6, length(to_json(struct(table_name as k))) - 6)"), F.lit(":"), F.col("json"))
     entries = F.array_sort(F.collect_list(F.struct("table_name", pair.alias("pair"))))
-    return tables.groupBy("schema_id").agg(F.concat(F.lit('{"tables":{'), F.array_join(F.transform(entries, lambda e: e["pair"]), ","), F.lit("}}")).alias("doc"))
+    return tables.groupBy("schema_id").agg(
+        F.concat(F.lit('{"tables":{'), F.array_join(F.transform(entries, lambda e: e["pair"]), ","), F.lit("}}")).alias("doc")
+    )
 
 
 def fingerprint(doc: Column) -> Column:
@@ -82,11 +102,30 @@ def document_json(d: Column) -> Column:
     none = lambda x: F.coalesce(x, F.lit(""))
 
     def column(c: Column) -> Column:
-        return F.struct(*(text(c[k]).alias(k) for k in ("comment", "default", "extra")), c["name"].alias("name"), c["nullable"].alias("nullable"), F.when(c["primary"], True).alias("primary"), text(c["sql_type"]).alias("sql_type"), c["type"].alias("type"))
+        return F.struct(
+            *(text(c[k]).alias(k) for k in ("comment", "default", "extra")),
+            c["name"].alias("name"),
+            c["nullable"].alias("nullable"),
+            F.when(c["primary"], True).alias("primary"),
+            text(c["sql_type"]).alias("sql_type"),
+            c["type"].alias("type"),
+        )
 
     def edge(e: Column) -> Column:
-        own = F.struct(text(e["foreign_key"]).alias("foreign_key"), text(e["name"]).alias("name"), F.when(e["polymorphic"], True).alias("polymorphic"), *(e[k].alias(k) for k in ("provenance", "sources", "target")), text(e["through"]).alias("through"), e["type"].alias("type"))
-        order = F.struct(*(none(e[k]).alias(k) for k in ("type", "name", "foreign_key", "target", "through")), F.coalesce(e["polymorphic"], F.lit(False)).alias("polymorphic"), none(e["provenance"]).alias("provenance"), F.to_json(own).alias("json"))
+        own = F.struct(
+            text(e["foreign_key"]).alias("foreign_key"),
+            text(e["name"]).alias("name"),
+            F.when(e["polymorphic"], True).alias("polymorphic"),
+            *(e[k].alias(k) for k in ("provenance", "sources", "target")),
+            text(e["through"]).alias("through"),
+            e["type"].alias("type"),
+        )
+        order = F.struct(
+            *(none(e[k]).alias(k) for k in ("type", "name", "foreign_key", "target", "through")),
+            F.coalesce(e["polymorphic"], F.lit(False)).alias("polymorphic"),
+            none(e["provenance"]).alias("provenance"),
+            F.to_json(own).alias("json"),
+        )
         return F.struct(order.alias("o"), own.alias("v"))
 
     def index(i: Column) -> Column:
@@ -99,7 +138,12 @@ def document_json(d: Column) -> Column:
 
     def table(e: Column) -> Column:
         t = e["value"]
-        doc = F.struct(listed(t["associations"], edge, True).alias("associations"), listed(t["columns"], column, False).alias("columns"), text(t["comment"]).alias("comment"), listed(t["indexes"], index, True).alias("indexes"))
+        doc = F.struct(
+            listed(t["associations"], edge, True).alias("associations"),
+            listed(t["columns"], column, False).alias("columns"),
+            text(t["comment"]).alias("comment"),
+            listed(t["indexes"], index, True).alias("indexes"),
+        )
         return F.struct(e["key"].alias("k"), F.concat(_key_json(e["key"]), F.lit(":"), F.to_json(doc)).alias("json"))
 
     entries = F.array_sort(F.transform(F.map_entries(d["schema"]["tables"]), table))
@@ -125,4 +169,9 @@ def exploded(docs: DataFrame) -> dict[str, DataFrame]:
     t = docs.select("schema_id", F.explode("d.schema.tables").alias("table_name", "t"))
     item = lambda c: t.select(*TABLE, F.posexplode(f"t.{c}").alias("pos", "x")).select(*TABLE, "pos", "x.*")
     tables = t.select(*TABLE, F.col("t.comment").alias("comment"))
-    return {"tables": tables, "columns": item("columns").withColumn("primary", F.coalesce("primary", F.lit(False))), "indexes": item("indexes"), "associations": item("associations").withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False)))}
+    return {
+        "tables": tables,
+        "columns": item("columns").withColumn("primary", F.coalesce("primary", F.lit(False))),
+        "indexes": item("indexes"),
+        "associations": item("associations").withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False))),
+    }

@@ -31,12 +31,28 @@ def _compare(left: DataFrame, right: DataFrame, level: str, keys: list[str], fie
     r = side(right, "r").select(*(F.col(k).alias(f"_r_{k}") for k in keys), "r")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
     both = side(left, "l").join(r, same, "full_outer").select(*(F.coalesce(k, f"_r_{k}").alias(k) for k in keys), "l", "r")
-    whole = F.struct(F.when(F.col("l").isNull(), "removed").otherwise("added").alias("change"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
-    by_field = F.filter(F.array(*(F.struct(F.lit("changed").alias("change"), F.lit(f).alias("field"), F.col(f"r.{f}").alias("old"), F.col(f"l.{f}").alias("new")) for f in fields)), lambda x: x["old"] != x["new"]) if fields else F.array().cast("array<struct<change:string,field:string,old:string,new:string>>")
+    whole = F.struct(
+        F.when(F.col("l").isNull(), "removed").otherwise("added").alias("change"),
+        F.lit(None).cast("string").alias("field"),
+        F.lit(None).cast("string").alias("old"),
+        F.lit(None).cast("string").alias("new"),
+    )
+    by_field = F.filter(
+        F.array(
+            *(F.struct(F.lit("changed").alias("change"), F.lit(f).alias("field"), F.col(f"r.{f}").alias("old"), F.col(f"l.{f}").alias("new")) for f in fields)
+        ),
+        lambda x: x["old"] != x["new"],
+    ) if fields else F.array().cast("array<struct<change:string,field:string,old:string,new:string>>")
     parts = F.when(F.col("l").isNull() | F.col("r").isNull(), F.array(whole)).otherwise(by_field)
     table = F.col("table_name") if "table_name" in keys else F.lit(None).cast("string")
     item = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys if k not in ("schema_id", "table_name")))
-    return both.select("schema_id", F.lit(level).alias("level"), table.alias("table_name"), item.alias("item"), F.explode(parts).alias("x")).select("schema_id", "level", "table_name", "item", "x.*").select(*OUT)
+    return both.select(
+        "schema_id",
+        F.lit(level).alias("level"),
+        table.alias("table_name"),
+        item.alias("item"),
+        F.explode(parts).alias("x"),
+    ).select("schema_id", "level", "table_name", "item", "x.*").select(*OUT)
 
 
 def _flat_indexes(ix: DataFrame) -> DataFrame:

@@ -27,11 +27,22 @@ def fk_associations(fk_rows: DataFrame, tables: DataFrame, indexes: DataFrame, f
     has_one where the column alone is unique, else belongs_to; the name is the column without _id.
     """
     known = tables.select(*TABLE).distinct()
-    both = fk_rows.join(known, TABLE, "left_semi").join(known.select("schema_id", F.col("table_name").alias("ref_table")), ["schema_id", "ref_table"], "left_semi")
+    both = fk_rows.join(known, TABLE, "left_semi").join(
+        known.select("schema_id", F.col("table_name").alias("ref_table")),
+        ["schema_id", "ref_table"],
+        "left_semi",
+    )
     edges = both.select(*TABLE, F.col("column_name").alias("foreign_key"), F.col("ref_table").alias("target"))
     single = unique_columns(indexes).withColumn("_one", F.lit(True))
     joined = edges.join(single, [*TABLE, "foreign_key"], "left")
-    return joined.select(*TABLE, F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"), fk_stem(F.col("foreign_key")).alias("name"), "target", "foreign_key", F.lit(flag).alias("provenance"))
+    return joined.select(
+        *TABLE,
+        F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"),
+        fk_stem(F.col("foreign_key")).alias("name"),
+        "target",
+        "foreign_key",
+        F.lit(flag).alias("provenance"),
+    )
 
 
 def config_relations(relations: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -39,7 +50,14 @@ def config_relations(relations: DataFrame, indexes: DataFrame) -> DataFrame:
     single = unique_columns(indexes).withColumn("_one", F.lit(True))
     joined = relations.withColumnRenamed("column_name", "foreign_key").join(single, [*TABLE, "foreign_key"], "left")
     one = F.coalesce("one_to_one", F.lit(False)) | F.coalesce("_one", F.lit(False))
-    return joined.select(*TABLE, F.when(one, "has_one").otherwise("belongs_to").alias("type"), fk_stem(F.col("foreign_key")).alias("name"), "target", "foreign_key", F.lit("manual").alias("provenance"))
+    return joined.select(
+        *TABLE,
+        F.when(one, "has_one").otherwise("belongs_to").alias("type"),
+        fk_stem(F.col("foreign_key")).alias("name"),
+        "target",
+        "foreign_key",
+        F.lit("manual").alias("provenance"),
+    )
 
 
 def reconcile(edges: DataFrame) -> DataFrame:
@@ -51,14 +69,25 @@ def reconcile(edges: DataFrame) -> DataFrame:
     """
     pair = Window.partitionBy(*PAIR)
     explicit = F.col("provenance").isin("declared", "manual")
-    both = ends(edges).withColumn("_covers", F.collect_set(F.when(explicit, F.struct(F.col("foreign_key").alias("fk"), F.col("type").alias("type")))).over(pair))
+    both = ends(edges).withColumn(
+        "_covers",
+        F.collect_set(F.when(explicit, F.struct(F.col("foreign_key").alias("fk"), F.col("type").alias("type")))).over(pair),
+    )
     covering = F.filter("_covers", lambda c: c["fk"].isNull() | c["fk"].eqNullSafe(F.col("foreign_key")))
     is_fk = F.col("provenance").isin("db_fk", "schema_fk")
     dropped = is_fk & (F.size(covering) > 0)
     told = F.exists(covering, lambda c: F.coalesce(c["type"].isin("has_one", "has_many"), F.lit(False)))
-    marked = both.withColumn("_dropped", dropped).withColumn("_up", F.when(dropped & (F.col("type") == "has_one") & ~told, F.struct("table_name", "foreign_key")))
+    marked = both.withColumn("_dropped", dropped).withColumn(
+        "_up",
+        F.when(dropped & (F.col("type") == "has_one") & ~told, F.struct("table_name", "foreign_key")),
+    )
     marked = marked.withColumn("_ups", F.collect_set("_up").over(pair))
-    upgraded = F.exists("_ups", lambda u: (u["table_name"] == F.col("table_name")) & (F.col("foreign_key").isNull() | F.coalesce(F.col("foreign_key") == u["foreign_key"], F.lit(False))))
+    upgraded = F.exists(
+        "_ups",
+        lambda u: (u["table_name"] == F.col("table_name")) & (
+            F.col("foreign_key").isNull() | F.coalesce(F.col("foreign_key") == u["foreign_key"], F.lit(False))
+        ),
+    )
     kind = F.when(explicit & (F.col("type") == "belongs_to") & upgraded, "has_one").otherwise(F.col("type"))
     kept = marked.where(~F.col("_dropped") & (is_fk | explicit | (F.col("provenance") == "inferred")))
     return kept.withColumn("type", kind).select(*edges.columns)
@@ -70,16 +99,35 @@ def infer_fks(tables: DataFrame, columns: DataFrame, indexes: DataFrame, edges:
     Not from primary columns, not to the own table, not where an edge exists in either direction. Of several columns to
     one target the first counts. Edges found here do not stand in each other's way but for that.
     """
-    stems = columns.where(F.col("name").endswith("_id") & ~F.col("primary")).select(*TABLE, "pos", F.col("name").alias("foreign_key"), fk_stem(F.col("name")).alias("stem"))
+    stems = columns.where(F.col("name").endswith("_id") & ~F.col("primary")).select(
+        *TABLE,
+        "pos",
+        F.col("name").alias("foreign_key"),
+        fk_stem(F.col("name")).alias("stem"),
+    )
     candidates = stems.select("*", F.posexplode(F.array(pluralize(F.col("stem")), F.col("stem"))).alias("choice", "target"))
     known = tables.select("schema_id", F.col("table_name").alias("target")).distinct()
-    hits = candidates.join(known, ["schema_id", "target"], "left_semi").groupBy(*TABLE, "pos", "foreign_key", "stem").agg(F.min_by("target", "choice").alias("target")).where("target <> table_name")
+    hits = candidates.join(known, ["schema_id", "target"], "left_semi").groupBy(*TABLE, "pos", "foreign_key", "stem").agg(
+        F.min_by("target", "choice").alias("target")
+    ).where("target <> table_name")
     there = edges.select(*TABLE, "target").union(edges.select("schema_id", F.col("target").alias("table_name"), F.col("table_name").alias("target"))).distinct()
     free = hits.join(there, [*TABLE, "target"], "left_anti")
     first = free.groupBy(*TABLE, "target").agg(F.min_by(F.struct("foreign_key", "stem"), F.struct("pos", "foreign_key")).alias("c"))
     single = unique_columns(indexes).withColumn("_one", F.lit(True))
-    out = first.select(*TABLE, "target", F.col("c.foreign_key").alias("foreign_key"), F.col("c.stem").alias("name")).join(single, [*TABLE, "foreign_key"], "left")
-    return out.select(*TABLE, F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"), "name", "target", "foreign_key", F.lit("inferred").alias("provenance"))
+    out = first.select(
+        *TABLE,
+        "target",
+        F.col("c.foreign_key").alias("foreign_key"),
+        F.col("c.stem").alias("name"),
+    ).join(single, [*TABLE, "foreign_key"], "left")
+    return out.select(
+        *TABLE,
+        F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"),
+        "name",
+        "target",
+        "foreign_key",
+        F.lit("inferred").alias("provenance"),
+    )
 
 
 def prune_dangling(edges: DataFrame, tables: DataFrame) -> DataFrame:
@@ -112,12 +160,22 @@ def display_edges(tables: DataFrame, edges: DataFrame) -> DataFrame:
     source, target = F.col("f.table_name"), F.col("f.target")
     kind = F.when(F.col("n_direct") == 0, "nn").when(F.col("many_from").isNotNull(), "1n").when(F.col("one"), "11").otherwise("1n")
     many = F.when(F.col("many_from").isNotNull(), F.when(F.col("many_from") == source, target).otherwise(source)).otherwise(F.coalesce("belongs_from", target))
-    return by.select(*PAIR, source.alias("source"), target.alias("target"), kind.alias("kind"), F.when(kind == "1n", many).alias("many"), F.coalesce("f.name", F.lit("")).alias("label"))
+    return by.select(
+        *PAIR,
+        source.alias("source"),
+        target.alias("target"),
+        kind.alias("kind"),
+        F.when(kind == "1n", many).alias("many"),
+        F.coalesce("f.name", F.lit("")).alias("label"),
+    )
 
 
 def dbml_refs(edges: DataFrame, columns: DataFrame) -> DataFrame:
     """(schema_id, table_name, foreign_key, target, target_column): belongs_to keys to tables with one primary column."""
-    keys = columns.where("primary").groupBy("schema_id", F.col("table_name").alias("target")).agg(F.count("*").alias("n"), F.min("name").alias("target_column")).where("n = 1").drop("n")
+    keys = columns.where("primary").groupBy("schema_id", F.col("table_name").alias("target")).agg(
+        F.count("*").alias("n"),
+        F.min("name").alias("target_column"),
+    ).where("n = 1").drop("n")
     own = edges.where((F.col("type") == "belongs_to") & F.col("foreign_key").isNotNull() & ~F.coalesce("polymorphic", F.lit(False)))
     return own.select(*TABLE, "foreign_key", "target").distinct().join(keys, ["schema_id", "target"]).select(*TABLE, "foreign_key", "target", "target_column")
 
@@ -135,7 +193,11 @@ def resolve_notes(notes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     same = (F.col("n.schema_id") == F.col("e.schema_id")) & (F.col("n.table_name") == F.col("e.table_name")) & (F.col("n.target") == F.col("e.target"))
     found = notes.alias("n").join(edges.alias("e"), same & fits).select("n.schema_id", "n.note_id", *(F.col(f"e.{c}") for c in ("table_name", "target", *keys)))
     counts = found.groupBy("schema_id", "note_id").agg(F.count("*").alias("n"))
-    bad = notes.select("schema_id", "note_id").join(counts, ["schema_id", "note_id"], "left").select("schema_id", "note_id", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+    bad = notes.select("schema_id", "note_id").join(counts, ["schema_id", "note_id"], "left").select(
+        "schema_id",
+        "note_id",
+        F.coalesce("n", F.lit(0)).alias("n"),
+    ).where("n <> 1")
     return found.join(counts.where("n = 1"), ["schema_id", "note_id"], "left_semi"), bad
 
 
@@ -155,8 +217,21 @@ def drop_matches(edges: DataFrame, drops: DataFrame) -> DataFrame:
 
 def pair_many_to_many(fields: DataFrame) -> DataFrame:
     """List fields (schema_id, table_name, field, target, relation): many-to-many where the other side has one for it."""
-    back = fields.select("schema_id", F.col("target").alias("table_name"), F.col("table_name").alias("target"), F.col("relation").alias("_relation"), F.col("field").alias("_field"), F.col("table_name").alias("_from"))
-    same = [F.col("f.schema_id") == F.col("b.schema_id"), F.col("f.table_name") == F.col("b.table_name"), F.col("f.target") == F.col("b.target"), F.col("f.relation").eqNullSafe(F.col("b._relation")), (F.col("f.field") != F.col("b._field")) | (F.col("f.table_name") != F.col("b._from"))]
+    back = fields.select(
+        "schema_id",
+        F.col("target").alias("table_name"),
+        F.col("table_name").alias("target"),
+        F.col("relation").alias("_relation"),
+        F.col("field").alias("_field"),
+        F.col("table_name").alias("_from"),
+    )
+    same = [
+        F.col("f.schema_id") == F.col("b.schema_id"),
+        F.col("f.table_name") == F.col("b.table_name"),
+        F.col("f.target") == F.col("b.target"),
+        F.col("f.relation").eqNullSafe(F.col("b._relation")),
+        (F.col("f.field") != F.col("b._field")) | (F.col("f.table_name") != F.col("b._from")),
+    ]
     both = fields.alias("f").join(back.alias("b"), same, "left_semi").withColumn("type", F.lit("has_and_belongs_to_many"))
     alone = fields.alias("f").join(back.alias("b"), same, "left_anti").withColumn("type", F.lit("has_many"))
     return both.unionByName(alone)
@@ -174,7 +249,11 @@ def pending_fks(pending: DataFrame, tables: DataFrame, columns: DataFrame, index
     cols = columns.select(*TABLE, F.col("name").alias("column_name")).distinct().withColumn("_col", F.lit(True))
     src = known.withColumn("_src", F.lit(True))
     dst = known.select("schema_id", F.col("table_name").alias("ref_table")).withColumn("_dst", F.lit(True))
-    joined = pending.dropDuplicates([*TABLE, "column_name", "ref_table"]).join(src, TABLE, "left").join(dst, ["schema_id", "ref_table"], "left").join(cols, [*TABLE, "column_name"], "left")
+    joined = pending.dropDuplicates([*TABLE, "column_name", "ref_table"]).join(src, TABLE, "left").join(
+        dst,
+        ["schema_id", "ref_table"],
+        "left",
+    ).join(cols, [*TABLE, "column_name"], "left")
     reason = F.when(F.col("_src").isNull(), "unknown table").when(F.col("_dst").isNull(), "unknown target").when(F.col("_col").isNull(), "unknown column")
     marked = joined.withColumn("reason", reason)
     good = marked.where("reason IS NULL").select(*TABLE, "column_name", "ref_table")

@@ -58,7 +58,15 @@ def real_columns(columns: DataFrame) -> DataFrame:
     return columns.where(F.col("name").rlike("^[A-Za-z0-9_]+$"))
 
 
-def search(dictionary: DataFrame, text: str, scope: str = "table_name", exact: bool = False, regex: bool = False, case: bool = False, notes: DataFrame | None = None) -> DataFrame:
+def search(
+    dictionary: DataFrame,
+    text: str,
+    scope: str = "table_name",
+    exact: bool = False,
+    regex: bool = False,
+    case: bool = False,
+    notes: DataFrame | None = None,
+) -> DataFrame:
     """Rows of a dictionary (schema_id, table_name, column_name, comment, ...) which the text is found in.
 
     scope: table_name, column_name or all_fields, which looks into comments too, and into the titles and texts of a table's
@@ -67,7 +75,9 @@ def search(dictionary: DataFrame, text: str, scope: str = "table_name", exact: b
     columns = dictionary.columns
     if notes is not None and scope == "all_fields":
         words = F.struct("note_id", F.concat_ws(" ", "title", "text").alias("t"))
-        of_table = notes.where("scope = 'table'").groupBy(*TABLE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(words)), lambda x: x["t"]), "\n").alias("_notes"))
+        of_table = notes.where("scope = 'table'").groupBy(*TABLE).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(words)), lambda x: x["t"]), "\n").alias("_notes")
+        )
         dictionary = dictionary.join(of_table, TABLE, "left")
     fields = {"table_name": ["table_name"], "column_name": ["column_name"], "all_fields": [c for c, t in dictionary.dtypes if t == "string"]}[scope]
 

@@ -40,7 +40,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("schema_id", "src", "dst").union(edges.select("schema_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     labels = written(nodes.select("schema_id", "node", F.col("node").alias("component")))
     while True:
-        near = both.join(labels.select("schema_id", F.col("node").alias("dst"), "component"), ["schema_id", "dst"]).groupBy("schema_id", F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        near = both.join(
+            labels.select("schema_id", F.col("node").alias("dst"), "component"),
+            ["schema_id", "dst"],
+        ).groupBy("schema_id", F.col("src").alias("node")).agg(F.min("component").alias("near"))
         closer = labels.join(near, ["schema_id", "node"], "left").select("schema_id", "node", "component", F.least("component", "near").alias("next"))
         # a label's own label saves rounds
         jump = closer.select("schema_id", F.col("node").alias("next"), F.col("next").alias("far"))
@@ -59,7 +62,10 @@ def closure(edges: DataFrame) -> DataFrame:
     found = edges.select("schema_id", "src", "dst", F.lit(1).alias("depth")).distinct()
     frontier = found
     for d in itertools.count(2):
-        longer = frontier.select("schema_id", "src", F.col("dst").alias("mid")).join(edges.select("schema_id", F.col("src").alias("mid"), "dst"), ["schema_id", "mid"]).select("schema_id", "src", "dst").distinct()
+        longer = frontier.select("schema_id", "src", F.col("dst").alias("mid")).join(
+            edges.select("schema_id", F.col("src").alias("mid"), "dst"),
+            ["schema_id", "mid"],
+        ).select("schema_id", "src", "dst").distinct()
         frontier = written(longer.join(found.select("schema_id", "src", "dst"), ["schema_id", "src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
@@ -115,7 +121,15 @@ def inheritance_order(bases: DataFrame, classes: DataFrame) -> DataFrame:
     found = frontier = one.select("schema_id", "cls", F.col("cls").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("cls").alias("chain"))
     while True:
         step = frontier.join(down, ["schema_id", "owner"]).where(~F.array_contains("chain", F.col("_next")))
-        frontier = written(step.select("schema_id", "cls", F.col("_next").alias("owner"), F.concat("path", F.array("_pos")).alias("path"), F.concat("chain", F.array("_next")).alias("chain")))
+        frontier = written(
+            step.select(
+                "schema_id",
+                "cls",
+                F.col("_next").alias("owner"),
+                F.concat("path", F.array("_pos")).alias("path"),
+                F.concat("chain", F.array("_next")).alias("chain"),
+            )
+        )
         if frontier.isEmpty():
             break
         found = found.union(frontier)
@@ -130,7 +144,10 @@ def inherited_fields(bases: DataFrame, fields: DataFrame) -> DataFrame:
     ``bases(schema_id, src, dst, pos)``: pos orders the bases of a class; ``fields(schema_id, cls, field, pos)``.
     """
     classes = fields.select("schema_id", "cls").union(bases.select("schema_id", F.col("src").alias("cls")))
-    named = inheritance_order(bases, classes).join(fields.select("schema_id", F.col("cls").alias("owner"), "field", F.col("pos").alias("_own")), ["schema_id", "owner"])
+    named = inheritance_order(bases, classes).join(
+        fields.select("schema_id", F.col("cls").alias("owner"), "field", F.col("pos").alias("_own")),
+        ["schema_id", "owner"],
+    )
     ranked = F.row_number().over(Window.partitionBy("schema_id", "cls").orderBy("place", "_own"))
     return named.select("schema_id", "cls", "owner", "field", ranked.alias("pos"))
 

@@ -54,9 +54,18 @@ def fact_conflicts(frags: DataFrame, fact: str) -> DataFrame:
     """Columns on whose ``fact`` layers of the winner's kind disagree: (schema, table, name, winner, kind_rank, values)."""
     ladder = COLUMN_FACTS[fact]
     own = frags.where(F.array_contains("present", fact)).withColumn("_rank", rank(F.col("kind"), ladder))
-    by_kind = own.groupBy(*TABLE, "name", "_rank").agg(F.max_by(fact, "layer_seq").alias("winner"), F.count_distinct(F.coalesce(F.col(fact).cast("string"), F.lit("\0"))).alias("n_values"))
+    by_kind = own.groupBy(*TABLE, "name", "_rank").agg(
+        F.max_by(fact, "layer_seq").alias("winner"),
+        F.count_distinct(F.coalesce(F.col(fact).cast("string"), F.lit("\0"))).alias("n_values"),
+    )
     top = by_kind.groupBy(*TABLE, "name").agg(F.max(F.struct("_rank", "winner", "n_values")).alias("top"))
-    return top.where("top.n_values > 1").select(*TABLE, "name", F.col("top.winner").alias("winner"), F.col("top._rank").alias("kind_rank"), F.col("top.n_values").alias("n_values"))
+    return top.where("top.n_values > 1").select(
+        *TABLE,
+        "name",
+        F.col("top.winner").alias("winner"),
+        F.col("top._rank").alias("kind_rank"),
+        F.col("top.n_values").alias("n_values"),
+    )
 
 
 def merge_tables(frags: DataFrame) -> DataFrame:
@@ -71,12 +80,18 @@ def merge_tables(frags: DataFrame) -> DataFrame:
 def merge_indexes(frags: DataFrame) -> DataFrame:
     """(schema_id, table_name, name, columns, unique, pos): identity is the name, else the columns; the whole index wins."""
     key = F.coalesce("name", F.concat(F.lit("\0"), F.to_json("columns")))
-    won = frags.groupBy(*TABLE, key.alias("key")).agg(F.max_by(F.struct("name", "columns", "unique"), strength(PHYSICAL)).alias("ix"), F.min(F.struct("layer_seq", "pos")).alias("seen"))
+    won = frags.groupBy(*TABLE, key.alias("key")).agg(
+        F.max_by(F.struct("name", "columns", "unique"), strength(PHYSICAL)).alias("ix"),
+        F.min(F.struct("layer_seq", "pos")).alias("seen"),
+    )
     return won.select(*TABLE, "ix.name", "ix.columns", F.coalesce("ix.unique", F.lit(False)).alias("unique"), "seen")
 
 
 def role(type_: Column, foreign_key: Column) -> Column:
-    return F.when(foreign_key.isNotNull(), "owner_fk").when(type_.isin("has_many", "has_and_belongs_to_many"), "collection").when(type_ == "has_one", "inverse_one").otherwise("named")
+    return F.when(foreign_key.isNotNull(), "owner_fk").when(
+        type_.isin("has_many", "has_and_belongs_to_many"),
+        "collection",
+    ).when(type_ == "has_one", "inverse_one").otherwise("named")
 
 
 def provenance_of(manual: Column, db_fk: Column, schema_fk: Column, inferred: Column) -> Column:
@@ -176,10 +191,16 @@ def covered_fks(frags: DataFrame, merged: DataFrame) -> DataFrame:
 
 def schema_missing(tables: DataFrame, columns: DataFrame) -> DataFrame:
     counts = columns.groupBy(*TABLE).agg(F.count("*").alias("n_columns"))
-    return tables.select(*TABLE).join(counts, TABLE, "left").select(*TABLE, F.coalesce("n_columns", F.lit(0)).alias("n_columns"), F.isnull("n_columns").alias("schema_missing"))
+    return tables.select(*TABLE).join(counts, TABLE, "left").select(
+        *TABLE,
+        F.coalesce("n_columns", F.lit(0)).alias("n_columns"),
+        F.isnull("n_columns").alias("schema_missing"),
+    )
 
 
 def composite_keys(columns: DataFrame) -> DataFrame:
     """Tables whose columns flagged primary are two or more, in column order."""
-    keys = columns.where("primary").groupBy(*TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda c: c["name"]).alias("primary_key"))
+    keys = columns.where("primary").groupBy(*TABLE).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda c: c["name"]).alias("primary_key")
+    )
     return keys.where("size(primary_key) >= 2")

@@ -13,8 +13,21 @@ from pyspark.sql import functions as F
 def column_profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """(table_name, column_name, n_rows, n_null, n_distinct, nullable, is_unique), in one pass over the table."""
     count = F.count_distinct if exact else F.approx_count_distinct
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *(x for c in df.columns for x in (F.count_if(F.col(c).isNull()).alias(f"{c}|null"), count(F.col(c)).alias(f"{c}|distinct"))))
-    rows = F.array(*(F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"`{c}|null`").alias("n_null"), F.col(f"`{c}|distinct`").alias("n_distinct")) for c in df.columns))
+    stats = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *(x for c in df.columns for x in (F.count_if(F.col(c).isNull()).alias(f"{c}|null"), count(F.col(c)).alias(f"{c}|distinct"))),
+    )
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(table).alias("table_name"),
+                F.lit(c).alias("column_name"),
+                F.col("n").alias("n_rows"),
+                F.col(f"`{c}|null`").alias("n_null"),
+                F.col(f"`{c}|distinct`").alias("n_distinct"),
+            ) for c in df.columns
+        )
+    )
     out = stats.select(F.inline(rows))
     return out.withColumn("nullable", F.col("n_null") > 0).withColumn("is_unique", (F.col("n_distinct") == F.col("n_rows")) & (F.col("n_rows") > 0))
 
@@ -70,7 +83,15 @@ def cardinality(child: DataFrame, column: str, edge: str) -> DataFrame:
     """(edge, type, min_fan, avg_fan, max_fan, n_parents, n_rows): has_one where no key value repeats."""
     fan = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     out = fan.agg(F.min("n").alias("min_fan"), F.max("n").alias("max_fan"), F.count("*").alias("n_parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
-    return out.select(F.lit(edge).alias("edge"), F.when(F.col("max_fan") == 1, "has_one").otherwise("belongs_to").alias("type"), "min_fan", (F.col("n_rows") / F.col("n_parents")).alias("avg_fan"), "max_fan", "n_parents", "n_rows")
+    return out.select(
+        F.lit(edge).alias("edge"),
+        F.when(F.col("max_fan") == 1, "has_one").otherwise("belongs_to").alias("type"),
+        "min_fan",
+        (F.col("n_rows") / F.col("n_parents")).alias("avg_fan"),
+        "max_fan",
+        "n_parents",
+        "n_rows",
+    )
 
 
 def inclusion_scores(columns: dict[str, DataFrame]) -> DataFrame:
@@ -86,7 +107,13 @@ def inclusion_scores(columns: dict[str, DataFrame]) -> DataFrame:
     for name, df in columns.items():
         kind = df.dtypes[0][1]
         kind = "bigint" if kind in ("tinyint", "smallint", "int") else kind
-        sets.append(df.select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.col(f"`{df.columns[0]}`").cast("string").alias("value")).where("value IS NOT NULL").distinct())
+        sets.append(
+            df.select(
+                F.lit(name).alias("name"),
+                F.lit(kind).alias("kind"),
+                F.col(f"`{df.columns[0]}`").cast("string").alias("value"),
+            ).where("value IS NOT NULL").distinct()
+        )
     having = reduce(DataFrame.union, sets).groupBy("kind", "value").agg(F.array_sort(F.collect_set("name")).alias("names"))
     combos = having.groupBy("names").agg(F.count("*").alias("n"))
     pairs = combos.select("n", "names", F.explode("names").alias("child")).select("n", "child", F.explode("names").alias("parent"))
@@ -104,7 +131,10 @@ def likely_parents(scores: DataFrame, least: float = 0.9) -> DataFrame:
     """(child, parent, containment, same_name): the best parent of each column by the share of its values that it has, at
     least ``least``; of equal shares one of the same name (without its table's prefix), then the first by name."""
     bare = lambda c: F.regexp_replace(F.element_at(F.split(F.col(c), r"\."), -1), "^[a-z]_", "")
-    own = scores.withColumn("containment", F.col("n_both") / F.col("n_values")).where(F.col("containment") >= least).withColumn("same_name", bare("child") == bare("parent"))
+    own = scores.withColumn(
+        "containment",
+        F.col("n_both") / F.col("n_values"),
+    ).where(F.col("containment") >= least).withColumn("same_name", bare("child") == bare("parent"))
     first = F.row_number().over(Window.partitionBy("child").orderBy(F.desc("containment"), F.desc("same_name"), "parent"))
     return own.withColumn("_n", first).where("_n = 1").select("child", "parent", "containment", "same_name")
 

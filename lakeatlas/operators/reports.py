@@ -29,7 +29,17 @@ def dictionary(columns: DataFrame, edges: DataFrame) -> DataFrame:
     c = key_label(columns, edges)
     text = lambda x: F.coalesce(F.col(x), F.lit("")).alias(x) if x in c.columns else F.lit("").alias(x)
     kind = F.coalesce(blank_to_null(F.col("sql_type")), F.col("type")) if "sql_type" in c.columns else F.col("type")
-    return c.select(*TABLE, "pos", F.col("name").alias("column_name"), kind.alias("type"), F.when(F.col("nullable"), "YES").otherwise("NO").alias("nullable"), text("default"), "key", text("extra"), text("comment"))
+    return c.select(
+        *TABLE,
+        "pos",
+        F.col("name").alias("column_name"),
+        kind.alias("type"),
+        F.when(F.col("nullable"), "YES").otherwise("NO").alias("nullable"),
+        text("default"),
+        "key",
+        text("extra"),
+        text("comment"),
+    )
 
 
 def group_labels(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -42,18 +52,29 @@ def table_overview(tables: DataFrame, columns: DataFrame, indexes: DataFrame, la
     """(schema_id, n, table_name, comment, n_columns, n_indexes, schema_missing[, group_label])."""
     count = lambda df, c: df.groupBy(*TABLE).agg(F.count("*").alias(c))
     out = tables.select(*TABLE, "comment").join(count(columns, "n_columns"), TABLE, "left").join(count(indexes, "n_indexes"), TABLE, "left")
-    out = out.na.fill(0, ["n_columns", "n_indexes"]).withColumn("comment", F.coalesce("comment", F.lit(""))).withColumn("schema_missing", F.col("n_columns") == 0)
+    out = out.na.fill(0, ["n_columns", "n_indexes"]).withColumn(
+        "comment",
+        F.coalesce("comment", F.lit("")),
+    ).withColumn("schema_missing", F.col("n_columns") == 0)
     if labels is not None:
         out = out.join(labels.withColumnRenamed("label", "group_label"), TABLE, "left").na.fill("", ["group_label"])
     return numbered(out, "table_name")
 
 
 def index_list(indexes: DataFrame) -> DataFrame:
-    return indexes.select(*TABLE, F.coalesce("name", F.lit("")).alias("name"), F.array_join("columns", ", ").alias("columns"), F.when(F.col("unique"), "UNIQUE").otherwise("").alias("unique"))
+    return indexes.select(
+        *TABLE,
+        F.coalesce("name", F.lit("")).alias("name"),
+        F.array_join("columns", ", ").alias("columns"),
+        F.when(F.col("unique"), "UNIQUE").otherwise("").alias("unique"),
+    )
 
 
 def via(provenance: Column) -> Column:
-    return F.when(provenance == "db_fk", "DB FK").when(provenance == "schema_fk", "schema FK").when(provenance == "inferred", "inferred").when(provenance == "manual", "manual").otherwise("code")
+    return F.when(provenance == "db_fk", "DB FK").when(
+        provenance == "schema_fk",
+        "schema FK",
+    ).when(provenance == "inferred", "inferred").when(provenance == "manual", "manual").otherwise("code")
 
 
 def association_list(edges: DataFrame) -> DataFrame:
@@ -62,14 +83,33 @@ def association_list(edges: DataFrame) -> DataFrame:
 
 def note_list(notes: DataFrame) -> DataFrame:
     """(schema_id, note_id, target, title, text, links) in id order; links are an array of (label, url)."""
-    target = F.when(F.col("scope") == "global", "global").when(F.col("scope") == "table", F.col("table_name")).otherwise(F.concat_ws(" → ", "source_table", "target"))
-    links = F.array_join(F.transform("links", lambda x: F.when(F.coalesce(x["label"], F.lit("")) != "", F.concat(x["label"], F.lit(": "), x["url"])).otherwise(x["url"])), "; ")
-    return notes.select("schema_id", "note_id", target.alias("target"), F.coalesce("title", F.lit("")).alias("title"), "text", F.coalesce(links, F.lit("")).alias("links"))
+    target = F.when(F.col("scope") == "global", "global").when(
+        F.col("scope") == "table",
+        F.col("table_name"),
+    ).otherwise(F.concat_ws(" → ", "source_table", "target"))
+    links = F.array_join(
+        F.transform("links", lambda x: F.when(F.coalesce(x["label"], F.lit("")) != "", F.concat(x["label"], F.lit(": "), x["url"])).otherwise(x["url"])),
+        "; ",
+    )
+    return notes.select(
+        "schema_id",
+        "note_id",
+        target.alias("target"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        "text",
+        F.coalesce(links, F.lit("")).alias("links"),
+    )
 
 
 def group_list(groups: DataFrame, members: DataFrame) -> DataFrame:
     by = members.groupBy("schema_id", "group_id").agg(F.array_join(F.array_sort(F.collect_list("table_name")), ", ").alias("tables"))
-    return groups.join(by, ["schema_id", "group_id"], "left").select("schema_id", "group_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("color", F.lit("")).alias("color"), F.coalesce("tables", F.lit("")).alias("tables"))
+    return groups.join(by, ["schema_id", "group_id"], "left").select(
+        "schema_id",
+        "group_id",
+        F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("color", F.lit("")).alias("color"),
+        F.coalesce("tables", F.lit("")).alias("tables"),
+    )
 
 
 def _lines(df: DataFrame, order: Column, line: Column, name: str, sep: str = "\n") -> DataFrame:
@@ -85,11 +125,31 @@ def edge_token(edges: DataFrame) -> Column:
     through = blank_to_null(F.col("through")) if "through" in edges.columns else F.lit(None).cast("string")
     poly = F.col("polymorphic") if "polymorphic" in edges.columns else F.lit(False)
     name = F.when(F.coalesce(F.col("name"), F.lit("")).isin("") | (F.col("name") == F.col("target")), None).otherwise(F.concat(F.lit("as "), F.col("name")))
-    return F.concat_ws(" ", "type", "target", name, F.when(F.coalesce(F.col("foreign_key"), F.lit("")) != "", F.concat(F.lit("fk="), F.col("foreign_key"))), F.concat(F.lit("through "), through), F.when(poly, "(poly)"))
+    return F.concat_ws(
+        " ",
+        "type",
+        "target",
+        name,
+        F.when(F.coalesce(F.col("foreign_key"), F.lit("")) != "", F.concat(F.lit("fk="), F.col("foreign_key"))),
+        F.concat(F.lit("through "), through),
+        F.when(poly, "(poly)"),
+    )
 
 
 def edge_order(edges: DataFrame) -> Column:
-    return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("type", "name", "foreign_key", "target", "through", "polymorphic", "provenance") if c in edges.columns))
+    return F.struct(
+        *(
+            F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (
+                "type",
+                "name",
+                "foreign_key",
+                "target",
+                "through",
+                "polymorphic",
+                "provenance",
+            ) if c in edges.columns
+        )
+    )
 
 
 def note_text(notes: DataFrame) -> Column:
@@ -105,7 +165,9 @@ def _with_relation_notes(edges: DataFrame, notes: DataFrame | None) -> tuple[Dat
     if notes is None:
         return edges, F.lit("")
     own = notes.where("scope = 'relation'").withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False)))
-    by = own.groupBy("schema_id", F.col("source_table").alias("table_name"), *RELATION).agg(F.array_sort(F.collect_list(F.struct("note_id", note_text(own).alias("t")))).alias("_notes"))
+    by = own.groupBy("schema_id", F.col("source_table").alias("table_name"), *RELATION).agg(
+        F.array_sort(F.collect_list(F.struct("note_id", note_text(own).alias("t")))).alias("_notes")
+    )
     same = [F.col(f"e.{c}") == F.col(f"n.{c}") for c in TABLE] + [F.col(f"e.{c}").eqNullSafe(F.col(f"n.{c}")) for c in RELATION]
     held = edges.withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False)))
     out = held.alias("e").join(by.alias("n"), same, "left").select("e.*", "n._notes")
@@ -113,7 +175,14 @@ def _with_relation_notes(edges: DataFrame, notes: DataFrame | None) -> tuple[Dat
     return out, F.coalesce(F.concat(F.lit(" — "), quoted), F.lit(""))
 
 
-def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: bool = False, title: str | None = None, notes: DataFrame | None = None) -> DataFrame:
+def digest(
+    tables: DataFrame,
+    columns: DataFrame,
+    edges: DataFrame,
+    verbose: bool = False,
+    title: str | None = None,
+    notes: DataFrame | None = None,
+) -> DataFrame:
     """(schema_id, text): Markdown with a line for each column and one for the relations of each table.
 
     ``notes``: resolved ones (schema_id, note_id, scope, title, text, table_name, source_table and the edge's keys). Global
@@ -126,7 +195,12 @@ def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: boo
         sql = blank_to_null(F.col("sql_type")) if "sql_type" in columns.columns else F.lit(None).cast("string")
         more = [F.when(F.col("nullable"), "null"), F.concat(F.lit("default="), blank_to_null(F.col("default"))), sql]
     comment = F.when(F.coalesce(F.col("comment"), F.lit("")) != "", F.concat(F.lit('"'), one_line(F.col("comment")), F.lit('"')))
-    line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.concat_ws(", ", "type", F.when(F.col("primary"), "pk"), F.concat(F.lit("fk→"), F.col("_fk")), *more, comment))
+    line = F.concat(
+        F.lit("- "),
+        F.col("name"),
+        F.lit(": "),
+        F.concat_ws(", ", "type", F.when(F.col("primary"), "pk"), F.concat(F.lit("fk→"), F.col("_fk")), *more, comment),
+    )
     cols = _lines(c, F.col("pos"), line, "cols")
     own, noted = _with_relation_notes(edges, notes)
     rels = _lines(own, edge_order(own), F.concat(edge_token(own), noted), "rels", ", ")
@@ -142,7 +216,16 @@ def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: boo
     top = F.lit(f"# {title} — schema digest" if title else "# Schema digest")
     if notes is not None:
         everywhere = notes.where("scope = 'global'")
-        by = by.join(everywhere.groupBy("schema_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_id", note_text(everywhere).alias("t")))), lambda x: x["t"]), "\n\n").alias("_global")), "schema_id", "left")
+        by = by.join(
+            everywhere.groupBy("schema_id").agg(
+                F.array_join(
+                    F.transform(F.array_sort(F.collect_list(F.struct("note_id", note_text(everywhere).alias("t")))), lambda x: x["t"]),
+                    "\n\n",
+                ).alias("_global")
+            ),
+            "schema_id",
+            "left",
+        )
         top = F.concat(top, F.coalesce(F.concat(F.lit("\n\n"), F.col("_global")), F.lit("")))
     return by.select("schema_id", F.concat(top, F.lit("\n\n## Tables ("), F.col("n"), F.lit(")\n\n"), F.col("body"), F.lit("\n")).alias("text"))
 
@@ -150,15 +233,47 @@ def digest(tables: DataFrame, columns: DataFrame, edges: DataFrame, verbose: boo
 def config_notes(notes: DataFrame) -> DataFrame:
     """(schema_id, note_id, json): resolved notes in the form of a config document. A relation's target has all keys that
     narrow it, null where the edge has none, so that it means this edge only."""
-    kind = F.when(F.col("scope") == "relation", F.to_json(F.struct(F.col("type").alias("assoc_type"), "foreign_key", "name", F.coalesce("polymorphic", F.lit(False)).alias("polymorphic"), "source_table", F.col("target").alias("target_table"), "through", F.lit("relation").alias("type")), {"ignoreNullFields": "false"}))
-    target = kind.when(F.col("scope") == "table", F.to_json(F.struct(F.col("table_name").alias("table"), F.lit("table").alias("type")))).otherwise(F.lit('{"type":"global"}'))
+    kind = F.when(
+        F.col("scope") == "relation",
+        F.to_json(
+            F.struct(
+                F.col("type").alias("assoc_type"),
+                "foreign_key",
+                "name",
+                F.coalesce("polymorphic", F.lit(False)).alias("polymorphic"),
+                "source_table",
+                F.col("target").alias("target_table"),
+                "through",
+                F.lit("relation").alias("type"),
+            ),
+            {"ignoreNullFields": "false"},
+        ),
+    )
+    target = kind.when(
+        F.col("scope") == "table",
+        F.to_json(F.struct(F.col("table_name").alias("table"), F.lit("table").alias("type"))),
+    ).otherwise(F.lit('{"type":"global"}'))
     part = lambda c: F.substr(F.to_json(F.struct(c)), F.lit(2), F.length(F.to_json(F.struct(c))) - 2)
     links = F.when(F.size("links") > 0, part(F.col("links")))
-    fields = F.concat_ws(",", part(F.col("note_id").alias("id")), links, F.concat(F.lit('"target":'), target), part(F.col("text")), F.when(F.coalesce("title", F.lit("")) != "", part(F.col("title"))))
+    fields = F.concat_ws(
+        ",",
+        part(F.col("note_id").alias("id")),
+        links,
+        F.concat(F.lit('"target":'), target),
+        part(F.col("text")),
+        F.when(F.coalesce("title", F.lit("")) != "", part(F.col("title"))),
+    )
     return notes.select("schema_id", "note_id", F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
 
 
-def config_document(tables: DataFrame, columns: DataFrame, indexes: DataFrame, edges: DataFrame, notes: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+def config_document(
+    tables: DataFrame,
+    columns: DataFrame,
+    indexes: DataFrame,
+    edges: DataFrame,
+    notes: DataFrame | None = None,
+    groups: DataFrame | None = None,
+) -> DataFrame:
     """(schema_id, doc): merged schemas as config documents to author from, keys sorted at every level.
 
     Provenance and sources are left out, for a config layer has none of its own; two or more primary columns, in column
@@ -169,9 +284,20 @@ def config_document(tables: DataFrame, columns: DataFrame, indexes: DataFrame, e
 
     cols = c._listed(columns, c.column_struct(columns.columns), F.struct("pos"), "columns")
     ixs = c._listed(indexes, c.index_struct(), F.struct(F.coalesce("name", F.lit("")), "columns", "unique"), "indexes")
-    edge = F.struct(c.blank("foreign_key").alias("foreign_key"), c.blank("name").alias("name"), F.when(F.col("polymorphic"), True).alias("polymorphic"), "target", c.blank("through").alias("through"), "type")
+    edge = F.struct(
+        c.blank("foreign_key").alias("foreign_key"),
+        c.blank("name").alias("name"),
+        F.when(F.col("polymorphic"), True).alias("polymorphic"),
+        "target",
+        c.blank("through").alias("through"),
+        "type",
+    )
     assocs = c._listed(edges, edge, c.association_order(), "associations")
-    joined = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(ixs, TABLE, "left").join(assocs, TABLE, "left").join(composite_keys(columns), TABLE, "left")
+    joined = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(ixs, TABLE, "left").join(assocs, TABLE, "left").join(
+        composite_keys(columns),
+        TABLE,
+        "left",
+    )
     none = lambda df, n: F.coalesce(F.col(n), F.array().cast(df.schema[n].dataType)).alias(n)
     doc = F.struct(none(assocs, "associations"), none(cols, "columns"), c.blank("comment").alias("comment"), none(ixs, "indexes"), "primary_key")
     out = c.schema_json(joined.select(*TABLE, c.lower_escapes(F.to_json(doc)).alias("json")))
@@ -181,7 +307,18 @@ def config_document(tables: DataFrame, columns: DataFrame, indexes: DataFrame, e
     if groups is None:
         out = out.withColumn("_groups", none_)
     else:
-        g = groups.select("schema_id", "group_id", F.to_json(F.struct(blank_to_null(F.col("color")).alias("color"), F.col("group_id").alias("id"), F.array_sort("tables").alias("tables"), blank_to_null(F.col("title")).alias("title"))).alias("json"))
+        g = groups.select(
+            "schema_id",
+            "group_id",
+            F.to_json(
+                F.struct(
+                    blank_to_null(F.col("color")).alias("color"),
+                    F.col("group_id").alias("id"),
+                    F.array_sort("tables").alias("tables"),
+                    blank_to_null(F.col("title")).alias("title"),
+                )
+            ).alias("json"),
+        )
         out = out.join(listed(g, "group_id", "groups"), "schema_id", "left")
     out = out.withColumn("_notes", none_) if notes is None else out.join(listed(config_notes(notes), "note_id", "notes"), "schema_id", "left")
     return out.select("schema_id", F.concat(F.lit("{"), F.concat_ws(",", "_groups", "_notes", body, F.lit('"version":1')), F.lit("}")).alias("doc"))
@@ -189,7 +326,10 @@ def config_document(tables: DataFrame, columns: DataFrame, indexes: DataFrame, e
 
 def write_dictionary(rows: DataFrame, path: str, sep: str = "\t") -> None:
     """A data dictionary as files of separated values with a header; quotes are doubled, and blanks at the ends stay."""
-    rows.write.option("sep", sep).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows.write.option("sep", sep).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace",
+        False,
+    ).csv(path)
 
 
 def read_dictionary(spark, path: str, schema: str, sep: str = "\t") -> DataFrame:
@@ -200,28 +340,62 @@ def read_dictionary(spark, path: str, schema: str, sep: str = "\t") -> DataFrame
 
 def dbml(tables: DataFrame, columns: DataFrame, indexes: DataFrame, refs: DataFrame) -> DataFrame:
     """(schema_id, text). ``refs`` as edges.dbml_refs gives them."""
-    single = indexes.where(F.col("unique") & (F.size("columns") == 1)).select(*TABLE, F.col("columns")[0].alias("name")).distinct().withColumn("_unique", F.lit(True))
+    single = indexes.where(
+        F.col("unique") & (F.size("columns") == 1)
+    ).select(*TABLE, F.col("columns")[0].alias("name")).distinct().withColumn("_unique", F.lit(True))
     keys = columns.where("primary").groupBy(*TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("_keys"))
     c = columns.join(single, [*TABLE, "name"], "left").join(keys, TABLE, "left")
     has = lambda x: F.coalesce(F.col(x), F.lit("")) if x in columns.columns else F.lit("")
     sole = (F.size("_keys") == 1) & F.col("primary")
-    attrs = F.concat_ws(", ", F.when(sole, "pk"), F.when(F.lower(has("extra")).contains("auto_increment"), "increment"), F.when(~F.col("nullable"), "not null"), F.when(F.col("_unique"), "unique"), F.when(has("default") != "", F.concat(F.lit("default: "), dbml_default(one_line(has("default"))))))
+    attrs = F.concat_ws(
+        ", ",
+        F.when(sole, "pk"),
+        F.when(F.lower(has("extra")).contains("auto_increment"), "increment"),
+        F.when(~F.col("nullable"), "not null"),
+        F.when(F.col("_unique"), "unique"),
+        F.when(has("default") != "", F.concat(F.lit("default: "), dbml_default(one_line(has("default"))))),
+    )
     kind = F.coalesce(blank_to_null(has("sql_type")), F.col("type"))
     line = F.concat(F.lit("  "), dbml_name(F.col("name")), F.lit(" "), kind, F.when(attrs != "", F.concat(F.lit(" ["), attrs, F.lit("]"))).otherwise(""))
     cols = _lines(c, F.col("pos"), line, "cols")
     quote = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))
     attrs = F.concat_ws(", ", F.when(F.col("unique"), "unique"), F.concat(F.lit("name: "), quote(blank_to_null(F.col("name")))))
-    ix_line = F.concat(F.lit("    ("), F.array_join(F.transform("columns", dbml_name), ", "), F.lit(")"), F.when(attrs != "", F.concat(F.lit(" ["), attrs, F.lit("]"))).otherwise(""))
+    ix_line = F.concat(
+        F.lit("    ("),
+        F.array_join(F.transform("columns", dbml_name), ", "),
+        F.lit(")"),
+        F.when(attrs != "", F.concat(F.lit(" ["), attrs, F.lit("]"))).otherwise(""),
+    )
     ixs = _lines(indexes, F.struct(F.coalesce("name", F.lit("")), "columns", "unique"), ix_line, "ixs")
     joined = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(ixs, TABLE, "left").join(keys, TABLE, "left")
     composite = F.when(F.size("_keys") >= 2, F.concat(F.lit("    ("), F.array_join(F.transform("_keys", dbml_name), ", "), F.lit(") [pk]")))
     inside = F.concat_ws("\n", composite, "ixs")
     block = F.when(inside != "", F.concat(F.lit("\n  indexes {\n"), inside, F.lit("\n  }")))
     comment = blank_to_null(F.col("comment"))
-    note = F.when(comment.isNotNull(), F.concat(F.lit("\n  Note: "), F.when(comment.contains("\n"), F.concat(F.lit("'''"), comment, F.lit("'''"))).otherwise(quote(comment))))
-    blocks = joined.select(*TABLE, F.concat(F.concat_ws("\n", F.concat(F.lit("Table "), dbml_name(F.col("table_name")), F.lit(" {")), "cols", block, note), F.lit("\n}")).alias("block"))
-    ref = F.concat(F.lit("Ref: "), dbml_name(F.col("table_name")), F.lit("."), dbml_name(F.col("foreign_key")), F.lit(" > "), dbml_name(F.col("target")), F.lit("."), dbml_name(F.col("target_column")))
-    by = refs.groupBy("schema_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_name", "foreign_key", "target", "target_column", ref.alias("v")))), lambda r: r["v"]), "\n").alias("refs"))
+    note = F.when(
+        comment.isNotNull(),
+        F.concat(F.lit("\n  Note: "), F.when(comment.contains("\n"), F.concat(F.lit("'''"), comment, F.lit("'''"))).otherwise(quote(comment))),
+    )
+    blocks = joined.select(
+        *TABLE,
+        F.concat(F.concat_ws("\n", F.concat(F.lit("Table "), dbml_name(F.col("table_name")), F.lit(" {")), "cols", block, note), F.lit("\n}")).alias("block"),
+    )
+    ref = F.concat(
+        F.lit("Ref: "),
+        dbml_name(F.col("table_name")),
+        F.lit("."),
+        dbml_name(F.col("foreign_key")),
+        F.lit(" > "),
+        dbml_name(F.col("target")),
+        F.lit("."),
+        dbml_name(F.col("target_column")),
+    )
+    by = refs.groupBy("schema_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("table_name", "foreign_key", "target", "target_column", ref.alias("v")))), lambda r: r["v"]),
+            "\n",
+        ).alias("refs")
+    )
     text = blocks.groupBy("schema_id").agg(_per_schema(blocks, "\n\n").alias("t")).join(by, "schema_id", "left")
     return text.select("schema_id", F.concat(F.concat_ws("\n\n", "t", "refs"), F.lit("\n")).alias("text"))
 
@@ -237,12 +411,24 @@ def _relation_lines(display: DataFrame, alias, label: Column) -> DataFrame:
 def mermaid(tables: DataFrame, columns: DataFrame, edges: DataFrame, display: DataFrame) -> DataFrame:
     """(schema_id, text). ``edges`` are pruned ones, ``display`` their display edges."""
     c = key_label(columns.where(F.col("name").rlike(IDENTIFIER)), edges)
-    line = F.concat(F.lit("        "), F.coalesce(blank_to_null(F.col("type")), F.lit("string")), F.lit(" "), F.col("name"), F.when(F.col("key") != "", F.concat(F.lit(" "), F.col("key"))).otherwise(""))
+    line = F.concat(
+        F.lit("        "),
+        F.coalesce(blank_to_null(F.col("type")), F.lit("string")),
+        F.lit(" "),
+        F.col("name"),
+        F.when(F.col("key") != "", F.concat(F.lit(" "), F.col("key"))).otherwise(""),
+    )
     cols = _lines(c, F.col("pos"), line, "cols")
-    blocks = tables.select(*TABLE).join(cols, TABLE, "left").select(*TABLE, F.concat_ws("\n", F.concat(F.lit("    "), F.col("table_name"), F.lit(" {")), "cols", F.lit("    }")).alias("block"))
+    blocks = tables.select(*TABLE).join(cols, TABLE, "left").select(
+        *TABLE,
+        F.concat_ws("\n", F.concat(F.lit("    "), F.col("table_name"), F.lit(" {")), "cols", F.lit("    }")).alias("block"),
+    )
     rel = _relation_lines(display, lambda x: x, F.concat(F.lit(' : "'), F.replace(F.col("label"), F.lit('"'), F.lit("'")), F.lit('"')))
     text = blocks.groupBy("schema_id").agg(_per_schema(blocks, "\n").alias("t")).join(rel, "schema_id", "left")
-    return text.select("schema_id", F.concat(F.concat_ws("\n", F.lit("erDiagram"), F.transform("edges", lambda e: F.concat(F.lit("    "), e)), "t"), F.lit("\n")).alias("text"))
+    return text.select(
+        "schema_id",
+        F.concat(F.concat_ws("\n", F.lit("erDiagram"), F.transform("edges", lambda e: F.concat(F.lit("    "), e)), "t"), F.lit("\n")).alias("text"),
+    )
 
 
 def plantuml_alias(name: Column) -> Column:
@@ -253,17 +439,37 @@ def plantuml(tables: DataFrame, columns: DataFrame, edges: DataFrame, display: D
     """(schema_id, text) as entity-relationship diagram."""
     c = key_label(columns.where(F.col("name").rlike(IDENTIFIER)), edges)
     kind = F.coalesce(blank_to_null(F.col("type")), F.lit("string"))
-    rest = F.concat(F.lit("  "), F.when(F.col("nullable"), "").otherwise("* "), F.col("name"), F.lit(" : "), kind, F.when(F.col("key") == "FK", " <<FK>>").otherwise(""))
+    rest = F.concat(
+        F.lit("  "),
+        F.when(F.col("nullable"), "").otherwise("* "),
+        F.col("name"),
+        F.lit(" : "),
+        kind,
+        F.when(F.col("key") == "FK", " <<FK>>").otherwise(""),
+    )
     line = F.when(F.col("primary"), F.concat(F.lit("  * "), F.col("name"), F.lit(" : "), kind, F.lit(" <<PK>>"))).otherwise(rest)
     pk = _lines(c.where("primary"), F.col("pos"), line, "pk")
     others = _lines(c.where("NOT primary"), F.col("pos"), line, "others")
     alias = plantuml_alias(F.col("table_name"))
     comment = blank_to_null(F.col("comment"))
-    shown = F.concat(F.replace(F.col("table_name"), F.lit('"'), F.lit("'")), F.coalesce(F.replace(F.concat(F.lit("（"), comment, F.lit("）")), F.lit('"'), F.lit("'")), F.lit("")))
-    head = F.when(comment.isNotNull() | (alias != F.col("table_name")), F.concat(F.lit('entity "'), shown, F.lit('" as '), alias, F.lit(" {"))).otherwise(F.concat(F.lit("entity "), alias, F.lit(" {")))
+    shown = F.concat(
+        F.replace(F.col("table_name"), F.lit('"'), F.lit("'")),
+        F.coalesce(F.replace(F.concat(F.lit("（"), comment, F.lit("）")), F.lit('"'), F.lit("'")), F.lit("")),
+    )
+    head = F.when(
+        comment.isNotNull() | (alias != F.col("table_name")),
+        F.concat(F.lit('entity "'), shown, F.lit('" as '), alias, F.lit(" {")),
+    ).otherwise(F.concat(F.lit("entity "), alias, F.lit(" {")))
     rule = F.when(F.col("pk").isNotNull() & F.col("others").isNotNull(), "  --")
     joined = tables.select(*TABLE, "comment").join(pk, TABLE, "left").join(others, TABLE, "left")
     blocks = joined.select(*TABLE, F.concat(F.concat_ws("\n", head, "pk", rule, "others"), F.lit("\n}\n")).alias("block"))
-    rel = _relation_lines(display, plantuml_alias, F.when(F.col("label") != "", F.concat(F.lit(" : "), F.replace(F.col("label"), F.lit('"'), F.lit("'")))).otherwise(""))
+    rel = _relation_lines(
+        display,
+        plantuml_alias,
+        F.when(F.col("label") != "", F.concat(F.lit(" : "), F.replace(F.col("label"), F.lit('"'), F.lit("'")))).otherwise(""),
+    )
     text = blocks.groupBy("schema_id").agg(_per_schema(blocks, "\n").alias("t")).join(rel, "schema_id", "left")
-    return text.select("schema_id", F.concat(F.concat_ws("\n", F.lit("@startuml\nhide circle\nskinparam linetype ortho\n"), "t", "edges", F.lit("@enduml")), F.lit("\n")).alias("text"))
+    return text.select(
+        "schema_id",
+        F.concat(F.concat_ws("\n", F.lit("@startuml\nhide circle\nskinparam linetype ortho\n"), "t", "edges", F.lit("@enduml")), F.lit("\n")).alias("text"),
+    )

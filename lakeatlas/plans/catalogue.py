@@ -63,13 +63,30 @@ def merged_columns(f: dict[str, DataFrame]) -> DataFrame:
 def merged(spark: SparkSession, sf_dir: str) -> Relations:
     """The merged relations; each is made when it is asked for, from fragments that are derived once, and written."""
     f = fragments(spark, sf_dir, keep=True)
-    return Relations({"columns": lambda: merged_columns(f), "tables": lambda: merge.merge_tables(f["tables"]), "indexes": lambda: merge.merge_indexes(f["indexes"]), "edges": lambda: merge.merge_associations(f["associations"])})
+    return Relations(
+        {
+            "columns": lambda: merged_columns(f),
+            "tables": lambda: merge.merge_tables(f["tables"]),
+            "indexes": lambda: merge.merge_indexes(f["indexes"]),
+            "edges": lambda: merge.merge_associations(f["associations"]),
+        }
+    )
 
 
 @query("column_merge", merged_sql(f"SELECT {KEY}, name, pos, type, nullable, is_primary, default_value, comment FROM columns_"))
 def column_merge(spark, sf_dir):
     c = merged_columns(fragments(spark, sf_dir))
-    return c.select("schema_id", "table_name", "name", "pos", "type", "nullable", F.col("primary").alias("is_primary"), F.col("default").alias("default_value"), "comment")
+    return c.select(
+        "schema_id",
+        "table_name",
+        "name",
+        "pos",
+        "type",
+        "nullable",
+        F.col("primary").alias("is_primary"),
+        F.col("default").alias("default_value"),
+        "comment",
+    )
 
 
 @query(
@@ -88,7 +105,10 @@ def comment_merge(spark, sf_dir):
     return merge.merge_tables(fragments(spark, sf_dir)["tables"]).select("schema_id", "table_name", "comment")
 
 
-@query("pk_merge", merged_sql(f"SELECT {KEY}, string_agg(name, ',' ORDER BY pos) AS primary_key FROM columns_ WHERE is_primary GROUP BY {KEY} HAVING count(*) >= 2"))
+@query(
+    "pk_merge",
+    merged_sql(f"SELECT {KEY}, string_agg(name, ',' ORDER BY pos) AS primary_key FROM columns_ WHERE is_primary GROUP BY {KEY} HAVING count(*) >= 2"),
+)
 def pk_merge(spark, sf_dir):
     keys = merge.composite_keys(merged_columns(fragments(spark, sf_dir)))
     return keys.select("schema_id", "table_name", F.array_join("primary_key", ",").alias("primary_key"))
@@ -103,7 +123,16 @@ def index_merge(spark, sf_dir):
 @query("association_merge", merged_sql(f"SELECT {KEY}, target, foreign_key, name, type, provenance, sources FROM edges_"))
 def association_merge(spark, sf_dir):
     e = merge.merge_associations(fragments(spark, sf_dir)["associations"])
-    return e.select("schema_id", "table_name", "target", "foreign_key", "name", "type", "provenance", F.array_join(F.transform("sources", lambda s: s["kind"]), ",").alias("sources"))
+    return e.select(
+        "schema_id",
+        "table_name",
+        "target",
+        "foreign_key",
+        "name",
+        "type",
+        "provenance",
+        F.array_join(F.transform("sources", lambda s: s["kind"]), ",").alias("sources"),
+    )
 
 
 RECONCILED_SQL = f"""SELECT * FROM edges_ e WHERE provenance IN ('declared', 'manual') OR NOT EXISTS (
@@ -138,19 +167,35 @@ def infer_fks(spark, sf_dir):
     return found.select("schema_id", "table_name", "target", "foreign_key", "name", "type")
 
 
-@query("fk_columns", merged_sql(f"SELECT {KEY}, string_agg(DISTINCT foreign_key, ',' ORDER BY foreign_key) AS fk_columns FROM reconciled GROUP BY {KEY}", reconciled=RECONCILED_SQL))
+@query(
+    "fk_columns",
+    merged_sql(
+        f"SELECT {KEY}, string_agg(DISTINCT foreign_key, ',' ORDER BY foreign_key) AS fk_columns FROM reconciled GROUP BY {KEY}",
+        reconciled=RECONCILED_SQL,
+    ),
+)
 def fk_columns(spark, sf_dir):
     e = edges.reconcile(merge.merge_associations(fragments(spark, sf_dir)["associations"]))
     return merge.fk_columns(e).withColumn("fk_columns", F.array_join("fk_columns", ","))
 
 
-@query("schema_missing", merged_sql(f"SELECT t.schema_id, t.table_name, coalesce(n, 0) AS n_columns, n IS NULL AS schema_missing FROM tables_ t LEFT JOIN (SELECT {KEY}, count(*) AS n FROM columns_ GROUP BY {KEY}) c ON c.schema_id = t.schema_id AND c.table_name = t.table_name"))
+@query(
+    "schema_missing",
+    merged_sql(
+        f"SELECT t.schema_id, t.table_name, coalesce(n, 0) AS n_columns, n IS NULL AS schema_missing FROM tables_ t LEFT JOIN (SELECT {KEY}, count(*) AS n FROM columns_ GROUP BY {KEY}) c ON c.schema_id = t.schema_id AND c.table_name = t.table_name"
+    ),
+)
 def schema_missing(spark, sf_dir):
     m = merged(spark, sf_dir)
     return merge.schema_missing(m["tables"], m["columns"])
 
 
-@query("prune_dangling", merged_sql(f"SELECT e.schema_id, e.table_name, e.target, e.foreign_key FROM edges_ e JOIN tables_ t ON t.schema_id = e.schema_id AND t.table_name = e.target"))
+@query(
+    "prune_dangling",
+    merged_sql(
+        f"SELECT e.schema_id, e.table_name, e.target, e.foreign_key FROM edges_ e JOIN tables_ t ON t.schema_id = e.schema_id AND t.table_name = e.target"
+    ),
+)
 def prune_dangling(spark, sf_dir):
     m = merged(spark, sf_dir)
     return edges.prune_dangling(m["edges"], m["tables"]).select("schema_id", "table_name", "target", "foreign_key")
@@ -172,7 +217,10 @@ def display_edges(spark, sf_dir):
 
 def graph_edges(spark, sf_dir):
     m = merged(spark, sf_dir)
-    return m, written(edges.prune_dangling(m["edges"], m["tables"]).select("schema_id", F.col("table_name").alias("src"), F.col("target").alias("dst")).distinct(), "graph")
+    return m, written(
+        edges.prune_dangling(m["edges"], m["tables"]).select("schema_id", F.col("table_name").alias("src"), F.col("target").alias("dst")).distinct(),
+        "graph",
+    )
 
 
 GRAPH_SQL = "SELECT DISTINCT e.schema_id, e.table_name AS src, e.target AS dst FROM edges_ e JOIN tables_ t ON t.schema_id = e.schema_id AND t.table_name = e.target"
@@ -220,25 +268,47 @@ def schema_cycles(spark, sf_dir):
     return graph.cycles(graph_edges(spark, sf_dir)[1])
 
 
-@query("orphan_tables", merged_sql("SELECT schema_id, table_name AS node FROM tables_ t WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE g.schema_id = t.schema_id AND (g.src = t.table_name OR g.dst = t.table_name))", graph=GRAPH_SQL))
+@query(
+    "orphan_tables",
+    merged_sql(
+        "SELECT schema_id, table_name AS node FROM tables_ t WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE g.schema_id = t.schema_id AND (g.src = t.table_name OR g.dst = t.table_name))",
+        graph=GRAPH_SQL,
+    ),
+)
 def orphan_tables(spark, sf_dir):
     m, g = graph_edges(spark, sf_dir)
     return graph.orphans(m["tables"].select("schema_id", F.col("table_name").alias("node")), g)
 
 
-@query("hub_tables", merged_sql("SELECT schema_id, node, count(*) AS n FROM (SELECT schema_id, src AS node FROM graph UNION ALL SELECT schema_id, dst FROM graph) x GROUP BY schema_id, node ORDER BY n DESC, schema_id, node LIMIT 20", graph=GRAPH_SQL))
+@query(
+    "hub_tables",
+    merged_sql(
+        "SELECT schema_id, node, count(*) AS n FROM (SELECT schema_id, src AS node FROM graph UNION ALL SELECT schema_id, dst FROM graph) x GROUP BY schema_id, node ORDER BY n DESC, schema_id, node LIMIT 20",
+        graph=GRAPH_SQL,
+    ),
+)
 def hub_tables(spark, sf_dir):
     return graph.hubs(graph_edges(spark, sf_dir)[1], 20)
 
 
-@query("glob_filter", merged_sql(f"SELECT {KEY} FROM tables_ WHERE (regexp_matches(table_name, '^.*s$') OR regexp_matches(table_name, '^[bd]..$')) AND NOT regexp_matches(table_name, '^c.*$')"))
+@query(
+    "glob_filter",
+    merged_sql(
+        f"SELECT {KEY} FROM tables_ WHERE (regexp_matches(table_name, '^.*s$') OR regexp_matches(table_name, '^[bd]..$')) AND NOT regexp_matches(table_name, '^c.*$')"
+    ),
+)
 def glob_filter(spark, sf_dir):
     from lakeatlas.operators.filters import keep_tables
 
     return keep_tables(merged(spark, sf_dir)["tables"], ["*s", "[bd]??"], ["c*"]).select("schema_id", "table_name")
 
 
-@query("layer_overrides", with_ctes(f"""SELECT {KEY}, target, foreign_key, name, count(*) AS n_layers, count(DISTINCT kind) AS n_kinds FROM assoc_frag GROUP BY {KEY}, target, foreign_key, name HAVING count(DISTINCT kind) > 1"""))
+@query(
+    "layer_overrides",
+    with_ctes(
+        f"""SELECT {KEY}, target, foreign_key, name, count(*) AS n_layers, count(DISTINCT kind) AS n_kinds FROM assoc_frag GROUP BY {KEY}, target, foreign_key, name HAVING count(DISTINCT kind) > 1"""
+    ),
+)
 def layer_overrides(spark, sf_dir):
     a = fragments(spark, sf_dir)["associations"]
     by = a.groupBy("schema_id", "table_name", "target", "foreign_key", "name").agg(F.count("*").alias("n_layers"), F.count_distinct("kind").alias("n_kinds"))

@@ -12,7 +12,17 @@ from lakeatlas.operators import profile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-EDGES = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
+EDGES = [
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("labels", "doc_id", "documents", "doc_id"),
+    ("events", "user_id", "customer", "c_custkey"),
+]
 #: Columns of the tables, for the SQL; the queries take them from the tables themselves.
 COLUMNS = {
     "benchmark": {"item_id": "bigint", "text": "string"},
@@ -22,9 +32,28 @@ COLUMNS = {
     "embeddings": {"vec_id": "bigint", "embedding": "array", "label": "bigint"},
     "events": {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
     "labels": {"doc_id": "bigint", "quality": "bigint", "toxic": "bigint"},
-    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "bigint", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"},
+    "lineitem": {
+        "l_orderkey": "bigint",
+        "l_partkey": "bigint",
+        "l_suppkey": "bigint",
+        "l_linenumber": "bigint",
+        "l_quantity": "double",
+        "l_extendedprice": "double",
+        "l_discount": "double",
+        "l_tax": "double",
+        "l_returnflag": "string",
+        "l_linestatus": "string",
+        "l_shipdate": "timestamp",
+    },
     "nation": {"n_nationkey": "bigint", "n_name": "string", "n_regionkey": "bigint"},
-    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"},
+    "orders": {
+        "o_orderkey": "bigint",
+        "o_custkey": "bigint",
+        "o_orderstatus": "string",
+        "o_totalprice": "double",
+        "o_orderdate": "timestamp",
+        "o_orderpriority": "string",
+    },
     "pages": {"page_id": "bigint", "url": "string", "html": "string"},
     "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "bigint", "p_retailprice": "double"},
     "region": {"r_regionkey": "bigint", "r_name": "string"},
@@ -85,7 +114,9 @@ def fk_coverage(spark, sf_dir):
 
 def _by_name(names):
     stem = names.withColumn("stem", F.regexp_replace("c", "^[a-z]+_", ""))
-    own = stem.where(F.concat("t", F.lit("key")) == F.expr("replace(stem, 'supp', 'supplier')")).select(F.col("full").alias("parent"), F.col("stem"), F.col("t").alias("pt"))
+    own = stem.where(
+        F.concat("t", F.lit("key")) == F.expr("replace(stem, 'supp', 'supplier')")
+    ).select(F.col("full").alias("parent"), F.col("stem"), F.col("t").alias("pt"))
     return stem.join(own, "stem").where("t <> pt").select(F.col("full").alias("child"), "parent")
 
 
@@ -93,7 +124,15 @@ def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-QUERIES = {"column_profile": column_profile, "key_discovery": key_discovery, "key_violations": key_violations, "fk_integrity": fk_integrity, "fk_cardinality": fk_cardinality, "inclusion_deps": inclusion_deps, "fk_coverage": fk_coverage}
+QUERIES = {
+    "column_profile": column_profile,
+    "key_discovery": key_discovery,
+    "key_violations": key_violations,
+    "fk_integrity": fk_integrity,
+    "fk_cardinality": fk_cardinality,
+    "inclusion_deps": inclusion_deps,
+    "fk_coverage": fk_coverage,
+}
 QUERIES |= {"likely_parents": likely_parents}
 _ALL = [(t, c, kind) for t, cs in COLUMNS.items() for c, kind in cs.items()]
 _VALUES = _union(f"SELECT DISTINCT '{kind}' AS kind, '{t}.{c}' AS name, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c, kind in _ALL)

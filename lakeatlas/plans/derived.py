@@ -89,8 +89,52 @@ def fragments(spark: SparkSession, sf_dir: str, keep: bool = False) -> dict[str,
     f = frames(spark, sf_dir, keep)
     has = lambda cond, name: F.when(cond, F.lit(name))
     always = [F.lit(x) for x in ("type", "nullable", "primary")]
-    columns = f["column_frag"].select("schema_id", "layer_seq", "kind", "table_name", "pos", "name", F.array_compact(F.array(*always, has(F.col("has_default"), "default"), has(F.col("has_comment"), "comment"))).alias("present"), "type", "nullable", F.col("is_primary").alias("primary"), F.col("default_value").alias("default"), "comment", "seen_on")
-    tables = f["table_frag"].select("schema_id", "layer_seq", "kind", "table_name", F.array_compact(F.array(has(F.col("has_comment"), "comment"))).alias("present"), "comment", "seen_on")
-    indexes = f["index_frag"].select("schema_id", "layer_seq", "kind", "table_name", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("name"), F.array("column_name").alias("columns"), F.lit(True).alias("unique"))
-    assocs = f["assoc_frag"].select("schema_id", "layer_seq", "kind", "table_name", "pos", "type", "name", "target", "foreign_key", F.lit(None).cast("string").alias("through"), F.lit(False).alias("polymorphic"), "provenance")
+    columns = f["column_frag"].select(
+        "schema_id",
+        "layer_seq",
+        "kind",
+        "table_name",
+        "pos",
+        "name",
+        F.array_compact(F.array(*always, has(F.col("has_default"), "default"), has(F.col("has_comment"), "comment"))).alias("present"),
+        "type",
+        "nullable",
+        F.col("is_primary").alias("primary"),
+        F.col("default_value").alias("default"),
+        "comment",
+        "seen_on",
+    )
+    tables = f["table_frag"].select(
+        "schema_id",
+        "layer_seq",
+        "kind",
+        "table_name",
+        F.array_compact(F.array(has(F.col("has_comment"), "comment"))).alias("present"),
+        "comment",
+        "seen_on",
+    )
+    indexes = f["index_frag"].select(
+        "schema_id",
+        "layer_seq",
+        "kind",
+        "table_name",
+        F.lit(0).alias("pos"),
+        F.lit(None).cast("string").alias("name"),
+        F.array("column_name").alias("columns"),
+        F.lit(True).alias("unique"),
+    )
+    assocs = f["assoc_frag"].select(
+        "schema_id",
+        "layer_seq",
+        "kind",
+        "table_name",
+        "pos",
+        "type",
+        "name",
+        "target",
+        "foreign_key",
+        F.lit(None).cast("string").alias("through"),
+        F.lit(False).alias("polymorphic"),
+        "provenance",
+    )
     return {"tables": tables, "columns": columns, "indexes": indexes, "associations": assocs}

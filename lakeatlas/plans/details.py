@@ -66,7 +66,12 @@ def rich(spark: SparkSession, sf_dir: str) -> Relations:
         return spark.sql(EXTRA[name].replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: out[source] if source in of else f[source]})
 
     out.makers |= {name: lambda n=name: make(n) for name in EXTRA}
-    out.makers |= {"columns": lambda: f["column_frag"], "tables": lambda: merge.merge_tables(f["table_frag"].withColumn("present", F.when(F.col("has_comment"), F.array(F.lit("comment"))).otherwise(F.array().cast("array<string>"))))}
+    out.makers |= {
+        "columns": lambda: f["column_frag"],
+        "tables": lambda: merge.merge_tables(
+            f["table_frag"].withColumn("present", F.when(F.col("has_comment"), F.array(F.lit("comment"))).otherwise(F.array().cast("array<string>")))
+        ),
+    }
     out.makers["edges"] = lambda: merge.merge_associations(out["rich"])
     out["column_frag"], out["table_frag"] = f["column_frag"], f["table_frag"]
     return out
@@ -130,17 +135,30 @@ FROM (SELECT schema_id, least(table_name, target) AS a, greatest(table_name, tar
 @query("display_edges_all_kinds", edge_sql(RICH_DISPLAY))
 def display_edges_all_kinds(spark, sf_dir):
     r = rich(spark, sf_dir)
-    e = r["edges"].withColumn("pos", F.struct("seen", F.coalesce("foreign_key", F.lit("")).alias("k"), "name", "type", F.coalesce("through", F.lit("")).alias("h")))
+    e = r["edges"].withColumn(
+        "pos",
+        F.struct("seen", F.coalesce("foreign_key", F.lit("")).alias("k"), "name", "type", F.coalesce("through", F.lit("")).alias("h")),
+    )
     return edges.display_edges(r["tables"], e)
 
 
-@query("prune_keeps_polymorphic", edge_sql(f"SELECT {_EDGE} FROM rich_edges e WHERE polymorphic OR EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = e.schema_id AND t.table_name = e.target)"))
+@query(
+    "prune_keeps_polymorphic",
+    edge_sql(
+        f"SELECT {_EDGE} FROM rich_edges e WHERE polymorphic OR EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = e.schema_id AND t.table_name = e.target)"
+    ),
+)
 def prune_keeps_polymorphic(spark, sf_dir):
     r = rich(spark, sf_dir)
     return _edge(edges.prune_dangling(r["edges"], r["tables"]))
 
 
-@query("associations_report_all_types", edge_sql(f"SELECT {KEY}, type, name, target, CASE provenance WHEN 'db_fk' THEN 'DB FK' WHEN 'schema_fk' THEN 'schema FK' WHEN 'manual' THEN 'manual' ELSE 'code' END AS via FROM rich_edges"))
+@query(
+    "associations_report_all_types",
+    edge_sql(
+        f"SELECT {KEY}, type, name, target, CASE provenance WHEN 'db_fk' THEN 'DB FK' WHEN 'schema_fk' THEN 'schema FK' WHEN 'manual' THEN 'manual' ELSE 'code' END AS via FROM rich_edges"
+    ),
+)
 def associations_report_all_types(spark, sf_dir):
     return reports.association_list(rich(spark, sf_dir)["edges"])
 
@@ -156,7 +174,10 @@ _WARN = f"SELECT l.schema_id, l.table_name, l.target, l.foreign_key, l.role, l.n
     "override_warnings",
     rich_sql(
         _WARN.replace("'{0}' AS warning", "'config overrides' AS warning").replace("kind = '{0}'", "kind = 'config'").replace("{2}", "x.kind <> 'config'")
-        + " UNION ALL " + _WARN.replace("'{0}' AS warning", "'later model overrides' AS warning").replace("kind = '{0}'", "kind = 'framework'").replace("{2}", "x.kind = 'framework'"),
+        + " UNION ALL " + _WARN.replace(
+            "'{0}' AS warning",
+            "'later model overrides' AS warning",
+        ).replace("kind = '{0}'", "kind = 'framework'").replace("{2}", "x.kind = 'framework'"),
         ids=f"SELECT *, {_ROLE} AS role, CASE WHEN foreign_key IS NULL THEN through END AS t_, CASE WHEN foreign_key IS NULL THEN polymorphic END AS p_ FROM rich",
     ),
 )
@@ -167,7 +188,13 @@ def override_warnings(spark, sf_dir):
 _DROPS = "SELECT DISTINCT schema_id, table_name, 'belongs_to' AS type, CASE WHEN layer_seq % 2 = 0 THEN name END AS name, target, foreign_key, CAST(NULL AS STRING) AS through, CAST(NULL AS BOOLEAN) AS polymorphic FROM rich WHERE kind = 'config' AND foreign_key IS NOT NULL AND layer_seq % 3 = 0"
 
 
-@query("config_drops", edge_sql(f"SELECT {_EDGE} FROM rich_edges e WHERE NOT EXISTS (SELECT 1 FROM drops d WHERE d.schema_id = e.schema_id AND d.table_name = e.table_name AND d.target = e.target AND d.foreign_key = e.foreign_key AND (d.name IS NULL OR d.name = e.name))", drops=_DROPS))
+@query(
+    "config_drops",
+    edge_sql(
+        f"SELECT {_EDGE} FROM rich_edges e WHERE NOT EXISTS (SELECT 1 FROM drops d WHERE d.schema_id = e.schema_id AND d.table_name = e.table_name AND d.target = e.target AND d.foreign_key = e.foreign_key AND (d.name IS NULL OR d.name = e.name))",
+        drops=_DROPS,
+    ),
+)
 def config_drops(spark, sf_dir):
     r = rich(spark, sf_dir)
     return _edge(edges.drop_matches(r["edges"], spark.sql(_DROPS.replace("FROM rich", "FROM {rich}"), rich=r["rich"])))
@@ -175,7 +202,11 @@ def config_drops(spark, sf_dir):
 
 @query(
     "covered_fks",
-    edge_sql("SELECT schema_id, CAST(sum(n) AS BIGINT) AS n_covered FROM (SELECT schema_id, 1 AS n FROM rich WHERE provenance = 'db_fk' UNION ALL SELECT schema_id, -1 FROM reconciled WHERE provenance = 'db_fk') x GROUP BY 1 HAVING sum(n) > 0", ups=_UPS, reconciled=RICH_RECONCILED),
+    edge_sql(
+        "SELECT schema_id, CAST(sum(n) AS BIGINT) AS n_covered FROM (SELECT schema_id, 1 AS n FROM rich WHERE provenance = 'db_fk' UNION ALL SELECT schema_id, -1 FROM reconciled WHERE provenance = 'db_fk') x GROUP BY 1 HAVING sum(n) > 0",
+        ups=_UPS,
+        reconciled=RICH_RECONCILED,
+    ),
 )
 def covered_fks(spark, sf_dir):
     r = rich(spark, sf_dir)
@@ -187,7 +218,13 @@ _ONE = "SELECT DISTINCT schema_id, table_name, column_name AS foreign_key FROM i
 
 
 def _indexes(f) -> DataFrame:
-    return f["index_frag"].select("schema_id", "table_name", F.lit(None).cast("string").alias("name"), F.array("column_name").alias("columns"), F.lit(True).alias("unique"))
+    return f["index_frag"].select(
+        "schema_id",
+        "table_name",
+        F.lit(None).cast("string").alias("name"),
+        F.array("column_name").alias("columns"),
+        F.lit(True).alias("unique"),
+    )
 
 
 @query(
@@ -219,7 +256,12 @@ def pending_fk_warnings(spark, sf_dir):
 _RELATIONS = "SELECT DISTINCT schema_id, table_name, foreign_key AS column_name, target, layer_seq % 4 = 0 AS one_to_one FROM rich WHERE foreign_key IS NOT NULL AND kind = 'config'"
 
 
-@query("config_relations", rich_sql(f"SELECT k.schema_id, k.table_name, CASE WHEN one_to_one OR o.foreign_key IS NOT NULL THEN 'has_one' ELSE 'belongs_to' END AS type, regexp_replace(column_name, '_id$', '') AS name, target, column_name AS foreign_key FROM ({_RELATIONS}) k LEFT JOIN ({_ONE}) o ON o.schema_id = k.schema_id AND o.table_name = k.table_name AND o.foreign_key = k.column_name"))
+@query(
+    "config_relations",
+    rich_sql(
+        f"SELECT k.schema_id, k.table_name, CASE WHEN one_to_one OR o.foreign_key IS NOT NULL THEN 'has_one' ELSE 'belongs_to' END AS type, regexp_replace(column_name, '_id$', '') AS name, target, column_name AS foreign_key FROM ({_RELATIONS}) k LEFT JOIN ({_ONE}) o ON o.schema_id = k.schema_id AND o.table_name = k.table_name AND o.foreign_key = k.column_name"
+    ),
+)
 def config_relations(spark, sf_dir):
     r, f = rich(spark, sf_dir), frames(spark, sf_dir)
     return edges.config_relations(spark.sql(_RELATIONS.replace("FROM rich", "FROM {rich}"), rich=r["rich"]), _indexes(f)).drop("provenance")
@@ -228,24 +270,44 @@ def config_relations(spark, sf_dir):
 # -- notes and groups
 
 
-@query("note_report", rich_sql("SELECT schema_id, note_id, CASE scope WHEN 'global' THEN 'global' WHEN 'table' THEN table_name ELSE concat(source_table, ' → ', target) END AS target, coalesce(title, '') AS title, text, url AS links FROM notes"))
+@query(
+    "note_report",
+    rich_sql(
+        "SELECT schema_id, note_id, CASE scope WHEN 'global' THEN 'global' WHEN 'table' THEN table_name ELSE concat(source_table, ' → ', target) END AS target, coalesce(title, '') AS title, text, url AS links FROM notes"
+    ),
+)
 def note_report(spark, sf_dir):
     return reports.note_list(note_rows(rich(spark, sf_dir)))
 
 
-@query("group_report", rich_sql("SELECT g.schema_id, g.group_id, title, coalesce(color, '') AS color, string_agg(table_name, ', ' ORDER BY table_name) AS tables FROM groups_ g JOIN members m ON m.schema_id = g.schema_id AND m.group_id = g.group_id GROUP BY ALL"))
+@query(
+    "group_report",
+    rich_sql(
+        "SELECT g.schema_id, g.group_id, title, coalesce(color, '') AS color, string_agg(table_name, ', ' ORDER BY table_name) AS tables FROM groups_ g JOIN members m ON m.schema_id = g.schema_id AND m.group_id = g.group_id GROUP BY ALL"
+    ),
+)
 def group_report(spark, sf_dir):
     r = rich(spark, sf_dir)
     return reports.group_list(r["groups_"], r["members"])
 
 
-@query("group_labels", rich_sql("SELECT m.schema_id, m.table_name, CASE WHEN title <> '' THEN title ELSE g.group_id END AS label FROM groups_ g JOIN members m ON m.schema_id = g.schema_id AND m.group_id = g.group_id"))
+@query(
+    "group_labels",
+    rich_sql(
+        "SELECT m.schema_id, m.table_name, CASE WHEN title <> '' THEN title ELSE g.group_id END AS label FROM groups_ g JOIN members m ON m.schema_id = g.schema_id AND m.group_id = g.group_id"
+    ),
+)
 def group_labels(spark, sf_dir):
     r = rich(spark, sf_dir)
     return reports.group_labels(r["groups_"], r["members"])
 
 
-@query("notes_of_kept_tables", rich_sql("SELECT schema_id, note_id, scope FROM notes n WHERE scope = 'global' OR (coalesce(table_name, source_table) NOT LIKE 'b%' AND EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = n.schema_id AND t.table_name = coalesce(n.table_name, n.source_table)) AND (scope = 'table' OR (target NOT LIKE 'b%' AND EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = n.schema_id AND t.table_name = n.target))))"))
+@query(
+    "notes_of_kept_tables",
+    rich_sql(
+        "SELECT schema_id, note_id, scope FROM notes n WHERE scope = 'global' OR (coalesce(table_name, source_table) NOT LIKE 'b%' AND EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = n.schema_id AND t.table_name = coalesce(n.table_name, n.source_table)) AND (scope = 'table' OR (target NOT LIKE 'b%' AND EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = n.schema_id AND t.table_name = n.target))))"
+    ),
+)
 def notes_of_kept_tables(spark, sf_dir):
     r = rich(spark, sf_dir)
     left = filters.keep_tables(r["tables"], exclude=["b*"])
@@ -259,7 +321,12 @@ def groups_of_kept_tables(spark, sf_dir):
     return members.groupBy("schema_id", "group_id").agg(F.count("*").alias("n_tables"))
 
 
-@query("violations_of_notes_and_groups", rich_sql("SELECT schema_id, concat('groups.', group_id) AS path, 'colour is not a hex colour' AS rule FROM groups_ WHERE color = 'red' UNION ALL SELECT schema_id, concat('notes.', note_id), 'link is not http or https' FROM notes WHERE url LIKE 'ftp%' UNION ALL SELECT schema_id, table_name, 'table in two groups' FROM members GROUP BY 1, 2 HAVING count(*) > 1"))
+@query(
+    "violations_of_notes_and_groups",
+    rich_sql(
+        "SELECT schema_id, concat('groups.', group_id) AS path, 'colour is not a hex colour' AS rule FROM groups_ WHERE color = 'red' UNION ALL SELECT schema_id, concat('notes.', note_id), 'link is not http or https' FROM notes WHERE url LIKE 'ftp%' UNION ALL SELECT schema_id, table_name, 'table in two groups' FROM members GROUP BY 1, 2 HAVING count(*) > 1"
+    ),
+)
 def violations_of_notes_and_groups(spark, sf_dir):
     r = rich(spark, sf_dir)
     found = validate.colours(r["groups_"]).unionByName(validate.links(note_rows(r))).unionByName(validate.group_overlap(r["members"]))
@@ -269,11 +336,24 @@ def violations_of_notes_and_groups(spark, sf_dir):
 _WANTED = "SELECT schema_id, note_id, source_table AS table_name, target FROM notes WHERE scope = 'relation'"
 
 
-@query("note_targets", edge_sql(f"SELECT n.schema_id, n.note_id, count(e.name) AS n FROM ({_WANTED}) n LEFT JOIN rich_edges e ON e.schema_id = n.schema_id AND e.table_name = n.table_name AND e.target = n.target AND e.type = 'has_many' AND e.foreign_key IS NULL GROUP BY 1, 2 HAVING count(e.name) <> 1"))
+@query(
+    "note_targets",
+    edge_sql(
+        f"SELECT n.schema_id, n.note_id, count(e.name) AS n FROM ({_WANTED}) n LEFT JOIN rich_edges e ON e.schema_id = n.schema_id AND e.table_name = n.table_name AND e.target = n.target AND e.type = 'has_many' AND e.foreign_key IS NULL GROUP BY 1, 2 HAVING count(e.name) <> 1"
+    ),
+)
 def note_targets(spark, sf_dir):
     """Relation notes that mean none or several edges; they narrow by type and by the absence of a foreign key."""
     r = rich(spark, sf_dir)
-    n = r["notes"].where("scope = 'relation'").select("schema_id", "note_id", F.col("source_table").alias("table_name"), "target", F.array(F.lit("type"), F.lit("foreign_key")).alias("present"), F.lit("has_many").alias("type"), *(F.lit(None).cast(t).alias(c) for c, t in (("foreign_key", "string"), ("name", "string"), ("through", "string"), ("polymorphic", "boolean"))))
+    n = r["notes"].where("scope = 'relation'").select(
+        "schema_id",
+        "note_id",
+        F.col("source_table").alias("table_name"),
+        "target",
+        F.array(F.lit("type"), F.lit("foreign_key")).alias("present"),
+        F.lit("has_many").alias("type"),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("foreign_key", "string"), ("name", "string"), ("through", "string"), ("polymorphic", "boolean"))),
+    )
     return edges.resolve_notes(n, r["edges"])[1]
 
 
@@ -308,10 +388,20 @@ def sidecar_diff(spark, sf_dir):
 _PKS = "SELECT schema_id, table_name, bool_or(kind = 'config') AS config_pk, min(name) AS key_column FROM column_frag WHERE pos <= 2 GROUP BY 1, 2"
 
 
-@query("normalized_primary_keys", with_ctes(f"SELECT c.schema_id, c.table_name, c.name, c.name = k.key_column OR (NOT k.config_pk AND c.p) AS is_primary FROM (SELECT {KEY}, name, bool_or(is_primary) AS p FROM column_frag GROUP BY ALL) c JOIN ({_PKS}) k ON k.schema_id = c.schema_id AND k.table_name = c.table_name"))
+@query(
+    "normalized_primary_keys",
+    with_ctes(
+        f"SELECT c.schema_id, c.table_name, c.name, c.name = k.key_column OR (NOT k.config_pk AND c.p) AS is_primary FROM (SELECT {KEY}, name, bool_or(is_primary) AS p FROM column_frag GROUP BY ALL) c JOIN ({_PKS}) k ON k.schema_id = c.schema_id AND k.table_name = c.table_name"
+    ),
+)
 def normalized_primary_keys(spark, sf_dir):
     f = frames(spark, sf_dir, keep=True)
-    keys = spark.sql(_PKS.replace("FROM column_frag", "FROM {c}"), c=f["column_frag"]).select("schema_id", "table_name", "config_pk", F.array("key_column").alias("primary_key"))
+    keys = spark.sql(_PKS.replace("FROM column_frag", "FROM {c}"), c=f["column_frag"]).select(
+        "schema_id",
+        "table_name",
+        "config_pk",
+        F.array("key_column").alias("primary_key"),
+    )
     columns = f["column_frag"].groupBy("schema_id", "table_name", "name").agg(F.bool_or("is_primary").alias("primary"))
     out = merge.normalize_primary_key(columns.join(keys.select("schema_id", "table_name"), ["schema_id", "table_name"], "left_semi"), keys)
     return out.select("schema_id", "table_name", "name", F.col("primary").alias("is_primary"))
@@ -335,7 +425,12 @@ def config_composites(spark, sf_dir):
     return merge.apply_composites(ops, ["name"], "mode").select("schema_id", "table_name", "kind", "layer_seq", "name")
 
 
-@query("schema_counts", rich_sql("SELECT t.schema_id, t.n AS n_tables, coalesce(c.n, 0) AS n_columns, coalesce(i.n, 0) AS n_indexes FROM (SELECT schema_id, count(*) AS n FROM tables_ GROUP BY 1) t LEFT JOIN (SELECT schema_id, count(*) AS n FROM columns_ GROUP BY 1) c ON c.schema_id = t.schema_id LEFT JOIN (SELECT schema_id, count(*) AS n FROM indexes_ GROUP BY 1) i ON i.schema_id = t.schema_id"))
+@query(
+    "schema_counts",
+    rich_sql(
+        "SELECT t.schema_id, t.n AS n_tables, coalesce(c.n, 0) AS n_columns, coalesce(i.n, 0) AS n_indexes FROM (SELECT schema_id, count(*) AS n FROM tables_ GROUP BY 1) t LEFT JOIN (SELECT schema_id, count(*) AS n FROM columns_ GROUP BY 1) c ON c.schema_id = t.schema_id LEFT JOIN (SELECT schema_id, count(*) AS n FROM indexes_ GROUP BY 1) i ON i.schema_id = t.schema_id"
+    ),
+)
 def schema_counts(spark, sf_dir):
     from .catalogue import merged
 
@@ -368,12 +463,27 @@ _SINGULAR = f"CASE WHEN regexp_matches({_WORD}, 'ies$') THEN regexp_replace({_WO
 def name_functions(spark, sf_dir):
     """Names of the catalogue made from the words of part and nation."""
     part, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "nation"))
-    words = part.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("word")).union(nation.select(F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")), F.lit("Key")))).where("word <> ''").distinct()
+    words = part.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("word")).union(
+        nation.select(F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")), F.lit("Key")))
+    ).where("word <> ''").distinct()
     w = F.col("word")
-    return words.select("word", names.pluralize(F.lower(w)).alias("plural"), names.singularize(F.lower(w)).alias("singular"), names.to_snake(w).alias("snake"), names.index_name(w, F.array(w, F.lit("x"))).alias("index_name"), names.join_table(w, F.lit("m")).alias("join_table"), names.dbml_name(w).alias("dbml"))
+    return words.select(
+        "word",
+        names.pluralize(F.lower(w)).alias("plural"),
+        names.singularize(F.lower(w)).alias("singular"),
+        names.to_snake(w).alias("snake"),
+        names.index_name(w, F.array(w, F.lit("x"))).alias("index_name"),
+        names.join_table(w, F.lit("m")).alias("join_table"),
+        names.dbml_name(w).alias("dbml"),
+    )
 
 
-@query("dictionary_search_notes", rich_sql("SELECT c.schema_id, c.table_name, c.name AS column_name FROM columns_ c WHERE contains(lower(c.name), 'on f') OR contains(lower(coalesce(c.comment, '')), 'on f') OR contains(c.table_name, 'on f') OR EXISTS (SELECT 1 FROM notes n WHERE n.scope = 'table' AND n.schema_id = c.schema_id AND n.table_name = c.table_name AND contains(lower(concat_ws(' ', n.title, n.text)), 'on f'))"))
+@query(
+    "dictionary_search_notes",
+    rich_sql(
+        "SELECT c.schema_id, c.table_name, c.name AS column_name FROM columns_ c WHERE contains(lower(c.name), 'on f') OR contains(lower(coalesce(c.comment, '')), 'on f') OR contains(c.table_name, 'on f') OR EXISTS (SELECT 1 FROM notes n WHERE n.scope = 'table' AND n.schema_id = c.schema_id AND n.table_name = c.table_name AND contains(lower(concat_ws(' ', n.title, n.text)), 'on f'))"
+    ),
+)
 def dictionary_search_notes(spark, sf_dir):
     from .catalogue import merged
 
@@ -408,7 +518,23 @@ def digest_with_notes(spark, sf_dir):
     keys = F.struct("type", "name", "foreign_key", "through", "polymorphic")
     order = F.struct("type", "name", F.coalesce("foreign_key", F.lit("")), F.coalesce("through", F.lit("")), "polymorphic")
     first = r["edges"].groupBy("schema_id", F.col("table_name").alias("source_table"), "target").agg(F.min_by(keys, order).alias("m"))
-    notes = written(r["notes"].join(first, ["schema_id", "source_table", "target"], "left").select("schema_id", "note_id", "scope", "title", "text", "table_name", "source_table", "target", "m.*"), "hanging")
+    notes = written(
+        r["notes"].join(first, ["schema_id", "source_table", "target"], "left").select(
+            "schema_id",
+            "note_id",
+            "scope",
+            "title",
+            "text",
+            "table_name",
+            "source_table",
+            "target",
+            "m.*",
+        ),
+        "hanging",
+    )
     notes = notes.where("scope <> 'relation' OR type IS NOT NULL")
-    columns = spark.createDataFrame([], f"schema_id {r['tables'].schema['schema_id'].dataType.simpleString()}, table_name string, pos int, name string, type string, primary boolean, comment string")
+    columns = spark.createDataFrame(
+        [],
+        f"schema_id {r['tables'].schema['schema_id'].dataType.simpleString()}, table_name string, pos int, name string, type string, primary boolean, comment string",
+    )
     return reports.digest(r["tables"], columns, r["edges"].drop("seen"), notes=notes)

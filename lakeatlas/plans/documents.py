@@ -58,7 +58,9 @@ def dictionary(spark, sf_dir):
 
 @query(
     "dictionary_search",
-    final_sql(f"SELECT schema_id, table_name, pos, name AS column_name FROM columns_ c WHERE contains(lower(name), 'tag') OR contains(lower(coalesce(comment, '')), 'd1') OR contains(table_name, 'tag')"),
+    final_sql(
+        f"SELECT schema_id, table_name, pos, name AS column_name FROM columns_ c WHERE contains(lower(name), 'tag') OR contains(lower(coalesce(comment, '')), 'd1') OR contains(table_name, 'tag')"
+    ),
 )
 def dictionary_search(spark, sf_dir):
     from lakeatlas.operators.filters import search
@@ -85,7 +87,12 @@ def index_report(spark, sf_dir):
     return reports.index_list(merge.merge_indexes(fragments(spark, sf_dir)["indexes"]))
 
 
-@query("associations_report", final_sql(f"SELECT {KEY}, type, name, target, CASE provenance WHEN 'db_fk' THEN 'DB FK' WHEN 'schema_fk' THEN 'schema FK' WHEN 'manual' THEN 'manual' ELSE 'code' END AS via FROM final_"))
+@query(
+    "associations_report",
+    final_sql(
+        f"SELECT {KEY}, type, name, target, CASE provenance WHEN 'db_fk' THEN 'DB FK' WHEN 'schema_fk' THEN 'schema FK' WHEN 'manual' THEN 'manual' ELSE 'code' END AS via FROM final_"
+    ),
+)
 def associations_report(spark, sf_dir):
     return reports.association_list(final(spark, sf_dir)["edges"])
 
@@ -233,7 +240,13 @@ def _half(cond: str) -> dict[str, str]:
 
 _STATE = {"tables_": TABLES_SQL, "columns_": COLUMNS_SQL}
 _NOW, _BASE = _half("seen_on >= DATE '1997-01-01'"), _half("seen_on < DATE '2000-01-01'")
-_TXT = {"type": "coalesce({0}.type, '')", "nullable": "CASE WHEN {0}.nullable THEN 'true' ELSE '' END", "primary": "CASE WHEN {0}.is_primary THEN 'true' ELSE '' END", "default": "coalesce({0}.default_value, '')", "comment": "coalesce({0}.comment, '')"}
+_TXT = {
+    "type": "coalesce({0}.type, '')",
+    "nullable": "CASE WHEN {0}.nullable THEN 'true' ELSE '' END",
+    "primary": "CASE WHEN {0}.is_primary THEN 'true' ELSE '' END",
+    "default": "coalesce({0}.default_value, '')",
+    "comment": "coalesce({0}.comment, '')",
+}
 DRIFT_SQL = f"""
 WITH {", ".join(f"{k} AS ({v})" for k, v in CTES.items())}, lt AS ({_NOW["tables_"]}), rt AS ({_BASE["tables_"]}), lc AS ({_NOW["columns_"]}), rc AS ({_BASE["columns_"]}),
 both_t AS (SELECT lt.schema_id, lt.table_name FROM lt JOIN rt ON lt.schema_id = rt.schema_id AND lt.table_name = rt.table_name)
@@ -262,7 +275,9 @@ def _plain_documents(m: dict[str, DataFrame]) -> DataFrame:
     none = lambda ddl: spark.createDataFrame([], ddl)
     key = f"schema_id {m['tables'].schema['schema_id'].dataType.simpleString()}, table_name string"
     indexes = none(f"{key}, name string, columns array<string>, unique boolean")
-    edges_ = none(f"{key}, type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>")
+    edges_ = none(
+        f"{key}, type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>"
+    )
     return canonical.schema_json(canonical.table_json(m["tables"], m["columns"], indexes, edges_))
 
 

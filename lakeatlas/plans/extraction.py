@@ -54,7 +54,12 @@ def snapshot_columns(spark, sf_dir):
     return c.select("schema_id", "table_name", (F.col("pos") + 1).alias("pos"), "name", "type", "nullable", F.col("primary").alias("is_primary"))
 
 
-@query("dangling_targets", final_sql("SELECT e.schema_id, concat(e.table_name, '.', e.name) AS path, 'target does not exist' AS rule FROM edges_ e WHERE NOT EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = e.schema_id AND t.table_name = e.target)"))
+@query(
+    "dangling_targets",
+    final_sql(
+        "SELECT e.schema_id, concat(e.table_name, '.', e.name) AS path, 'target does not exist' AS rule FROM edges_ e WHERE NOT EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = e.schema_id AND t.table_name = e.target)"
+    ),
+)
 def dangling_targets(spark, sf_dir):
     m = merged(spark, sf_dir)
     missing = m["tables"].select("schema_id", "table_name", F.lit(False).alias("schema_missing"))
@@ -66,4 +71,7 @@ def dangling_targets(spark, sf_dir):
 def duplicate_tables(spark, sf_dir):
     t = fragments(spark, sf_dir)["tables"]
     again = validate.duplicates(t.drop("layer_seq"), ["table_name"], "table defined twice")
-    return again.join(t.groupBy("schema_id", F.col("table_name").alias("path")).agg(F.count("*").alias("n")), ["schema_id", "path"]).select("schema_id", "path", "n")
+    return again.join(
+        t.groupBy("schema_id", F.col("table_name").alias("path")).agg(F.count("*").alias("n")),
+        ["schema_id", "path"],
+    ).select("schema_id", "path", "n")

@@ -46,13 +46,42 @@ def read_postgres(extracts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     pk = con.where("contype = 'p'").select(F.col("conrelid").alias("attrelid"), F.explode("conkey").alias("attnum")).distinct().withColumn("_pk", F.lit("PRI"))
     full = att.join(dflt, ["attrelid", "attnum"], "left").join(pk, ["attrelid", "attnum"], "left")
     serial = F.col("default_text").startswith("nextval(")
-    columns = full.select("schema_id", "table_name", F.col("attnum").cast("int").alias("ordinal"), F.col("attname").alias("column_name"), F.regexp_replace("typname", r"\(.*\)", "").alias("data_type"), F.col("typname").alias("column_type"), F.when(F.col("attnotnull"), "NO").otherwise("YES").alias("is_nullable"), F.coalesce("_pk", F.lit("")).alias("column_key"), F.when(serial, "").otherwise(F.coalesce("default_text", F.lit(""))).alias("column_default"), F.when(serial, "serial").when(F.coalesce("attidentity", F.lit("")) != "", "identity").otherwise("").alias("extra"), F.lit("").alias("column_comment"))
+    columns = full.select(
+        "schema_id",
+        "table_name",
+        F.col("attnum").cast("int").alias("ordinal"),
+        F.col("attname").alias("column_name"),
+        F.regexp_replace("typname", r"\(.*\)", "").alias("data_type"),
+        F.col("typname").alias("column_type"),
+        F.when(F.col("attnotnull"), "NO").otherwise("YES").alias("is_nullable"),
+        F.coalesce("_pk", F.lit("")).alias("column_key"),
+        F.when(serial, "").otherwise(F.coalesce("default_text", F.lit(""))).alias("column_default"),
+        F.when(serial, "serial").when(F.coalesce("attidentity", F.lit("")) != "", "identity").otherwise("").alias("extra"),
+        F.lit("").alias("column_comment"),
+    )
     names = att.select("attrelid", "attnum", "attname")
     ref = rel.select(F.col("attrelid").alias("confrelid"), F.col("table_name").alias("ref_table"))
     fk = con.where("contype = 'f' AND size(conkey) = 1").select(F.col("conrelid").alias("attrelid"), "confrelid", F.col("conkey")[0].alias("attnum"))
-    fks = fk.join(rel, "attrelid").join(ref, "confrelid").join(names, ["attrelid", "attnum"]).select("schema_id", "table_name", F.col("attname").alias("column_name"), "ref_table")
-    ix = extracts["pg_index"].where("NOT indisprimary").select(F.col("indrelid").alias("attrelid"), F.col("indexname").alias("index_name"), F.when(F.col("indisunique"), 0).otherwise(1).alias("non_unique"), F.posexplode("indkey").alias("seq", "attnum"))
-    indexes = ix.join(rel, "attrelid").join(names, ["attrelid", "attnum"]).select("schema_id", "table_name", "index_name", "non_unique", (F.col("seq") + 1).alias("seq"), F.col("attname").alias("column_name"))
+    fks = fk.join(rel, "attrelid").join(ref, "confrelid").join(names, ["attrelid", "attnum"]).select(
+        "schema_id",
+        "table_name",
+        F.col("attname").alias("column_name"),
+        "ref_table",
+    )
+    ix = extracts["pg_index"].where("NOT indisprimary").select(
+        F.col("indrelid").alias("attrelid"),
+        F.col("indexname").alias("index_name"),
+        F.when(F.col("indisunique"), 0).otherwise(1).alias("non_unique"),
+        F.posexplode("indkey").alias("seq", "attnum"),
+    )
+    indexes = ix.join(rel, "attrelid").join(names, ["attrelid", "attnum"]).select(
+        "schema_id",
+        "table_name",
+        "index_name",
+        "non_unique",
+        (F.col("seq") + 1).alias("seq"),
+        F.col("attname").alias("column_name"),
+    )
     return {"tables": rel.select("schema_id", "table_name", F.lit("").alias("table_comment")), "columns": columns, "fks": fks, "indexes": indexes}
 
 
@@ -61,20 +90,59 @@ def catalogue_from_rows(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
     tables = rows["tables"]
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     raw = base_tables_only(rows["columns"], tables)
-    columns = raw.select(*TABLE, F.col("ordinal").alias("pos"), F.col("column_name").alias("name"), coarse_type(F.col("data_type")).alias("type"), F.col("column_type").alias("sql_type"), (F.col("is_nullable") == "YES").alias("nullable"), (F.col("column_key") == "PRI").alias("primary"), blank("column_default").alias("default"), blank("extra").alias("extra"), blank("column_comment").alias("comment"))
+    columns = raw.select(
+        *TABLE,
+        F.col("ordinal").alias("pos"),
+        F.col("column_name").alias("name"),
+        coarse_type(F.col("data_type")).alias("type"),
+        F.col("column_type").alias("sql_type"),
+        (F.col("is_nullable") == "YES").alias("nullable"),
+        (F.col("column_key") == "PRI").alias("primary"),
+        blank("column_default").alias("default"),
+        blank("extra").alias("extra"),
+        blank("column_comment").alias("comment"),
+    )
     keys = columns.where("primary").groupBy(*TABLE).agg(F.array(F.min_by("name", "pos")).alias("primary_key"))
-    by = base_tables_only(rows["indexes"], tables).groupBy(*TABLE, F.col("index_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "column_name"))), lambda x: x["column_name"]).alias("columns"), (F.max("non_unique") == 0).alias("unique"))
-    return {"tables": tables.select(*TABLE, blank("table_comment").alias("comment")).join(keys, TABLE, "left"), "columns": columns, "indexes": by, "associations": fk_associations(rows["fks"], tables, by)}
+    by = base_tables_only(rows["indexes"], tables).groupBy(*TABLE, F.col("index_name").alias("name")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "column_name"))), lambda x: x["column_name"]).alias("columns"),
+        (F.max("non_unique") == 0).alias("unique"),
+    )
+    return {
+        "tables": tables.select(*TABLE, blank("table_comment").alias("comment")).join(keys, TABLE, "left"),
+        "columns": columns,
+        "indexes": by,
+        "associations": fk_associations(rows["fks"], tables, by),
+    }
 
 
 def lake_columns(spark: SparkSession, datasets: dict[str, DataFrame], schema_id: str, layer_seq: int = 0) -> DataFrame:
     """Column fragments (kind db) of DataFrames by name: what is deployed in the lake. Only schemas are looked at."""
     rows = [(schema_id, layer_seq, "db", name, i, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment")) for name, df in datasets.items() for i, f in enumerate(df.schema.fields, 1)]
-    df = spark.createDataFrame(rows, "schema_id STRING, layer_seq INT, kind STRING, table_name STRING, pos INT, name STRING, sql_type STRING, nullable BOOLEAN, comment STRING")
+    df = spark.createDataFrame(
+        rows,
+        "schema_id STRING, layer_seq INT, kind STRING, table_name STRING, pos INT, name STRING, sql_type STRING, nullable BOOLEAN, comment STRING",
+    )
     base = F.regexp_replace("sql_type", r"\(.*$", "")
-    kind = F.when(base == "decimal", "decimal").when(base.startswith("interval"), "interval").otherwise(F.coalesce(lookup(base, SPARK_TYPES), F.lower("sql_type")))
+    kind = F.when(base == "decimal", "decimal").when(base.startswith("interval"), "interval").otherwise(
+        F.coalesce(lookup(base, SPARK_TYPES), F.lower("sql_type"))
+    )
     present = F.array_compact(F.array(F.lit("type"), F.lit("sql_type"), F.lit("nullable"), F.when(F.col("comment").isNotNull(), "comment")))
-    return df.select("schema_id", "layer_seq", "kind", "table_name", "pos", "name", present.alias("present"), kind.alias("type"), "sql_type", "nullable", F.lit(False).alias("primary"), F.lit(None).cast("string").alias("default"), F.lit(None).cast("string").alias("extra"), "comment")
+    return df.select(
+        "schema_id",
+        "layer_seq",
+        "kind",
+        "table_name",
+        "pos",
+        "name",
+        present.alias("present"),
+        kind.alias("type"),
+        "sql_type",
+        "nullable",
+        F.lit(False).alias("primary"),
+        F.lit(None).cast("string").alias("default"),
+        F.lit(None).cast("string").alias("extra"),
+        "comment",
+    )
 
 
 def lake_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:

@@ -50,7 +50,9 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
     """columns(project, path, table_name, pos, name, type, primary, nullable, unique, increment, default, note), refs, warnings."""
     b = blocks(lines(corpus), rf"^\s*Table\s+{_NAME}", r"^\}")
     inside = b.where("head IS NOT NULL AND NOT opens").withColumn("table_name", unquoted(F.regexp_extract("head", rf"^\s*Table\s+{_NAME}", 1)))
-    depth = F.sum(F.when(F.col("text").rlike(r"\{\s*$"), 1).when(F.col("text").rlike(r"^\s+\}"), -1).otherwise(0)).over(Window.partitionBy(*FILE, "table_name").orderBy("line"))
+    depth = F.sum(
+        F.when(F.col("text").rlike(r"\{\s*$"), 1).when(F.col("text").rlike(r"^\s+\}"), -1).otherwise(0)
+    ).over(Window.partitionBy(*FILE, "table_name").orderBy("line"))
     flat = inside.withColumn("depth", depth)
     column = rf"^\s+{_NAME}\s+([^\[\s][^\[]*?)\s*(\[.*\])?\s*$"
     rows = flat.where(F.col("text").rlike(column) & (F.col("depth") == 0) & ~F.col("text").rlike(r"^\s*(Note|indexes)\b[:\s{]"))
@@ -58,19 +60,46 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
     pk = attrs.rlike(r"[\[,]\s*(pk|primary key)\s*[\],]")
     kind = group(column, 2)
     columns = rows.select(
-        *FILE, "table_name", "line", unquoted(group(column, 1)).alias("name"), token_type(kind, SQL_TYPES).alias("type"), kind.alias("sql_type"), pk.alias("primary"), (~(pk | attrs.rlike(r"[\[,]\s*not null\s*[\],]"))).alias("nullable"),
-        attrs.rlike(r"[\[,]\s*unique\s*[\],]").alias("unique"), attrs.rlike(r"[\[,]\s*increment\s*[\],]").alias("increment"), F.nullif(F.regexp_replace(F.regexp_extract(attrs, r"default:\s*('(?:[^'\\]|\\.)*'|[^,\]]+)", 1), "^'|'$", ""), F.lit("")).alias("default"),
+        *FILE, "table_name", "line", unquoted(group(column, 1)).alias("name"), token_type(kind, SQL_TYPES).alias("type"), kind.alias("sql_type"), pk.alias("primary"), (
+            ~(pk | attrs.rlike(r"[\[,]\s*not null\s*[\],]"))
+        ).alias("nullable"),
+        attrs.rlike(r"[\[,]\s*unique\s*[\],]").alias("unique"), attrs.rlike(r"[\[,]\s*increment\s*[\],]").alias("increment"), F.nullif(
+            F.regexp_replace(F.regexp_extract(attrs, r"default:\s*('(?:[^'\\]|\\.)*'|[^,\]]+)", 1), "^'|'$", ""),
+            F.lit(""),
+        ).alias("default"),
     )
     columns = columns.withColumn("pos", F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line"))).drop("line")
     ref = rf"^\s*Ref[^:]*:\s*{_NAME}\.{_NAME}\s*(<>|[<>-])\s*{_NAME}\.{_NAME}"
     # names may hold dots only when quoted
     ref = ref.replace(r"[\w.]+", r"\w+")
-    found = b.where(F.col("text").rlike(ref)).select(*FILE, unquoted(group(ref, 1)).alias("l"), unquoted(group(ref, 2)).alias("lc"), group(ref, 3).alias("op"), unquoted(group(ref, 4)).alias("r"), unquoted(group(ref, 5)).alias("rc"))
+    found = b.where(F.col("text").rlike(ref)).select(
+        *FILE,
+        unquoted(group(ref, 1)).alias("l"),
+        unquoted(group(ref, 2)).alias("lc"),
+        group(ref, 3).alias("op"),
+        unquoted(group(ref, 4)).alias("r"),
+        unquoted(group(ref, 5)).alias("rc"),
+    )
     swap = F.col("op") == "<"
-    refs = found.where("op <> '<>'").select(*FILE, F.when(swap, F.col("r")).otherwise(F.col("l")).alias("table_name"), F.when(swap, F.col("rc")).otherwise(F.col("lc")).alias("column_name"), F.when(swap, F.col("l")).otherwise(F.col("r")).alias("ref_table"), (F.col("op") == "-").alias("one_to_one"))
-    indexes = flat.where(F.col("text").rlike(r"^\s+\(([^)]*)\)") & (F.col("depth") >= 1)).select(*FILE, "table_name", F.transform(F.split(group(r"\(([^)]*)\)"), r"\s*,\s*"), unquoted).alias("columns"), F.col("text").rlike(r"[\[,]\s*unique\b").alias("unique"), F.col("text").rlike(r"\[pk\]").alias("primary"), group(r"name:\s*'([^']*)'").alias("name"))
+    refs = found.where("op <> '<>'").select(
+        *FILE,
+        F.when(swap, F.col("r")).otherwise(F.col("l")).alias("table_name"),
+        F.when(swap, F.col("rc")).otherwise(F.col("lc")).alias("column_name"),
+        F.when(swap, F.col("l")).otherwise(F.col("r")).alias("ref_table"),
+        (F.col("op") == "-").alias("one_to_one"),
+    )
+    indexes = flat.where(F.col("text").rlike(r"^\s+\(([^)]*)\)") & (F.col("depth") >= 1)).select(
+        *FILE,
+        "table_name",
+        F.transform(F.split(group(r"\(([^)]*)\)"), r"\s*,\s*"), unquoted).alias("columns"),
+        F.col("text").rlike(r"[\[,]\s*unique\b").alias("unique"),
+        F.col("text").rlike(r"\[pk\]").alias("primary"),
+        group(r"name:\s*'([^']*)'").alias("name"),
+    )
     composite = b.where(F.col("text").rlike(r"^\s*Ref[^:]*:.*\.\(")).select(*FILE, "line", F.lit("composite Ref").alias("message"))
-    skipped = b.where(F.col("text").rlike(r"^\s*(TableGroup|Note)\b.*\{\s*$") & F.col("head").isNull()).select(*FILE, "line", F.lit("ignored block").alias("message"))
+    skipped = b.where(
+        F.col("text").rlike(r"^\s*(TableGroup|Note)\b.*\{\s*$") & F.col("head").isNull()
+    ).select(*FILE, "line", F.lit("ignored block").alias("message"))
     return {"columns": columns, "indexes": indexes, "refs": refs, "warnings": composite.union(skipped)}
 
 
@@ -86,12 +115,33 @@ def mermaid(corpus: DataFrame) -> dict[str, DataFrame]:
     b = blocks(lines(corpus), header)
     column = r"^\s+(\S+)\s+([\w.-]+)(?:\s+([A-Z, ]+))?(?:\s+\".*\")?\s*$"
     rows = b.where("head IS NOT NULL AND NOT opens").where(F.col("text").rlike(column)).withColumn("table_name", F.regexp_extract("head", header, 1))
-    columns = rows.select(*FILE, "table_name", F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line")).alias("pos"), group(column, 2).alias("name"), group(column, 1).alias("type"), F.coalesce(group(column, 3), F.lit("")).contains("PK").alias("primary"))
-    r = b.where(F.col("head").isNull() & F.col("text").rlike(_RELATION)).select(*FILE, "line", group(_RELATION, 1).alias("l"), group(_RELATION, 2).alias("ls"), group(_RELATION, 3).alias("rs"), group(_RELATION, 4).alias("r"), group(_RELATION, 5).alias("label"))
+    columns = rows.select(
+        *FILE,
+        "table_name",
+        F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line")).alias("pos"),
+        group(column, 2).alias("name"),
+        group(column, 1).alias("type"),
+        F.coalesce(group(column, 3), F.lit("")).contains("PK").alias("primary"),
+    )
+    r = b.where(F.col("head").isNull() & F.col("text").rlike(_RELATION)).select(
+        *FILE,
+        "line",
+        group(_RELATION, 1).alias("l"),
+        group(_RELATION, 2).alias("ls"),
+        group(_RELATION, 3).alias("rs"),
+        group(_RELATION, 4).alias("r"),
+        group(_RELATION, 5).alias("label"),
+    )
     many_l, many_r = F.col("ls").startswith("}"), F.col("rs").endswith("{")
     kind = F.when(many_l & many_r, "has_and_belongs_to_many").when(~many_l & ~many_r, "has_one").otherwise("belongs_to")
     on_right = many_r & ~many_l
-    edges = r.select(*FILE, F.when(on_right, F.col("r")).otherwise(F.col("l")).alias("table_name"), kind.alias("type"), F.coalesce("label", F.when(on_right, F.col("l")).otherwise(F.col("r"))).alias("name"), F.when(on_right, F.col("l")).otherwise(F.col("r")).alias("target"))
+    edges = r.select(
+        *FILE,
+        F.when(on_right, F.col("r")).otherwise(F.col("l")).alias("table_name"),
+        kind.alias("type"),
+        F.coalesce("label", F.when(on_right, F.col("l")).otherwise(F.col("r"))).alias("name"),
+        F.when(on_right, F.col("l")).otherwise(F.col("r")).alias("target"),
+    )
     named = b.where("opens").select(*FILE, group(header).alias("table_name"))
     tables = named.union(edges.select(*FILE, "table_name")).union(edges.select(*FILE, "target")).distinct()
     return {"columns": columns, "edges": edges, "tables": tables}
@@ -112,33 +162,122 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
     plain = rf"^\s*t\.({'|'.join(_TYPES)})\s+{_STRING}"
     option = lambda n: group(rf"\b{n}:\s*([^,\s]+)")
     default = F.regexp_replace(group(r"""default:\s*("[^"]*"|[^,]+)"""), '^"|"$', "")
-    own = inside.where(F.col("text").rlike(plain)).select(*FILE, "table_name", "line", F.lit(0).alias("sub"), group(plain, 2).alias("name"), group(plain, 1).alias("type"), sized_type(group(plain, 1), option("limit"), option("precision"), option("scale")).alias("sql_type"), F.coalesce(option("null") != "false", F.lit(True)).alias("nullable"), default.alias("default"), F.lit(False).alias("primary"))
-    refs = inside.where(F.col("text").rlike(rf"^\s*t\.(references|belongs_to)\s+{_STRING}")).withColumn("ref", group(rf"^\s*t\.(?:references|belongs_to)\s+{_STRING}"))
+    own = inside.where(F.col("text").rlike(plain)).select(
+        *FILE,
+        "table_name",
+        "line",
+        F.lit(0).alias("sub"),
+        group(plain, 2).alias("name"),
+        group(plain, 1).alias("type"),
+        sized_type(group(plain, 1), option("limit"), option("precision"), option("scale")).alias("sql_type"),
+        F.coalesce(option("null") != "false", F.lit(True)).alias("nullable"),
+        default.alias("default"),
+        F.lit(False).alias("primary"),
+    )
+    refs = inside.where(
+        F.col("text").rlike(rf"^\s*t\.(references|belongs_to)\s+{_STRING}")
+    ).withColumn("ref", group(rf"^\s*t\.(?:references|belongs_to)\s+{_STRING}"))
     poly = F.col("text").contains("polymorphic: true")
-    made = F.array_compact(F.array(F.struct(F.lit(0).alias("sub"), F.concat("ref", F.lit("_id")).alias("name"), F.lit("bigint").alias("type")), F.when(poly, F.struct(F.lit(1).alias("sub"), F.concat("ref", F.lit("_type")).alias("name"), F.lit("string").alias("type")))))
-    from_refs = refs.select(*FILE, "table_name", "line", F.explode(made).alias("c"), F.coalesce(option("null") != "false", F.lit(True)).alias("nullable")).select(*FILE, "table_name", "line", "c.sub", "c.name", "c.type", F.col("c.type").alias("sql_type"), "nullable", F.lit(None).cast("string").alias("default"), F.lit(False).alias("primary"))
-    stamps = inside.where(F.col("text").rlike(r"^\s*t\.timestamps\b")).select(*FILE, "table_name", "line", F.posexplode(F.array(F.lit("created_at"), F.lit("updated_at"))).alias("sub", "name")).select("*", F.lit("datetime").alias("type"), F.lit("datetime").alias("sql_type"), F.lit(False).alias("nullable"), F.lit(None).cast("string").alias("default"), F.lit(False).alias("primary"))
+    made = F.array_compact(
+        F.array(
+            F.struct(F.lit(0).alias("sub"), F.concat("ref", F.lit("_id")).alias("name"), F.lit("bigint").alias("type")),
+            F.when(poly, F.struct(F.lit(1).alias("sub"), F.concat("ref", F.lit("_type")).alias("name"), F.lit("string").alias("type"))),
+        )
+    )
+    from_refs = refs.select(*FILE, "table_name", "line", F.explode(made).alias("c"), F.coalesce(option("null") != "false", F.lit(True)).alias("nullable")).select(
+        *FILE,
+        "table_name",
+        "line",
+        "c.sub",
+        "c.name",
+        "c.type",
+        F.col("c.type").alias("sql_type"),
+        "nullable",
+        F.lit(None).cast("string").alias("default"),
+        F.lit(False).alias("primary"),
+    )
+    stamps = inside.where(F.col("text").rlike(r"^\s*t\.timestamps\b")).select(*FILE, "table_name", "line", F.posexplode(F.array(F.lit("created_at"), F.lit("updated_at"))).alias("sub", "name")).select(
+        "*",
+        F.lit("datetime").alias("type"),
+        F.lit("datetime").alias("sql_type"),
+        F.lit(False).alias("nullable"),
+        F.lit(None).cast("string").alias("default"),
+        F.lit(False).alias("primary"),
+    )
     heads = b.where("opens").withColumn("table_name", group(header))
-    ids = heads.where(~F.col("text").rlike(r"\bid:\s*false")).select(*FILE, "table_name", F.lit(-1).alias("line"), F.lit(0).alias("sub"), F.coalesce(group(rf"primary_key:\s*{_STRING}"), F.lit("id")).alias("name"), F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")).alias("type"), F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")).alias("sql_type"), F.lit(False).alias("nullable"), F.lit(None).cast("string").alias("default"), F.lit(True).alias("primary"))
+    ids = heads.where(~F.col("text").rlike(r"\bid:\s*false")).select(
+        *FILE,
+        "table_name",
+        F.lit(-1).alias("line"),
+        F.lit(0).alias("sub"),
+        F.coalesce(group(rf"primary_key:\s*{_STRING}"), F.lit("id")).alias("name"),
+        F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")).alias("type"),
+        F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")).alias("sql_type"),
+        F.lit(False).alias("nullable"),
+        F.lit(None).cast("string").alias("default"),
+        F.lit(True).alias("primary"),
+    )
     columns = ids.unionByName(own).unionByName(from_refs).unionByName(stamps)
     columns = columns.withColumn("pos", F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line", "sub"))).drop("line", "sub")
     listed = r"\[([^\]]*)\]"
     names = lambda c: F.transform(F.split(c, r"\s*,\s*"), lambda x: F.regexp_replace(x, "[\"':]", ""))
     cols = F.coalesce(names(group(listed)), F.array(group(rf"(?:t\.index|add_index\s+\S+,)\s+{_STRING}")))
-    t_index = inside.where(F.col("text").rlike(r"^\s*t\.index\b")).select(*FILE, "table_name", cols.alias("columns"), F.col("text").contains("unique: true").alias("unique"), group(rf"name:\s*{_STRING}").alias("name"))
-    a_index = b.where(F.col("text").rlike(r"^\s*add_index\b")).select(*FILE, "line", group(rf"add_index\s+{_STRING}").alias("table_name"), cols.alias("columns"), F.col("text").contains("unique: true").alias("unique"), group(rf"name:\s*{_STRING}").alias("name"))
-    r_index = refs.where(~F.col("text").contains("index: false")).select(*FILE, "table_name", F.when(poly, F.array(F.concat("ref", F.lit("_type")), F.concat("ref", F.lit("_id")))).otherwise(F.array(F.concat("ref", F.lit("_id")))).alias("columns"), F.lit(False).alias("unique"), F.lit(None).cast("string").alias("name"))
-    indexes = t_index.unionByName(a_index.drop("line").join(heads.select(*FILE, "table_name").distinct(), [*FILE, "table_name"], "left_semi")).unionByName(r_index).withColumn("name", F.coalesce("name", index_name(F.col("table_name"), F.col("columns"))))
+    t_index = inside.where(F.col("text").rlike(r"^\s*t\.index\b")).select(
+        *FILE,
+        "table_name",
+        cols.alias("columns"),
+        F.col("text").contains("unique: true").alias("unique"),
+        group(rf"name:\s*{_STRING}").alias("name"),
+    )
+    a_index = b.where(F.col("text").rlike(r"^\s*add_index\b")).select(
+        *FILE,
+        "line",
+        group(rf"add_index\s+{_STRING}").alias("table_name"),
+        cols.alias("columns"),
+        F.col("text").contains("unique: true").alias("unique"),
+        group(rf"name:\s*{_STRING}").alias("name"),
+    )
+    r_index = refs.where(~F.col("text").contains("index: false")).select(
+        *FILE,
+        "table_name",
+        F.when(
+            poly,
+            F.array(F.concat("ref", F.lit("_type")), F.concat("ref", F.lit("_id"))),
+        ).otherwise(F.array(F.concat("ref", F.lit("_id")))).alias("columns"),
+        F.lit(False).alias("unique"),
+        F.lit(None).cast("string").alias("name"),
+    )
+    indexes = t_index.unionByName(
+        a_index.drop("line").join(heads.select(*FILE, "table_name").distinct(), [*FILE, "table_name"], "left_semi")
+    ).unionByName(r_index).withColumn("name", F.coalesce("name", index_name(F.col("table_name"), F.col("columns"))))
     fk = rf"^\s*add_foreign_key\s+{_STRING},\s*{_STRING}"
     from lakeatlas.functions.names import singularize
 
-    added = b.where(F.col("text").rlike(fk)).select(*FILE, group(fk, 1).alias("table_name"), F.coalesce(group(rf"column:\s*{_STRING}"), F.concat(singularize(group(fk, 2)), F.lit("_id"))).alias("column_name"), group(fk, 2).alias("ref_table"))
-    inline = refs.where(F.col("text").contains("foreign_key: true")).select(*FILE, "table_name", F.concat("ref", F.lit("_id")).alias("column_name"), pluralize(F.col("ref")).alias("ref_table"))
+    added = b.where(F.col("text").rlike(fk)).select(
+        *FILE,
+        group(fk, 1).alias("table_name"),
+        F.coalesce(group(rf"column:\s*{_STRING}"), F.concat(singularize(group(fk, 2)), F.lit("_id"))).alias("column_name"),
+        group(fk, 2).alias("ref_table"),
+    )
+    inline = refs.where(F.col("text").contains("foreign_key: true")).select(
+        *FILE,
+        "table_name",
+        F.concat("ref", F.lit("_id")).alias("column_name"),
+        pluralize(F.col("ref")).alias("ref_table"),
+    )
     known = rf"^\s*(t\.({'|'.join(_TYPES)}|references|belongs_to|timestamps|index)\b|end\b|#|$)"
     unknown = inside.where(~F.col("text").rlike(known)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
     outside = r"^\s*(create_table|add_index|add_foreign_key|ActiveRecord::Schema\S*|end|enable_extension)\b|^\s*(#|$)"
-    stray = b.where(F.col("head").isNull() & ~F.col("text").rlike(outside)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
-    lost = a_index.join(heads.select(*FILE, "table_name").distinct(), [*FILE, "table_name"], "left_anti").select(*FILE, "line", F.concat(F.lit("index on unknown table: "), "table_name").alias("message"))
+    stray = b.where(F.col("head").isNull() & ~F.col("text").rlike(outside)).select(
+        *FILE,
+        "line",
+        F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"),
+    )
+    lost = a_index.join(heads.select(*FILE, "table_name").distinct(), [*FILE, "table_name"], "left_anti").select(
+        *FILE,
+        "line",
+        F.concat(F.lit("index on unknown table: "), "table_name").alias("message"),
+    )
     warnings = unknown.union(stray).union(lost)
     return {"columns": columns, "indexes": indexes, "fks": added.union(inline), "warnings": warnings}
 
@@ -146,7 +285,17 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
 # -- Prisma
 
 #: Display types of Prisma types.
-_PRISMA = {"String": "string", "Int": "integer", "BigInt": "bigint", "Float": "float", "Decimal": "decimal", "Boolean": "boolean", "DateTime": "datetime", "Json": "json", "Bytes": "binary"}
+_PRISMA = {
+    "String": "string",
+    "Int": "integer",
+    "BigInt": "bigint",
+    "Float": "float",
+    "Decimal": "decimal",
+    "Boolean": "boolean",
+    "DateTime": "datetime",
+    "Json": "json",
+    "Bytes": "binary",
+}
 
 
 def prisma(corpus: DataFrame) -> dict[str, DataFrame]:
@@ -154,20 +303,55 @@ def prisma(corpus: DataFrame) -> dict[str, DataFrame]:
     header = r"^\s*model\s+(\w+)\s*\{"
     b = blocks(lines(corpus), header)
     inside = b.where("head IS NOT NULL AND NOT opens").withColumn("model", F.regexp_extract("head", header, 1))
-    names = b.where("opens").select(*FILE, group(header).alias("model")).join(inside.where(F.col("text").rlike(r"^\s*@@map\(")).select(*FILE, "model", group(r'@@map\(\s*(?:name:\s*)?"([^"]+)"').alias("mapped")), [*FILE, "model"], "left").select(*FILE, "model", F.coalesce("mapped", "model").alias("table_name"))
+    names = b.where("opens").select(*FILE, group(header).alias("model")).join(
+        inside.where(F.col("text").rlike(r"^\s*@@map\(")).select(*FILE, "model", group(r'@@map\(\s*(?:name:\s*)?"([^"]+)"').alias("mapped")),
+        [*FILE, "model"],
+        "left",
+    ).select(*FILE, "model", F.coalesce("mapped", "model").alias("table_name"))
     field = r"^\s*(\w+)\s+(\w+)(\[\])?(\?)?(.*)$"
-    f = inside.where(F.col("text").rlike(field) & ~F.col("text").rlike(r"^\s*(@@|//)")).select(*FILE, "model", "line", group(field, 1).alias("field"), group(field, 2).alias("kind"), (F.regexp_extract("text", field, 3) != "").alias("is_list"), (F.regexp_extract("text", field, 4) != "").alias("nullable"), "text").join(names, [*FILE, "model"])
+    f = inside.where(F.col("text").rlike(field) & ~F.col("text").rlike(r"^\s*(@@|//)")).select(
+        *FILE,
+        "model",
+        "line",
+        group(field, 1).alias("field"),
+        group(field, 2).alias("kind"),
+        (F.regexp_extract("text", field, 3) != "").alias("is_list"),
+        (F.regexp_extract("text", field, 4) != "").alias("nullable"),
+        "text",
+    ).join(names, [*FILE, "model"])
     targets = names.select(*FILE, F.col("model").alias("kind"), F.col("table_name").alias("target"))
     related = f.join(targets, [*FILE, "kind"])
     plain = f.join(targets, [*FILE, "kind"], "left_anti")
-    fields = plain.select(*FILE, "table_name", F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line")).alias("pos"), F.coalesce(group(r'@map\("([^"]+)"\)'), F.col("field")).alias("name"), F.coalesce(lookup(F.col("kind"), _PRISMA), F.col("kind")).alias("type"), "nullable", F.col("text").rlike(r"@id\b").alias("primary"), F.col("text").rlike(r"@unique\b").alias("unique"))
+    fields = plain.select(
+        *FILE,
+        "table_name",
+        F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line")).alias("pos"),
+        F.coalesce(group(r'@map\("([^"]+)"\)'), F.col("field")).alias("name"),
+        F.coalesce(lookup(F.col("kind"), _PRISMA), F.col("kind")).alias("type"),
+        "nullable",
+        F.col("text").rlike(r"@id\b").alias("primary"),
+        F.col("text").rlike(r"@unique\b").alias("unique"),
+    )
     relation = group(r'@relation\(\s*(?:name:\s*)?"([^"]+)"')
     fk = group(r"fields:\s*\[\s*(\w+)\s*\]")
     unique = fields.where("unique OR primary").select(*FILE, "table_name", F.col("name").alias("fk")).withColumn("_one", F.lit(True))
     owned = related.where("NOT is_list").withColumn("fk", fk).where("fk IS NOT NULL").join(unique, [*FILE, "table_name", "fk"], "left")
-    edges = owned.select(*FILE, "table_name", F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"), F.col("field").alias("name"), "target", F.col("fk").alias("foreign_key"))
+    edges = owned.select(
+        *FILE,
+        "table_name",
+        F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"),
+        F.col("field").alias("name"),
+        "target",
+        F.col("fk").alias("foreign_key"),
+    )
     lists = related.where("is_list").select(F.concat_ws("/", *FILE).alias("schema_id"), "table_name", "field", "target", relation.alias("relation"))
-    indexes = inside.where(F.col("text").rlike(r"^\s*@@(unique|index|id)\(")).join(names, [*FILE, "model"]).select(*FILE, "table_name", F.split(group(r"\[([^\]]*)\]"), r"\s*,\s*").alias("columns"), F.col("text").rlike("@@(unique|id)").alias("unique"), F.col("text").rlike("@@id").alias("primary"))
+    indexes = inside.where(F.col("text").rlike(r"^\s*@@(unique|index|id)\(")).join(names, [*FILE, "model"]).select(
+        *FILE,
+        "table_name",
+        F.split(group(r"\[([^\]]*)\]"), r"\s*,\s*").alias("columns"),
+        F.col("text").rlike("@@(unique|id)").alias("unique"),
+        F.col("text").rlike("@@id").alias("primary"),
+    )
     return {"fields": fields, "list_fields": lists, "edges": edges, "indexes": indexes}
 
 
@@ -197,14 +381,21 @@ def rails_models(corpus: DataFrame, table_map: DataFrame | None = None) -> dict[
     clean = corpus.withColumn("content", F.regexp_replace("content", r"#[^\n{]*", ""))
     named = r"""self\.table_name\s*=\s*["']([^"']+)"""
     own = _carried(_carried(lines(clean), _CLASS, "cls"), r"^\s*module\s+(\w+)", "module").withColumn("schema_id", F.col("project"))
-    modules = own.where("module IS NOT NULL").groupBy("schema_id", F.element_at(F.split("module", "::"), -1).alias("module")).agg(F.min_by(group(named), F.when(group(named).isNotNull(), F.struct("path", "line"))).alias("by_module")).where("by_module IS NOT NULL")
+    modules = own.where("module IS NOT NULL").groupBy("schema_id", F.element_at(F.split("module", "::"), -1).alias("module")).agg(
+        F.min_by(group(named), F.when(group(named).isNotNull(), F.struct("path", "line"))).alias("by_module")
+    ).where("by_module IS NOT NULL")
     cls = own.where(F.col("cls").isNotNull() & ~F.col("path").rlike("(^|/)concerns/"))
     by = cls.groupBy("schema_id", "cls").agg(
         F.min_by(group(_CLASS, 2), F.when(group(_CLASS, 2).isNotNull(), F.struct("path", "line"))).alias("base"),
         F.coalesce(F.bool_or(F.col("text").rlike(r"self\.abstract_class\s*=\s*true")), F.lit(False)).alias("abstract"),
         F.min_by(group(named), F.when(group(named).isNotNull(), F.struct("path", "line"))).alias("by_name"),
     ).withColumn("abstract", F.col("abstract") | F.col("cls").isin(RAILS_ROOTS))
-    included = cls.where(group(r"^\s*include\s+([\w:]+)").isNotNull()).select("schema_id", "cls", F.struct("path", "line").alias("at"), F.element_at(F.split(group(r"^\s*include\s+([\w:]+)"), "::"), -1).alias("module"))
+    included = cls.where(group(r"^\s*include\s+([\w:]+)").isNotNull()).select(
+        "schema_id",
+        "cls",
+        F.struct("path", "line").alias("at"),
+        F.element_at(F.split(group(r"^\s*include\s+([\w:]+)"), "::"), -1).alias("module"),
+    )
     mixed = included.join(modules, ["schema_id", "module"]).groupBy("schema_id", "cls").agg(F.min_by("by_module", "at").alias("by_module"))
     bases = by.where("base IS NOT NULL").select("schema_id", F.col("cls").alias("src"), F.col("base").alias("dst"))
     roots = bases.where(F.col("dst").isin(RAILS_ROOTS)).select("schema_id", F.col("src").alias("node"))
@@ -213,17 +404,46 @@ def rails_models(corpus: DataFrame, table_map: DataFrame | None = None) -> dict[
         table_map = concrete.select("schema_id", "cls", F.lit(None).cast("string").alias("table_name")).limit(0)
     mapped = table_map.select("schema_id", "cls", F.col("table_name").alias("by_map"))
     resolved = concrete.join(mixed, ["schema_id", "cls"], "left").join(mapped, ["schema_id", "cls"], "left")
-    resolved = resolved.select("schema_id", "cls", "by_map", class_to_table(F.col("cls")).alias("naive"), F.coalesce("by_map", "by_name", "by_module", class_to_table(F.col("cls"))).alias("own"))
+    resolved = resolved.select(
+        "schema_id",
+        "cls",
+        "by_map",
+        class_to_table(F.col("cls")).alias("naive"),
+        F.coalesce("by_map", "by_name", "by_module", class_to_table(F.col("cls"))).alias("own"),
+    )
     sti = inheritance_roots(bases, concrete.select("schema_id", "cls")).select("schema_id", F.col("src").alias("cls"), "root")
     of_root = resolved.select("schema_id", F.col("cls").alias("root"), F.col("own").alias("of_root"))
-    tables = resolved.join(sti, ["schema_id", "cls"], "left").join(of_root, ["schema_id", "root"], "left").select("schema_id", "cls", "naive", F.coalesce("by_map", "of_root", "own").alias("real"))
+    tables = resolved.join(sti, ["schema_id", "cls"], "left").join(of_root, ["schema_id", "root"], "left").select(
+        "schema_id",
+        "cls",
+        "naive",
+        F.coalesce("by_map", "of_root", "own").alias("real"),
+    )
     macro = r"^\s*(has_many|has_one|belongs_to|has_and_belongs_to_many)\s+:(\w+)(.*)$"
-    rows = cls.where(F.col("text").rlike(macro)).select("schema_id", "cls", group(macro, 1).alias("type"), group(macro, 2).alias("name"), F.regexp_extract("text", macro, 3).alias("text"))
+    rows = cls.where(F.col("text").rlike(macro)).select(
+        "schema_id",
+        "cls",
+        group(macro, 1).alias("type"),
+        group(macro, 2).alias("name"),
+        F.regexp_extract("text", macro, 3).alias("text"),
+    )
     option = lambda n: group(rf"""\b{n}:\s*["':]([\w:]+)""")
     poly = F.col("text").contains("polymorphic: true")
-    target = F.when(poly, F.col("name")).when(option("class_name").isNotNull(), class_to_table(option("class_name"))).when(F.col("type").isin("has_many", "has_and_belongs_to_many"), F.col("name")).otherwise(pluralize(F.col("name")))
+    target = F.when(poly, F.col("name")).when(option("class_name").isNotNull(), class_to_table(option("class_name"))).when(
+        F.col("type").isin("has_many", "has_and_belongs_to_many"),
+        F.col("name"),
+    ).otherwise(pluralize(F.col("name")))
     fk = F.coalesce(option("foreign_key"), F.when(F.col("type") == "belongs_to", F.concat("name", F.lit("_id"))))
-    edges = rows.join(tables, ["schema_id", "cls"]).select("schema_id", F.col("real").alias("table_name"), "type", "name", target.alias("target"), fk.alias("foreign_key"), option("through").alias("through"), poly.alias("polymorphic"))
+    edges = rows.join(tables, ["schema_id", "cls"]).select(
+        "schema_id",
+        F.col("real").alias("table_name"),
+        "type",
+        "name",
+        target.alias("target"),
+        fk.alias("foreign_key"),
+        option("through").alias("through"),
+        poly.alias("polymorphic"),
+    )
     moved = tables.where("naive <> real").groupBy("schema_id", "naive").agg(F.min("real").alias("real"))
     return {"bases": bases, "tables": tables, "edges": redirect_targets(edges, moved)}
 
@@ -233,18 +453,51 @@ def laravel_models(corpus: DataFrame) -> dict[str, DataFrame]:
     header = r"^\s*(?:final\s+|abstract\s+)?class\s+(\w+)\s+extends\s+(\w+)"
     w = Window.partitionBy(*FILE).orderBy("line")
     method = r"function\s+(\w+)\s*\("
-    b = lines(corpus).withColumn("head", F.last(F.when(F.col("text").rlike(header), F.col("text")), ignorenulls=True).over(w)).withColumn("fn", F.last(group(method), ignorenulls=True).over(w))
+    b = lines(corpus).withColumn(
+        "head",
+        F.last(F.when(F.col("text").rlike(header), F.col("text")), ignorenulls=True).over(w),
+    ).withColumn("fn", F.last(group(method), ignorenulls=True).over(w))
     cls = b.where("head IS NOT NULL").withColumn("cls", F.regexp_extract("head", header, 1))
-    named = cls.where(F.col("text").rlike(r"\$table\s*=")).select(F.col("project").alias("schema_id"), "cls", group(r"""\$table\s*=\s*["']([^"']+)""").alias("real"))
-    tables = cls.select(F.col("project").alias("schema_id"), "cls").distinct().join(named, ["schema_id", "cls"], "left").select("schema_id", "cls", F.coalesce("real", class_to_table(F.col("cls"))).alias("real"))
+    named = cls.where(F.col("text").rlike(r"\$table\s*=")).select(
+        F.col("project").alias("schema_id"),
+        "cls",
+        group(r"""\$table\s*=\s*["']([^"']+)""").alias("real"),
+    )
+    tables = cls.select(F.col("project").alias("schema_id"), "cls").distinct().join(named, ["schema_id", "cls"], "left").select(
+        "schema_id",
+        "cls",
+        F.coalesce("real", class_to_table(F.col("cls"))).alias("real"),
+    )
     call = r"\$this->(hasMany|hasOne|belongsTo|belongsToMany|morphTo)\(\s*(?:\\?(?:\w+\\)*(\w+)::class)?\s*(?:,\s*[\"'](\w+)[\"'])?"
-    rows = cls.where(F.col("text").rlike(call)).select(F.col("project").alias("schema_id"), "path", "line", "cls", "fn", group(call, 1).alias("call"), group(call, 2).alias("ref"), group(call, 3).alias("arg"))
+    rows = cls.where(F.col("text").rlike(call)).select(
+        F.col("project").alias("schema_id"),
+        "path",
+        "line",
+        "cls",
+        "fn",
+        group(call, 1).alias("call"),
+        group(call, 2).alias("ref"),
+        group(call, 3).alias("arg"),
+    )
     kinds = {"hasMany": "has_many", "hasOne": "has_one", "belongsTo": "belongs_to", "belongsToMany": "has_and_belongs_to_many", "morphTo": "belongs_to"}
     poly = F.col("call") == "morphTo"
     good = rows.where(poly | F.col("ref").isNotNull()).join(tables, ["schema_id", "cls"])
     refs = tables.select("schema_id", F.col("cls").alias("ref"), F.col("real").alias("ref_table"))
-    edges = good.join(refs, ["schema_id", "ref"], "left").select("schema_id", F.col("real").alias("table_name"), lookup(F.col("call"), kinds).alias("type"), F.col("fn").alias("name"), F.when(poly, F.col("fn")).otherwise(F.coalesce("ref_table", class_to_table(F.col("ref")))).alias("target"), F.when(F.col("call") == "belongsTo", F.coalesce("arg", F.concat("fn", F.lit("_id")))).alias("foreign_key"), F.when(F.col("call") == "belongsToMany", F.col("arg")).alias("through"), poly.alias("polymorphic"))
-    return {"tables": tables, "edges": edges, "warnings": rows.where(~poly & F.col("ref").isNull()).select("schema_id", "path", "line", F.lit("relation without a class").alias("message"))}
+    edges = good.join(refs, ["schema_id", "ref"], "left").select(
+        "schema_id",
+        F.col("real").alias("table_name"),
+        lookup(F.col("call"), kinds).alias("type"),
+        F.col("fn").alias("name"),
+        F.when(poly, F.col("fn")).otherwise(F.coalesce("ref_table", class_to_table(F.col("ref")))).alias("target"),
+        F.when(F.col("call") == "belongsTo", F.coalesce("arg", F.concat("fn", F.lit("_id")))).alias("foreign_key"),
+        F.when(F.col("call") == "belongsToMany", F.col("arg")).alias("through"),
+        poly.alias("polymorphic"),
+    )
+    return {
+        "tables": tables,
+        "edges": edges,
+        "warnings": rows.where(~poly & F.col("ref").isNull()).select("schema_id", "path", "line", F.lit("relation without a class").alias("message")),
+    }
 
 
 # -- Python models
@@ -331,7 +584,28 @@ def python_models(corpus: DataFrame) -> DataFrame:
 
 
 #: Display types of Django fields, and the association types of its relations.
-_DJANGO = {"CharField": "string", "TextField": "text", "SlugField": "string", "EmailField": "string", "URLField": "string", "IntegerField": "integer", "PositiveIntegerField": "integer", "BigIntegerField": "bigint", "BigAutoField": "bigint", "AutoField": "integer", "FloatField": "float", "DecimalField": "decimal", "BooleanField": "boolean", "DateTimeField": "datetime", "DateField": "date", "TimeField": "time", "DurationField": "interval", "JSONField": "json", "UUIDField": "uuid", "BinaryField": "binary"}
+_DJANGO = {
+    "CharField": "string",
+    "TextField": "text",
+    "SlugField": "string",
+    "EmailField": "string",
+    "URLField": "string",
+    "IntegerField": "integer",
+    "PositiveIntegerField": "integer",
+    "BigIntegerField": "bigint",
+    "BigAutoField": "bigint",
+    "AutoField": "integer",
+    "FloatField": "float",
+    "DecimalField": "decimal",
+    "BooleanField": "boolean",
+    "DateTimeField": "datetime",
+    "DateField": "date",
+    "TimeField": "time",
+    "DurationField": "interval",
+    "JSONField": "json",
+    "UUIDField": "uuid",
+    "BinaryField": "binary",
+}
 _LINKS = {"ForeignKey": "belongs_to", "OneToOneField": "has_one", "ManyToManyField": "has_and_belongs_to_many"}
 
 
@@ -356,7 +630,9 @@ def django(facts: DataFrame) -> dict[str, DataFrame]:
     heads = _class_heads(own, ["app", "cls"]).withColumn("key", key)
     wanted = heads.select("schema_id", F.col("key").alias("src"), "app", F.posexplode("bases").alias("pos", "base"))
     there = heads.select("schema_id", F.col("cls").alias("base"), F.col("app").alias("base_app"), F.col("key").alias("dst"))
-    bases = wanted.join(there, ["schema_id", "base"]).groupBy("schema_id", "src", "pos").agg(F.min_by("dst", F.struct(F.col("app") != F.col("base_app"), "base_app")).alias("dst"))
+    bases = wanted.join(there, ["schema_id", "base"]).groupBy("schema_id", "src", "pos").agg(
+        F.min_by("dst", F.struct(F.col("app") != F.col("base_app"), "base_app")).alias("dst")
+    )
     model = descendants(bases, heads.where(F.array_contains("bases", "Model")).select("schema_id", F.col("key").alias("node")))
     bases = bases.join(model.withColumnRenamed("node", "dst"), ["schema_id", "dst"], "left_semi")
     concrete = heads.where("NOT abstract AND NOT proxy").join(model.withColumnRenamed("node", "key"), ["schema_id", "key"], "left_semi")
@@ -367,37 +643,117 @@ def django(facts: DataFrame) -> dict[str, DataFrame]:
     order = inheritance_order(bases, tables.select("schema_id", F.col("key").alias("cls"))).withColumnRenamed("cls", "key")
     fields = order.join(mine.join(last, ["schema_id", "owner", "path"], "left_semi"), ["schema_id", "owner"]).join(tables, ["schema_id", "key"])
     fields = fields.where(F.col("call").isin(*_DJANGO, *_LINKS, "GenericForeignKey") | F.col("call").endswith("Field"))
-    fields = fields.withColumn("pos", F.row_number().over(Window.partitionBy("schema_id", "key").orderBy("place", "own_pos"))).withColumnRenamed("table", "of_table")
+    fields = fields.withColumn(
+        "pos",
+        F.row_number().over(Window.partitionBy("schema_id", "key").orderBy("place", "own_pos")),
+    ).withColumnRenamed("table", "of_table")
     opt = F.col("options")
     pk = F.coalesce(opt["primary_key"] == "True", F.lit(False))
     null = F.coalesce(opt["null"] == "True", F.lit(False))
     head = ["schema_id", F.col("of_table").alias("table_name"), "pos"]
     is_key = F.col("call").isin("ForeignKey", "OneToOneField")
     column = F.coalesce(opt["db_column"], F.when(is_key, F.concat("field", F.lit("_id"))).otherwise(F.col("field")))
-    plain = fields.where(~F.col("call").isin(*_LINKS, "GenericForeignKey")).select(*head, column.alias("name"), F.coalesce(lookup(F.col("call"), _DJANGO), F.col("call")).alias("type"), (null & ~pk).alias("nullable"), pk.alias("primary"))
+    plain = fields.where(~F.col("call").isin(*_LINKS, "GenericForeignKey")).select(
+        *head,
+        column.alias("name"),
+        F.coalesce(lookup(F.col("call"), _DJANGO), F.col("call")).alias("type"),
+        (null & ~pk).alias("nullable"),
+        pk.alias("primary"),
+    )
     keys = fields.where(is_key).select(*head, column.alias("name"), F.lit("bigint").alias("type"), null.alias("nullable"), F.lit(False).alias("primary"))
     with_pk = plain.where("primary").select("schema_id", "table_name").distinct()
-    ids = tables.select("schema_id", F.col("table").alias("table_name")).join(with_pk, ["schema_id", "table_name"], "left_anti").select("*", F.lit(0).alias("pos"), F.lit("id").alias("name"), F.lit("bigint").alias("type"), F.lit(False).alias("nullable"), F.lit(True).alias("primary"))
+    ids = tables.select("schema_id", F.col("table").alias("table_name")).join(with_pk, ["schema_id", "table_name"], "left_anti").select(
+        "*",
+        F.lit(0).alias("pos"),
+        F.lit("id").alias("name"),
+        F.lit("bigint").alias("type"),
+        F.lit(False).alias("nullable"),
+        F.lit(True).alias("primary"),
+    )
 
-    links = fields.where(F.col("call").isin(*_LINKS)).select("schema_id", "key", "app", "of_table", "pos", "field", "call", column.alias("column"), F.array(F.struct(F.col("target").alias("ref"), F.coalesce(opt["literal"] == "True", F.lit(False)).alias("literal")), F.struct(opt["through"].alias("ref"), F.lit(True).alias("literal"))).alias("refs"))
-    refs = links.select("*", F.posexplode("refs").alias("which", "r")).where("r.ref IS NOT NULL").select("schema_id", "key", "app", "of_table", "pos", "which", "r.ref", "r.literal")
+    links = fields.where(F.col("call").isin(*_LINKS)).select(
+        "schema_id",
+        "key",
+        "app",
+        "of_table",
+        "pos",
+        "field",
+        "call",
+        column.alias("column"),
+        F.array(
+            F.struct(F.col("target").alias("ref"), F.coalesce(opt["literal"] == "True", F.lit(False)).alias("literal")),
+            F.struct(opt["through"].alias("ref"), F.lit(True).alias("literal")),
+        ).alias("refs"),
+    )
+    refs = links.select("*", F.posexplode("refs").alias("which", "r")).where("r.ref IS NOT NULL").select(
+        "schema_id",
+        "key",
+        "app",
+        "of_table",
+        "pos",
+        "which",
+        "r.ref",
+        "r.literal",
+    )
     parts = F.split("ref", r"\.")
     refs = refs.withColumn("ref_cls", F.element_at(parts, -1)).withColumn("ref_app", F.when(F.col("literal") & (F.size(parts) > 1), parts[0]))
     targets = tables.select("schema_id", F.col("cls").alias("ref_cls"), F.col("app").alias("to_app"), F.col("table").alias("to_table"))
     found = refs.join(targets, ["schema_id", "ref_cls"], "left").groupBy("schema_id", "key", "app", "of_table", "pos", "which", "ref", "literal", "ref_cls", "ref_app").agg(
-        F.max(F.when(F.col("to_app") == F.coalesce("ref_app", "app"), F.col("to_table"))).alias("same"), F.when(F.count_distinct("to_app") == 1, F.max("to_table")).alias("only")
+        F.max(
+            F.when(F.col("to_app") == F.coalesce("ref_app", "app"), F.col("to_table"))
+        ).alias("same"), F.when(F.count_distinct("to_app") == 1, F.max("to_table")).alias("only")
     )
     guess = F.when(F.col("literal"), F.concat(F.lower(F.coalesce("ref_app", "app")), F.lit("_"), F.lower("ref_cls")))
-    table = F.when(F.col("literal") & (F.col("ref") == "self"), F.col("of_table")).otherwise(F.coalesce("same", F.when(F.col("ref_app").isNull(), F.col("only")), guess))
-    found = found.groupBy("schema_id", "key", "pos").agg(F.max(F.when(F.col("which") == 0, table)).alias("target"), F.max(F.when(F.col("which") == 1, table)).alias("through"))
+    table = F.when(F.col("literal") & (F.col("ref") == "self"), F.col("of_table")).otherwise(
+        F.coalesce("same", F.when(F.col("ref_app").isNull(), F.col("only")), guess)
+    )
+    found = found.groupBy("schema_id", "key", "pos").agg(
+        F.max(F.when(F.col("which") == 0, table)).alias("target"),
+        F.max(F.when(F.col("which") == 1, table)).alias("through"),
+    )
     edges = links.drop("refs").join(found, ["schema_id", "key", "pos"]).where("target IS NOT NULL")
-    edges = edges.select("schema_id", F.col("of_table").alias("table_name"), lookup(F.col("call"), _LINKS).alias("type"), F.col("field").alias("name"), "target", F.when(F.col("call") != "ManyToManyField", F.col("column")).alias("foreign_key"), F.when(F.col("call") == "ManyToManyField", F.col("through")).alias("through"), F.lit(False).alias("polymorphic"))
-    generic = fields.where("call = 'GenericForeignKey'").select("schema_id", F.col("of_table").alias("table_name"), F.lit("belongs_to").alias("type"), F.col("field").alias("name"), pluralize(to_snake(F.col("field"))).alias("target"), F.lit(None).cast("string").alias("foreign_key"), F.lit(None).cast("string").alias("through"), F.lit(True).alias("polymorphic"))
-    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": ids.unionByName(plain).unionByName(keys), "edges": edges.unionByName(generic), "warnings": python_warnings(facts)}
+    edges = edges.select(
+        "schema_id",
+        F.col("of_table").alias("table_name"),
+        lookup(F.col("call"), _LINKS).alias("type"),
+        F.col("field").alias("name"),
+        "target",
+        F.when(F.col("call") != "ManyToManyField", F.col("column")).alias("foreign_key"),
+        F.when(F.col("call") == "ManyToManyField", F.col("through")).alias("through"),
+        F.lit(False).alias("polymorphic"),
+    )
+    generic = fields.where("call = 'GenericForeignKey'").select(
+        "schema_id",
+        F.col("of_table").alias("table_name"),
+        F.lit("belongs_to").alias("type"),
+        F.col("field").alias("name"),
+        pluralize(to_snake(F.col("field"))).alias("target"),
+        F.lit(None).cast("string").alias("foreign_key"),
+        F.lit(None).cast("string").alias("through"),
+        F.lit(True).alias("polymorphic"),
+    )
+    return {
+        "tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"),
+        "columns": ids.unionByName(plain).unionByName(keys),
+        "edges": edges.unionByName(generic),
+        "warnings": python_warnings(facts),
+    }
 
 
 #: Display types of Python annotations in mapped classes.
-_ANNOTATED = {"int": "integer", "str": "string", "float": "float", "bool": "boolean", "datetime": "datetime", "date": "date", "time": "time", "bytes": "binary", "Decimal": "decimal", "UUID": "uuid", "dict": "json"}
+_ANNOTATED = {
+    "int": "integer",
+    "str": "string",
+    "float": "float",
+    "bool": "boolean",
+    "datetime": "datetime",
+    "date": "date",
+    "time": "time",
+    "bytes": "binary",
+    "Decimal": "decimal",
+    "UUID": "uuid",
+    "dict": "json",
+}
 
 
 def sqlalchemy(facts: DataFrame) -> dict[str, DataFrame]:
@@ -411,21 +767,54 @@ def sqlalchemy(facts: DataFrame) -> dict[str, DataFrame]:
     from lakeatlas.operators.graph import descendants, inheritance_order
 
     heads = _class_heads(facts, ["cls"])
-    own = facts.where("pos > 0 AND call IN ('Column', 'mapped_column', 'relationship')").select("schema_id", "path", F.col("cls").alias("owner"), F.col("pos").alias("own_pos"), "field", "call", "target", "options")
+    own = facts.where("pos > 0 AND call IN ('Column', 'mapped_column', 'relationship')").select(
+        "schema_id",
+        "path",
+        F.col("cls").alias("owner"),
+        F.col("pos").alias("own_pos"),
+        "field",
+        "call",
+        "target",
+        "options",
+    )
     own = own.join(heads.select("schema_id", F.col("cls").alias("owner"), "path"), ["schema_id", "owner", "path"], "left_semi")
     bases = heads.select("schema_id", F.col("cls").alias("src"), F.posexplode("bases").alias("pos", "dst"))
-    roots = facts.where("pos = -2 AND call = 'declarative_base'").select("schema_id", F.col("field").alias("node")).union(facts.select("schema_id").distinct().withColumn("node", F.lit("DeclarativeBase")))
-    bare = heads.where("table_name IS NULL").select("schema_id", F.col("cls").alias("src")).join(own.select("schema_id", F.col("owner").alias("src")).distinct(), ["schema_id", "src"], "left_anti")
+    roots = facts.where("pos = -2 AND call = 'declarative_base'").select("schema_id", F.col("field").alias("node")).union(
+        facts.select("schema_id").distinct().withColumn("node", F.lit("DeclarativeBase"))
+    )
+    bare = heads.where("table_name IS NULL").select("schema_id", F.col("cls").alias("src")).join(
+        own.select("schema_id", F.col("owner").alias("src")).distinct(),
+        ["schema_id", "src"],
+        "left_anti",
+    )
     roots = descendants(bases.join(bare, ["schema_id", "src"], "left_semi"), roots)
-    model = descendants(bases, roots).join(roots, ["schema_id", "node"], "left_anti").select("schema_id", F.col("node").alias("cls"), F.lit(True).alias("model"))
+    model = descendants(bases, roots).join(roots, ["schema_id", "node"], "left_anti").select(
+        "schema_id",
+        F.col("node").alias("cls"),
+        F.lit(True).alias("model"),
+    )
     known = heads.where("NOT abstract").join(model, ["schema_id", "cls"], "left").where("table_name IS NOT NULL OR model")
-    tables = known.select("schema_id", "cls", F.coalesce("table_name", to_snake(F.col("cls"))).alias("table"), "path", "line", F.col("table_name").isNull().alias("guessed"))
-    guessed = tables.where("guessed").select("schema_id", "path", F.concat(F.lit("line "), "line", F.lit(": no __tablename__, taken as "), "table").alias("message"))
+    tables = known.select(
+        "schema_id",
+        "cls",
+        F.coalesce("table_name", to_snake(F.col("cls"))).alias("table"),
+        "path",
+        "line",
+        F.col("table_name").isNull().alias("guessed"),
+    )
+    guessed = tables.where("guessed").select(
+        "schema_id",
+        "path",
+        F.concat(F.lit("line "), "line", F.lit(": no __tablename__, taken as "), "table").alias("message"),
+    )
 
     inside = bases.join(heads.select("schema_id", F.col("cls").alias("dst")), ["schema_id", "dst"], "left_semi")
     order = inheritance_order(inside, tables.select("schema_id", "cls"))
     fields = order.join(own, ["schema_id", "owner"]).join(tables.select("schema_id", "cls", "table"), ["schema_id", "cls"])
-    fields = fields.withColumn("pos", F.row_number().over(Window.partitionBy("schema_id", "cls").orderBy("place", "own_pos"))).withColumnRenamed("table", "table_name")
+    fields = fields.withColumn(
+        "pos",
+        F.row_number().over(Window.partitionBy("schema_id", "cls").orderBy("place", "own_pos")),
+    ).withColumnRenamed("table", "table_name")
     opt, note = F.col("options"), F.coalesce(F.col("options")["annotation"], F.lit(""))
     inner = F.nullif(F.regexp_extract(note, r"""(\w+)["']?(?:\s*\|\s*None)?\]*$""", 1), F.lit(""))
     many = note.rlike(r"(?i)\b(list|set|sequence|collection|iterable)\[")
@@ -435,24 +824,70 @@ def sqlalchemy(facts: DataFrame) -> dict[str, DataFrame]:
     kind = F.when(named, opt["second"]).otherwise(F.nullif(F.col("target"), F.lit("")))
     kind = F.when(kind != "ForeignKey", kind)
     primary, fk = F.coalesce(opt["primary_key"] == "True", F.lit(False)), opt["ForeignKey"]
-    type_ = F.when(kind.isNotNull(), F.lower(kind)).when((note != "") & ~many, F.coalesce(lookup(inner, _ANNOTATED), F.lower(inner))).when(fk.isNotNull(), "bigint").otherwise("")
+    type_ = F.when(kind.isNotNull(), F.lower(kind)).when(
+        (note != "") & ~many,
+        F.coalesce(lookup(inner, _ANNOTATED), F.lower(inner)),
+    ).when(fk.isNotNull(), "bigint").otherwise("")
     nullable = F.when(opt["nullable"].isNotNull(), opt["nullable"] == "True").when(note != "", optional).otherwise(~primary)
-    cols = cols.select("schema_id", "cls", "table_name", "pos", F.when(named, F.col("target")).otherwise(F.col("field")).alias("name"), "field", type_.alias("type"), nullable.alias("nullable"), primary.alias("primary"), F.split(fk, r"\.").alias("fk"), F.coalesce(opt["unique"] == "True", F.lit(False)).alias("unique"))
+    cols = cols.select(
+        "schema_id",
+        "cls",
+        "table_name",
+        "pos",
+        F.when(named, F.col("target")).otherwise(F.col("field")).alias("name"),
+        "field",
+        type_.alias("type"),
+        nullable.alias("nullable"),
+        primary.alias("primary"),
+        F.split(fk, r"\.").alias("fk"),
+        F.coalesce(opt["unique"] == "True", F.lit(False)).alias("unique"),
+    )
     with_pk = cols.where("primary").select("schema_id", "table_name").distinct()
-    ids = tables.select("schema_id", F.col("table").alias("table_name")).join(with_pk, ["schema_id", "table_name"], "left_anti").select("*", F.lit(0).alias("pos"), F.lit("id").alias("name"), F.lit("bigint").alias("type"), F.lit(False).alias("nullable"), F.lit(True).alias("primary"))
+    ids = tables.select("schema_id", F.col("table").alias("table_name")).join(with_pk, ["schema_id", "table_name"], "left_anti").select(
+        "*",
+        F.lit(0).alias("pos"),
+        F.lit("id").alias("name"),
+        F.lit("bigint").alias("type"),
+        F.lit(False).alias("nullable"),
+        F.lit(True).alias("primary"),
+    )
     columns = ids.unionByName(cols.select(*ids.columns))
     none = F.lit(None).cast("string")
-    keys = cols.where("fk IS NOT NULL").select("schema_id", "table_name", F.when(F.col("unique"), "has_one").otherwise("belongs_to").alias("type"), fk_stem(F.col("field")).alias("name"), F.when(F.size("fk") > 1, F.element_at("fk", -2)).otherwise(F.col("fk")[0]).alias("target"), F.col("name").alias("foreign_key"), none.alias("through"))
+    keys = cols.where("fk IS NOT NULL").select(
+        "schema_id",
+        "table_name",
+        F.when(F.col("unique"), "has_one").otherwise("belongs_to").alias("type"),
+        fk_stem(F.col("field")).alias("name"),
+        F.when(F.size("fk") > 1, F.element_at("fk", -2)).otherwise(F.col("fk")[0]).alias("target"),
+        F.col("name").alias("foreign_key"),
+        none.alias("through"),
+    )
     rel = fields.where((F.col("call") == "relationship") & opt["remote_side"].isNull())
-    rel = rel.withColumn("ref", F.coalesce(F.nullif(F.col("target"), F.lit("")), inner)).join(tables.select("schema_id", F.col("cls").alias("ref"), F.col("table").alias("ref_table")), ["schema_id", "ref"])
+    rel = rel.withColumn("ref", F.coalesce(F.nullif(F.col("target"), F.lit("")), inner)).join(
+        tables.select("schema_id", F.col("cls").alias("ref"), F.col("table").alias("ref_table")),
+        ["schema_id", "ref"],
+    )
     vars_ = facts.where("pos = -2 AND call = 'Table'").select("schema_id", F.col("field").alias("_var"), F.col("target").alias("_table"))
     rel = rel.withColumn("_var", opt["secondary"]).join(vars_, ["schema_id", "_var"], "left")
     single = F.when(opt["uselist"].isNotNull(), opt["uselist"] == "False").otherwise((note != "") & ~many)
-    rel = rel.select("schema_id", "table_name", F.when(F.col("_var").isNotNull(), "has_and_belongs_to_many").when(single, "has_one").otherwise("has_many").alias("type"), F.col("field").alias("name"), F.col("ref_table").alias("target"), none.alias("foreign_key"), F.when(F.col("_var").isNotNull(), F.coalesce("_table", "_var")).alias("through"))
+    rel = rel.select(
+        "schema_id",
+        "table_name",
+        F.when(F.col("_var").isNotNull(), "has_and_belongs_to_many").when(single, "has_one").otherwise("has_many").alias("type"),
+        F.col("field").alias("name"),
+        F.col("ref_table").alias("target"),
+        none.alias("foreign_key"),
+        F.when(F.col("_var").isNotNull(), F.coalesce("_table", "_var")).alias("through"),
+    )
     there = keys.where("table_name <> target").select("schema_id", "table_name", "target").distinct()
     side = rel.where("type <> 'has_and_belongs_to_many'").join(there, ["schema_id", "table_name", "target"], "left_anti")
     edges = keys.unionByName(side).unionByName(rel.where("type = 'has_and_belongs_to_many'"))
-    return {"tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"), "columns": columns, "edges": edges, "warnings": python_warnings(facts).unionByName(guessed)}
+    return {
+        "tables": tables.select("schema_id", F.col("table").alias("table_name"), "cls"),
+        "columns": columns,
+        "edges": edges,
+        "warnings": python_warnings(facts).unionByName(guessed),
+    }
 
 
 def python_warnings(facts: DataFrame) -> DataFrame:
@@ -460,7 +895,16 @@ def python_warnings(facts: DataFrame) -> DataFrame:
 
 
 Job = Callable[[DataFrame], dict[str, DataFrame]]
-JOBS: dict[str, tuple[int, Job]] = {"rails": (10, rails_models), "rails_schema": (20, schema_rb), "prisma": (30, prisma), "laravel": (40, laravel_models), "django": (50, lambda c: django(python_models(c))), "sqlalchemy": (60, lambda c: sqlalchemy(python_models(c))), "dbml": (70, dbml), "mermaid_er": (80, mermaid)}
+JOBS: dict[str, tuple[int, Job]] = {
+    "rails": (10, rails_models),
+    "rails_schema": (20, schema_rb),
+    "prisma": (30, prisma),
+    "laravel": (40, laravel_models),
+    "django": (50, lambda c: django(python_models(c))),
+    "sqlalchemy": (60, lambda c: sqlalchemy(python_models(c))),
+    "dbml": (70, dbml),
+    "mermaid_er": (80, mermaid),
+}
 
 
 def register_job(kind: str, priority: int, job: Job) -> None:

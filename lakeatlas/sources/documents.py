@@ -13,7 +13,10 @@ EDGE = ["type", "name", "target", "foreign_key", "through", "polymorphic"]
 
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("content"),
+    )
 
 
 def _present(json: str, keys: list[str]):
@@ -30,23 +33,80 @@ def config_fragments(docs: DataFrame) -> dict[str, DataFrame]:
     parsed = docs.withColumn("tables", F.from_json(F.get_json_object("content", "$.tables"), "map<string,string>"))
     bad = docs.where(F.json_object_keys("content").isNull()).select("schema_id", "layer_seq", F.lit("not a JSON object").alias("message"))
     t = parsed.select("schema_id", "layer_seq", F.explode("tables").alias("table_name", "json")).withColumn("kind", F.lit("config"))
-    own = t.withColumn("t", F.from_json("json", "comment string, primary_key string, drop boolean, columns_mode string, indexes_mode string, associations_mode string, columns array<string>, indexes array<string>, associations array<string>"))
+    own = t.withColumn(
+        "t",
+        F.from_json(
+            "json",
+            "comment string, primary_key string, drop boolean, columns_mode string, indexes_mode string, associations_mode string, columns array<string>, indexes array<string>, associations array<string>",
+        ),
+    )
     head = ["schema_id", "layer_seq", "kind", "table_name"]
-    pk = F.when(F.col("t.primary_key").startswith("["), F.from_json("t.primary_key", "array<string>")).when(F.col("t.primary_key").isNotNull(), F.array("t.primary_key")).otherwise(F.array().cast("array<string>"))
-    tables = own.select(*head, _present("json", ["comment", "primary_key"]).alias("present"), "t.comment", pk.alias("primary_key"), F.coalesce("t.drop", F.lit(False)).alias("drop"), "t.columns_mode", "t.indexes_mode", "t.associations_mode")
+    pk = F.when(
+        F.col("t.primary_key").startswith("["),
+        F.from_json("t.primary_key", "array<string>"),
+    ).when(F.col("t.primary_key").isNotNull(), F.array("t.primary_key")).otherwise(F.array().cast("array<string>"))
+    tables = own.select(
+        *head,
+        _present("json", ["comment", "primary_key"]).alias("present"),
+        "t.comment",
+        pk.alias("primary_key"),
+        F.coalesce("t.drop", F.lit(False)).alias("drop"),
+        "t.columns_mode",
+        "t.indexes_mode",
+        "t.associations_mode",
+    )
 
     def items(field: str, keys: list[str], schema: str) -> DataFrame:
         rows = own.select(*head, F.col(f"t.{field}_mode").alias("mode"), F.posexplode(f"t.{field}").alias("pos", "j"))
-        return rows.select(*head, "mode", "pos", _present("j", keys).alias("present"), F.from_json("j", schema + ", drop boolean").alias("x")).select(*head, "mode", "pos", "present", "x.*")
+        return rows.select(
+            *head,
+            "mode",
+            "pos",
+            _present("j", keys).alias("present"),
+            F.from_json("j", schema + ", drop boolean").alias("x"),
+        ).select(*head, "mode", "pos", "present", "x.*")
 
     return {
         "tables": tables,
-        "columns": items("columns", FACTS, "name string, type string, sql_type string, nullable boolean, primary boolean, default string, extra string, comment string"),
+        "columns": items(
+            "columns",
+            FACTS,
+            "name string, type string, sql_type string, nullable boolean, primary boolean, default string, extra string, comment string",
+        ),
         "indexes": items("indexes", ["name", "columns", "unique"], "name string, columns array<string>, unique boolean"),
         "associations": items("associations", EDGE, "type string, name string, target string, foreign_key string, through string, polymorphic boolean"),
-        "relations": docs.select("schema_id", "layer_seq", F.explode(F.from_json(F.get_json_object("content", "$.relations"), "array<struct<table_name:string,column_name:string,target:string,one_to_one:boolean>>")).alias("r")).select("schema_id", "layer_seq", "r.*"),
-        "notes": docs.select("schema_id", F.explode(F.from_json(F.get_json_object("content", "$.notes"), "array<struct<id:string,scope:string,title:string,text:string,table:string,source_table:string,target:string,links:array<struct<label:string,url:string>>>>")).alias("n")).select("schema_id", F.col("n.id").alias("note_id"), "n.scope", "n.title", "n.text", F.col("n.table").alias("table_name"), "n.source_table", "n.target", "n.links"),
-        "groups": docs.select("schema_id", F.explode(F.from_json(F.get_json_object("content", "$.groups"), "array<struct<id:string,title:string,color:string,tables:array<string>>>")).alias("g")).select("schema_id", F.col("g.id").alias("group_id"), "g.title", "g.color", "g.tables"),
+        "relations": docs.select(
+            "schema_id",
+            "layer_seq",
+            F.explode(
+                F.from_json(F.get_json_object("content", "$.relations"), "array<struct<table_name:string,column_name:string,target:string,one_to_one:boolean>>")
+            ).alias("r"),
+        ).select("schema_id", "layer_seq", "r.*"),
+        "notes": docs.select(
+            "schema_id",
+            F.explode(
+                F.from_json(
+                    F.get_json_object("content", "$.notes"),
+                    "array<struct<id:string,scope:string,title:string,text:string,table:string,source_table:string,target:string,links:array<struct<label:string,url:string>>>>",
+                )
+            ).alias("n"),
+        ).select(
+            "schema_id",
+            F.col("n.id").alias("note_id"),
+            "n.scope",
+            "n.title",
+            "n.text",
+            F.col("n.table").alias("table_name"),
+            "n.source_table",
+            "n.target",
+            "n.links",
+        ),
+        "groups": docs.select(
+            "schema_id",
+            F.explode(
+                F.from_json(F.get_json_object("content", "$.groups"), "array<struct<id:string,title:string,color:string,tables:array<string>>>")
+            ).alias("g"),
+        ).select("schema_id", F.col("g.id").alias("group_id"), "g.title", "g.color", "g.tables"),
         "warnings": bad,
     }
 
@@ -72,13 +132,26 @@ def order_layers(specs: DataFrame) -> DataFrame:
     A spec with halves (schema and models of one project) stands for a layer each, in this order. Locations lose passwords.
     """
     rank = F.array_position(F.array(*(F.lit(c) for c in LAYER_CLASSES)), F.col("class"))
-    each = specs.select("schema_id", rank.alias("_rank"), "declared", "provider", "location", F.posexplode_outer(F.when(F.size("halves") > 0, F.col("halves"))).alias("_half", "half"))
+    each = specs.select(
+        "schema_id",
+        rank.alias("_rank"),
+        "declared",
+        "provider",
+        "location",
+        F.posexplode_outer(F.when(F.size("halves") > 0, F.col("halves"))).alias("_half", "half"),
+    )
     seq = F.row_number().over(Window.partitionBy("schema_id").orderBy("_rank", "declared", F.coalesce("_half", F.lit(0)))) - 1
     return each.select("schema_id", seq.alias("layer_seq"), "provider", F.concat_ws("/", password_free(F.col("location")), "half").alias("location"))
 
 
 #: What marks a project's kind, by priority.
-MARKERS = [("rails", r"(^|/)app/models/.*\.rb$|\.rb$"), ("prisma", r"(^|/)schema\.prisma$"), ("django", r"(^|/)manage\.py$"), ("laravel", r"(^|/)artisan$|(^|/)app/Models/.*\.php$"), ("sqlalchemy", r"(^|/)models?(\.py|/.*\.py)$")]
+MARKERS = [
+    ("rails", r"(^|/)app/models/.*\.rb$|\.rb$"),
+    ("prisma", r"(^|/)schema\.prisma$"),
+    ("django", r"(^|/)manage\.py$"),
+    ("laravel", r"(^|/)artisan$|(^|/)app/Models/.*\.php$"),
+    ("sqlalchemy", r"(^|/)models?(\.py|/.*\.py)$"),
+]
 SKIPPED = ["vendor", "node_modules", "venv", ".venv", "env", "site-packages", "migrations", "tests", "test", "__pycache__", ".git", "build", "dist"]
 
 
@@ -97,7 +170,10 @@ def read_corpus(spark: SparkSession, path: str, glob: str) -> DataFrame:
 #: What in a source file marks its project's kind, by the suffix of its path.
 CONTENT = {
     "laravel": (".php", r"extends\s+\\?(\w+\\)*(Model|Pivot|Authenticatable)\b|Illuminate\\Database\\Eloquent"),
-    "sqlalchemy": (".py", r"(?s)\bdeclarative_base\(|\(\s*(\w+\.)?DeclarativeBase\b|__tablename__\s*(:[^=]*)?=.*\b(Column|mapped_column)\(|\b(Column|mapped_column)\(.*__tablename__"),
+    "sqlalchemy": (
+        ".py",
+        r"(?s)\bdeclarative_base\(|\(\s*(\w+\.)?DeclarativeBase\b|__tablename__\s*(:[^=]*)?=.*\b(Column|mapped_column)\(|\b(Column|mapped_column)\(.*__tablename__",
+    ),
 }
 
 

@@ -42,7 +42,9 @@ def _last_states(spark: SparkSession, batch_id: int, folder: str) -> DataFrame |
 
 
 def _newest(states: DataFrame) -> DataFrame:
-    return states.groupBy("schema_id").agg(F.max_by(F.struct("snapshot_id", "ts", "doc", "fingerprint"), F.struct("ts", "snapshot_id")).alias("x")).select("schema_id", "x.*")
+    return states.groupBy("schema_id").agg(
+        F.max_by(F.struct("snapshot_id", "ts", "doc", "fingerprint"), F.struct("ts", "snapshot_id")).alias("x")
+    ).select("schema_id", "x.*")
 
 
 def process(events: DataFrame, batch_id: int, folder: str) -> None:
