@@ -404,13 +404,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
     """Link near duplicates among ``docs(doc_id, text, ...)``.
 
     Returns per row: ``keys``, n_shingles (size of its set) and component_id, the smallest doc_id that links reach from
-    it, itself included; also node, the hash of its set, and component, a hash that names the component. Repeated rows, and different doc_ids with equal sets, link as
-    any others do. A null or empty text and one without words has no shingles and links with nothing: its component_id
+    it, itself included; also node, the hash of its set, and component, a hash that names the component. Repeated rows, and
+    different doc_ids with equal sets, link as any others do. A null or empty text and one without words has no shingles and links with nothing: its component_id
     is its own doc_id. A null doc_id is never the smallest one: component_id is null only where all of a component are.
     Further columns of ``docs`` are not looked at.
     """
     cut = Parts(percent)
-    rows = kept(document_sets(docs, width, list(dict.fromkeys(["doc_id", *keys]))), "sets")
+    docs = docs.select(*dict.fromkeys(["doc_id", *keys]), "text").withColumn("_la_hash_of_text", F.xxhash64(text_or_empty()))
+    rows = kept(document_sets(docs, width, list(dict.fromkeys(["doc_id", *keys, "_la_hash_of_text"]))), "sets")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     some = kept(promising(docs, width, percent, total), "promising")
@@ -489,10 +490,12 @@ def _groups(labels: DataFrame, group_size: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) for the given nodes, from one document of each."""
+    """(node, shingles) for the given nodes, from one document of each: its doc_id and the hash of its text say which, so that
+    neither many copies nor many null doc_ids meet."""
+    own = F.struct("doc_id", "_la_hash_of_text")
     holder = rows.join(nodes, "node", "left_semi").groupBy("node").agg(
-        F.min_by(F.struct("doc_id"), F.xxhash64("doc_id")).alias("h")
-    ).select("node", F.col("h.doc_id").alias("holder"))
+        F.min_by(own, F.xxhash64("doc_id", "_la_hash_of_text")).alias("h")
+    ).select("node", F.col("h.doc_id").alias("holder"), F.col("h._la_hash_of_text").alias("hash"))
 
     def run(batches):
         for b in slices(batches):
@@ -503,5 +506,6 @@ def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) ->
                 names=["node", "shingles"],
             )
 
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(holder, F.col("doc_id").eqNullSafe(F.col("holder")))
+    same = F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("_la_hash_of_text") == F.col("hash"))
+    texts = docs.select("doc_id", "_la_hash_of_text", text_or_empty().alias("text")).join(holder, same)
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])

@@ -110,6 +110,14 @@ def test_ids_beyond_doubles(spark):
     assert got(ngram_jaccard_join(df)) == brute(rows, 3, 90)
 
 
+def test_many_null_ids(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(9)}" for _ in range(30)) for _ in range(150)]
+    rows = [(None if i % 3 else i, t) for i, t in enumerate(texts + texts[:60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(ngram_jaccard_join(df, 3, 90)) == brute(rows, 3, 90)
+
+
 def test_a_set_far_from_the_hub_of_its_tokens(spark):
     # many versions which share tokens with one another and with the rest, but link with few of them
     rnd = random.Random(11)
