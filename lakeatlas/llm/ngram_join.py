@@ -13,11 +13,11 @@ Which texts link: the Jaccard likeness of their sets of word shingles is at leas
    are the tokens of the matrix: rare and selective even where texts share passages.
 3. Inside each token's postings every set is compared with the least of them only (first inside a task, then over all),
    so a token of a third of all texts costs one comparison a text. The links found give components. Sets that share
-   tokens are put into *groups* of about ``group_size``; each group has the union of its members' tokens.
+   tokens are put into *groups* of about ``group_size`` shingles; each group has the union of its members' tokens.
 4. What this leaves open are tokens that sets of different components share. There each set is a query on the groups that
    hold the token and a larger component. A linked pair has all of the query's tokens in common but d, so a group is
    opened only if its union holds as many; the query is compared with the members of other components in it. A token
-   that m sets without links share costs m * m / group_size such bounds; no pairs of sets are made.
+   that m sets without links share costs m bounds for each of their groups; no pairs of sets are made.
 5. The components of all links are the result.
 """
 
@@ -39,6 +39,8 @@ from .components import components
 #: Entries that a task holds before it packs them, and about as many as one range of hashes gets.
 FLUSH = 600_000
 RANGE = 2_000_000
+#: About as many shingles of sets that share tokens as one range of tokens gets; a set has fewer tokens than shingles.
+TOKENS = 1_500_000
 
 
 class Parts:
@@ -286,7 +288,9 @@ def open_groups(sets: DataFrame, labels: DataFrame, cut: Parts) -> DataFrame:
 
     ``labels(node, component, size, grp)``; a query reaches its bound under one of its two classes.
     """
-    buckets = 2 * parts(sets)
+    # as few ranges of tokens as tasks can hold, for a query and a group meet in each range anew
+    total = labels.join(sets.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // TOKENS))
 
     def emit(members: list, tokens: list):
         owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
@@ -400,7 +404,7 @@ def opened(openings: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     return rows.mapInPandas(run, "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group_size: int = 256, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group_size: int = 1 << 18, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Link near duplicates among ``docs(doc_id, text, ...)``.
 
     Returns per row: ``keys``, n_shingles (size of its set) and component_id, the smallest doc_id that links reach from
@@ -431,7 +435,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group
         "node",
         F.coalesce("own", "node").alias("component"),
         F.col("component").alias("cluster"),
-    )
+    ).join(sets.select("node", "n"), "node")
     labels = kept(_groups(labels, group_size), "groups")
     openings = kept(open_groups(sets, labels, cut), "openings")
     if openings.isEmpty():
@@ -477,20 +481,19 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _groups(labels: DataFrame, group_size: int) -> DataFrame:
-    """(node, component, size, grp) of ``labels(node, component, cluster)``: groups of about ``group_size`` similar sets.
-    Large clusters of what shares tokens are cut, small ones put together; size is that of the component."""
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("in_cluster"))
+    """(node, component, size, grp) of ``labels(node, component, cluster, n)``: groups of similar sets with about
+    ``group_size`` shingles, so that a task holds one whatever its sets' sizes. Large clusters of what shares tokens are cut,
+    small ones put together; size is that of the component."""
+    sizes = labels.groupBy("cluster").agg(F.sum("n").alias("in_cluster"))
     of = labels.groupBy("component").agg(F.count("*").alias("size"))
-    few = max(1, labels.count() // group_size)
-    grp = F.when(
-        F.col("in_cluster") > group_size,
-        F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cluster") / group_size))),
-    ).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
+    few = max(1, (labels.agg(F.sum("n")).first()[0] or 0) // group_size)
+    cut = F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_cluster") / group_size)))
+    grp = F.when(F.col("in_cluster") > group_size, cut).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few)))
     return labels.join(sizes, "cluster").join(of, "component").select("node", "component", "size", grp.alias("grp"))
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) for the given nodes, from one document of each: its doc_id and the hash of its text say which, so that
+    """(node, n, shingles) for the given nodes, from one document of each: its doc_id and the hash of its text say which, so that
     neither many copies nor many null doc_ids meet."""
     own = F.struct("doc_id", "_la_hash_of_text")
     holder = rows.join(nodes, "node", "left_semi").groupBy("node").agg(
@@ -500,12 +503,16 @@ def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) ->
     def run(batches):
         for b in slices(batches):
             found = [(set_hash(x) if len(x) else None, x) for x in _sets(texts_of(b, "text", lower=True), width)]
-            good = [(h, x.tobytes()) for (h, x), wanted in zip(found, b.column("node").to_pylist()) if h == wanted]
+            good = [(h, x) for (h, x), wanted in zip(found, b.column("node").to_pylist()) if h == wanted]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in good], pa.int64()), pa.array([x for _, x in good], pa.binary())],
-                names=["node", "shingles"],
+                [
+                    pa.array([h for h, _ in good], pa.int64()),
+                    pa.array([len(x) for _, x in good], pa.int64()),
+                    pa.array([x.tobytes() for _, x in good], pa.binary()),
+                ],
+                names=["node", "n", "shingles"],
             )
 
     same = F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("_la_hash_of_text") == F.col("hash"))
     texts = docs.select("doc_id", "_la_hash_of_text", text_or_empty().alias("text")).join(holder, same)
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, shingles binary").dropDuplicates(["node"])
