@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, license_scan, ngram_join, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc
+from . import decontamination, interpolated_lm, license_scan, ngram_join, periodic_runs, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc
 from ._common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -77,3 +77,9 @@ def op8(spark, sf_dir):
 @query("op9_license_scan")
 def op9(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs))
