@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, license_scan, ngram_join, periodic_runs, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc
+from . import decontamination, interpolated_lm, license_scan, ngram_join, periodic_runs, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc, whitening
 from ._common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -83,3 +83,9 @@ def op9(spark, sf_dir):
 def op11(spark, sf_dir):
     docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.find_runs(docs))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
