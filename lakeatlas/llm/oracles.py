@@ -65,4 +65,13 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secr
 """
 
 
-ORACLES = {"op1_warc_zstd": WARC, "op3_temperature_mixing": MIXING, "op6_ngram_jaccard_join": JACCARD, "op10_secret_scan": _secrets()}
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) r
+WHERE rank <= 20
+"""
+
+ORACLES = {"op13_metric_tree_top_k": TOP_K, "op1_warc_zstd": WARC, "op3_temperature_mixing": MIXING, "op6_ngram_jaccard_join": JACCARD, "op10_secret_scan": _secrets()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, interpolated_lm, license_scan, ngram_join, periodic_runs, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc, whitening
+from . import decontamination, interpolated_lm, license_scan, metric_tree, ngram_join, periodic_runs, pii, piecewise_hash, quality, secret_scan, temperature_mixing, warc, whitening
 from ._common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -89,3 +89,8 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
+@query("op13_metric_tree_top_k")
+def op13(spark, sf_dir):
+    return metric_tree.search_embeddings(table(spark, sf_dir, "embeddings"))
