@@ -46,14 +46,16 @@ def fk_associations(fk_rows: DataFrame, tables: DataFrame, indexes: DataFrame, f
 
 
 def config_relations(relations: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Config relations (schema_id, table_name, column_name, target, one_to_one) as manual edges."""
+    """Config relations (schema_id, table_name, column_name, target, one_to_one[, name]) as manual edges; one without a name has
+    that of its column."""
+    named = F.nullif("name", F.lit("")) if "name" in relations.columns else F.lit(None).cast("string")
     single = unique_columns(indexes).withColumn("_one", F.lit(True))
     joined = relations.withColumnRenamed("column_name", "foreign_key").join(single, [*TABLE, "foreign_key"], "left")
     one = F.coalesce("one_to_one", F.lit(False)) | F.coalesce("_one", F.lit(False))
     return joined.select(
         *TABLE,
         F.when(one, "has_one").otherwise("belongs_to").alias("type"),
-        fk_stem(F.col("foreign_key")).alias("name"),
+        F.coalesce(named, fk_stem(F.col("foreign_key"))).alias("name"),
         "target",
         "foreign_key",
         F.lit("manual").alias("provenance"),
@@ -189,7 +191,8 @@ def resolve_notes(notes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     keys = ["foreign_key", "name", "through", "type", "polymorphic"]
     fits: Column = F.lit(True)
     for k in keys:
-        fits = fits & (~F.array_contains("n.present", k) | F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")))
+        own = F.coalesce(F.col(f"e.{k}"), F.lit(False)) if k == "polymorphic" else F.col(f"e.{k}")  # an edge without it is not
+        fits = fits & (~F.array_contains("n.present", k) | F.col(f"n.{k}").eqNullSafe(own))
     same = (F.col("n.schema_id") == F.col("e.schema_id")) & (F.col("n.table_name") == F.col("e.table_name")) & (F.col("n.target") == F.col("e.target"))
     found = notes.alias("n").join(edges.alias("e"), same & fits).select("n.schema_id", "n.note_id", *(F.col(f"e.{c}") for c in ("table_name", "target", *keys)))
     counts = found.groupBy("schema_id", "note_id").agg(F.count("*").alias("n"))

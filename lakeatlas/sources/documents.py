@@ -1,4 +1,4 @@
-"""JSON documents as sources: config files with presence, snapshots, the order of layers, and project detection."""
+"""JSON documents as sources: config files (see ``configs``), snapshots, the order of layers, and project detection."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from lakeatlas.functions.names import password_free
 from lakeatlas.operators.canonical import SNAPSHOT
 
-FACTS = ["type", "sql_type", "nullable", "primary", "default", "extra", "comment"]
-EDGE = ["type", "name", "target", "foreign_key", "through", "polymorphic"]
+from .configs import config_fragments  # noqa: F401
 
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
@@ -19,98 +18,6 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
     )
 
 
-def _present(json: str, keys: list[str]):
-    """Which of the keys the object has, nulls included."""
-    return F.array_intersect(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*(F.lit(k) for k in keys)))
-
-
-def config_fragments(docs: DataFrame) -> dict[str, DataFrame]:
-    """Fragments (kind config) of config documents (schema_id, layer_seq, content): table, column, index and edge rows.
-
-    A key that is absent is no opinion; a null is one. The table map is {"tables": {name: {...}}}. Documents that are no
-    JSON give no rows, and one in ``warnings``.
-    """
-    parsed = docs.withColumn("tables", F.from_json(F.get_json_object("content", "$.tables"), "map<string,string>"))
-    bad = docs.where(F.json_object_keys("content").isNull()).select("schema_id", "layer_seq", F.lit("not a JSON object").alias("message"))
-    t = parsed.select("schema_id", "layer_seq", F.explode("tables").alias("table_name", "json")).withColumn("kind", F.lit("config"))
-    own = t.withColumn(
-        "t",
-        F.from_json(
-            "json",
-            "comment string, primary_key string, drop boolean, columns_mode string, indexes_mode string, associations_mode string, columns array<string>, indexes array<string>, associations array<string>",
-        ),
-    )
-    head = ["schema_id", "layer_seq", "kind", "table_name"]
-    pk = F.when(
-        F.col("t.primary_key").startswith("["),
-        F.from_json("t.primary_key", "array<string>"),
-    ).when(F.col("t.primary_key").isNotNull(), F.array("t.primary_key")).otherwise(F.array().cast("array<string>"))
-    tables = own.select(
-        *head,
-        _present("json", ["comment", "primary_key"]).alias("present"),
-        "t.comment",
-        pk.alias("primary_key"),
-        F.coalesce("t.drop", F.lit(False)).alias("drop"),
-        "t.columns_mode",
-        "t.indexes_mode",
-        "t.associations_mode",
-    )
-
-    def items(field: str, keys: list[str], schema: str) -> DataFrame:
-        rows = own.select(*head, F.col(f"t.{field}_mode").alias("mode"), F.posexplode(f"t.{field}").alias("pos", "j"))
-        return rows.select(
-            *head,
-            "mode",
-            "pos",
-            _present("j", keys).alias("present"),
-            F.from_json("j", schema + ", drop boolean").alias("x"),
-        ).select(*head, "mode", "pos", "present", "x.*")
-
-    return {
-        "tables": tables,
-        "columns": items(
-            "columns",
-            FACTS,
-            "name string, type string, sql_type string, nullable boolean, primary boolean, default string, extra string, comment string",
-        ),
-        "indexes": items("indexes", ["name", "columns", "unique"], "name string, columns array<string>, unique boolean"),
-        "associations": items("associations", EDGE, "type string, name string, target string, foreign_key string, through string, polymorphic boolean"),
-        "relations": docs.select(
-            "schema_id",
-            "layer_seq",
-            F.explode(
-                F.from_json(F.get_json_object("content", "$.relations"), "array<struct<table_name:string,column_name:string,target:string,one_to_one:boolean>>")
-            ).alias("r"),
-        ).select("schema_id", "layer_seq", "r.*"),
-        "notes": docs.select(
-            "schema_id",
-            F.explode(
-                F.from_json(
-                    F.get_json_object("content", "$.notes"),
-                    "array<struct<id:string,scope:string,title:string,text:string,table:string,source_table:string,target:string,links:array<struct<label:string,url:string>>>>",
-                )
-            ).alias("n"),
-        ).select(
-            "schema_id",
-            F.col("n.id").alias("note_id"),
-            "n.scope",
-            "n.title",
-            "n.text",
-            F.col("n.table").alias("table_name"),
-            "n.source_table",
-            "n.target",
-            "n.links",
-        ),
-        "groups": docs.select(
-            "schema_id",
-            F.explode(
-                F.from_json(F.get_json_object("content", "$.groups"), "array<struct<id:string,title:string,color:string,tables:array<string>>>")
-            ).alias("g"),
-        ).select("schema_id", F.col("g.id").alias("group_id"), "g.title", "g.color", "g.tables"),
-        "warnings": bad,
-    }
-
-
 def read_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sound snapshot documents (schema_id, doc, ...) with d in place of doc, and the others as they are with a message."""
     parsed = docs.withColumn("d", F.from_json("doc", SNAPSHOT))
