@@ -27,13 +27,18 @@ def index_struct() -> Column:
     return F.struct("columns", blank("name").alias("name"), "unique")
 
 
+def _sources(x: Column) -> Column:
+    """Each (kind, provider) once, in order; none where there is none."""
+    return F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x)))
+
+
 def association_struct() -> Column:
     return F.struct(
         blank("foreign_key").alias("foreign_key"),
         blank("name").alias("name"),
         F.when(F.col("polymorphic"), True).alias("polymorphic"),
         "provenance",
-        "sources",
+        _sources(F.col("sources")).alias("sources"),
         "target",
         blank("through").alias("through"),
         "type",
@@ -77,8 +82,74 @@ def table_json(tables: DataFrame, columns: DataFrame, indexes: DataFrame, associ
     return joined.select(*TABLE, lower_escapes(F.to_json(doc)).alias("json"))
 
 
-def schema_json(tables: DataFrame) -> DataFrame:
-    """(schema_id, doc): ``{"tables":{...}}`` from the tables' JSON in name order."""
+def _piece(key: str, value: Column, always: bool = False) -> Column:
+    """``"key":value`` of a JSON object; a null is left out, or said where it is to be there ``always``."""
+    whole = F.to_json(F.struct(value.alias(key)))
+    own = F.nullif(F.substr(whole, F.lit(2), F.length(whole) - 2), F.lit(""))
+    return F.coalesce(own, F.lit(f'"{key}":null')) if always else own
+
+
+def note_text(n: Column) -> Column:
+    """Canonical JSON of a resolved note. One on a relation says all that its edge has, nulls included; titles and links are
+    there where they say something; links keep their order."""
+    text = lambda k: F.nullif(n[k], F.lit(""))
+    links = F.when(F.size(n["links"]) > 0, F.transform(n["links"], lambda x: F.struct(x["label"].alias("label"), x["url"].alias("url"))))
+    on_edge, on_table = n["scope"] == "relation", n["scope"] == "table"
+    own = lambda k: F.when(on_edge, _piece(k, n[k], True))
+    parts = [
+        own("foreign_key"),
+        _piece("id", n["id"]),
+        _piece("links", links),
+        own("name"),
+        F.when(on_edge, _piece("polymorphic", F.coalesce(n["polymorphic"], F.lit(False)))),
+        _piece("scope", n["scope"]),
+        own("source_table"),
+        F.when(on_table, _piece("table", n["table"])),
+        own("target"),
+        _piece("text", n["text"]),
+        own("through"),
+        _piece("title", text("title")),
+        own("type"),
+    ]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def group_text(g: Column) -> Column:
+    text = lambda k: F.nullif(g[k], F.lit("")).alias(k)
+    return F.to_json(F.struct(text("color"), g["id"].alias("id"), F.array_sort(g["tables"]).alias("tables"), text("title")))
+
+
+NOTE_FIELDS = ["foreign_key", "id", "links", "name", "polymorphic", "scope", "source_table", "table", "target", "text", "through", "title", "type"]
+GROUP_FIELDS = ["color", "id", "tables", "title"]
+
+
+def note_json(notes: DataFrame) -> DataFrame:
+    """(schema_id, note_id, json) of resolved notes (columns as in ``exploded``)."""
+    renamed = notes.withColumnsRenamed({"note_id": "id", "table_name": "table"})
+    return renamed.select("schema_id", F.col("id").alias("note_id"), lower_escapes(note_text(F.struct(*NOTE_FIELDS))).alias("json"))
+
+
+def group_json(groups: DataFrame) -> DataFrame:
+    """(schema_id, group_id, json) of groups (schema_id, group_id, title, color, tables)."""
+    renamed = groups.withColumnRenamed("group_id", "id")
+    return renamed.select("schema_id", F.col("id").alias("group_id"), lower_escapes(group_text(F.struct(*GROUP_FIELDS))).alias("json"))
+
+
+def _list_json(rows: DataFrame, key: str, name: str) -> DataFrame:
+    entries = F.transform(F.array_sort(F.collect_list(F.struct(key, "json"))), lambda x: x["json"])
+    return rows.groupBy("schema_id").agg(F.concat(F.lit(f'"{name}":['), F.array_join(entries, ","), F.lit("]")).alias(f"_{name}"))
+
+
+def schema_json(tables: DataFrame, notes: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(schema_id, doc): ``{"groups":[...],"notes":[...],"tables":{...}}`` from the JSON of tables in name order, and of notes and
+    groups (``note_json``, ``group_json``) by id; lists without items are left out."""
+    own = _tables_json(tables)
+    for rows, key, name in ((groups, "group_id", "groups"), (notes, "note_id", "notes")):
+        own = own.withColumn(f"_{name}", F.lit(None).cast("string")) if rows is None else own.join(_list_json(rows, key, name), "schema_id", "left")
+    return own.select("schema_id", F.concat(F.lit("{"), F.concat_ws(",", "_groups", "_notes", F.substr("doc", F.lit(2)))).alias("doc"))
+
+
+def _tables_json(tables: DataFrame) -> DataFrame:
     pair = F.concat(F.expr("substring(to_json(struct(table_name as k)), 6, length(to_json(struct(table_name as k))) - 6)"), F.lit(":"), F.col("json"))
     entries = F.array_sort(F.collect_list(F.struct("table_name", pair.alias("pair"))))
     return tables.groupBy("schema_id").agg(
@@ -96,8 +167,8 @@ def _key_json(name: Column) -> Column:
     return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
 
-def document_json(d: Column) -> Column:
-    """The canonical JSON of a parsed snapshot's schema (``d`` in the form SNAPSHOT), whatever way it was written."""
+def _document_tables(d: Column) -> Column:
+    """(k, json) of each table of a parsed snapshot, json being the canonical JSON of the table."""
     text = lambda x: F.nullif(x, F.lit(""))
     none = lambda x: F.coalesce(x, F.lit(""))
 
@@ -116,7 +187,9 @@ def document_json(d: Column) -> Column:
             text(e["foreign_key"]).alias("foreign_key"),
             text(e["name"]).alias("name"),
             F.when(e["polymorphic"], True).alias("polymorphic"),
-            *(e[k].alias(k) for k in ("provenance", "sources", "target")),
+            e["provenance"].alias("provenance"),
+            _sources(e["sources"]).alias("sources"),
+            e["target"].alias("target"),
             text(e["through"]).alias("through"),
             e["type"].alias("type"),
         )
@@ -144,10 +217,37 @@ def document_json(d: Column) -> Column:
             text(t["comment"]).alias("comment"),
             listed(t["indexes"], index, True).alias("indexes"),
         )
-        return F.struct(e["key"].alias("k"), F.concat(_key_json(e["key"]), F.lit(":"), F.to_json(doc)).alias("json"))
+        return F.struct(e["key"].alias("k"), F.to_json(doc).alias("json"))
+
+    return F.array_sort(F.transform(F.map_entries(d["schema"]["tables"]), table))
+
+
+def _document_items(d: Column, name: str) -> Column:
+    """(k, json) of each note or group of a parsed snapshot."""
+    text = {"notes": note_text, "groups": group_text}[name]
+    return F.array_sort(F.transform(d["schema"][name], lambda x: F.struct(x["id"].alias("k"), text(x).alias("json"))))
+
+
+def document_leaves(d: Column) -> Column:
+    """(kind, item, hash) of each table, note and group of a parsed snapshot: hashes of their canonical JSON."""
+    parts = [("table", _document_tables(d)), ("note", _document_items(d, "notes")), ("group", _document_items(d, "groups"))]
+    leaf = lambda kind: lambda e: F.struct(F.lit(kind).alias("kind"), e["k"].alias("item"), F.sha2(lower_escapes(e["json"]), 256).alias("hash"))
+    none = F.array().cast("array<struct<kind:string,item:string,hash:string>>")
+    return F.concat(*(F.coalesce(F.transform(x, leaf(kind)), none) for kind, x in parts))
+
+
+def document_json(d: Column) -> Column:
+    """The canonical JSON of a parsed snapshot's schema (``d`` in the form SNAPSHOT), whatever way it was written; null where it
+    has no tables."""
+
+    def items(name: str) -> Column:
+        own = _document_items(d, name)
+        return F.when(F.size(own) > 0, F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(own, lambda e: e["json"]), ","), F.lit("]")))
 
-    entries = F.array_sort(F.transform(F.map_entries(d["schema"]["tables"]), table))
-    return lower_escapes(F.concat(F.lit('{"tables":{'), F.array_join(F.transform(entries, lambda e: e["json"]), ","), F.lit("}}")))
+    tables = F.transform(_document_tables(d), lambda e: F.concat(_key_json(e["k"]), F.lit(":"), e["json"]))
+    in_tables = F.concat(F.lit('"tables":{'), F.array_join(tables, ","), F.lit("}"))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", items("groups"), items("notes"), in_tables), F.lit("}"))
+    return F.when(in_tables.isNotNull(), lower_escapes(whole))
 
 
 def snapshot(doc: Column) -> Column:
@@ -161,11 +261,13 @@ def unknown_provenance(associations: DataFrame) -> DataFrame:
 #: Spark schema of a snapshot document.
 _EDGE_STRUCT = "STRUCT<foreign_key: STRING, name: STRING, polymorphic: BOOLEAN, provenance: STRING, sources: ARRAY<STRUCT<kind: STRING, provider: STRING>>, target: STRING, through: STRING, type: STRING>"
 _COLUMN_STRUCT = "STRUCT<comment: STRING, default: STRING, extra: STRING, name: STRING, nullable: BOOLEAN, primary: BOOLEAN, sql_type: STRING, type: STRING>"
-SNAPSHOT = f"format INT, fingerprint STRING, schema STRUCT<tables: MAP<STRING, STRUCT<associations: ARRAY<{_EDGE_STRUCT}>, columns: ARRAY<{_COLUMN_STRUCT}>, comment: STRING, indexes: ARRAY<STRUCT<columns: ARRAY<STRING>, name: STRING, unique: BOOLEAN>>>>>"
+_NOTE_STRUCT = "STRUCT<foreign_key: STRING, id: STRING, links: ARRAY<STRUCT<label: STRING, url: STRING>>, name: STRING, polymorphic: BOOLEAN, scope: STRING, source_table: STRING, table: STRING, target: STRING, text: STRING, through: STRING, title: STRING, type: STRING>"
+_GROUP_STRUCT = "STRUCT<color: STRING, id: STRING, tables: ARRAY<STRING>, title: STRING>"
+SNAPSHOT = f"format INT, fingerprint STRING, schema STRUCT<groups: ARRAY<{_GROUP_STRUCT}>, notes: ARRAY<{_NOTE_STRUCT}>, tables: MAP<STRING, STRUCT<associations: ARRAY<{_EDGE_STRUCT}>, columns: ARRAY<{_COLUMN_STRUCT}>, comment: STRING, indexes: ARRAY<STRUCT<columns: ARRAY<STRING>, name: STRING, unique: BOOLEAN>>>>>"
 
 
 def exploded(docs: DataFrame) -> dict[str, DataFrame]:
-    """Parsed documents (schema_id, d in the form SNAPSHOT) as the four relations."""
+    """Parsed documents (schema_id, d in the form SNAPSHOT) as relations: tables, columns, indexes, associations, notes, groups."""
     t = docs.select("schema_id", F.explode("d.schema.tables").alias("table_name", "t"))
     item = lambda c: t.select(*TABLE, F.posexplode(f"t.{c}").alias("pos", "x")).select(*TABLE, "pos", "x.*")
     tables = t.select(*TABLE, F.col("t.comment").alias("comment"))
@@ -174,4 +276,6 @@ def exploded(docs: DataFrame) -> dict[str, DataFrame]:
         "columns": item("columns").withColumn("primary", F.coalesce("primary", F.lit(False))),
         "indexes": item("indexes"),
         "associations": item("associations").withColumn("polymorphic", F.coalesce("polymorphic", F.lit(False))),
+        "notes": docs.select("schema_id", F.explode("d.schema.notes").alias("x")).select("schema_id", "x.*").withColumnsRenamed({"id": "note_id", "table": "table_name"}),
+        "groups": docs.select("schema_id", F.explode("d.schema.groups").alias("x")).select("schema_id", "x.*").withColumnRenamed("id", "group_id"),
     }

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 TABLE = ["schema_id", "table_name"]
 FACTS = ["type", "sql_type", "nullable", "primary", "default", "extra", "comment"]
 OUT = ["schema_id", "level", "table_name", "item", "change", "field", "old", "new"]
@@ -22,7 +24,9 @@ def _text(df: DataFrame, c: str) -> Column:
         return F.lit("")
     if kind == "boolean":
         return F.when(F.col(c), "true").otherwise("")
-    return F.coalesce(F.col(c).cast("string") if not kind.startswith(("array", "struct")) else F.to_json(c), F.lit(""))
+    if kind.startswith("array"):
+        return F.when(F.size(c) > 0, F.to_json(c)).otherwise("")
+    return F.coalesce(F.to_json(c) if kind.startswith("struct") else F.col(c).cast("string"), F.lit(""))
 
 
 def _compare(left: DataFrame, right: DataFrame, level: str, keys: list[str], fields: list[str]) -> DataFrame:
@@ -85,27 +89,24 @@ def schema_diff(left: dict[str, DataFrame], right: dict[str, DataFrame], include
     return out
 
 
-def changed_schemas(left: DataFrame, right: DataFrame) -> DataFrame:
-    """schema_id of documents (schema_id, doc) whose recomputed fingerprints differ, or that only one side has."""
-    from lakeatlas.operators.canonical import fingerprint
-
-    l = left.select("schema_id", fingerprint(F.col("doc")).alias("_l"))
-    r = right.select("schema_id", fingerprint(F.col("doc")).alias("_r"))
-    return l.join(r, "schema_id", "full_outer").where("NOT (_l <=> _r)").select("schema_id")
-
-
-def gate(left: dict[str, DataFrame], right: dict[str, DataFrame], left_docs: DataFrame, right_docs: DataFrame) -> DataFrame:
-    """(schema_id, changed, n_items) for every schema of either side: whether the gate stops it, and how many items differ.
+def gate(left: dict[str, DataFrame], right: dict[str, DataFrame], left_leaves: DataFrame | None = None, right_leaves: DataFrame | None = None) -> DataFrame:
+    """(schema_id, changed, n_leaves, n_items) for every schema of either side: whether the gate stops it, how many tables, notes
+    and groups differ in their canonical form, and how many items the comparison finds in those.
 
-    Fingerprints are computed from the documents (schema_id, doc in canonical form); only schemas whose fingerprints differ
-    are compared. Where only what the comparison ignores differs (order of columns, index names) nothing has changed.
+    Leaves (``hashtree.leaves``) are made from the relations where they are not given. Schemas with equal roots are not looked
+    into, and of the others only what stands under leaves that differ is compared. Where only what the comparison ignores
+    differs (order of columns, index names) nothing has changed.
     """
-    moved = changed_schemas(left_docs, right_docs)
-    own = lambda side: {k: df.join(moved, "schema_id", "left_semi") for k, df in side.items()}
-    counts = summary(schema_diff(own(left), own(right))).groupBy("schema_id").agg(F.sum("n").alias("n_items"))
-    every = left_docs.select("schema_id").union(right_docs.select("schema_id")).distinct()
-    out = every.join(counts, "schema_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
-    return out.select("schema_id", (F.col("n_items") > 0).alias("changed"), "n_items")
+    from . import hashtree
+
+    l = hashtree.leaves(left) if left_leaves is None else left_leaves
+    r = hashtree.leaves(right) if right_leaves is None else right_leaves
+    moved = written(hashtree.changed_leaves(l, r), "changed_leaves")
+    items = summary(schema_diff(hashtree.of_leaves(left, moved), hashtree.of_leaves(right, moved))).groupBy("schema_id").agg(F.sum("n").alias("n_items"))
+    counts = moved.groupBy("schema_id").agg(F.count("*").alias("n_leaves")).join(items, "schema_id", "left")
+    every = l.select("schema_id").union(r.select("schema_id")).distinct()
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(counts, "schema_id", "left").select("schema_id", (F.coalesce("n_items", F.lit(0)) > 0).alias("changed"), n("n_leaves"), n("n_items"))
 
 
 def summary(diff: DataFrame) -> DataFrame:
