@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -306,11 +308,51 @@ def snapshot_history(spark, sf_dir):
     """A snapshot for each day on which a schema was seen; those whose fingerprint differs from that of the day before."""
     from pyspark.sql import Window
 
+    own = daily_documents(spark, sf_dir).select("schema_id", "day", canonical.fingerprint(F.col("doc")).alias("fingerprint"))
+    before = F.lag("fingerprint").over(Window.partitionBy("schema_id").orderBy("day"))
+    return own.withColumn("before", before).where("before IS NULL OR before <> fingerprint").drop("before")
+
+
+def daily_documents(spark, sf_dir) -> DataFrame:
+    """(schema_id, day, doc): the canonical schema of each day on which a schema was seen."""
     f = fragments(spark, sf_dir, keep=True)
     day = F.concat(F.col("schema_id").cast("string"), F.lit("@"), F.col("seen_on").cast("date").cast("string"))
     part = {k: f[k].withColumn("schema_id", day) for k in ("tables", "columns")}
     docs = _plain_documents({"tables": merge.merge_tables(part["tables"]), "columns": merged_columns(part)})
-    own = docs.select(F.split("schema_id", "@").alias("k"), canonical.fingerprint(F.col("doc")).alias("fingerprint"))
-    own = own.select(F.col("k")[0].cast("long").alias("schema_id"), F.col("k")[1].alias("day"), "fingerprint")
-    before = F.lag("fingerprint").over(Window.partitionBy("schema_id").orderBy("day"))
-    return own.withColumn("before", before).where("before IS NULL OR before <> fingerprint").drop("before")
+    own = docs.select(F.split("schema_id", "@").alias("k"), "doc")
+    return own.select(F.col("k")[0].cast("long").alias("schema_id"), F.col("k")[1].alias("day"), "doc")
+
+
+_RUN = "CASE WHEN schema_id % 10 = 0 AND CAST(substr(day, 9, 2) AS INT) % 9 = 0 THEN 2 WHEN CAST(day AS DATE) + CAST(schema_id % 3 AS INT) < DATE '1995-06-17' THEN 1 ELSE 2 END"
+_HISTORY = ORACLES["snapshot_history"]
+
+
+@query(
+    "drift_stream",
+    _HISTORY[: _HISTORY.index("SELECT schema_id, day, fingerprint FROM (SELECT *, lag")].rstrip()
+    + f""",
+    e AS (SELECT *, {_RUN} AS run FROM d), w AS (SELECT max(CAST(day AS DATE)) - 7 AS mark FROM e WHERE run = 1),
+    s AS (SELECT schema_id, max(day) AS settled FROM e, w WHERE run = 1 AND CAST(day AS DATE) <= mark GROUP BY 1),
+    l AS (SELECT e.*, run = 2 AND coalesce(day <= settled, false) AS late FROM e LEFT JOIN s ON s.schema_id = e.schema_id)
+    SELECT schema_id, day, CASE WHEN before IS NULL THEN 'first' ELSE 'change' END AS kind, before, fingerprint FROM (
+      SELECT *, lag(fingerprint) OVER (PARTITION BY schema_id ORDER BY day) AS before FROM l WHERE NOT late) x WHERE before IS NULL OR before <> fingerprint
+    UNION ALL SELECT schema_id, day, 'late', NULL, fingerprint FROM l WHERE late""",
+)
+def drift_stream(spark, sf_dir):
+    """The daily snapshots as a stream in two runs on one checkpoint, out of order by up to two days, with stragglers that come
+    after their schema has gone on; what the keyed state makes of them."""
+    from lakeatlas.operators.store import shared_folder
+    from lakeatlas.streaming.history import follow, read_history
+
+    folder = f"{shared_folder(spark)}/drift-stream-{uuid.uuid4().hex}"
+    d = daily_documents(spark, sf_dir)
+    run = F.expr(_RUN)
+    events = written(d.select(F.col("schema_id").cast("string").alias("schema_id"), F.col("day").alias("snapshot_id"), F.to_timestamp("day").alias("ts"), canonical.snapshot(F.col("doc")).alias("doc"), run.alias("run")), "events")
+    for n in (1, 2):
+        events.where(F.col("run") == n).drop("run").write.mode("append").parquet(f"{folder}/in")
+        follow(spark, f"{folder}/in", folder).awaitTermination()
+    beyond = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    none = F.lit(None).cast("string")
+    beyond.select(none.alias("schema_id"), none.alias("snapshot_id"), "ts", none.alias("doc")).write.mode("append").parquet(f"{folder}/in")
+    follow(spark, f"{folder}/in", folder).awaitTermination()
+    return read_history(spark, folder).select(F.col("schema_id").cast("long").alias("schema_id"), F.col("snapshot_id").alias("day"), "kind", "before", "fingerprint")

@@ -60,6 +60,9 @@ def test_batches_keep_the_newest_states(spark, tmp_path, monkeypatch):
     for n, events in enumerate(batches):
         drift.process(spark.createDataFrame(events, drift.EVENT), n, str(tmp_path))
         drift.process(spark.createDataFrame(events, drift.EVENT), n, str(tmp_path))  # run again
+    late = [("s", "0", t(2), snap("z")), ("s", "2", t(2), snap("y"))]
+    drift.process(spark.createDataFrame(late, drift.EVENT), 4, str(tmp_path))
+    assert sorted(r.snapshot_id for r in spark.read.parquet(f"{tmp_path}/quarantine/batch=4").collect()) == ["0", "2"]
     moved = {(r.batch, r.schema_id, r.snapshot_id) for r in spark.read.parquet(f"{tmp_path}/changes").collect()}
     assert moved == {(0, "s", "1"), (0, "r", "1"), (1, "s", "2"), (2, "q", "1"), (3, "s", "3")}
     assert {r.schema_id for r in spark.read.parquet(f"{tmp_path}/last/batch=1").collect()} == {"s"}
