@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,9 +74,82 @@ def closure(edges: DataFrame) -> DataFrame:
     return found
 
 
+def _strongest(edges: DataFrame) -> DataFrame:
+    """(schema_id, node, best): of the nodes from which a node is reached, itself included, that with the greatest hash.
+
+    A node takes the best of those before it, and the best that its own best has: hashes deal the order, so that ways of any
+    length are taken in few rounds.
+    """
+    key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    nodes = edges.select("schema_id", F.col("src").alias("node")).union(edges.select("schema_id", F.col("dst").alias("node"))).distinct()
+    labels = written(nodes.select("schema_id", "node", key("node").alias("best")))
+    while True:
+        near = edges.join(labels.select("schema_id", F.col("node").alias("src"), "best"), ["schema_id", "src"]).groupBy("schema_id", F.col("dst").alias("node")).agg(F.max("best").alias("near"))
+        closer = labels.join(near, ["schema_id", "node"], "left").select("schema_id", "node", "best", F.greatest("best", "near").alias("next"))
+        jump = closer.select("schema_id", F.col("node").alias("_at"), F.col("next").alias("far"))
+        moved = closer.withColumn("_at", F.col("next.n")).join(jump, ["schema_id", "_at"], "left")
+        moved = written(moved.select("schema_id", "node", "best", F.greatest("next", "far").alias("next")))
+        labels = moved.select("schema_id", "node", F.col("next").alias("best"))
+        if moved.where("best <> next").isEmpty():
+            return labels.select("schema_id", "node", F.col("best.n").alias("best"))
+
+
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """(schema_id, node, component): nodes that reach one another, for those that reach another and are reached by it again;
+    component is the least node of them. Nodes in no such group have no row.
+
+    Nodes that nothing enters or leaves go first (``trims`` rounds). The others are coloured by the strongest node that reaches
+    them; within a colour, those that reach that node are a component. What is left is coloured again.
+    """
+    left = written(edges.select("schema_id", "src", "dst").where("src <> dst").distinct())
+    found = []
+    while True:
+        for _ in range(trims):
+            entered = left.select("schema_id", F.col("dst").alias("src")).distinct()
+            leaving = left.select("schema_id", F.col("src").alias("dst")).distinct()
+            left = left.join(entered, ["schema_id", "src"], "left_semi").join(leaving, ["schema_id", "dst"], "left_semi").select("schema_id", "src", "dst")
+        left = written(left)
+        if left.isEmpty():
+            break
+        color = _strongest(left)
+        end = lambda labels, c: labels.select("schema_id", F.col("node").alias(c), F.col("best").alias(f"_{c}"))
+        within = left.join(end(color, "src"), ["schema_id", "src"]).join(end(color, "dst"), ["schema_id", "dst"]).where("_src = _dst")
+        within = written(within.select("schema_id", "src", "dst"))
+        back = _strongest(within.select("schema_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        same = color.join(back.withColumnRenamed("best", "_back"), ["schema_id", "node"]).where("best = _back")
+        named = same.groupBy("schema_id", "best").agg(F.min("node").alias("component"))
+        members = written(same.join(named, ["schema_id", "best"]).select("schema_id", "node", "component"))
+        found.append(members)
+        gone = members.select("schema_id", F.col("node").alias("src"))
+        left = within.join(gone, ["schema_id", "src"], "left_anti").join(gone.withColumnRenamed("src", "dst"), ["schema_id", "dst"], "left_anti").select("schema_id", "src", "dst")
+    none = edges.select("schema_id", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    return reduce(DataFrame.union, found, none)
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Tables that reach themselves: (schema_id, node, length of the shortest cycle)."""
-    return closure(edges).where("src = dst").select("schema_id", F.col("src").alias("node"), F.col("depth").alias("length"))
+    """Tables that reach themselves: (schema_id, node, length of the shortest cycle).
+
+    Walks go along edges inside strong components only, from all their nodes at once; a walk ends when it comes back, and only
+    its last step is kept.
+    """
+    own = edges.select("schema_id", "src", "dst").distinct()
+    selves = own.where("src = dst").select("schema_id", F.col("src").alias("node"), F.lit(1).alias("length"))
+    parts = strong_components(own)
+    at = lambda c: parts.select("schema_id", F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    inside = own.where("src <> dst").join(at("src"), ["schema_id", "src"]).join(at("dst"), ["schema_id", "dst"]).where("_src = _dst")
+    inside = written(inside.select("schema_id", "src", "dst"))
+    starts = inside.join(selves.select("schema_id", F.col("node").alias("src")), ["schema_id", "src"], "left_anti")
+    frontier = written(starts.select("schema_id", F.col("src").alias("start"), F.col("dst").alias("src")).distinct())
+    found = [selves]
+    length = 1
+    while not frontier.isEmpty():
+        length += 1
+        reached = frontier.join(inside, ["schema_id", "src"]).select("schema_id", "start", F.col("dst").alias("src")).distinct()
+        reached = written(reached)
+        closed = reached.where("start = src").select("schema_id", "start")
+        found.append(closed.select("schema_id", F.col("start").alias("node"), F.lit(length).alias("length")))
+        frontier = written(reached.join(closed, ["schema_id", "start"], "left_anti").select("schema_id", "start", "src"))
+    return reduce(DataFrame.union, found)
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,8 +188,35 @@ def inheritance_roots(bases: DataFrame, concrete: DataFrame) -> DataFrame:
 def inheritance_order(bases: DataFrame, classes: DataFrame) -> DataFrame:
     """(schema_id, cls, owner, place): the bases of each of ``classes(schema_id, cls)`` and the class itself, by place in the
     order in which fields are taken: depth first along ``bases(schema_id, src, dst, pos)``, a class after its own bases,
-    each once (where it is met first). Cycles end where they come back.
+    each once (where it is met first).
+
+    Orders are made once for each class, level by level from those without bases: that of a class is its bases' finished orders
+    one after another, each class where it comes first, and itself. Of classes that reach a cycle all ways down are walked, and
+    cycles end where they come back.
     """
+    down = bases.where("src <> dst").groupBy("schema_id", "src", "dst").agg(F.min("pos").alias("pos"))
+    down = written(down.withColumn("n", F.count("*").over(Window.partitionBy("schema_id", "src"))))
+    wanted = classes.select("schema_id", "cls").distinct()
+    every = wanted.union(down.select("schema_id", "src")).union(down.select("schema_id", "dst")).distinct()
+    first = every.join(down.select("schema_id", F.col("src").alias("cls")), ["schema_id", "cls"], "left_anti")
+    fresh = written(first.select("schema_id", "cls", F.array("cls").alias("order")))
+    finished, got = fresh, None
+    while not fresh.isEmpty():
+        new = down.join(fresh.withColumnRenamed("cls", "dst"), ["schema_id", "dst"]).select("schema_id", "src", "n", F.struct("pos", "dst", "order").alias("x"))
+        got = written(new if got is None else got.union(new))
+        ready = got.groupBy("schema_id", "src", "n").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") == F.col("n"))
+        order = F.concat(F.array_distinct(F.flatten(F.transform("xs", lambda x: x["order"]))), F.array("src"))
+        fresh = written(ready.select("schema_id", F.col("src").alias("cls"), order.alias("order")))
+        got = written(got.join(fresh.select("schema_id", F.col("cls").alias("src")), ["schema_id", "src"], "left_anti").select("schema_id", "src", "n", "x"))
+        finished = finished.union(fresh)
+    out = finished.join(wanted, ["schema_id", "cls"], "left_semi").select("schema_id", "cls", F.posexplode("order").alias("place", "owner"))
+    out = out.select("schema_id", "cls", "owner", F.array("place").alias("place"))
+    rest = written(wanted.join(finished, ["schema_id", "cls"], "left_anti"))
+    return out if rest.isEmpty() else out.unionByName(_walked_order(bases, rest))
+
+
+def _walked_order(bases: DataFrame, classes: DataFrame) -> DataFrame:
+    """``inheritance_order`` by all ways down from a class: for classes that reach a cycle, which ends where it comes back."""
     down = bases.select("schema_id", F.col("src").alias("owner"), F.col("dst").alias("_next"), F.col("pos").cast("int").alias("_pos"))
     one = classes.select("schema_id", "cls").distinct()
     found = frontier = one.select("schema_id", "cls", F.col("cls").alias("owner"), F.array().cast("array<int>").alias("path"), F.array("cls").alias("chain"))

@@ -256,18 +256,92 @@ def schema_components(spark, sf_dir):
     return graph.components(m["tables"].select("schema_id", F.col("table_name").alias("node")), g)
 
 
+_REACH_IN_DEPTH = "SELECT schema_id, src, dst, 1 AS depth FROM {0} UNION SELECT r.schema_id, r.src, g.dst, r.depth + 1 FROM reach r JOIN {0} g ON g.schema_id = r.schema_id AND g.src = r.dst JOIN sizes z ON z.schema_id = r.schema_id WHERE r.depth < z.n"
+_SIZES = "SELECT schema_id, count(DISTINCT node) AS n FROM (SELECT schema_id, src AS node FROM {0} UNION ALL SELECT schema_id, dst FROM {0}) x GROUP BY schema_id"
+
+
 @query(
     "schema_cycles",
     merged_sql(
         "SELECT schema_id, src AS node, min(depth) AS length FROM reach WHERE src = dst GROUP BY schema_id, src",
         graph=GRAPH_SQL,
-        reach="SELECT schema_id, src, dst, 1 AS depth FROM graph UNION SELECT r.schema_id, r.src, g.dst, r.depth + 1 FROM reach r JOIN graph g ON g.schema_id = r.schema_id AND g.src = r.dst WHERE r.depth < 16",
+        sizes=_SIZES.format("graph"),
+        reach=_REACH_IN_DEPTH.format("graph"),
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def schema_cycles(spark, sf_dir):
     return graph.cycles(graph_edges(spark, sf_dir)[1])
 
 
+#: Some schemas get 40 tables more, which refer to one another in a ring, and one of which refers to a table of the schema.
+_RINGED = """SELECT schema_id, src, dst FROM {graph} WHERE schema_id % 100 = 10
+  UNION SELECT schema_id, concat('ring', CAST(i AS STRING)), concat('ring', CAST((i + 1) % 40 AS STRING)) FROM (SELECT DISTINCT schema_id FROM {graph} WHERE schema_id % 100 = 10) s CROSS JOIN {steps}
+  UNION SELECT schema_id, 'ring7', min(src) FROM {graph} WHERE schema_id % 100 = 10 GROUP BY schema_id"""
+_RINGED_SQL = _RINGED.replace("AS STRING", "AS VARCHAR").format(graph="graph", steps="(SELECT unnest(range(40)) AS i) steps")
+
+
+def ringed_edges(spark, sf_dir) -> DataFrame:
+    g = graph_edges(spark, sf_dir)[1]
+    return written(spark.sql(_RINGED.replace("{steps}", "(SELECT explode(sequence(0, 39)) AS i) steps"), graph=g), "ringed")
+
+
+@query(
+    "long_cycles",
+    merged_sql(
+        "SELECT schema_id, src AS node, min(depth) AS length FROM reach WHERE src = dst GROUP BY schema_id, src",
+        graph=GRAPH_SQL,
+        ringed=_RINGED_SQL,
+        sizes=_SIZES.format("ringed"),
+        reach=_REACH_IN_DEPTH.format("ringed"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def long_cycles(spark, sf_dir):
+    """Shortest cycles where rings of 40 tables stand beside the schemas' own tables."""
+    return graph.cycles(ringed_edges(spark, sf_dir))
+
+
+@query(
+    "strong_components",
+    merged_sql(
+        "SELECT a.schema_id, a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON b.schema_id = a.schema_id AND b.src = a.dst AND b.dst = a.src GROUP BY a.schema_id, a.src HAVING count(*) > 1",
+        graph=GRAPH_SQL,
+        ringed=_RINGED_SQL + " UNION SELECT schema_id, src, dst FROM graph WHERE schema_id % 100 <> 10",
+        reach="SELECT schema_id, src, dst FROM ringed UNION SELECT r.schema_id, r.src, g.dst FROM reach r JOIN ringed g ON g.schema_id = r.schema_id AND g.src = r.dst",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def strong_components(spark, sf_dir):
+    """Tables that depend on one another, in all schemas and the rings."""
+    own = graph_edges(spark, sf_dir)[1].where("schema_id % 100 <> 10")
+    return graph.strong_components(ringed_edges(spark, sf_dir).unionByName(own))
+
+
+#: A class for each stem; one whose column points at another stem has it as a base, if that comes first by name.
+_BASES = "SELECT DISTINCT schema_id, greatest(name, stem) AS src, least(name, stem) AS dst, length(least(name, stem)) * 100 + CAST(ascii(least(name, stem)) AS INT) AS pos FROM (SELECT e.schema_id, e.name, {stem} AS stem FROM edges_ e) x WHERE name <> stem"
+_STEM = "CASE table_name " + " ".join(f"WHEN '{p}' THEN '{s}'" for s, p in zip(STEMS, PLURALS)) + " ELSE table_name END"
+
+
+@query(
+    "class_order",
+    merged_sql(
+        """SELECT schema_id, cls, owner, row_number() OVER (PARTITION BY schema_id, cls ORDER BY path) AS place FROM (
+      SELECT schema_id, cls, owner, list_append(min(path), 2147483647) AS path FROM ways GROUP BY ALL) x""",
+        bases=_BASES.format(stem=_STEM),
+        ways="""SELECT schema_id, cls, cls AS owner, CAST([] AS INTEGER[]) AS path FROM (SELECT schema_id, src AS cls FROM bases UNION SELECT schema_id, dst FROM bases) c
+      UNION ALL SELECT w.schema_id, w.cls, b.dst, list_append(w.path, b.pos) FROM ways w JOIN bases b ON b.schema_id = w.schema_id AND b.src = w.owner""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def class_order(spark, sf_dir):
+    """The order in which classes take the fields of their bases, in a hierarchy derived from the references between tables."""
+    from pyspark.sql import Window
+
+    m = merged(spark, sf_dir)
+    bases = written(spark.sql(_BASES.format(stem=_STEM).replace("FROM edges_ e", "FROM {edges_} e"), edges_=m["edges"]), "bases")
+    classes = bases.select("schema_id", F.col("src").alias("cls")).union(bases.select("schema_id", "dst")).distinct()
+    order = graph.inheritance_order(bases, classes)
+    place = F.row_number().over(Window.partitionBy("schema_id", "cls").orderBy("place"))
+    return order.select("schema_id", "cls", "owner", place.alias("place"))
+
+
 @query(
     "orphan_tables",
     merged_sql(
