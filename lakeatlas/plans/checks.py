@@ -70,18 +70,14 @@ def _tables(spark, sf_dir) -> dict[str, DataFrame]:
     return {t: read(spark, sf_dir, t) for t in TABLES}
 
 
-def _columns(spark, sf_dir) -> dict[str, DataFrame]:
-    return {f"{t}.{c}": df.select(c) for t, df in _tables(spark, sf_dir).items() for c in df.columns}
-
-
 def column_profile(spark, sf_dir):
     """Every column of every table."""
-    return reduce(DataFrame.union, (profile.column_profile(df, t) for t, df in _tables(spark, sf_dir).items()))
+    return profile.column_profiles(_tables(spark, sf_dir))
 
 
 def key_discovery(spark, sf_dir):
     """Among all columns of every table."""
-    return reduce(DataFrame.union, (profile.discover_keys(df, t, df.columns) for t, df in _tables(spark, sf_dir).items()))
+    return profile.discover_all_keys(_tables(spark, sf_dir))
 
 
 def key_violations(spark, sf_dir):
@@ -98,11 +94,11 @@ def fk_cardinality(spark, sf_dir):
 
 def inclusion_deps(spark, sf_dir):
     """Among all columns of the same type."""
-    return profile.inclusion_dependencies(_columns(spark, sf_dir))
+    return profile.inclusion_dependencies(_tables(spark, sf_dir))
 
 
 def likely_parents(spark, sf_dir):
-    return profile.likely_parents(profile.inclusion_scores(_columns(spark, sf_dir)))
+    return profile.likely_parents(profile.inclusion_scores(_tables(spark, sf_dir)))
 
 
 def fk_coverage(spark, sf_dir):
