@@ -75,3 +75,61 @@ def duplicate_tables(spark, sf_dir):
         t.groupBy("schema_id", F.col("table_name").alias("path")).agg(F.count("*").alias("n")),
         ["schema_id", "path"],
     ).select("schema_id", "path", "n")
+
+
+@query("dbml_refs_extract", final_sql(f"SELECT DISTINCT CAST(e.schema_id AS VARCHAR) AS project, e.table_name, e.foreign_key AS column_name, e.target AS ref_table FROM final_ e JOIN (SELECT {KEY} FROM columns_ WHERE is_primary GROUP BY {KEY} HAVING count(*) = 1) k ON k.schema_id = e.schema_id AND k.table_name = e.target JOIN columns_ c ON {_ON.format('c', 'e')} AND c.name = e.foreign_key"))
+def dbml_refs_extract(spark, sf_dir):
+    """References read back from the DBML text: those between tables and columns that it defines."""
+    refs = corpus.dbml(as_files(dbml_text(spark, sf_dir), "schema.dbml"))["refs"]
+    return refs.select("project", "table_name", "column_name", "ref_table")
+
+
+def _blocks_of(m, header, item, rows, order, closing: str):
+    """(schema_id, text): a block for each table of ``m``: its header, a line for each of its ``rows``, and the closing line."""
+    inner = rows.groupBy("schema_id", "table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
+    own = m["tables"].select("schema_id", "table_name").join(inner, ["schema_id", "table_name"], "left")
+    block = F.concat_ws("\n", header, "lines", F.lit(closing))
+    return own.groupBy("schema_id").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
+
+
+def schema_rb_text(m):
+    """(schema_id, text): merged schemas as Rails schema files, unique indexes and foreign keys included."""
+    c = m["columns"].select("schema_id", "table_name", "pos", F.format_string('    t.%s "%s"%s', "type", "name", F.when(F.col("nullable"), "").otherwise(", null: false")).alias("item"))
+    ix = m["indexes"].select("schema_id", "table_name", F.lit(1_000_000).alias("pos"), F.format_string('    t.index ["%s"], unique: true', F.array_join("columns", '", "')).alias("item"))
+    body = _blocks_of(m, F.format_string('  create_table "%s", id: false do |t|', "table_name"), F.col("item"), c.union(ix), F.col("pos"), "  end")
+    key = F.format_string('  add_foreign_key "%s", "%s", column: "%s"', "table_name", "target", "foreign_key")
+    keys = m["edges"].select("schema_id", key.alias("k")).groupBy("schema_id").agg(F.array_join(F.array_sort(F.collect_set("k")), "\n").alias("keys"))
+    whole = F.concat_ws("\n", F.lit("ActiveRecord::Schema.define do"), "text", "keys", F.lit("end"), F.lit(""))
+    return body.join(keys, "schema_id", "left").select("schema_id", whole.alias("text"))
+
+
+@query(
+    "schema_rb_extract",
+    final_sql(
+        f"""SELECT DISTINCT CAST(e.schema_id AS VARCHAR) AS project, e.table_name, CASE WHEN i.column_name IS NOT NULL THEN 'has_one' ELSE 'belongs_to' END AS type, regexp_replace(e.foreign_key, '_id$', '') AS name, e.target, e.foreign_key
+      FROM final_ e JOIN columns_ c ON {_ON.format("c", "e")} AND c.name = e.foreign_key LEFT JOIN indexes_ i ON {_ON.format("i", "e")} AND i.column_name = e.foreign_key"""
+    ),
+)
+def schema_rb_extract(spark, sf_dir):
+    """Edges of schema files rendered from the catalogue, their pending keys resolved by the job."""
+    e = corpus.schema_rb(as_files(schema_rb_text(final(spark, sf_dir)), "db/schema.rb"))["edges"]
+    return e.select("project", "table_name", "type", "name", "target", "foreign_key")
+
+
+def _model(name):
+    return F.concat(F.lit("M"), name, F.length(name))
+
+
+def laravel_text(m):
+    """(schema_id, text): a model class for each table, with a method for each of its edges."""
+    call = F.concat(F.lit("  // function no() { }\n  public function "), "name", F.lit("() {\n    return $this->belongsTo(\n      "), _model(F.col("target")), F.lit("::class, '"), "foreign_key", F.lit("');\n  }"))
+    header = F.concat(F.lit("class "), _model(F.col("table_name")), F.lit(" extends Model {\n  protected $table = '"), "table_name", F.lit("';"))
+    body = _blocks_of(m, header, call, m["edges"], F.struct("foreign_key", "target", "name"), "}")
+    return body.select("schema_id", F.concat(F.lit("<?php\nclass Home extends Controller { function users() { $this->hasMany(X::class); } }\n"), "text", F.lit("\n")).alias("text"))
+
+
+@query("laravel_extract", final_sql("SELECT CAST(schema_id AS VARCHAR) AS project, table_name, 'belongs_to' AS type, name, target, foreign_key FROM final_"))
+def laravel_extract(spark, sf_dir):
+    """Edges of Eloquent models rendered from the catalogue: calls over several lines, comments and a controller between them."""
+    e = corpus.laravel_models(as_files(laravel_text(final(spark, sf_dir)), "app/Models/all.php"))["edges"]
+    return e.select(F.col("schema_id").alias("project"), "table_name", "type", "name", "target", "foreign_key")

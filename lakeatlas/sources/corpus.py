@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,13 +25,29 @@ def lines(corpus: DataFrame) -> DataFrame:
 
 
 def blocks(numbered: DataFrame, header: str, closing: str = r"^\s*\}") -> DataFrame:
-    """Add ``head``, the header line that a line is inside of (null outside); header and closing lines themselves stay."""
+    """Add ``head`` and ``head_line``, the header line that a line is inside of and its number (null outside); header and closing
+    lines themselves stay."""
     w = Window.partitionBy(*FILE).orderBy("line")
     opened = F.when(F.col("text").rlike(header), F.col("text"))
     closed = F.when(F.col("text").rlike(closing), F.lit(""))
     event = F.coalesce(opened, closed)
     before = F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return numbered.withColumn("head", F.nullif(before, F.lit(""))).withColumn("opens", opened.isNotNull())
+    at = F.last(F.when(opened.isNotNull(), F.col("line")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    own = numbered.withColumn("head", F.nullif(before, F.lit(""))).withColumn("head_line", at).withColumn("opens", opened.isNotNull())
+    return own.withColumn("head_line", F.when(F.col("head").isNotNull(), F.col("head_line")))
+
+
+def first_definitions(heads: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """Of header lines (project, path, line, table_name) the first of each name, and warnings for the others, which are ignored."""
+    from lakeatlas.operators.edges import first_by
+
+    first, others = first_by(heads, [*FILE, "table_name"], ["line"])
+    return first, others.select(*FILE, "line", F.concat(F.lit(f"duplicate {what}, later definition ignored: "), "table_name").alias("message"))
+
+
+def unread(rows: DataFrame, known: str) -> DataFrame:
+    """A warning for each line that is none of the ``known`` statements."""
+    return rows.where(~F.col("text").rlike(known)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
 
 
 def group(pattern: str, i: int = 1, c: str = "text") -> Column:
@@ -46,16 +63,39 @@ def unquoted(name: Column) -> Column:
 _NAME = r'("(?:[^"\\]|\\.)+"|[\w.]+)'
 
 
+_SIDE = r'("[^"]+"|\w+(?:\.\w+)?)\.("[^"]+"|\w+)'
+_PAIR = rf"{_SIDE}\s*(<>|[<>-])\s*{_SIDE}"
+#: Settings of columns, and blocks that hold no facts about tables.
+_SETTINGS = r"^(pk|primary key|not null|null|unique|increment|auto_?increment|default\s*:.*|note\s*:.*|ref\s*:\s*(<>|[<>-])\s*.*)$"
+_APART = r"^\s*(Enum|Project|TableGroup|Note)\b[^:]*\{"
+
+
+def _bare(side: Column) -> Column:
+    """A name without quotes and without its schema."""
+    return F.regexp_replace(unquoted(side), r"^\w+\.(?=\w+$)", "")
+
+
 def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
-    """columns(project, path, table_name, pos, name, type, primary, nullable, unique, increment, default, note), refs, warnings."""
-    b = blocks(lines(corpus), rf"^\s*Table\s+{_NAME}", r"^\}")
-    inside = b.where("head IS NOT NULL AND NOT opens").withColumn("table_name", unquoted(F.regexp_extract("head", rf"^\s*Table\s+{_NAME}", 1)))
+    """columns(project, path, table_name, pos, name, type, sql_type, primary, nullable, unique, increment, default), indexes, refs
+    (from ``Ref:`` lines, ``Ref { }`` blocks and inline settings), pairs (many to many) and warnings.
+
+    Of tables of one name the first counts. A line inside a table, an index list or a Ref block and one outside belongs to a
+    statement or is a warning; so is a setting that is not known, and a Ref to a table or column that is not there.
+    """
+    header = rf"^\s*Table\s+{_NAME}"
+    b = blocks(lines(corpus), rf"{header}|^\s*Ref\b[^:{{]*\{{\s*$|{_APART}", r"^\}")
+    of_table = F.col("head").rlike(header)
+    heads = b.where(F.col("opens") & F.col("text").rlike(header)).select(*FILE, "line", unquoted(group(header, 1)).alias("table_name"))
+    first, doubled = first_definitions(heads, "table")
+    every = b.where(of_table & ~F.col("opens")).withColumn("table_name", unquoted(F.regexp_extract("head", header, 1)))
+    inside = every.join(first.select(*FILE, F.col("line").alias("head_line")), [*FILE, "head_line"], "left_semi")
     depth = F.sum(
         F.when(F.col("text").rlike(r"\{\s*$"), 1).when(F.col("text").rlike(r"^\s+\}"), -1).otherwise(0)
     ).over(Window.partitionBy(*FILE, "table_name").orderBy("line"))
     flat = inside.withColumn("depth", depth)
-    column = rf"^\s+{_NAME}\s+([^\[\s][^\[]*?)\s*(\[.*\])?\s*$"
-    rows = flat.where(F.col("text").rlike(column) & (F.col("depth") == 0) & ~F.col("text").rlike(r"^\s*(Note|indexes)\b[:\s{]"))
+    column = rf"^\s*{_NAME}\s+([^\[\s][^\[]*?)\s*(\[.*\])?\s*(?://.*)?$"
+    other = r"^\s*(Note\b[:\s{]|indexes\b\s*\{|\}|//|$)"
+    rows = flat.where(F.col("text").rlike(column) & (F.col("depth") == 0) & ~F.col("text").rlike(other))
     attrs = F.coalesce(group(column, 3), F.lit(""))
     pk = attrs.rlike(r"[\[,]\s*(pk|primary key)\s*[\],]")
     kind = group(column, 2)
@@ -69,38 +109,73 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
         ).alias("default"),
     )
     columns = columns.withColumn("pos", F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line"))).drop("line")
-    ref = rf"^\s*Ref[^:]*:\s*{_NAME}\.{_NAME}\s*(<>|[<>-])\s*{_NAME}\.{_NAME}"
-    # names may hold dots only when quoted
-    ref = ref.replace(r"[\w.]+", r"\w+")
-    found = b.where(F.col("text").rlike(ref)).select(
-        *FILE,
-        unquoted(group(ref, 1)).alias("l"),
-        unquoted(group(ref, 2)).alias("lc"),
-        group(ref, 3).alias("op"),
-        unquoted(group(ref, 4)).alias("r"),
-        unquoted(group(ref, 5)).alias("rc"),
+    apart = lambda text, of: [_bare(group(of, 1, text)).alias("l"), unquoted(group(of, 2, text)).alias("lc"), group(of, 3, text).alias("op"), _bare(group(of, 4, text)).alias("r"), unquoted(group(of, 5, text)).alias("rc")]
+    line = rf"^\s*Ref[^:{{]*:\s*{_PAIR}|^\s*Ref\b[^:{{]*\{{\s*{_PAIR}"
+    of_line = rf"[:{{]\s*{_PAIR}"
+    in_block = F.col("head").rlike(r"^\s*Ref\b") & ~F.col("opens")
+    said = b.where(F.col("text").rlike(line) & ~F.coalesce(of_table, F.lit(False))).select(*FILE, "line", *apart("text", of_line)).union(
+        b.where(in_block & F.col("text").rlike(rf"^\s*{_PAIR}")).select(*FILE, "line", *apart("text", _PAIR))
+    )
+    # settings apart from commas in quotes and parentheses
+    setting = F.filter(F.transform(F.split(F.substr(attrs, F.lit(2), F.greatest(F.length(attrs) - 2, F.lit(0))), r""",(?=(?:[^'`"]*['`"][^'`"]*['`"])*[^'`"]*$)"""), lambda x: F.trim(x)), lambda x: x != "")
+    settings = rows.select(*FILE, "table_name", "line", unquoted(group(column, 1)).alias("column_name"), F.explode(setting).alias("s"))
+    own = rf"(?i)^ref\s*:\s*(<>|[<>-])\s*{_SIDE}"
+    inline = settings.where(F.col("s").rlike(own)).select(
+        *FILE, "line", F.col("table_name").alias("l"), F.col("column_name").alias("lc"), group(own, 1, "s").alias("op"), _bare(group(own, 2, "s")).alias("r"), unquoted(group(own, 3, "s")).alias("rc")
+    )
+    found = said.union(inline)
+    cols = columns.select(*FILE, "table_name", "name").distinct()
+    known = first.select(*FILE, "table_name").distinct()
+    side = lambda df, t, c, mark: df.join(cols.select(*FILE, F.col("table_name").alias(t), F.col("name").alias(c), F.lit(True).alias(mark)), [*FILE, t, c], "left")
+    there = lambda df, t, mark: df.join(known.select(*FILE, F.col("table_name").alias(t), F.lit(True).alias(mark)), [*FILE, t], "left")
+    marked = side(side(there(there(found, "l", "_lt"), "r", "_rt"), "l", "lc", "_lcol"), "r", "rc", "_rcol")
+    text = lambda a, c: F.concat_ws(".", a, c)
+    reason = (
+        F.when(F.col("_lt").isNull(), F.concat(F.lit("Ref to unknown table: "), "l"))
+        .when(F.col("_rt").isNull(), F.concat(F.lit("Ref to unknown table: "), "r"))
+        .when(F.col("_lcol").isNull(), F.concat(F.lit("Ref to unknown column: "), text("l", "lc")))
+        .when(F.col("_rcol").isNull(), F.concat(F.lit("Ref to unknown column: "), text("r", "rc")))
     )
+    marked = marked.withColumn("message", reason)
     swap = F.col("op") == "<"
-    refs = found.where("op <> '<>'").select(
+    good = marked.where("message IS NULL")
+    refs = good.where("op <> '<>'").select(
         *FILE,
         F.when(swap, F.col("r")).otherwise(F.col("l")).alias("table_name"),
         F.when(swap, F.col("rc")).otherwise(F.col("lc")).alias("column_name"),
         F.when(swap, F.col("l")).otherwise(F.col("r")).alias("ref_table"),
         (F.col("op") == "-").alias("one_to_one"),
     )
-    indexes = flat.where(F.col("text").rlike(r"^\s+\(([^)]*)\)") & (F.col("depth") >= 1)).select(
+    pairs = good.where("op = '<>'").select(*FILE, F.col("l").alias("table_name"), F.col("r").alias("target"))
+    entry = r"^\s+(?:\(([^)]*)\)|(\w+)\s*(?:\[|$))"
+    listed = flat.where((F.col("depth") >= 1) & ~F.col("text").rlike(r"^\s*(indexes\b\s*\{|Note\b|//|$)"))
+    indexes = listed.where(F.col("text").rlike(entry)).select(
         *FILE,
         "table_name",
-        F.transform(F.split(group(r"\(([^)]*)\)"), r"\s*,\s*"), unquoted).alias("columns"),
+        F.transform(F.split(F.coalesce(group(entry, 1), group(entry, 2)), r"\s*,\s*"), unquoted).alias("columns"),
         F.col("text").rlike(r"[\[,]\s*unique\b").alias("unique"),
         F.col("text").rlike(r"\[pk\]").alias("primary"),
         group(r"name:\s*'([^']*)'").alias("name"),
     )
-    composite = b.where(F.col("text").rlike(r"^\s*Ref[^:]*:.*\.\(")).select(*FILE, "line", F.lit("composite Ref").alias("message"))
+    composite = b.where(F.col("text").rlike(r"^\s*Ref[^:]*:.*\.\(") | (in_block & F.col("text").rlike(r"\.\("))).select(*FILE, "line", F.lit("composite Ref").alias("message"))
     skipped = b.where(
         F.col("text").rlike(r"^\s*(TableGroup|Note)\b.*\{\s*$") & F.col("head").isNull()
     ).select(*FILE, "line", F.lit("ignored block").alias("message"))
-    return {"columns": columns, "indexes": indexes, "refs": refs, "warnings": composite.union(skipped)}
+    odd = settings.where(~F.lower("s").rlike(_SETTINGS)).select(*FILE, "line", F.concat(F.lit("unknown setting: "), "s").alias("message"))
+    bad_ref = settings.where(F.lower("s").rlike(r"^ref\s*:") & ~F.col("s").rlike(own)).select(*FILE, "line", F.concat(F.lit("unknown setting: "), "s").alias("message"))
+    warnings = [
+        composite,
+        skipped,
+        doubled,
+        odd,
+        bad_ref,
+        marked.where("message IS NOT NULL").select(*FILE, "line", "message"),
+        unread(flat.where((F.col("depth") == 0)), rf"{column}|{other}"),
+        unread(listed, rf"{entry}|^\s*\}}|^\s*(Note|').*"),
+        unread(b.where(in_block), rf"^\s*{_PAIR}|\.\(|^\s*(\}}|//|$)"),
+        unread(b.where(F.col("head").isNull()), rf"{header}|{_APART}|{line}|^\s*Ref\b[^:{{]*\{{|^\s*Ref[^:]*:.*\.\(|^\s*(\}}|//|$)"),
+    ]
+    return {"columns": columns, "indexes": indexes, "refs": refs, "pairs": pairs, "warnings": reduce(DataFrame.union, warnings)}
 
 
 # -- Mermaid
@@ -110,11 +185,15 @@ _RELATION = rf'^\s*{_ENTITY}\s+(\|o|\|\||}}o|}}\|)(?:--|\.\.)(o\||\|\||o\{{|\|\{
 
 
 def mermaid(corpus: DataFrame) -> dict[str, DataFrame]:
-    """columns(…, table_name, pos, name, type, primary), edges by crow's feet (no foreign keys), tables; of kind sketch."""
+    """columns(…, table_name, pos, name, type, primary), edges by crow's feet (no foreign keys), tables; of kind sketch. Of entities
+    of one name the first counts; a line that is no statement is a warning."""
     header = rf"^\s*{_ENTITY}\s*\{{\s*$"
     b = blocks(lines(corpus), header)
     column = r"^\s+(\S+)\s+([\w.-]+)(?:\s+([A-Z, ]+))?(?:\s+\".*\")?\s*$"
-    rows = b.where("head IS NOT NULL AND NOT opens").where(F.col("text").rlike(column)).withColumn("table_name", F.regexp_extract("head", header, 1))
+    heads = b.where("opens").select(*FILE, "line", group(header).alias("table_name"))
+    first, doubled = first_definitions(heads, "entity")
+    inside = b.where("head IS NOT NULL AND NOT opens").join(first.select(*FILE, F.col("line").alias("head_line")), [*FILE, "head_line"], "left_semi")
+    rows = inside.where(F.col("text").rlike(column)).withColumn("table_name", F.regexp_extract("head", header, 1))
     columns = rows.select(
         *FILE,
         "table_name",
@@ -144,7 +223,10 @@ def mermaid(corpus: DataFrame) -> dict[str, DataFrame]:
     )
     named = b.where("opens").select(*FILE, group(header).alias("table_name"))
     tables = named.union(edges.select(*FILE, "table_name")).union(edges.select(*FILE, "target")).distinct()
-    return {"columns": columns, "edges": edges, "tables": tables}
+    blank = r"^\s*(%%.*|\}|)\s*$"
+    outside = rf"{header}|{_RELATION}|{blank}|^\s*(erDiagram|title\b.*|direction\b.*|accTitle\b.*|accDescr\b.*|---)\s*$"
+    warnings = doubled.union(unread(inside, rf"{column}|{blank}")).union(unread(b.where(F.col("head").isNull()), outside))
+    return {"columns": columns, "edges": edges, "tables": tables, "warnings": warnings}
 
 
 # -- schema.rb
@@ -155,19 +237,22 @@ _TYPES = "string text integer bigint float decimal boolean datetime timestamp da
 
 
 def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
-    """columns, indexes, fks (pending foreign keys) and warnings of Rails schema files."""
+    """columns, indexes, fks (foreign keys as they are written), edges (those between tables and columns of the file) and warnings
+    of Rails schema files."""
     header = rf"^\s*create_table\s+{_STRING}"
     b = blocks(lines(corpus), header, r"^\s*end\b")
     inside = b.where("head IS NOT NULL AND NOT opens").withColumn("table_name", F.regexp_extract("head", header, 1))
     plain = rf"^\s*t\.({'|'.join(_TYPES)})\s+{_STRING}"
     option = lambda n: group(rf"\b{n}:\s*([^,\s]+)")
     default = F.regexp_replace(group(r"""default:\s*("[^"]*"|[^,]+)"""), '^"|"$', "")
-    own = inside.where(F.col("text").rlike(plain)).select(
+    listing = group(rf"^\s*t\.\w+\s+({_STRING}(?:\s*,\s*{_STRING}(?!\w*\s*(?:=>|:[^:])))*)")
+    each = F.regexp_extract_all(listing, F.lit(_STRING), F.lit(1))
+    own = inside.where(F.col("text").rlike(plain)).select("*", F.posexplode(each).alias("sub", "one")).select(
         *FILE,
         "table_name",
         "line",
-        F.lit(0).alias("sub"),
-        group(plain, 2).alias("name"),
+        "sub",
+        F.col("one").alias("name"),
         group(plain, 1).alias("type"),
         sized_type(group(plain, 1), option("limit"), option("precision"), option("scale")).alias("sql_type"),
         F.coalesce(option("null") != "false", F.lit(True)).alias("nullable"),
@@ -178,9 +263,10 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
         F.col("text").rlike(rf"^\s*t\.(references|belongs_to)\s+{_STRING}")
     ).withColumn("ref", group(rf"^\s*t\.(?:references|belongs_to)\s+{_STRING}"))
     poly = F.col("text").contains("polymorphic: true")
+    ref_type = F.coalesce(group(r"\btype:\s*:(\w+)"), F.lit("bigint"))
     made = F.array_compact(
         F.array(
-            F.struct(F.lit(0).alias("sub"), F.concat("ref", F.lit("_id")).alias("name"), F.lit("bigint").alias("type")),
+            F.struct(F.lit(0).alias("sub"), F.concat("ref", F.lit("_id")).alias("name"), ref_type.alias("type")),
             F.when(poly, F.struct(F.lit(1).alias("sub"), F.concat("ref", F.lit("_type")).alias("name"), F.lit("string").alias("type"))),
         )
     )
@@ -244,7 +330,7 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
             poly,
             F.array(F.concat("ref", F.lit("_type")), F.concat("ref", F.lit("_id"))),
         ).otherwise(F.array(F.concat("ref", F.lit("_id")))).alias("columns"),
-        F.lit(False).alias("unique"),
+        F.col("text").rlike(r"index:\s*\{[^}]*unique:\s*true").alias("unique"),
         F.lit(None).cast("string").alias("name"),
     )
     indexes = t_index.unionByName(
@@ -259,11 +345,11 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
         F.coalesce(group(rf"column:\s*{_STRING}"), F.concat(singularize(group(fk, 2)), F.lit("_id"))).alias("column_name"),
         group(fk, 2).alias("ref_table"),
     )
-    inline = refs.where(F.col("text").contains("foreign_key: true")).select(
+    inline = refs.where(F.col("text").rlike(r"foreign_key:\s*(true|\{)") & ~poly).select(
         *FILE,
         "table_name",
         F.concat("ref", F.lit("_id")).alias("column_name"),
-        pluralize(F.col("ref")).alias("ref_table"),
+        F.coalesce(group(rf"to_table:\s*{_STRING}"), pluralize(F.col("ref"))).alias("ref_table"),
     )
     known = rf"^\s*(t\.({'|'.join(_TYPES)}|references|belongs_to|timestamps|index)\b|end\b|#|$)"
     unknown = inside.where(~F.col("text").rlike(known)).select(*FILE, "line", F.concat(F.lit("unknown statement: "), F.trim("text")).alias("message"))
@@ -278,8 +364,15 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
         "line",
         F.concat(F.lit("index on unknown table: "), "table_name").alias("message"),
     )
-    warnings = unknown.union(stray).union(lost)
-    return {"columns": columns, "indexes": indexes, "fks": added.union(inline), "warnings": warnings}
+    fks = added.union(inline)
+    from lakeatlas.operators.edges import pending_fks
+
+    of_file = lambda df: df.select(F.struct(*FILE).alias("schema_id"), *(c for c in df.columns if c not in FILE))
+    good, bad = pending_fks(of_file(fks), of_file(heads.select(*FILE, "table_name")), of_file(columns), of_file(indexes))
+    edges = good.select("schema_id.*", *(c for c in good.columns if c != "schema_id"))
+    pending = bad.select("schema_id.*", F.lit(None).cast("int").alias("line"), F.concat(F.lit("foreign key, "), "reason", F.lit(": "), F.concat_ws(".", "table_name", "column_name"), F.lit(" -> "), "ref_table").alias("message"))
+    warnings = unknown.union(stray).union(lost).union(pending)
+    return {"columns": columns, "indexes": indexes, "fks": fks, "edges": edges, "warnings": warnings}
 
 
 # -- Prisma
@@ -299,7 +392,11 @@ _PRISMA = {
 
 
 def prisma(corpus: DataFrame) -> dict[str, DataFrame]:
-    """fields, list_fields (for edges.pair_many_to_many), edges and indexes of Prisma schemas; @map and @@map rename."""
+    """fields, list_fields (for edges.pair_many_to_many), edges, indexes and warnings of Prisma schemas; @map and @@map rename.
+
+    ``@@id`` makes its fields primary, a ``@@unique`` of one field makes it unique. A single relation field without fields of its
+    own is the other side of a one-to-one.
+    """
     header = r"^\s*model\s+(\w+)\s*\{"
     b = blocks(lines(corpus), header)
     inside = b.where("head IS NOT NULL AND NOT opens").withColumn("model", F.regexp_extract("head", header, 1))
@@ -322,27 +419,36 @@ def prisma(corpus: DataFrame) -> dict[str, DataFrame]:
     targets = names.select(*FILE, F.col("model").alias("kind"), F.col("table_name").alias("target"))
     related = f.join(targets, [*FILE, "kind"])
     plain = f.join(targets, [*FILE, "kind"], "left_anti")
+    ids = r"^\s*@@id\([^)\[]*\[([^\]]*)\]"
+    in_id = inside.where(F.col("text").rlike(ids)).select(*FILE, "model", F.explode(F.split(F.trim(group(ids)), r"\s*,\s*")).alias("field"), F.lit(True).alias("_id"))
+    alone = r"^\s*@@unique\([^)\[]*\[\s*(\w+)\s*\]"
+    one = inside.where(F.col("text").rlike(alone)).select(*FILE, "model", group(alone).alias("field"), F.lit(True).alias("_alone"))
+    plain = plain.join(in_id.distinct(), [*FILE, "model", "field"], "left").join(one.distinct(), [*FILE, "model", "field"], "left")
+    key = F.col("text").rlike(r"@id\b") | F.coalesce("_id", F.lit(False))
     fields = plain.select(
         *FILE,
+        "model",
+        "field",
         "table_name",
         F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line")).alias("pos"),
         F.coalesce(group(r'@map\("([^"]+)"\)'), F.col("field")).alias("name"),
         F.coalesce(lookup(F.col("kind"), _PRISMA), F.col("kind")).alias("type"),
-        "nullable",
-        F.col("text").rlike(r"@id\b").alias("primary"),
-        F.col("text").rlike(r"@unique\b").alias("unique"),
+        (F.col("nullable") & ~key).alias("nullable"),
+        key.alias("primary"),
+        (F.col("text").rlike(r"@unique\b") | F.coalesce("_alone", F.lit(False))).alias("unique"),
     )
     relation = group(r'@relation\(\s*(?:name:\s*)?"([^"]+)"')
-    fk = group(r"fields:\s*\[\s*(\w+)\s*\]")
-    unique = fields.where("unique OR primary").select(*FILE, "table_name", F.col("name").alias("fk")).withColumn("_one", F.lit(True))
-    owned = related.where("NOT is_list").withColumn("fk", fk).where("fk IS NOT NULL").join(unique, [*FILE, "table_name", "fk"], "left")
+    fk = group(r"fields:\s*\[\s*(\w+)")  # of a key over several fields, the first
+    keys = fields.withColumn("_n", F.sum(F.col("primary").cast("int")).over(Window.partitionBy(*FILE, "model")))
+    named = keys.select(*FILE, "model", F.col("field").alias("fk"), F.col("name").alias("column"), (F.col("unique") | (F.col("primary") & (F.col("_n") == 1))).alias("_one"))
+    owned = related.where("NOT is_list").withColumn("fk", fk).join(named, [*FILE, "model", "fk"], "left")
     edges = owned.select(
         *FILE,
         "table_name",
-        F.when(F.col("_one"), "has_one").otherwise("belongs_to").alias("type"),
+        F.when(F.col("_one") | F.col("fk").isNull(), "has_one").otherwise("belongs_to").alias("type"),
         F.col("field").alias("name"),
         "target",
-        F.col("fk").alias("foreign_key"),
+        F.coalesce("column", "fk").alias("foreign_key"),
     )
     lists = related.where("is_list").select(F.concat_ws("/", *FILE).alias("schema_id"), "table_name", "field", "target", relation.alias("relation"))
     indexes = inside.where(F.col("text").rlike(r"^\s*@@(unique|index|id)\(")).join(names, [*FILE, "model"]).select(
@@ -352,7 +458,12 @@ def prisma(corpus: DataFrame) -> dict[str, DataFrame]:
         F.col("text").rlike("@@(unique|id)").alias("unique"),
         F.col("text").rlike("@@id").alias("primary"),
     )
-    return {"fields": fields, "list_fields": lists, "edges": edges, "indexes": indexes}
+    inner = rf"{field}|^\s*(@@(map|unique|index|id|schema|ignore|fulltext)\b|//|\}}|$)"
+    several = owned.where(F.col("text").rlike(r"fields:\s*\[\s*\w+\s*,")).select(*FILE, "line", F.concat(F.lit("key over several fields, the first stands for it: "), "field").alias("message"))
+    skip = blocks(lines(corpus), r"^\s*(model|enum|datasource|generator|type|view)\b[^{]*\{")
+    outer = unread(skip.where(F.col("head").isNull()), r"^\s*((model|enum|datasource|generator|type|view)\b[^{]*\{|//|\}|$)")
+    warnings = unread(inside, inner).union(several).union(outer)
+    return {"fields": fields.drop("model", "field"), "list_fields": lists, "edges": edges, "indexes": indexes, "warnings": warnings}
 
 
 # -- Ruby and PHP models
@@ -448,56 +559,90 @@ def rails_models(corpus: DataFrame, table_map: DataFrame | None = None) -> dict[
     return {"bases": bases, "tables": tables, "edges": redirect_targets(edges, moved)}
 
 
-def laravel_models(corpus: DataFrame) -> dict[str, DataFrame]:
-    """Edges of Eloquent models; morphTo has a made-up target, a relation without a class is a warning."""
-    header = r"^\s*(?:final\s+|abstract\s+)?class\s+(\w+)\s+extends\s+(\w+)"
-    w = Window.partitionBy(*FILE).orderBy("line")
-    method = r"function\s+(\w+)\s*\("
-    b = lines(corpus).withColumn(
-        "head",
-        F.last(F.when(F.col("text").rlike(header), F.col("text")), ignorenulls=True).over(w),
-    ).withColumn("fn", F.last(group(method), ignorenulls=True).over(w))
-    cls = b.where("head IS NOT NULL").withColumn("cls", F.regexp_extract("head", header, 1))
-    named = cls.where(F.col("text").rlike(r"\$table\s*=")).select(
-        F.col("project").alias("schema_id"),
-        "cls",
-        group(r"""\$table\s*=\s*["']([^"']+)""").alias("real"),
+#: Base classes of Eloquent models, and types of their relation methods.
+_ELOQUENT = r"^(\w*Model|Authenticatable|Pivot)$"
+_RELATIONS = {
+    "hasMany": "has_many",
+    "hasOne": "has_one",
+    "belongsTo": "belongs_to",
+    "belongsToMany": "has_and_belongs_to_many",
+    "morphTo": "belongs_to",
+    "morphMany": "has_many",
+    "morphOne": "has_one",
+    "morphToMany": "has_and_belongs_to_many",
+}
+
+
+def _without_php_comments(content: Column) -> Column:
+    """Comments taken out, their line ends kept."""
+    parts = F.split(F.regexp_replace(content, r"//[^\n]*", ""), r"/\*")
+    rest = F.transform(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        lambda x: F.concat(F.regexp_replace(F.substring_index(x, "*/", 1), r"[^\n]", ""), F.regexp_replace(x, r"(?s)^.*?(\*/|$)", "")),
     )
-    tables = cls.select(F.col("project").alias("schema_id"), "cls").distinct().join(named, ["schema_id", "cls"], "left").select(
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+
+def laravel_models(corpus: DataFrame, table_map: DataFrame | None = None) -> dict[str, DataFrame]:
+    """tables and edges of Eloquent models, and warnings for relations whose class is not told.
+
+    A class is a model where its base, without its namespace, is one of Eloquent's or ends in Model. Sources are cut at classes
+    and methods after comments are taken out, so that a call may run over several lines. A table's name is that of
+    ``table_map(schema_id, model, table_name)``, else the class's ``$table``, else made of the class's name; edges follow it.
+    morphTo has a made-up target. Files in ``vendor`` are left out.
+    """
+    from lakeatlas.operators.edges import redirect_targets
+
+    header, method = r"\bclass\s+(\w+)\s+extends\s+([\w\\]+)", r"\bfunction\s+(\w+)\s*\("
+    own = corpus.where(~F.col("path").rlike(r"(^|/)vendor/"))
+    pieces = own.select(*FILE, F.posexplode(F.split(_without_php_comments(F.col("content")), r"(?=\bclass\s+\w+\s+extends\b)|(?=\bfunction\s+\w+\s*\()")).alias("pos", "text"))
+    w = Window.partitionBy(*FILE).orderBy("pos")
+    ends = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    so_far = F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = pieces.select("*", F.last(F.when(F.col("text").rlike(header), F.struct(group(header, 1).alias("cls"), group(header, 2).alias("base"))), ignorenulls=True).over(w).alias("c"), so_far.alias("above"))
+    base = F.element_at(F.split(F.col("c.base"), r"\\"), -1)
+    models = cut.where(F.col("c").isNotNull() & base.rlike(_ELOQUENT)).select(F.col("project").alias("schema_id"), "path", "text", "above", F.col("c.cls").alias("cls"))
+    override = group(r"""\$table\s*=\s*["']([^"']+)""")
+    tables = models.select("schema_id", "cls", override.alias("own")).groupBy("schema_id", "cls").agg(F.min("own").alias("own"))
+    naive = class_to_table(F.col("cls"))
+    if table_map is None:
+        tables = tables.withColumn("_mapped", F.lit(None).cast("string"))
+    else:
+        tables = tables.join(table_map.select("schema_id", F.col("model").alias("cls"), F.col("table_name").alias("_mapped")), ["schema_id", "cls"], "left")
+    tables = tables.select("schema_id", "cls", naive.alias("naive"), F.coalesce("_mapped", "own", naive).alias("real"))
+    call = rf"\$this->({'|'.join(_RELATIONS)})\s*\(([^)]*)\)"
+    calls = models.where(F.col("text").rlike(rf"^{method}")).select(
         "schema_id",
-        "cls",
-        F.coalesce("real", class_to_table(F.col("cls"))).alias("real"),
-    )
-    call = r"\$this->(hasMany|hasOne|belongsTo|belongsToMany|morphTo)\(\s*(?:\\?(?:\w+\\)*(\w+)::class)?\s*(?:,\s*[\"'](\w+)[\"'])?"
-    rows = cls.where(F.col("text").rlike(call)).select(
-        F.col("project").alias("schema_id"),
         "path",
-        "line",
+        (F.col("above") + 1).cast("int").alias("line"),
         "cls",
-        "fn",
-        group(call, 1).alias("call"),
-        group(call, 2).alias("ref"),
-        group(call, 3).alias("arg"),
-    )
-    kinds = {"hasMany": "has_many", "hasOne": "has_one", "belongsTo": "belongs_to", "belongsToMany": "has_and_belongs_to_many", "morphTo": "belongs_to"}
-    poly = F.col("call") == "morphTo"
-    good = rows.where(poly | F.col("ref").isNotNull()).join(tables, ["schema_id", "cls"])
-    refs = tables.select("schema_id", F.col("cls").alias("ref"), F.col("real").alias("ref_table"))
-    edges = good.join(refs, ["schema_id", "ref"], "left").select(
+        group(method).alias("fn"),
+        F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(call), F.lit(1)).alias("call"), F.regexp_extract_all("text", F.lit(call), F.lit(2)).alias("args"))).alias("x"),
+    ).select("*", "x.call", "x.args").drop("x")
+    args = F.transform(F.split("args", ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    quoted = r"""^["']([^"']*)["']$"""
+    target = F.coalesce(F.nullif(F.regexp_extract(args[0], r"^\\?([\w\\]+)::class$", 1), F.lit("")), F.nullif(F.regexp_extract(args[0], quoted, 1), F.lit("")))
+    second = F.nullif(F.regexp_extract(F.get(args, F.lit(1)), quoted, 1), F.lit(""))
+    rows = calls.select("*", F.element_at(F.split(target, r"\\"), -1).alias("ref"), second.alias("arg"))
+    morph_to = F.col("call") == "morphTo"
+    good = rows.where(morph_to | F.col("ref").isNotNull()).join(tables.select("schema_id", "cls", F.col("real").alias("table_name")), ["schema_id", "cls"])
+    moved = tables.where("naive <> real").groupBy("schema_id", "naive").agg(F.min("real").alias("real"))
+    snake = F.concat(to_snake(F.col("fn")), F.lit("_id"))
+    guessed = class_to_table(F.col("ref"))
+    edges = good.select(
         "schema_id",
-        F.col("real").alias("table_name"),
-        lookup(F.col("call"), kinds).alias("type"),
+        "table_name",
+        lookup(F.col("call"), _RELATIONS).alias("type"),
         F.col("fn").alias("name"),
-        F.when(poly, F.col("fn")).otherwise(F.coalesce("ref_table", class_to_table(F.col("ref")))).alias("target"),
-        F.when(F.col("call") == "belongsTo", F.coalesce("arg", F.concat("fn", F.lit("_id")))).alias("foreign_key"),
+        F.when(morph_to, pluralize(to_snake(F.col("fn")))).otherwise(guessed).alias("target"),
+        F.when(morph_to, snake).when(F.col("call") == "belongsTo", F.coalesce("arg", snake)).alias("foreign_key"),
         F.when(F.col("call") == "belongsToMany", F.col("arg")).alias("through"),
-        poly.alias("polymorphic"),
+        F.col("call").startswith("morph").alias("polymorphic"),
+        morph_to.alias("_free"),
     )
-    return {
-        "tables": tables,
-        "edges": edges,
-        "warnings": rows.where(~poly & F.col("ref").isNull()).select("schema_id", "path", "line", F.lit("relation without a class").alias("message")),
-    }
+    edges = edges.where("_free").unionByName(redirect_targets(edges.where("NOT _free"), moved)).drop("_free")
+    lost = F.concat(F.lit("relation without a class: "), "fn", F.lit(" "), "call", F.lit("("), F.trim("args"), F.lit(")"))
+    return {"tables": tables.drop("naive"), "edges": edges, "warnings": rows.where(~morph_to & F.col("ref").isNull()).select("schema_id", "path", "line", lost.alias("message"))}
 
 
 # -- Python models
