@@ -4,15 +4,16 @@ E-mail addresses, phone numbers, card numbers, IBANs, social security numbers an
 Feistel network over the numbers of their own format: digits stay digits, letters stay letters of their case, check digits
 are set anew. A permutation never maps two entities to one, and maps the same entity to the same surrogate everywhere.
 Phone numbers are groups of digits that are judged by their shape and count. Names are found by their title, which also
-tells the gender, and from then on a text's further mentions of them (whole, given or family name) without it. Given names
-are drawn by key from lists for gender and script, family names from keyed syllables, each from its own word, so that
-mentions of a person keep what they share; a check over all distinct words looks for collisions, and the draw is
-lengthened until there are none.
+tells the gender, and from then on a text's further mentions of them (whole, given or family name) without it. Each word of a
+name is numbered among the words of its script and length, the number is permuted by key among words of as many syllables as
+that takes, and a given name ends as its gender does. So a surrogate depends on its name and the key only, two names never
+share one, and mentions of a person keep what they share, in whatever corpus and run.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import heapq
 import hmac
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, map_arrow, text_or_empty
+from ._common import map_arrow, text_or_empty
 
 #: Patterns of the entity types, in the order in which they take a stretch of text.
 PATTERNS = {
@@ -38,20 +39,16 @@ PATTERNS = {
 _FOUND = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Titles of women; others are of men.
 WOMEN = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа", "Κυρία"}
-#: Given names by script and gender, and surname syllables by script.
-GIVEN = {
-    ("latin", "m"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jakob Karl Leon Martin Nils Oscar Paul".split(),
-    ("latin", "f"): "Anna Berta Clara Diana Emma Flora Greta Helen Irene Julia Karin Laura Maria Nora Olivia Paula".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл".split(),
-    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Мария Ольга".split(),
-    ("greek", "m"): "Αλέξης Γιώργος Δημήτρης Ηλίας Κώστας Λευτέρης Νίκος Πέτρος".split(),
-    ("greek", "f"): "Άννα Βασιλική Γεωργία Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
-}
+#: Consonants and vowels of the syllables of names by script, and ends of given names by gender.
 SYLLABLES = {
-    "latin": "bar bel dor fen gal hol kar lin mar nor pel ros sal tam ver wil".split(),
-    "cyrillic": "бар бел вер гал дор кар лин мар нов пет рос сал там тур фед яр".split(),
-    "greek": "βαρ γαλ δορ κωσ λιν μαρ νικ παπ ρος σαλ ταμ φιλ χρι αλε θεο ηλι".split(),
+    "latin": [c + v for c in "bcdfghjklmnprstvwxyz" for v in "aeiou"],
+    "cyrillic": [c + v for c in "бвгджзклмнпрстфхцчшщ" for v in "аеиоу"],
+    "greek": [c + v for c in "βγδζθκλμνξπρστφχψ" for v in "αεηιοω"][:100],
 }
+ENDS = {("latin", "m"): "n", ("latin", "f"): "a", ("cyrillic", "m"): "н", ("cyrillic", "f"): "я", ("greek", "m"): "ς", ("greek", "f"): "α"}
+#: Code points by which a word's letters are numbered, from the narrowest range on; the last takes any word.
+RANGES = {"latin": [(0x61, 26), (0, 0x250)], "cyrillic": [(0x430, 32)], "greek": [(0x3AC, 35)]}
+_ANY = (0, 0x110000)
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -236,41 +233,66 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found + _mentions(text, found))
 
 
-def _syllables(n: int, script: str, length: int) -> str:
-    out = ""
-    for _ in range(length):
-        n, k = divmod(n, len(SYLLABLES[script]))
-        out += SYLLABLES[script][k]
-    return out
+@functools.cache
+def _need(base: int, n: int) -> int:
+    """Syllables, of 100 kinds, among which all words of ``n`` letters of ``base`` kinds have room four times."""
+    k = 1
+    while 4 * base**n > 100**k:
+        k += 1
+    return k
+
 
+@functools.cache
+def _before(script: str, which: int, n: int) -> int:
+    """How many words with narrower letters, or as narrow ones and fewer, share the number of syllables."""
+    ranges = [*RANGES[script], _ANY]
+    k = _need(ranges[which][1], n)
+    total = 0
+    for i, (_, base) in enumerate(ranges[: which + 1]):
+        m = 1
+        while _need(base, m) <= k and (i, m) < (which, n):
+            total += base**m if _need(base, m) == k else 0
+            m += 1
+    return total
 
-def _given(key: bytes, gender: str, word: str, length: int) -> str:
-    """A given name of the list, with a syllable more for each of ``length`` beyond two."""
+
+def _syllabic(key: bytes, part: str, word: str) -> str:
+    """The word's surrogate: a keyed permutation of the words of its script among those of as many syllables as they need."""
     script = script_of(word)
-    n, k = divmod(_number(key, "given", gender, word), len(GIVEN[script, gender]))
-    return GIVEN[script, gender][k] + _syllables(n, script, length - 2)
+    ranges = [*RANGES[script], _ANY]
+    capital = word[0].isupper() and word[1:].islower() or len(word) == 1 and word.isupper()
+    for which, (first, base) in enumerate(ranges):
+        lower = first > 0  # letters of one case, the first a capital
+        letters = word.lower() if lower else word
+        if (capital or not lower) and len(letters) == len(word) and all(first <= ord(c) < first + base for c in letters) and (not lower or letters.capitalize() == word):
+            break
+    value = 0
+    for c in letters:
+        value = value * base + ord(c) - first
+    k = _need(base, len(word))
+    value = permute(key, f"{part}/{script}/{k}", _before(script, which, len(word)) + value, 100**k)
+    out = []
+    for _ in range(k):
+        value, d = divmod(value, 100)
+        out.append(SYLLABLES[script][d])
+    return "".join(out)
 
 
-def _family(key: bytes, word: str, length: int) -> str:
-    return _syllables(_number(key, "family", word), script_of(word), length).capitalize()
+def _given(key: bytes, gender: str, word: str) -> str:
+    return _syllabic(key, f"given {gender}", word).capitalize() + ENDS[script_of(word), gender]
 
 
-def _parts(kind: str, entity: str) -> list[tuple[str, str]]:
-    """What a surrogate is made of: a name's words, each by itself, and other entities as they are."""
-    if kind != "name":
-        return [(kind, entity)]
-    gender, _, name = entity.partition(":")
-    words = name.split()
-    return ([(f"given {gender}", words[0])] if len(words) > 1 else []) + ([] if words[-1] == "-" else [("family", words[-1])])
+def _family(key: bytes, word: str) -> str:
+    return _syllabic(key, "family", word).capitalize()
 
 
-def surrogate(key: bytes, kind: str, entity: str, length: int = 2) -> str:
-    """The surrogate of an entity in its shared form. ``length``: syllables of a name's surname."""
+def surrogate(key: bytes, kind: str, entity: str) -> str:
+    """The surrogate of an entity in its shared form."""
     if kind == "name":
         gender, _, name = entity.partition(":")
         words = name.split()
-        out = [_given(key, gender, words[0], length)] if len(words) > 1 else []
-        return " ".join(out + ([] if words[-1] == "-" else [_family(key, words[-1], length)]))
+        out = [_given(key, gender, words[0])] if len(words) > 1 else []
+        return " ".join(out + ([] if words[-1] == "-" else [_family(key, words[-1])]))
     if kind == "email":
         return permute_text(key, "email", entity.partition("@")[0]) + "@" + _domain(key, entity.partition("@")[2])
     if kind == "card":
@@ -304,10 +326,10 @@ def _in_form(original: str, kind: str, new: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in original)
 
 
-def replace(text: str, key: bytes, length: int) -> tuple[str, list[tuple[int, int, str, str]]]:
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     found, out, at = detect(text), [], 0
     for s, e, kind, entity in found:
-        out += [text[at:s], _in_form(text[s:e], kind, surrogate(key, kind, entity, length))]
+        out += [text[at:s], _in_form(text[s:e], kind, surrogate(key, kind, entity))]
         at = e
     return "".join(out) + text[at:], found
 
@@ -324,33 +346,17 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInPandas(run, "kind string, entity string").distinct()
 
 
-def name_length(found: DataFrame, key: bytes) -> int:
-    """The least number of syllables at which no two distinct entities (of names: words) of one type have one surrogate, and
-    no surrogate of a name is a name of the texts."""
+def shared_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
+    """(kind, surrogate, n): surrogates that several entities of one type share. There are none, as they come from permutations;
+    this counts over all texts whether that holds."""
+    secret = key.encode()
 
-    def split(batches):
+    def run(batches):
         for b in batches:
-            yield pd.DataFrame(sorted({x for k, e in zip(b["kind"], b["entity"]) for x in _parts(k, e)}), columns=["kind", "entity"])
-
-    found = kept(found.mapInPandas(split, "kind string, entity string").distinct(), "parts")
-    is_name = F.col("kind").startswith("given ") | (F.col("kind") == "family")
-    real = found.where(is_name).select(F.col("entity").alias("surrogate")).distinct()
-
-    def of_part(kind: str, entity: str, length: int) -> str:
-        if kind == "family":
-            return _family(key, entity, length)
-        return _given(key, kind[-1], entity, length) if kind.startswith("given ") else surrogate(key, kind, entity)
-
-    for length in range(2, 16):
-
-        def run(batches, length=length):
-            for b in batches:
-                yield pd.DataFrame({"kind": b["kind"], "surrogate": [of_part(k, e, length) for k, e in zip(b["kind"], b["entity"])]})
+            yield pd.DataFrame({"kind": b["kind"], "surrogate": [f"{e[:2] if k == 'name' else ''}{surrogate(secret, k, e)}" for k, e in zip(b["kind"], b["entity"], strict=True)]})
 
-        made = kept(found.mapInPandas(run, "kind string, surrogate string"), "surrogates")
-        if made.groupBy("kind", "surrogate").count().where("count > 1").isEmpty() and made.where(is_name).join(real, "surrogate", "left_semi").isEmpty():
-            return length
-    raise ValueError("no draw of names without collisions")
+    made = entities(docs).mapInPandas(run, "kind string, surrogate string")
+    return made.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
@@ -358,15 +364,15 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
 
     Rows without entities are unchanged. A null text stays null, with no pii; empty texts, repeated rows and other columns
     stay as they are (an existing column pii is replaced), and n_chars is not set anew: formats keep their length but for
-    names and IP addresses. An empty table gives no rows. Digits are 0-9; those of other scripts are not looked at.
+    names and IP addresses. A surrogate may by chance be another real name or number, which is replaced in its turn. An empty
+    table gives no rows. Digits are 0-9; those of other scripts are not looked at.
     """
     secret = key.encode()
-    length = name_length(kept(entities(docs), "entities"), secret)
     columns = [c for c in docs.columns if c != "pii"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(b: pa.RecordBatch) -> list[pa.Array]:
-        done = [replace(t, secret, length) if t is not None else (None, []) for t in b.column("_la_old").to_pylist()]
+        done = [replace(t, secret) if t is not None else (None, []) for t in b.column("_la_old").to_pylist()]
         return [pa.array([t for t, _ in done], pa.string()), pa.array([[{"start": s, "end": e, "kind": k} for s, e, k, _ in f] for _, f in done], span)]
 
     src = docs.select(*(F.col(f"`{c}`") for c in columns if c != "text"), F.col("text").alias("_la_old"))
