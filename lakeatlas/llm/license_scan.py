@@ -3,7 +3,8 @@
 A text's words are cut into windows a quarter longer than a template, a quarter apart, so that each occurrence lies whole in
 one window. There, ``containment`` of the template's shingles bounds the Jaccard likeness from below; the number of bands
 (of one row) follows from this bound and the wanted probability of a collision. Windows that meet a template in a band are
-compared with it exactly.
+compared with it exactly. Templates of nearly one length share their windows; of siblings, which are templates that share
+half of their shingles, the one that a window holds most of is what it states.
 
 Windows without any anchor word are left out beforehand, at no loss: the anchors of a template are words so chosen that
 more of its shingles have one than a match may lack.
@@ -35,11 +36,14 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
-    "BSD": [
+    "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
@@ -59,12 +63,33 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "Proprietary": ["All rights reserved"],
 }
 
 
+#: Licenses whose texts hold those of another, which they stand for.
+EXTENDS = {"BSD-3-Clause": "BSD-2-Clause"}
+
+
 def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
 
@@ -86,9 +111,40 @@ def anchors_of(words: list[str], containment: float) -> list[str]:
     return chosen
 
 
-def n_bands(lengths: list[int], containment: float, probability: float) -> int:
-    """Bands of one row with which a match collides with the given probability, at the least likeness it can have."""
-    least = min(containment * s / (s + step(n) + (1 - containment) * s) for n in lengths for s in [max(1, n - WIDTH + 1)])
+def siblings_of(templates: list[tuple[int, str, list[str]]]) -> dict[int, int]:
+    """The group of each template (number, license, words): templates of different licenses that share half of their shingles."""
+    sets = {i: shingles_of(w) for i, _, w in templates}
+    name = {i: n for i, n, _ in templates}
+    group = {i: i for i in sets}
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and name[a] != name[b] and 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b])):
+                group[root(b)] = root(a)
+    return {i: root(i) for i in sets}
+
+
+def window_lengths(templates: list[tuple[int, str, list[str]]]) -> dict[int, int]:
+    """For each template the length that its windows are cut for: the longest of those up to a tenth longer, and one for siblings."""
+    lengths = sorted({len(w) for _, _, w in templates}, reverse=True)
+    of: dict[int, int] = {}
+    for n in lengths:
+        longest = min((c for c in set(of.values()) if n >= 0.9 * c), default=n)
+        of[n] = longest
+    group = siblings_of(templates)
+    own = {i: of[len(w)] for i, _, w in templates}
+    return {i: max(own[k] for k in own if group[k] == group[i]) for i in own}
+
+
+def n_bands(lengths: list[tuple[int, int]], containment: float, probability: float) -> int:
+    """Bands of one row with which a match collides with the given probability, at the least likeness it can have; for (words of
+    the template, length that its windows are cut for)."""
+    least = min(containment * s / (max(1, c + step(c) - WIDTH + 1) + (1 - containment) * s) for n, c in lengths for s in [max(1, n - WIDTH + 1)])
     return math.ceil(math.log(1 - probability) / math.log(1 - least))
 
 
@@ -119,56 +175,71 @@ def _starts(length: int, anchors: list[str]) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.8, probability: float = 0.9999) -> DataFrame:
     """``(doc_id, license, containment)``: one row for each license of which a template is found in ``docs(doc_id, text, ...)``.
 
-    containment: the greatest share of a template's shingles in one window. Rows of one doc_id count together; a null
+    containment: the greatest share of a template's shingles in one window; where a window holds 0.8 of several siblings, those
+    with the greatest share alone count, and a license of which another is an extension (BSD-2-Clause of BSD-3-Clause) is left
+    out beside it. Rows of one doc_id count together; a null
     doc_id is one of its own. Null and empty texts hold nothing. An empty table gives no rows. Other columns are not
     looked at. ``templates`` is a dictionary of the caller, which is part of the plan; beyond ``SIDE_BYTES`` of words it is
     joined by shuffle instead of broadcast.
     """
     spark: SparkSession = docs.sparkSession
     known = [(i, name, w) for i, (name, t) in enumerate((n, t) for n, ts in (templates or TEMPLATES).items() for t in ts) if (w := words_of(t))]
-    lengths = sorted({len(w) for _, _, w in known})
-    bands = n_bands(lengths, containment, probability)
+    group, cut_for = siblings_of(known), window_lengths(known)
+    lengths = sorted(set(cut_for.values()))
+    bands = n_bands([(len(w), cut_for[i]) for i, _, w in known], containment, probability)
     side = spark.createDataFrame(
-        known,
-        "template int, license string, words array<string>",
-    ).withColumn("own", _hashes(F.col("words"))).withColumn("length", F.size("words"))
+        [(i, name, w, cut_for[i], group[i]) for i, name, w in known],
+        "template int, license string, words array<string>, length int, siblings int",
+    ).withColumn("own", _hashes(F.col("words")))
     small = sum(len(x) for _, _, w in known for x in w) * bands <= SIDE_BYTES
     side = (F.broadcast if small else lambda df: df)(
         side.select(
             "template",
+            "siblings",
             "license",
             "length",
             "own",
             F.explode(_bands(F.col("own"), bands)).alias("b"),
-        ).select("template", "license", "length", "own", "b.band", "b.low")
+        ).select("template", "siblings", "license", "length", "own", "b.band", "b.low")
     )
 
-    anchors = {n: sorted({a for _, _, w in known if len(w) == n for a in anchors_of(w, containment)}) for n in lengths}
+    anchors = {n: sorted({a for i, _, w in known if cut_for[i] == n for a in anchors_of(w, containment)}) for n in lengths}
     low = docs.select("doc_id", F.lower(text_or_empty()).alias("text"))
     some = F.lit(False)
     for a in sorted({a for x in anchors.values() for a in x}):
         some = some | F.contains("text", F.lit(a))
-    words = low.where(some).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    words = low.where(some).select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     starts = F.array(*(F.struct(F.lit(n).alias("length"), F.lit(n + step(n)).alias("size"), _starts(n, anchors[n]).alias("starts")) for n in lengths))
     cut = F.flatten(
         F.transform(
             starts,
-            lambda c: F.transform(c["starts"], lambda s: F.struct(c["length"].alias("length"), F.slice("words", s + 1, c["size"]).alias("window"))),
+            lambda c: F.transform(c["starts"], lambda s: F.struct(c["length"].alias("length"), s.alias("start"), F.slice("words", s + 1, c["size"]).alias("window"))),
         )
     )
-    windows = words.where("size(words) > 0").select("doc_id", F.explode(cut).alias("w")).select(
+    windows = words.where("size(words) > 0").select("doc_id", "text_hash", F.explode(cut).alias("w")).select(
         "doc_id",
+        "text_hash",
         "w.length",
+        "w.start",
         F.col("w.window").alias("window"),
     ).withColumn("hashes", _hashes(F.col("window")))
     banded = windows.select(
         "doc_id",
+        "text_hash",
         "length",
+        "start",
         "hashes",
         F.explode(_bands(F.col("hashes"), bands)).alias("b"),
-    ).select("doc_id", "length", "hashes", "b.band", "b.low")
+    ).select("doc_id", "text_hash", "length", "start", "hashes", "b.band", "b.low")
     met = banded.join(side, ["length", "band", "low"])
     share = F.size(F.array_intersect("hashes", "own")) / F.size("own")
-    return met.withColumn("containment", share).where(F.col("containment") >= containment).groupBy("doc_id", "license").agg(
-        F.max("containment").alias("containment")
-    )
+    held = met.withColumn("containment", share).where(F.col("containment") >= containment)
+    where = ["doc_id", "text_hash", "length", "start", "siblings"]
+    stated = held.groupBy(*where).agg(F.collect_set(F.struct("license", "containment")).alias("all"), F.max("containment").alias("most"))
+    best = stated.select("doc_id", F.explode(F.filter("all", lambda x: x["containment"] == F.col("most"))).alias("x")).select("doc_id", "x.*")
+    found = best.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+    extended = F.create_map(*(F.lit(x) for pair in EXTENDS.items() for x in pair))
+    named = found.groupBy("doc_id").agg(F.collect_list(F.struct("license", "containment")).alias("all"))
+    beside = F.transform("all", lambda x: F.element_at(extended, x["license"]))
+    kept_ = F.filter("all", lambda x: ~F.array_contains(F.array_compact(beside), x["license"]))
+    return named.select("doc_id", F.explode(kept_).alias("x")).select("doc_id", "x.license", "x.containment")
