@@ -4,7 +4,7 @@ A text's words are cut into windows a quarter longer than a template, a quarter
 one window. There, ``containment`` of the template's shingles bounds the Jaccard likeness from below; the number of bands
 (of one row) follows from this bound and the wanted probability of a collision. Windows that meet a template in a band are
 compared with it exactly. Templates of nearly one length share their windows; of siblings, which are templates that share
-half of their shingles, the one that a window holds most of is what it states.
+half of their shingles, the one that a window and those beside it hold most of is what they state.
 
 Windows without any anchor word are left out beforehand, at no loss: the anchors of a template are words so chosen that
 more of its shingles have one than a match may lack.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import text_or_empty
@@ -175,8 +175,8 @@ def _starts(length: int, anchors: list[str]) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.8, probability: float = 0.9999) -> DataFrame:
     """``(doc_id, license, containment)``: one row for each license of which a template is found in ``docs(doc_id, text, ...)``.
 
-    containment: the greatest share of a template's shingles in one window; where a window holds 0.8 of several siblings, those
-    with the greatest share alone count, and a license of which another is an extension (BSD-2-Clause of BSD-3-Clause) is left
+    containment: the greatest share of a template's shingles in one window; of siblings in windows
+    up to two steps (half a template) apart those with the greatest share alone count, and a license of which another is an extension (BSD-2-Clause of BSD-3-Clause) is left
     out beside it. Rows of one doc_id count together; a null
     doc_id is one of its own. Null and empty texts hold nothing. An empty table gives no rows. Other columns are not
     looked at. ``templates`` is a dictionary of the caller, which is part of the plan; beyond ``SIDE_BYTES`` of words it is
@@ -234,9 +234,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     met = banded.join(side, ["length", "band", "low"])
     share = F.size(F.array_intersect("hashes", "own")) / F.size("own")
     held = met.withColumn("containment", share).where(F.col("containment") >= containment)
-    where = ["doc_id", "text_hash", "length", "start", "siblings"]
-    stated = held.groupBy(*where).agg(F.collect_set(F.struct("license", "containment")).alias("all"), F.max("containment").alias("most"))
-    best = stated.select("doc_id", F.explode(F.filter("all", lambda x: x["containment"] == F.col("most"))).alias("x")).select("doc_id", "x.*")
+    steps = (F.col("start") / F.greatest(F.floor(F.col("length") / 4), F.lit(1))).cast("int")
+    near = Window.partitionBy("doc_id", "text_hash", "length", "siblings").orderBy("steps").rangeBetween(-2, 2)
+    best = held.withColumn("steps", steps).withColumn("most", F.max("containment").over(near)).where("containment = most")
     found = best.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
     extended = F.create_map(*(F.lit(x) for pair in EXTENDS.items() for x in pair))
     named = found.groupBy("doc_id").agg(F.collect_list(F.struct("license", "containment")).alias("all"))

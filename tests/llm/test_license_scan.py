@@ -13,12 +13,13 @@ def brute(text):
     out = {}
     likely = [(i, n, shingles_of(w)) for i, n, w in KNOWN if len(shingles_of(w) & have) >= 0.8 * len(shingles_of(w))]
     for c in {cut[i] for i, _, _ in likely}:
+        found = []
         for s in range(0, max(len(words) - c - step(c), 0) + step(c), step(c)):
             window = shingles_of(words[s : s + c + step(c)])
-            shares = [(i, n, len(own & window) / len(own)) for i, n, own in likely if cut[i] == c]
-            for i, n, share in shares:
-                if share >= 0.8 and share == max(x for j, _, x in shares if group[j] == group[i]):
-                    out[n] = max(share, out.get(n, 0))
+            found += [(s // step(c), group[i], n, len(own & window) / len(own)) for i, n, own in likely if cut[i] == c]
+        for s, g, n, share in found:
+            if share >= 0.8 and share == max(x for t, h, _, x in found if h == g and abs(s - t) <= 2):
+                out[n] = max(share, out.get(n, 0))
     return {n: x for n, x in out.items() if not (n == "BSD-2-Clause" and "BSD-3-Clause" in out)}
 
 
