@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secret_scan, temperature_mixing
+from . import secret_scan
 
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -13,30 +13,39 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM q
 """
 
-_GOOD = f"""((ln(list_sum(list_transform(xs, lambda x: pow(x / top, m)))) - list_sum(list_transform(xs, lambda x: pow(x / top, m) * ln(x / top) * m)) / list_sum(list_transform(xs, lambda x: pow(x / top, m)))) / ln(len(xs)) <= 0.95 + 1e-12
-  AND budget * list_max(list_transform(xs, lambda x: pow(x / top, m) / x)) / list_sum(list_transform(xs, lambda x: pow(x / top, m))) <= 4 + 1e-12)"""
+def mixing(entropy: float | None, max_repeats: float, epochs: int) -> str:
+    """The documents as often as a mixture under these limits takes them."""
 
-MIXING = f"""
-WITH RECURSIVE tok AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{temperature_mixing.WORD}')) AS tokens FROM documents),
+    def good(m: str) -> str:
+        power = f"list_transform(xs, lambda x: pow(x / top, {m}))"
+        repeats = f"budget * list_max(list_transform(xs, lambda x: pow(x / top, {m}) / x)) / list_sum({power}) <= {max_repeats} + 1e-12"
+        if entropy is None:
+            return f"({repeats})"
+        spread = f"(ln(list_sum({power})) - list_sum(list_transform(xs, lambda x: pow(x / top, {m}) * ln(x / top) * {m})) / list_sum({power})) / ln(len(xs))"
+        return f"({spread} <= {entropy} + 1e-12 AND {repeats})"
+
+    return f"""
+WITH RECURSIVE tok AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
 src AS (SELECT source, count(*) AS n_docs, sum(tokens)::BIGINT AS n_tokens FROM tok GROUP BY source),
-one AS (SELECT list(n_tokens::DOUBLE) FILTER (WHERE n_tokens > 0) AS xs, max(n_tokens)::DOUBLE AS top, sum(n_tokens)::DOUBLE AS budget FROM src),
+one AS (SELECT list(n_tokens::DOUBLE) FILTER (WHERE n_tokens > 0) AS xs, max(n_tokens)::DOUBLE AS top, {epochs} * sum(n_tokens)::DOUBLE AS budget FROM src),
 bisect AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.5::DOUBLE AS m UNION ALL
   SELECT i + 1, CASE WHEN good THEN lo ELSE m END, CASE WHEN good THEN m ELSE hi END, CASE WHEN good THEN (lo + m) / 2 ELSE (m + hi) / 2 END
-  FROM (SELECT i, lo, hi, m, {_GOOD} AS good FROM bisect, one) b WHERE i < 50),
+  FROM (SELECT i, lo, hi, m, {good('m')} AS good FROM bisect, one) b WHERE i < 50),
 alpha AS (SELECT hi AS a FROM bisect ORDER BY i DESC LIMIT 1),
-w AS (SELECT source, n_docs, n_tokens, pow(n_tokens / top, a) / list_sum(list_transform(xs, lambda x: pow(x / top, a))) AS weight, budget FROM src, one, alpha WHERE n_tokens > 0),
+w AS (SELECT source, n_docs, n_tokens, pow(n_tokens / top, a) / list_sum(list_transform(xs, lambda x: pow(x / top, a))) AS weight, budget, {good('a')} AS met FROM src, one, alpha WHERE n_tokens > 0),
 plan AS (SELECT *, floor(weight * budget + 1e-6)::BIGINT // n_tokens AS whole, floor(weight * budget + 1e-6)::BIGINT % n_tokens AS rest FROM w),
 copies AS (
-  SELECT t.*, p.weight, p.rest, b AS block, b = p.whole AS is_last FROM tok t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(0, p.whole + 1)) AS b)),
+  SELECT t.*, p.weight, p.met, p.rest, b AS block, b = p.whole AS is_last FROM tok t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(0, p.whole + 1)) AS b)),
 placed AS (SELECT *, md5(concat_ws('/', '7', block, coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) AS place FROM copies)
-SELECT doc_id, source, tokens, block, place, round(weight, 6) AS weight FROM (
+SELECT doc_id, source, tokens, block, place, round(weight, 6) AS weight, met FROM (
   SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY place, tokens, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM placed) x
 WHERE NOT is_last OR rest > 0 AND running <= rest
 """
 
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 JACCARD = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{temperature_mixing.WORD}') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
@@ -74,4 +83,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 20
 """
 
-ORACLES = {"op13_metric_tree_top_k": TOP_K, "op1_warc_zstd": WARC, "op3_temperature_mixing": MIXING, "op6_ngram_jaccard_join": JACCARD, "op10_secret_scan": _secrets()}
+ORACLES = {"op13_metric_tree_top_k": TOP_K, "op1_warc_zstd": WARC, "op3_temperature_mixing": mixing(None, 2.5, 2), "op6_ngram_jaccard_join": JACCARD, "op10_secret_scan": _secrets()}

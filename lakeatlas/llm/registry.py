@@ -49,7 +49,8 @@ def op4(spark, sf_dir):
 
 @query("op3_temperature_mixing")
 def op3(spark, sf_dir):
-    mixed = temperature_mixing.mix_sources(table(spark, sf_dir, "documents"))
+    """Two epochs, in which no source comes more than two and a half times."""
+    mixed = temperature_mixing.mix_sources(table(spark, sf_dir, "documents"), entropy=None, max_repeats=2.5, epochs=2)
     return mixed.withColumn("weight", F.round("weight", 6))
 
 

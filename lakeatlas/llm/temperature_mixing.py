@@ -70,12 +70,18 @@ def find_exponent(sources: DataFrame, budget: int, entropy: float | None, max_re
     return hi, last[1], holds(last)
 
 
-def source_weights(tokens: DataFrame, budget: int | None = None, entropy: float | None = 0.95, max_repeats: float | None = 4.0) -> DataFrame:
+def source_weights(
+    tokens: DataFrame,
+    budget: int | None = None,
+    entropy: float | None = 0.95,
+    max_repeats: float | None = 4.0,
+    epochs: float = 1.0,
+) -> DataFrame:
     """(source, n_docs, n_tokens, weight, quota, met): weights sum to 1, quotas are whole tokens; met: the limits hold. See
-    the module. A null source is a source of its own; no sources: no rows."""
+    the module. Without a budget it is ``epochs`` times the tokens. A null source is a source of its own; no sources: no rows."""
     sources = kept(source_shares(tokens), "sources")
     if budget is None:
-        budget = sources.agg(F.sum("n_tokens")).first()[0] or 0
+        budget = int(epochs * (sources.agg(F.sum("n_tokens")).first()[0] or 0))
     alpha, z, met = find_exponent(sources, budget, entropy, max_repeats)
     top = sources.agg(F.max("size")).first()[0] or 1.0
     weight = F.when(F.col("size") > 0, F.pow(F.col("size") / F.lit(top), F.lit(alpha)) / F.lit(z)).otherwise(0.0)
@@ -102,20 +108,23 @@ def mix_sources(
     max_repeats: float | None = 4.0,
     seed: int = 7,
     head_docs: int = 8_192,
+    epochs: float = 1.0,
 ) -> DataFrame:
-    """``(doc_id, source, tokens, block, place, weight)``: one row for each time that a document of ``docs(doc_id, text,
-    source, ...)`` is taken; block numbers a source's permutations from 0, place orders a block.
+    """``(doc_id, source, tokens, block, place, weight, met)``: one row for each time that a document of ``docs(doc_id, text,
+    source, ...)`` is taken; block numbers a source's permutations from 0, place orders a block, met says whether the limits
+    hold (the same in all rows).
 
-    ``budget``: tokens to hand out; null: as many as there are. A null source is a source of its own. Documents without
+    ``budget``: tokens to hand out; null: ``epochs`` times as many as there are. A null source is a source of its own. Documents without
     tokens (null or empty text) cost nothing and are in every block that is whole, and in the last one where their place
     comes before its end; a source without any tokens has weight 0 and is not taken. Repeated rows are rows of their own;
     ties in place are ordered by tokens. An empty table gives no rows. Other columns are not looked at.
     """
     tokens = kept(docs.select("doc_id", "source", token_count(text_or_empty()).alias("tokens")), "tokens")
-    weights = kept(source_weights(tokens, budget, entropy, max_repeats), "weights")
+    weights = kept(source_weights(tokens, budget, entropy, max_repeats, epochs), "weights")
     plan = weights.where("n_tokens > 0").select(
         F.col("source").alias("_source"),
         "weight",
+        "met",
         F.floor(F.col("quota") / F.col("n_tokens")).cast("long").alias("whole"),
         F.expr("quota % n_tokens").alias("rest"),
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / head_docs)).cast("long").alias("ranges"),
@@ -128,6 +137,7 @@ def mix_sources(
         "tokens",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("block"),
         "weight",
+        "met",
     )
     whole = whole.withColumn("place", _order(F.col("block"), seed))
 
@@ -145,5 +155,5 @@ def mix_sources(
     ends = last.where("before <= rest AND before + in_part > rest")
     running = F.sum("tokens").over(Window.partitionBy("source", "part").orderBy("place", "tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     ends = ends.withColumn("running", F.col("before") + running).where("running <= rest")
-    columns = ["doc_id", "source", "tokens", "block", "place", "weight"]
+    columns = ["doc_id", "source", "tokens", "block", "place", "weight", "met"]
     return whole.select(columns).union(full.select(columns)).union(ends.select(columns))

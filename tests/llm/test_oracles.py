@@ -23,10 +23,11 @@ def test_mixing_sql_under_a_hot_source(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'src0', source) AS source")
     from pyspark.sql import functions as F
 
+    from lakeatlas.llm.oracles import mixing
     from lakeatlas.llm.temperature_mixing import mix_sources
 
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'src0' ELSE source END AS source FROM '{SF}/documents.parquet'")
-    want = c.sql(f"SELECT doc_id, source, tokens, block, place, weight FROM ({ORACLES['op3_temperature_mixing']})").fetchall()
+    want = c.sql(f"SELECT doc_id, source, tokens, block, place, weight FROM ({mixing(0.95, 4, 1)})").fetchall()
     got = mix_sources(docs, head_docs=50).withColumn("weight", F.round("weight", 6)).select("doc_id", "source", "tokens", "block", "place", "weight").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len({r.block for r in got}) > 1

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lakeatlas.llm._common import table
+from lakeatlas.llm.registry import QUERIES
 from lakeatlas.llm.temperature_mixing import mix_sources, source_weights, token_count
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def test_blocks_are_permutations_within_quota(spark):
     assert abs(sum(q.quota for q in quota.values()) - total) <= len(quota)
 
 
+def test_query_mixes(spark):
+    """Two epochs of uneven sources: the limit of two and a half repeats decides the exponent, and small sources come oftener."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = QUERIES["op3_temperature_mixing"](spark, "/root/testdata/sf0.01").collect()
+    own = {r.source: r.n for r in docs.groupBy("source").agg(F.sum(token_count(F.coalesce("text", F.lit("")))).alias("n")).collect()}
+    used = Counter()
+    for r in rows:
+        used[r.source] += r.tokens
+    repeats = {s: used[s] / own[s] for s in own}
+    small, large = min(own, key=own.get), max(own, key=own.get)
+    assert {r.met for r in rows} == {True}
+    assert max(repeats.values()) <= 2.5 and repeats[small] > 2.3 and repeats[large] < 1.9
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, source string, tokens string, weight int, block int"
     rows = [(1, None, "e"), (2, "", "e"), (3, "a b c", None), (3, "a b c", None), (None, "x", "s"), (5, "w " * 100_000, "s"), (6, " ", "s")]
