@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeatlas.operators import profile
+from lakeatlas.operators import edges, profile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -104,16 +104,22 @@ def likely_parents(spark, sf_dir):
 def fk_coverage(spark, sf_dir):
     """Every declared edge, over every column."""
     declared = spark.createDataFrame([(f"{t}.{c}", f"{p}.{k}") for t, c, p, k in EDGES], "child string, parent string")
-    names = spark.createDataFrame([(f"{t}.{c}", t, c) for t, df in _tables(spark, sf_dir).items() for c in df.columns], "full string, t string, c string")
-    return profile.coverage(_by_name(names), inclusion_deps(spark, sf_dir), declared)
+    return profile.coverage(_by_name(spark, _tables(spark, sf_dir)), inclusion_deps(spark, sf_dir), declared)
 
 
-def _by_name(names):
-    stem = names.withColumn("stem", F.regexp_replace("c", "^[a-z]+_", ""))
-    own = stem.where(
-        F.concat("t", F.lit("key")) == F.expr("replace(stem, 'supp', 'supplier')")
-    ).select(F.col("full").alias("parent"), F.col("stem"), F.col("t").alias("pt"))
-    return stem.join(own, "stem").where("t <> pt").select(F.col("full").alias("child"), "parent")
+def _by_name(spark, tables):
+    """(child, parent) of the edges that the catalogue's own inference finds. Columns ``x_<stem>key`` are read as ``<stem>_id``;
+    the parent is the column that has that name in the target."""
+    rows = [("lake", t, i, c) for t, df in tables.items() for i, c in enumerate(df.columns, 1)]
+    columns = spark.createDataFrame(rows, "schema_id string, table_name string, pos int, full string").withColumns(
+        {"name": F.regexp_replace("full", "^[a-z]+_([a-z]+)key$", "$1_id"), "primary": F.lit(False)}
+    )
+    found = columns.select("schema_id", "table_name").distinct()
+    none = columns.where("false").withColumns({"columns": F.array("name"), "unique": F.lit(True), "target": F.lit("")})
+    edge = edges.infer_fks(found, columns, none, none).select("schema_id", "table_name", "target", F.col("foreign_key").alias("name"))
+    child = edge.join(columns, ["schema_id", "table_name", "name"]).select("schema_id", "target", "name", F.concat_ws(".", "table_name", "full").alias("child"))
+    parent = columns.select("schema_id", F.col("table_name").alias("target"), "name", F.concat_ws(".", "table_name", "full").alias("parent"))
+    return child.join(parent, ["schema_id", "target", "name"]).select("child", "parent")
 
 
 def _union(parts) -> str:
@@ -136,8 +142,14 @@ _SCORES = f"""WITH vals AS MATERIALIZED ({_VALUES}), sizes AS (SELECT name, coun
   both_ AS (SELECT a.name AS child, b.name AS parent, count(*) AS n FROM vals a JOIN vals b ON a.kind = b.kind AND a.v = b.v AND a.name <> b.name GROUP BY 1, 2)
   SELECT child, parent, sizes.n AS n_values, both_.n AS n_both FROM both_ JOIN sizes ON name = child"""
 _DEPS = f"SELECT child, parent, n_values FROM ({_SCORES}) s WHERE n_both = n_values"
-_STEM = lambda c: c.split("_", 1)[-1] if c[:1].islower() else c
-_NAMED = [(f"{t}.{c}", f"{u}.{d}") for t, c, _ in _ALL for u, d, _ in _ALL if t != u and _STEM(c) == _STEM(d) and u + "key" == _STEM(d).replace("supp", "supplier")]
+#: Edges by name: key columns of one stem, of which the parent's table is called by the stem or its plural.
+_NAMED = [
+    ("customer.c_nationkey", "nation.n_nationkey"),
+    ("supplier.s_nationkey", "nation.n_nationkey"),
+    ("nation.n_regionkey", "region.r_regionkey"),
+    ("lineitem.l_orderkey", "orders.o_orderkey"),
+    ("lineitem.l_partkey", "part.p_partkey"),
+]
 _pairs = lambda pairs: "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") AS p(child, parent)"
 ORACLES = {
     "column_profile": _union(
