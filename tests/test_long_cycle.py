@@ -70,3 +70,18 @@ def test_orders_agree_with_all_ways(spark):
     classes = bases.select("schema_id", bases.src.alias("cls")).distinct()
     ranked = lambda df: {(c, tuple(r.owner for r in df.where(f"cls = '{c}'").orderBy("place").collect())) for c in ("c3", "c5", "c8")}
     assert ranked(graph.inheritance_order(bases, classes)) == ranked(graph._walked_order(bases, classes))
+
+
+def test_nodes_between_two_cycles_are_no_component(spark):
+    data = []
+    for k in range(20):  # a ring, a way of 9 nodes on, and a ring at its end; in each schema other hashes
+        ids = [f"{k}-{i}" for i in range(15)]
+        ring, way, last = ids[:3], ids[3:12], ids[12:]
+        for r in (ring, last):
+            data += [(k, r[i], r[(i + 1) % 3]) for i in range(3)]
+        line = [ring[0], *way, last[0]]
+        data += [(k, a, b) for a, b in zip(line, line[1:])]
+    df = spark.createDataFrame(data, "schema_id int, src string, dst string")
+    want = {(k, f"{k}-{i}", f"{k}-{c}") for k in range(20) for c, at in ((0, range(3)), (12, range(12, 15))) for i in at}
+    assert {tuple(r) for r in graph.strong_components(df).collect()} == want
+    assert {(r.schema_id, r.node) for r in graph.cycles(df).collect()} == {(k, n) for k, n, _ in want}
