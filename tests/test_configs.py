@@ -96,3 +96,16 @@ def test_notes_of_a_document_mean_one_edge(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "schema_id string, layer_seq int, content string")
     assert all(df.count() == 0 for df in config_fragments(docs).values())
+
+
+def test_documents_are_parsed_once_and_only_for_what_is_wanted(spark):
+    odd = [("null", "null"), ("text", '"a"'), ("number", "1"), ("list", "[{}]"), ("empty", "{}"), ("tilde", '{"~": null}')]
+    docs = spark.createDataFrame([("s", 0, json.dumps(CONFIG)), *((n, 0, t) for n, t in odd)], "schema_id string, layer_seq int, content string")
+    every = config_fragments(docs)
+    for name, df in every.items():
+        assert "parse_json" not in df._jdf.queryExecution().toString()
+        one = config_fragments(docs, [name])
+        assert list(one) == [name]
+        assert sorted(map(str, one[name].collect())) == sorted(map(str, df.collect()))
+    told = {r.schema_id for r in every["warnings"].where("message = 'not a JSON object'").collect()}
+    assert told == {"null", "text", "number", "list"}
