@@ -45,3 +45,51 @@ def test_late_and_out_of_order(stream):
         ("s", "6", "malformed", []),
     ]
     assert stream(("s", "7", day(20), snap("y")), (None, None, day(29), None)) == got
+
+
+def test_state_is_read_and_written_once_for_a_batch():
+    from lakeatlas.streaming.history import History
+
+    calls = []
+
+    class Value:
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def get(self):
+            calls.append(f"get {self.name}")
+            return self.held
+
+        def update(self, held):
+            calls.append(f"update {self.name}")
+            self.held = held
+
+        def clear(self):
+            calls.append(f"clear {self.name}")
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value(name)
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(f"timer {at}")
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    h = History()
+    h.init(Handle())
+    row = lambda i: {"sound": True, "snapshot_id": str(i), "at": i * 1000, "fingerprint": f"f{i // 2}", "leaves": [{"kind": "table", "item": "t", "hash": f"h{i // 2}"}]}
+    out = list(h.handleInputRows(("s",), iter([row(i) for i in (5, 3, 2, 9, 8, 4)]), Now(4)))
+    assert [(r.snapshot_id, r.kind) for r in out] == [("2", "first"), ("4", "change")]
+    assert sorted(calls) == ["get settled", "get waiting", "timer 4", "update settled", "update waiting"]
+    calls.clear()
+    out = list(h.handleExpiredTimer(("s",), Now(8), None))
+    assert [(r.snapshot_id, r.kind) for r in out] == [("8", "change")]
+    assert sorted(calls) == ["get settled", "get waiting", "timer 8", "update settled", "update waiting"]
+    assert [(r.snapshot_id, r.kind) for r in h.handleExpiredTimer(("s",), Now(9), None)] == [] and h.waiting.held is None
