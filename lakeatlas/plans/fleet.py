@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeatlas.functions.names import SQL_TYPES
 from lakeatlas.operators import validate
-from lakeatlas.operators.store import shared_folder
+from lakeatlas.operators.store import shared_folder, written
 from lakeatlas.sources import catalogue, fleet
 
 from .derived import frames, with_ctes
@@ -61,17 +61,23 @@ def query(name: str, sql: str):
     return add
 
 
-def landed(spark, sf_dir) -> dict:
-    """The four row sets, landed in the shared folder and read back by the data source."""
+def landed(spark, sf_dir, *names: str, keep: bool = False) -> dict:
+    """The row sets ``names``, landed in the shared folder and read back by the data source; relations that need others are not
+    to be used. With ``keep`` landed files are read once, for several relations."""
     made = frames(spark, sf_dir, keep=True)
     rows: dict = {}
     for name, sql in ROWS.items():
+        if name not in names and not (name == "columns" and "indexes" in names):
+            continue
         source = _NEEDS[name][0]
         rows[name] = spark.sql(sql.replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: made[source]})
+        if name == "columns" and {"columns", "indexes"} <= set(names):
+            rows[name] = written(rows[name], "cat_columns")  # indexes are derived from them
         made[f"cat_{name}"] = rows[name]
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
-    fleet.land(rows, path)
-    return catalogue.catalogue_from_rows(fleet.row_sets(spark, path=path))
+    fleet.land({name: rows[name] for name in names}, path)
+    back = fleet.row_sets(spark, path=path)
+    return catalogue.catalogue_from_rows({k: written(df, k) for k, df in back.items()} if keep else back)
 
 
 @query(
@@ -79,7 +85,7 @@ def landed(spark, sf_dir) -> dict:
     "SELECT schema_id, table_name, nullif(table_comment, '') AS comment, (SELECT min_by(column_name, ordinal) FROM columns_ c WHERE c.schema_id = b.schema_id AND c.table_name = b.table_name AND column_key = 'PRI') AS primary_key FROM base_ b",
 )
 def fleet_tables(spark, sf_dir):
-    return landed(spark, sf_dir)["tables"].withColumn("primary_key", F.get("primary_key", F.lit(0)))
+    return landed(spark, sf_dir, "tables", "columns")["tables"].withColumn("primary_key", F.get("primary_key", F.lit(0)))
 
 
 @query(
@@ -87,12 +93,12 @@ def fleet_tables(spark, sf_dir):
     "SELECT schema_id, table_name, ordinal AS pos, column_name AS name, type, column_type AS sql_type, is_nullable = 'YES' AS nullable, column_key = 'PRI' AS is_primary, nullif(column_default, '') AS default_value, nullif(extra, '') AS extra, nullif(column_comment, '') AS comment FROM columns_",
 )
 def fleet_columns(spark, sf_dir):
-    return landed(spark, sf_dir)["columns"].withColumnsRenamed({"primary": "is_primary", "default": "default_value"})
+    return landed(spark, sf_dir, "tables", "columns")["columns"].withColumnsRenamed({"primary": "is_primary", "default": "default_value"})
 
 
 @query("fleet_indexes", "SELECT schema_id, table_name, index_name AS name, array_to_string(names, ',') AS columns, is_unique FROM indexes_")
 def fleet_indexes(spark, sf_dir):
-    return landed(spark, sf_dir)["indexes"].select("schema_id", "table_name", "name", F.array_join("columns", ",").alias("columns"), F.col("unique").alias("is_unique"))
+    return landed(spark, sf_dir, "tables", "indexes")["indexes"].select("schema_id", "table_name", "name", F.array_join("columns", ",").alias("columns"), F.col("unique").alias("is_unique"))
 
 
 @query(
@@ -102,7 +108,7 @@ def fleet_indexes(spark, sf_dir):
     FROM cat_fks k JOIN base_ b ON b.schema_id = k.schema_id AND b.table_name = k.table_name JOIN base_ r ON r.schema_id = k.schema_id AND r.table_name = k.ref_table""",
 )
 def fleet_fks(spark, sf_dir):
-    return landed(spark, sf_dir)["associations"].drop("provenance")
+    return landed(spark, sf_dir, "tables", "fks", "indexes")["associations"].drop("provenance")
 
 
 @query(
@@ -111,5 +117,5 @@ def fleet_fks(spark, sf_dir):
     UNION ALL SELECT schema_id, concat(table_name, '.indexes'), 'index column without a name' FROM indexes_ WHERE list_contains(names, '')""",
 )
 def fleet_violations(spark, sf_dir):
-    c = landed(spark, sf_dir)
+    c = {k: written(df, k) for k, df in landed(spark, sf_dir, *ROWS, keep=True).items()}
     return validate.fragments(c["tables"], c["columns"], c["indexes"], c["associations"], complete=True).drop("layer_seq")

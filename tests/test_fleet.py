@@ -85,3 +85,14 @@ def test_options_are_checked(spark):
     for options, text in (({}, "relation must be"), ({"relation": "fks"}, "either path or servers"), ({"relation": "fks", "servers": "[]"}, "connector")):
         with pytest.raises(Exception, match=text):
             spark.read.format("catalogues").options(**options).load().count()
+
+
+def test_landed_files_are_compressed_and_packed_by_what_they_hold(spark, tmp_path):
+    path = f"file://{tmp_path}/x"
+    fleet.land({"fks": spark.createDataFrame([(f"s{i % 9}", "t" * 50, f"c{i}", "users") for i in range(9000)], FK_ROWS)}, path, servers=4)
+    files = list((tmp_path / "x" / "fks").rglob("*.json*"))
+    held = [f for f in files if f.name.endswith(".json.gz")]
+    assert held and sum(f.stat().st_size for f in held) < 9000 * 20  # a line has 100 bytes and more
+    assert spark.read.format("catalogues").options(relation="fks", path=path).load().distinct().count() == 9000
+    size = max(f.stat().st_size for f in held)
+    assert len(fleet.LandedReader("fks", StructType.fromDDL(FK_ROWS), path, size * 2).partitions()) == len(held)
