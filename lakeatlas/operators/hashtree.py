@@ -21,13 +21,11 @@ def _leaves(rows: DataFrame, kind: str, item: str) -> DataFrame:
 
 def leaves(state: dict[str, DataFrame]) -> DataFrame:
     """Leaves of merged relations: tables, columns, and where given indexes, associations, notes and groups."""
-    spark, key = state["tables"].sparkSession, f"schema_id {state['tables'].schema['schema_id'].dataType.simpleString()}, table_name string"
-    none = lambda ddl: spark.createDataFrame([], f"{key}, {ddl}")
+    none = lambda ddl: canonical.nothing(state["tables"], ddl)
     indexes = state.get("indexes")
     edges = state.get("associations")
-    indexes = none("name string, columns array<string>, unique boolean") if indexes is None else indexes
-    if edges is None:
-        edges = none("type string, name string, target string, foreign_key string, through string, polymorphic boolean, provenance string, sources array<struct<kind:string,provider:string>>")
+    indexes = none(canonical.INDEX_ROWS) if indexes is None else indexes
+    edges = none(canonical.EDGE_ROWS) if edges is None else edges
     out = _leaves(canonical.table_json(state["tables"], state["columns"], indexes, edges), "table", "table_name")
     if state.get("notes") is not None:
         out = out.unionByName(_leaves(canonical.note_json(state["notes"]), "note", "note_id"))

@@ -83,7 +83,7 @@ _T = "EXISTS (SELECT 1 FROM tables_ t WHERE t.schema_id = f.schema_id AND t.tabl
 def relation_violations(spark, sf_dir):
     """Config relations that lack a key, or whose table, target or column is not there."""
     r = rich(spark, sf_dir)
-    return validate.relations(_made(spark, _RELATIONS, rich=r["rich"]), r["tables"], r["columns"]).drop("layer_seq")
+    return validate.relations(_made(spark, _RELATIONS, rich=r["rich"]), r["tables"], r["column_frag"]).drop("layer_seq")
 
 
 _KEY_NAMES = "SELECT schema_id, table_name, min(name) AS first_name, max(layer_seq) % 4 = 0 AS broken, max(layer_seq) % 6 = 0 AS schema_missing FROM column_frag GROUP BY schema_id, table_name"
@@ -103,9 +103,9 @@ _FK = "CASE WHEN length(target) % 2 = 0 THEN concat(foreign_key, '_x') ELSE fore
 def reference_violations(spark, sf_dir):
     """Keys, targets and foreign keys that the final schema does not have; tables without columns are not asked for theirs."""
     r = rich(spark, sf_dir)
-    k = _made(spark, _KEY_NAMES, column_frag=r["columns"])
+    k = _made(spark, _KEY_NAMES, column_frag=r["column_frag"])
     keys = k.select("schema_id", "table_name", F.when(F.col("broken"), F.array(F.lit("lost"), "first_name")).otherwise(F.array("first_name")).alias("primary_key"))
-    return validate.references(r["tables"], r["columns"], keys, r["edges"].withColumn("foreign_key", F.expr(_FK)), k).drop("layer_seq")
+    return validate.references(r["tables"], r["column_frag"], keys, r["edges"].withColumn("foreign_key", F.expr(_FK)), k).drop("layer_seq")
 
 
 _DOCUMENT = """SELECT layer_seq AS schema_id, table_name, layer_seq % 2 = 0 AS old_version, layer_seq % 3 = 0 AS number_for_boolean, layer_seq % 4 = 0 AS other_mode, layer_seq % 5 = 0 AS no_name,
@@ -158,7 +158,7 @@ def structure_drift(spark, sf_dir):
     r, now = rich(spark, sf_dir), _indexes(frames(spark, sf_dir))
     then = now.where("columns[0] NOT LIKE '%id'").withColumn("unique", F.expr("columns[0] <> 'c1'"))
     named = r["edges"].withColumn("name", F.when(F.col("type") == "has_one", F.concat("name", F.lit("2"))).otherwise(F.col("name")))
-    both = {"tables": r["tables"], "columns": _final(r["columns"])}
+    both = {"tables": r["tables"], "columns": _final(r["column_frag"])}
     left = {**both, "indexes": now, "associations": r["edges"]}
     right = {**both, "indexes": then, "associations": named.where("type <> 'has_and_belongs_to_many'")}
     return diff.schema_diff(left, right).select("schema_id", "level", "table_name", "item", "change")
