@@ -16,25 +16,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeatlas.functions.names import SQL_TYPES, class_to_table, fk_stem, index_name, lookup, pluralize, sized_type, to_snake, token_type
+from lakeatlas.operators.store import written
 
 FILE = ["project", "path"]
 
 
 def lines(corpus: DataFrame) -> DataFrame:
-    return corpus.select(*FILE, F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
+    """Numbered lines. Whole files are dealt out first, so that windows over a file need no shuffle of its lines."""
+    return corpus.repartition(*FILE).select(*FILE, F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
 
 
-def blocks(numbered: DataFrame, header: str, closing: str = r"^\s*\}") -> DataFrame:
+def blocks(numbered: DataFrame, header: str, closing: str = r"^\s*\}", step: Column | None = None) -> DataFrame:
     """Add ``head`` and ``head_line``, the header line that a line is inside of and its number (null outside); header and closing
-    lines themselves stay."""
+    lines themselves stay. With ``step`` also ``depth``, its sum over the lines since the header.
+
+    The lines are written once: each kind of statement reads them from there, and the files are split one time only.
+    """
     w = Window.partitionBy(*FILE).orderBy("line")
-    opened = F.when(F.col("text").rlike(header), F.col("text"))
-    closed = F.when(F.col("text").rlike(closing), F.lit(""))
-    event = F.coalesce(opened, closed)
-    before = F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    at = F.last(F.when(opened.isNotNull(), F.col("line")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    own = numbered.withColumn("head", F.nullif(before, F.lit(""))).withColumn("head_line", at).withColumn("opens", opened.isNotNull())
-    return own.withColumn("head_line", F.when(F.col("head").isNotNull(), F.col("head_line")))
+    own = numbered.withColumn("opens", F.col("text").rlike(header))
+    own = own.withColumn("_sum", F.lit(0) if step is None else F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opened = F.struct(F.col("text").alias("head"), F.col("line").alias("head_line"), F.col("_sum").alias("sum"))
+    closed = F.struct(F.lit(None).cast("string").alias("head"), F.lit(None).cast("int").alias("head_line"), F.lit(None).cast(own.schema["_sum"].dataType).alias("sum"))
+    event = F.when(F.col("opens"), opened).when(F.col("text").rlike(closing), closed)
+    own = own.withColumn("_at", F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    depth = [] if step is None else [(F.col("_sum") - F.col("_at.sum")).alias("depth")]
+    return written(own.select(*numbered.columns, "_at.head", "_at.head_line", "opens", *depth), "lines")
 
 
 def first_definitions(heads: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +48,13 @@ def first_definitions(heads: DataFrame, what: str) -> tuple[DataFrame, DataFrame
     from lakeatlas.operators.edges import first_by
 
     first, others = first_by(heads, [*FILE, "table_name"], ["line"])
-    return first, others.select(*FILE, "line", F.concat(F.lit(f"duplicate {what}, later definition ignored: "), "table_name").alias("message"))
+    doubled = others.select(*FILE, "line", F.concat(F.lit(f"duplicate {what}, later definition ignored: "), "table_name").alias("message"))
+    return first, written(doubled, "doubled")
+
+
+def of_first(inside: DataFrame, doubled: DataFrame) -> DataFrame:
+    """Lines inside blocks without those of ``doubled`` headers, which are few, where there are any."""
+    return inside.join(doubled.select(*FILE, F.col("line").alias("head_line")), [*FILE, "head_line"], "left_anti")
 
 
 def unread(rows: DataFrame, known: str) -> DataFrame:
@@ -83,19 +95,16 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
     statement or is a warning; so is a setting that is not known, and a Ref to a table or column that is not there.
     """
     header = rf"^\s*Table\s+{_NAME}"
-    b = blocks(lines(corpus), rf"{header}|^\s*Ref\b[^:{{]*\{{\s*$|{_APART}", r"^\}")
+    step = F.when(F.col("text").rlike(r"\{\s*$"), 1).when(F.col("text").rlike(r"^\s+\}"), -1).otherwise(0)
+    b = blocks(lines(corpus), rf"{header}|^\s*Ref\b[^:{{]*\{{\s*$|{_APART}", r"^\}", step)
     of_table = F.col("head").rlike(header)
     heads = b.where(F.col("opens") & F.col("text").rlike(header)).select(*FILE, "line", unquoted(group(header, 1)).alias("table_name"))
     first, doubled = first_definitions(heads, "table")
     every = b.where(of_table & ~F.col("opens")).withColumn("table_name", unquoted(F.regexp_extract("head", header, 1)))
-    inside = every.join(first.select(*FILE, F.col("line").alias("head_line")), [*FILE, "head_line"], "left_semi")
-    depth = F.sum(
-        F.when(F.col("text").rlike(r"\{\s*$"), 1).when(F.col("text").rlike(r"^\s+\}"), -1).otherwise(0)
-    ).over(Window.partitionBy(*FILE, "table_name").orderBy("line"))
-    flat = inside.withColumn("depth", depth)
+    flat = of_first(every, doubled)
     column = rf"^\s*{_NAME}\s+([^\[\s][^\[]*?)\s*(\[.*\])?\s*(?://.*)?$"
     other = r"^\s*(Note\b[:\s{]|indexes\b\s*\{|\}|//|$)"
-    rows = flat.where(F.col("text").rlike(column) & (F.col("depth") == 0) & ~F.col("text").rlike(other))
+    rows = flat.where((F.col("depth") == 0) & F.col("text").rlike(column) & ~F.col("text").rlike(other))
     attrs = F.coalesce(group(column, 3), F.lit(""))
     pk = attrs.rlike(r"[\[,]\s*(pk|primary key)\s*[\],]")
     kind = group(column, 2)
@@ -118,13 +127,15 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
     )
     # settings apart from commas in quotes and parentheses
     setting = F.filter(F.transform(F.split(F.substr(attrs, F.lit(2), F.greatest(F.length(attrs) - 2, F.lit(0))), r""",(?=(?:[^'`"]*['`"][^'`"]*['`"])*[^'`"]*$)"""), lambda x: F.trim(x)), lambda x: x != "")
-    settings = rows.select(*FILE, "table_name", "line", unquoted(group(column, 1)).alias("column_name"), F.explode(setting).alias("s"))
+    set_in = lambda df: df.select(*FILE, "table_name", "line", unquoted(group(column, 1)).alias("column_name"), F.explode(setting).alias("s"))
+    settings, of_ref = set_in(rows), set_in(rows.where(F.lower("text").contains("ref")))
     own = rf"(?i)^ref\s*:\s*(<>|[<>-])\s*{_SIDE}"
-    inline = settings.where(F.col("s").rlike(own)).select(
+    inline = of_ref.where(F.col("s").rlike(own)).select(
         *FILE, "line", F.col("table_name").alias("l"), F.col("column_name").alias("lc"), group(own, 1, "s").alias("op"), _bare(group(own, 2, "s")).alias("r"), unquoted(group(own, 3, "s")).alias("rc")
     )
     found = said.union(inline)
-    cols = columns.select(*FILE, "table_name", "name").distinct()
+    asked = found.select(*FILE, F.col("l").alias("table_name"), F.col("lc").alias("name")).union(found.select(*FILE, "r", "rc"))
+    cols = columns.select(*FILE, "table_name", "name").join(asked.distinct(), [*FILE, "table_name", "name"], "left_semi").distinct()
     known = first.select(*FILE, "table_name").distinct()
     side = lambda df, t, c, mark: df.join(cols.select(*FILE, F.col("table_name").alias(t), F.col("name").alias(c), F.lit(True).alias(mark)), [*FILE, t, c], "left")
     there = lambda df, t, mark: df.join(known.select(*FILE, F.col("table_name").alias(t), F.lit(True).alias(mark)), [*FILE, t], "left")
@@ -162,7 +173,7 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
         F.col("text").rlike(r"^\s*(TableGroup|Note)\b.*\{\s*$") & F.col("head").isNull()
     ).select(*FILE, "line", F.lit("ignored block").alias("message"))
     odd = settings.where(~F.lower("s").rlike(_SETTINGS)).select(*FILE, "line", F.concat(F.lit("unknown setting: "), "s").alias("message"))
-    bad_ref = settings.where(F.lower("s").rlike(r"^ref\s*:") & ~F.col("s").rlike(own)).select(*FILE, "line", F.concat(F.lit("unknown setting: "), "s").alias("message"))
+    bad_ref = of_ref.where(F.lower("s").rlike(r"^ref\s*:") & ~F.col("s").rlike(own)).select(*FILE, "line", F.concat(F.lit("unknown setting: "), "s").alias("message"))
     warnings = [
         composite,
         skipped,
@@ -192,7 +203,7 @@ def mermaid(corpus: DataFrame) -> dict[str, DataFrame]:
     column = r"^\s+(\S+)\s+([\w.-]+)(?:\s+([A-Z, ]+))?(?:\s+\".*\")?\s*$"
     heads = b.where("opens").select(*FILE, "line", group(header).alias("table_name"))
     first, doubled = first_definitions(heads, "entity")
-    inside = b.where("head IS NOT NULL AND NOT opens").join(first.select(*FILE, F.col("line").alias("head_line")), [*FILE, "head_line"], "left_semi")
+    inside = of_first(b.where("head IS NOT NULL AND NOT opens"), doubled)
     rows = inside.where(F.col("text").rlike(column)).withColumn("table_name", F.regexp_extract("head", header, 1))
     columns = rows.select(
         *FILE,
