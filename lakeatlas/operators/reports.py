@@ -342,22 +342,27 @@ def dbml(tables: DataFrame, columns: DataFrame, indexes: DataFrame, refs: DataFr
     """(schema_id, text). ``refs`` as edges.dbml_refs gives them."""
     single = indexes.where(
         F.col("unique") & (F.size("columns") == 1)
-    ).select(*TABLE, F.col("columns")[0].alias("name")).distinct().withColumn("_unique", F.lit(True))
-    keys = columns.where("primary").groupBy(*TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("_keys"))
-    c = columns.join(single, [*TABLE, "name"], "left").join(keys, TABLE, "left")
+    ).groupBy(*TABLE).agg(F.collect_set(F.col("columns")[0]).alias("_uniques"))
     has = lambda x: F.coalesce(F.col(x), F.lit("")) if x in columns.columns else F.lit("")
-    sole = (F.size("_keys") == 1) & F.col("primary")
-    attrs = F.concat_ws(
-        ", ",
-        F.when(sole, "pk"),
-        F.when(F.lower(has("extra")).contains("auto_increment"), "increment"),
-        F.when(~F.col("nullable"), "not null"),
-        F.when(F.col("_unique"), "unique"),
-        F.when(has("default") != "", F.concat(F.lit("default: "), dbml_default(one_line(has("default"))))),
-    )
     kind = F.coalesce(blank_to_null(has("sql_type")), F.col("type"))
-    line = F.concat(F.lit("  "), dbml_name(F.col("name")), F.lit(" "), kind, F.when(attrs != "", F.concat(F.lit(" ["), attrs, F.lit("]"))).otherwise(""))
-    cols = _lines(c, F.col("pos"), line, "cols")
+    item = F.struct(
+        "pos",
+        "name",
+        "primary",
+        F.concat(F.lit("  "), dbml_name(F.col("name")), F.lit(" "), kind).alias("said"),
+        F.when(F.lower(has("extra")).contains("auto_increment"), "increment").alias("increment"),
+        F.when(~F.col("nullable"), "not null").alias("not_null"),
+        F.when(has("default") != "", F.concat(F.lit("default: "), dbml_default(one_line(has("default"))))).alias("default"),
+    )
+    # a table's columns are gathered once: keys and lines are told from them, with no join for each column
+    own = columns.groupBy(*TABLE).agg(F.array_sort(F.collect_list(item)).alias("_cols"))
+    keys = F.transform(F.filter("_cols", lambda c: c["primary"]), lambda c: c["name"])
+
+    def line(c: Column) -> Column:
+        unique = F.when(F.coalesce(F.array_contains("_uniques", c["name"]), F.lit(False)), "unique")
+        attrs = F.concat_ws(", ", F.when((F.size("_keys") == 1) & c["primary"], "pk"), c["increment"], c["not_null"], unique, c["default"])
+        return F.concat(c["said"], F.when(attrs != "", F.concat(F.lit(" ["), attrs, F.lit("]"))).otherwise(""))
+
     quote = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))
     attrs = F.concat_ws(", ", F.when(F.col("unique"), "unique"), F.concat(F.lit("name: "), quote(blank_to_null(F.col("name")))))
     ix_line = F.concat(
@@ -367,7 +372,8 @@ def dbml(tables: DataFrame, columns: DataFrame, indexes: DataFrame, refs: DataFr
         F.when(attrs != "", F.concat(F.lit(" ["), attrs, F.lit("]"))).otherwise(""),
     )
     ixs = _lines(indexes, F.struct(F.coalesce("name", F.lit("")), "columns", "unique"), ix_line, "ixs")
-    joined = tables.select(*TABLE, "comment").join(cols, TABLE, "left").join(ixs, TABLE, "left").join(keys, TABLE, "left")
+    joined = tables.select(*TABLE, "comment").join(own, TABLE, "left").join(single, TABLE, "left").join(ixs, TABLE, "left")
+    joined = joined.withColumn("_keys", keys).withColumn("cols", F.array_join(F.transform("_cols", line), "\n"))
     composite = F.when(F.size("_keys") >= 2, F.concat(F.lit("    ("), F.array_join(F.transform("_keys", dbml_name), ", "), F.lit(") [pk]")))
     inside = F.concat_ws("\n", composite, "ixs")
     block = F.when(inside != "", F.concat(F.lit("\n  indexes {\n"), inside, F.lit("\n  }")))

@@ -104,7 +104,8 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
     flat = of_first(every, doubled)
     column = rf"^\s*{_NAME}\s+([^\[\s][^\[]*?)\s*(\[.*\])?\s*(?://.*)?$"
     other = r"^\s*(Note\b[:\s{]|indexes\b\s*\{|\}|//|$)"
-    rows = flat.where((F.col("depth") == 0) & F.col("text").rlike(column) & ~F.col("text").rlike(other))
+    is_row = (F.col("depth") == 0) & F.col("text").rlike(column) & ~F.col("text").rlike(other)
+    rows = flat.where(is_row)
     attrs = F.coalesce(group(column, 3), F.lit(""))
     pk = attrs.rlike(r"[\[,]\s*(pk|primary key)\s*[\],]")
     kind = group(column, 2)
@@ -122,18 +123,18 @@ def dbml(corpus: DataFrame) -> dict[str, DataFrame]:
     line = rf"^\s*Ref[^:{{]*:\s*{_PAIR}|^\s*Ref\b[^:{{]*\{{\s*{_PAIR}"
     of_line = rf"[:{{]\s*{_PAIR}"
     in_block = F.col("head").rlike(r"^\s*Ref\b") & ~F.col("opens")
-    said = b.where(F.col("text").rlike(line) & ~F.coalesce(of_table, F.lit(False))).select(*FILE, "line", *apart("text", of_line)).union(
+    said = b.where(F.col("text").contains("Ref") & F.col("text").rlike(line) & ~F.coalesce(of_table, F.lit(False))).select(*FILE, "line", *apart("text", of_line)).union(
         b.where(in_block & F.col("text").rlike(rf"^\s*{_PAIR}")).select(*FILE, "line", *apart("text", _PAIR))
     )
     # settings apart from commas in quotes and parentheses
     setting = F.filter(F.transform(F.split(F.substr(attrs, F.lit(2), F.greatest(F.length(attrs) - 2, F.lit(0))), r""",(?=(?:[^'`"]*['`"][^'`"]*['`"])*[^'`"]*$)"""), lambda x: F.trim(x)), lambda x: x != "")
     set_in = lambda df: df.select(*FILE, "table_name", "line", unquoted(group(column, 1)).alias("column_name"), F.explode(setting).alias("s"))
-    settings, of_ref = set_in(rows), set_in(rows.where(F.lower("text").contains("ref")))
+    settings, of_ref = set_in(rows), set_in(flat.where(F.lower("text").contains("ref") & is_row))
     own = rf"(?i)^ref\s*:\s*(<>|[<>-])\s*{_SIDE}"
     inline = of_ref.where(F.col("s").rlike(own)).select(
         *FILE, "line", F.col("table_name").alias("l"), F.col("column_name").alias("lc"), group(own, 1, "s").alias("op"), _bare(group(own, 2, "s")).alias("r"), unquoted(group(own, 3, "s")).alias("rc")
     )
-    found = said.union(inline)
+    found = written(said.union(inline), "refs")
     asked = found.select(*FILE, F.col("l").alias("table_name"), F.col("lc").alias("name")).union(found.select(*FILE, "r", "rc"))
     cols = columns.select(*FILE, "table_name", "name").join(asked.distinct(), [*FILE, "table_name", "name"], "left_semi").distinct()
     known = first.select(*FILE, "table_name").distinct()
