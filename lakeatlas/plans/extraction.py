@@ -84,21 +84,30 @@ def dbml_refs_extract(spark, sf_dir):
     return refs.select("project", "table_name", "column_name", "ref_table")
 
 
-def _blocks_of(m, header, item, rows, order, closing: str):
-    """(schema_id, text): a block for each table of ``m``: its header, a line for each of its ``rows``, and the closing line."""
-    inner = rows.groupBy("schema_id", "table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
-    own = m["tables"].select("schema_id", "table_name").join(inner, ["schema_id", "table_name"], "left")
-    block = F.concat_ws("\n", header, "lines", F.lit(closing))
-    return own.groupBy("schema_id").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
+def _gathered(rows, order, item, name: str):
+    """(schema_id, table_name, lines of its rows in order)."""
+    lines = F.sort_array(F.collect_list(F.struct(order.alias("o"), item.alias("t")))).getField("t")
+    return rows.groupBy("schema_id", "table_name").agg(F.array_join(lines, "\n").alias(name))
+
+
+def _blocks_of(m, header, inner, names: list[str], closing: str):
+    """(schema_id, text): a block for each table of ``m``: its header, the lines that ``inner`` has for it under ``names``, and the
+    closing line."""
+    own = m["tables"].select("schema_id", "table_name")
+    for rows in inner:
+        own = own.join(rows, ["schema_id", "table_name"], "left")
+    block = F.concat_ws("\n", header, *names, F.lit(closing))
+    return own.groupBy("schema_id").agg(F.array_join(F.sort_array(F.collect_list(block)), "\n").alias("text"))
 
 
 def schema_rb_text(m):
     """(schema_id, text): merged schemas as Rails schema files, unique indexes and foreign keys included."""
-    c = m["columns"].select("schema_id", "table_name", "pos", F.format_string('    t.%s "%s"%s', "type", "name", F.when(F.col("nullable"), "").otherwise(", null: false")).alias("item"))
-    ix = m["indexes"].select("schema_id", "table_name", F.lit(1_000_000).alias("pos"), F.format_string('    t.index ["%s"], unique: true', F.array_join("columns", '", "')).alias("item"))
-    body = _blocks_of(m, F.format_string('  create_table "%s", id: false do |t|', "table_name"), F.col("item"), c.union(ix), F.col("pos"), "  end")
+    column = F.format_string('    t.%s "%s"%s', "type", "name", F.when(F.col("nullable"), "").otherwise(", null: false"))
+    index = F.format_string('    t.index ["%s"], unique: true', F.array_join("columns", '", "'))
+    inner = [_gathered(m.once("ordered"), F.col("pos"), column, "cols"), _gathered(m["indexes"], F.lit(0), index, "ixs")]
+    body = _blocks_of(m, F.format_string('  create_table "%s", id: false do |t|', "table_name"), inner, ["cols", "ixs"], "  end")
     key = F.format_string('  add_foreign_key "%s", "%s", column: "%s"', "table_name", "target", "foreign_key")
-    keys = m["edges"].select("schema_id", key.alias("k")).groupBy("schema_id").agg(F.array_join(F.array_sort(F.collect_set("k")), "\n").alias("keys"))
+    keys = m["edges"].select("schema_id", key.alias("k")).groupBy("schema_id").agg(F.array_join(F.sort_array(F.collect_set("k")), "\n").alias("keys"))
     whole = F.concat_ws("\n", F.lit("ActiveRecord::Schema.define do"), "text", "keys", F.lit("end"), F.lit(""))
     return body.join(keys, "schema_id", "left").select("schema_id", whole.alias("text"))
 
@@ -124,7 +133,7 @@ def laravel_text(m):
     """(schema_id, text): a model class for each table, with a method for each of its edges."""
     call = F.concat(F.lit("  // function no() { }\n  public function "), "name", F.lit("() {\n    return $this->belongsTo(\n      "), _model(F.col("target")), F.lit("::class, '"), "foreign_key", F.lit("');\n  }"))
     header = F.concat(F.lit("class "), _model(F.col("table_name")), F.lit(" extends Model {\n  protected $table = '"), "table_name", F.lit("';"))
-    body = _blocks_of(m, header, call, m["edges"], F.struct("foreign_key", "target", "name"), "}")
+    body = _blocks_of(m, header, [_gathered(m["edges"], F.struct("foreign_key", "target", "name"), call, "lines")], ["lines"], "}")
     return body.select("schema_id", F.concat(F.lit("<?php\nclass Home extends Controller { function users() { $this->hasMany(X::class); } }\n"), "text", F.lit("\n")).alias("text"))
 
 

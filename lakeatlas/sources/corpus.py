@@ -258,76 +258,58 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
     option = lambda n: group(rf"\b{n}:\s*([^,\s]+)")
     default = F.regexp_replace(group(r"""default:\s*("[^"]*"|[^,]+)"""), '^"|"$', "")
     listing = group(rf"^\s*t\.\w+\s+({_STRING}(?:\s*,\s*{_STRING}(?!\w*\s*(?:=>|:[^:])))*)")
-    each = F.regexp_extract_all(listing, F.lit(_STRING), F.lit(1))
-    own = inside.where(F.col("text").rlike(plain)).select("*", F.posexplode(each).alias("sub", "one")).select(
-        *FILE,
-        "table_name",
-        "line",
-        "sub",
-        F.col("one").alias("name"),
-        group(plain, 1).alias("type"),
-        sized_type(group(plain, 1), option("limit"), option("precision"), option("scale")).alias("sql_type"),
-        F.coalesce(option("null") != "false", F.lit(True)).alias("nullable"),
-        default.alias("default"),
-        F.lit(False).alias("primary"),
-    )
-    refs = inside.where(
-        F.col("text").rlike(rf"^\s*t\.(references|belongs_to)\s+{_STRING}")
-    ).withColumn("ref", group(rf"^\s*t\.(?:references|belongs_to)\s+{_STRING}"))
+    several = F.col("text").rlike(r""",\s*["':]""")  # few lines name more than one column
+    each = F.when(several, F.regexp_extract_all(listing, F.lit(_STRING), F.lit(1))).otherwise(F.array(group(plain, 2)))
+    # plain searches stand before patterns, which cost more
+    said = lambda word, pattern: F.col("text").contains(word) & F.col("text").rlike(pattern)
+    is_ref = lambda pattern: said("t.references", pattern) | said("t.belongs_to", pattern)
+    a_ref = rf"^\s*t\.(references|belongs_to)\s+{_STRING}"
+    ref = group(a_ref, 2)
     poly = F.col("text").contains("polymorphic: true")
-    ref_type = F.coalesce(group(r"\btype:\s*:(\w+)"), F.lit("bigint"))
-    made = F.array_compact(
-        F.array(
-            F.struct(F.lit(0).alias("sub"), F.concat("ref", F.lit("_id")).alias("name"), ref_type.alias("type")),
-            F.when(poly, F.struct(F.lit(1).alias("sub"), F.concat("ref", F.lit("_type")).alias("name"), F.lit("string").alias("type"))),
-        )
+    refs = inside.where(is_ref(a_ref)).withColumn("ref", ref)
+    # one pass over the lines: what kind of statement each is, and the columns that it makes
+    kind = (
+        F.when(F.col("opens"), F.when(~F.col("text").rlike(r"\bid:\s*false"), "id"))
+        .when(F.col("text").rlike(plain), "own")
+        .when(is_ref(a_ref), "ref")
+        .when(said("t.timestamps", r"^\s*t\.timestamps\b"), "stamps")
     )
-    from_refs = refs.select(*FILE, "table_name", "line", F.explode(made).alias("c"), F.coalesce(option("null") != "false", F.lit(True)).alias("nullable")).select(
-        *FILE,
-        "table_name",
-        "line",
-        "c.sub",
-        "c.name",
-        "c.type",
-        F.col("c.type").alias("sql_type"),
-        "nullable",
-        F.lit(None).cast("string").alias("default"),
-        F.lit(False).alias("primary"),
+    made = (
+        F.when(F.col("kind") == "id", F.array(F.coalesce(group(rf"primary_key:\s*{_STRING}"), F.lit("id"))))
+        .when(F.col("kind") == "own", each)
+        .when(F.col("kind") == "ref", F.array_compact(F.array(F.concat(ref, F.lit("_id")), F.when(poly, F.concat(ref, F.lit("_type"))))))
+        .when(F.col("kind") == "stamps", F.array(F.lit("created_at"), F.lit("updated_at")))
     )
-    stamps = inside.where(F.col("text").rlike(r"^\s*t\.timestamps\b")).select(*FILE, "table_name", "line", F.posexplode(F.array(F.lit("created_at"), F.lit("updated_at"))).alias("sub", "name")).select(
-        "*",
-        F.lit("datetime").alias("type"),
-        F.lit("datetime").alias("sql_type"),
-        F.lit(False).alias("nullable"),
-        F.lit(None).cast("string").alias("default"),
-        F.lit(False).alias("primary"),
-    )
-    heads = b.where("opens").withColumn("table_name", group(header))
-    ids = heads.where(~F.col("text").rlike(r"\bid:\s*false")).select(
+    told = b.where("opens OR head IS NOT NULL").withColumn("kind", kind)
+    of = lambda id_, own, ref_, stamps: F.when(F.col("kind") == "id", id_).when(F.col("kind") == "own", own).when(F.col("kind") == "ref", ref_).otherwise(stamps)
+    id_type, datetime, nothing = F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")), F.lit("datetime"), F.lit(None).cast("string")
+    ref_type = F.when(F.col("sub") == 0, F.coalesce(group(r"\btype:\s*:(\w+)"), F.lit("bigint"))).otherwise("string")
+    allowed = F.coalesce(option("null") != "false", F.lit(True))
+    columns = told.select("*", F.posexplode(made).alias("sub", "name")).select(
         *FILE,
-        "table_name",
-        F.lit(-1).alias("line"),
-        F.lit(0).alias("sub"),
-        F.coalesce(group(rf"primary_key:\s*{_STRING}"), F.lit("id")).alias("name"),
-        F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")).alias("type"),
-        F.coalesce(group(r"\bid:\s*:(\w+)"), F.lit("bigint")).alias("sql_type"),
-        F.lit(False).alias("nullable"),
-        F.lit(None).cast("string").alias("default"),
-        F.lit(True).alias("primary"),
+        F.when(F.col("opens"), group(header)).otherwise(F.regexp_extract("head", header, 1)).alias("table_name"),
+        F.when(F.col("opens"), -1).otherwise(F.col("line")).alias("line"),
+        "sub",
+        "name",
+        of(id_type, group(plain, 1), ref_type, datetime).alias("type"),
+        of(id_type, sized_type(group(plain, 1), option("limit"), option("precision"), option("scale")), ref_type, datetime).alias("sql_type"),
+        of(F.lit(False), allowed, allowed, F.lit(False)).alias("nullable"),
+        of(nothing, default, nothing, nothing).alias("default"),
+        (F.col("kind") == "id").alias("primary"),
     )
-    columns = ids.unionByName(own).unionByName(from_refs).unionByName(stamps)
+    heads = b.where("opens").withColumn("table_name", group(header))
     columns = columns.withColumn("pos", F.row_number().over(Window.partitionBy(*FILE, "table_name").orderBy("line", "sub"))).drop("line", "sub")
     listed = r"\[([^\]]*)\]"
     names = lambda c: F.transform(F.split(c, r"\s*,\s*"), lambda x: F.regexp_replace(x, "[\"':]", ""))
     cols = F.coalesce(names(group(listed)), F.array(group(rf"(?:t\.index|add_index\s+\S+,)\s+{_STRING}")))
-    t_index = inside.where(F.col("text").rlike(r"^\s*t\.index\b")).select(
+    t_index = inside.where(said("t.index", r"^\s*t\.index\b")).select(
         *FILE,
         "table_name",
         cols.alias("columns"),
         F.col("text").contains("unique: true").alias("unique"),
         group(rf"name:\s*{_STRING}").alias("name"),
     )
-    a_index = b.where(F.col("text").rlike(r"^\s*add_index\b")).select(
+    a_index = b.where(said("add_index", r"^\s*add_index\b")).select(
         *FILE,
         "line",
         group(rf"add_index\s+{_STRING}").alias("table_name"),
@@ -351,7 +333,7 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
     fk = rf"^\s*add_foreign_key\s+{_STRING},\s*{_STRING}"
     from lakeatlas.functions.names import singularize
 
-    added = b.where(F.col("text").rlike(fk)).select(
+    added = b.where(said("add_foreign_key", fk)).select(
         *FILE,
         group(fk, 1).alias("table_name"),
         F.coalesce(group(rf"column:\s*{_STRING}"), F.concat(singularize(group(fk, 2)), F.lit("_id"))).alias("column_name"),
@@ -379,10 +361,8 @@ def schema_rb(corpus: DataFrame) -> dict[str, DataFrame]:
     fks = added.union(inline)
     from lakeatlas.operators.edges import pending_fks
 
-    of_file = lambda df: df.select(F.struct(*FILE).alias("schema_id"), *(c for c in df.columns if c not in FILE))
-    good, bad = pending_fks(of_file(fks), of_file(heads.select(*FILE, "table_name")), of_file(columns), of_file(indexes))
-    edges = good.select("schema_id.*", *(c for c in good.columns if c != "schema_id"))
-    pending = bad.select("schema_id.*", F.lit(None).cast("int").alias("line"), F.concat(F.lit("foreign key, "), "reason", F.lit(": "), F.concat_ws(".", "table_name", "column_name"), F.lit(" -> "), "ref_table").alias("message"))
+    edges, bad = pending_fks(fks, heads, columns, indexes, FILE)
+    pending = bad.select(*FILE, F.lit(None).cast("int").alias("line"), F.concat(F.lit("foreign key, "), "reason", F.lit(": "), F.concat_ws(".", "table_name", "column_name"), F.lit(" -> "), "ref_table").alias("message"))
     warnings = unknown.union(stray).union(lost).union(pending)
     return {"columns": columns, "indexes": indexes, "fks": fks, "edges": edges, "warnings": warnings}
 
