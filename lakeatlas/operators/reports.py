@@ -19,9 +19,11 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
 
 
 def key_label(columns: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add key: PK, else FK where an edge uses the column, else ''."""
-    fks = edges.where("foreign_key IS NOT NULL").select(*TABLE, F.col("foreign_key").alias("name")).distinct().withColumn("_fk", F.lit(True))
-    return columns.join(fks, [*TABLE, "name"], "left").withColumn("key", F.when(F.col("primary"), "PK").when(F.col("_fk"), "FK").otherwise("")).drop("_fk")
+    """Add key: PK, else FK where an edge uses the column, else ''. The keys of a table are gathered first, so that columns that
+    are dealt by table stay where they are."""
+    fks = edges.where("foreign_key IS NOT NULL").groupBy(*TABLE).agg(F.collect_set("foreign_key").alias("_fks"))
+    key = F.when(F.col("primary"), "PK").when(F.array_contains("_fks", F.col("name")), "FK").otherwise("")
+    return columns.join(fks, TABLE, "left").withColumn("key", key).drop("_fks")
 
 
 def dictionary(columns: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,12 +115,12 @@ def group_list(groups: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _lines(df: DataFrame, order: Column, line: Column, name: str, sep: str = "\n") -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("v"))))
-    return df.groupBy(*TABLE).agg(F.array_join(F.transform(pairs, lambda p: p["v"]), sep).alias(name))
+    pairs = F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("v"))))
+    return df.groupBy(*TABLE).agg(F.array_join(pairs.getField("v"), sep).alias(name))
 
 
 def _per_schema(blocks: DataFrame, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_name", "block"))), lambda b: b["block"]), sep)
+    return F.array_join(F.sort_array(F.collect_list(F.struct("table_name", "block"))).getField("block"), sep)
 
 
 def edge_token(edges: DataFrame) -> Column:
