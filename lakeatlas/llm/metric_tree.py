@@ -369,7 +369,9 @@ def nearest_by_product(tree: MetricTree | None, queries: DataFrame, k: int, bloc
     again = again.repartition("subtree").sortWithinPartitions("subtree", "least", "query").select("subtree", "query", "key", "least")
     blocks = again.mapInArrow(lambda bs: _blocks(bs, block, ("query", "key", "least")), lists)
     routed = kept(_routed(blocks, tree), "metric_tree_routed")
-    second = _searched(routed.join(tree.table, "subtree"), tree, k + 1, more=False)
+    # Files hold a query that is sent to many subtrees once, memory holds it for each: by its files the table would pass for small
+    # enough to go through the driver.
+    second = _searched(routed.hint("merge").join(tree.table, "subtree"), tree, k + 1, more=False)
     every = first.where("id is not null").union(second)
     best = every.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     answers = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))

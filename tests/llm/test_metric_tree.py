@@ -80,3 +80,11 @@ def test_edges(spark):
     assert rows_of(search_embeddings(spark.createDataFrame(short, "vec_id long, embedding array<double>"))) == expected([(i, (v + [0.0, 0.0])[:2]) for i, v in short], 20, 20)
     huge = [(0, [1e13, 1e13]), (1, [1e13, 1.0]), (2, [-1e13, -1e13])]
     assert [(r[2], r[3]) for r in rows_of(search_embeddings(spark.createDataFrame(huge, "vec_id long, embedding array<double>")))] == [(1, (1 << 63) - 1), (2, -(1 << 63) + 1)]
+
+
+def test_routed_queries_do_not_pass_the_driver(spark):
+    data = clustered(700, 8, 5)
+    df = search_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=3, every=5, rows=40)
+    assert rows_of(df) == expected(data, 3, 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [subtree" in plan and "BroadcastHashJoin [subtree" not in plan
