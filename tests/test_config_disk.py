@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lakeatlas.operators import edges as edges_
 from lakeatlas.operators import reports
 from lakeatlas.operators.store import shared_folder
 from lakeatlas.plans import configs
@@ -60,3 +61,14 @@ def test_a_note_on_each_edge(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(one) == rows(other) and {r[0] for r in rows(one)} == {"r", "s"}
     assert [d.count('"id":') for _, d in rows(one)] == [1, 4]
+
+
+def test_notes_are_resolved_without_a_broadcast(spark):
+    data = [("s", "a", "t", "u", ["name"], None, "x", None, None, None), ("s", "b", "t", "u", [], None, None, None, None, None), ("s", "b", "t", "w", [], None, None, None, None, None), (None, "c", None, "u", [], None, None, None, None, None), ("s", None, "t", "w", [], None, None, None, None, None)]
+    notes = spark.createDataFrame(data, "schema_id string, note_id string, table_name string, target string, present array<string>, foreign_key string, name string, through string, type string, polymorphic boolean")
+    own = spark.createDataFrame([("s", "t", "has_one", "x", "u"), ("s", "t", "has_one", "y", "u"), ("s", "t", "has_one", "z", "w")], "schema_id string, table_name string, type string, name string, target string")
+    own = own.withColumns({"foreign_key": F.lit(None).cast("string"), "through": F.lit(None).cast("string"), "polymorphic": F.lit(None).cast("boolean")})
+    good, bad = edges_.resolve_notes(notes, own)
+    assert [(r.note_id, r.name, r.polymorphic) for r in good.collect()] == [("a", "x", False)]
+    assert sorted(((r.note_id or "", r.n) for r in bad.collect())) == [("", 0), ("b", 3), ("b", 3), ("c", 0)]
+    assert "Broadcast" not in good._jdf.queryExecution().executedPlan().toString()
